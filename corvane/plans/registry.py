@@ -1,6 +1,444 @@
-"""The engine's own queries and their DuckDB SQL."""
+"""The engine's own queries, each with DuckDB SQL where SQL can say the same. Ties are broken by keys, floats rounded."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import languages
+from ..functions import text as T
+from ..operators import callgraph, context, index, resolve, search, sessions, vector
+from ..sources import repo
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
+    return spark.sql(f"select * from values {rows} as t({columns})")
+
+
+def rel(rows: str, columns: str) -> str:
+    return f"(SELECT * FROM (VALUES {rows}) AS t({columns}))"
+
+
+_FOLD = f"translate(lower(coalesce(text, '')), '{T.MARKED}', '{T.BARE}')"
+_TOK = f"regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+')"
+TERMS = ["the", "stupid", "and", "inthat"]
+_TERMS = ", ".join(f"'{t}'" for t in TERMS)
+_BM = "tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / average))"
+_IDF = "greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6)"
+_POST = f"toks AS (SELECT doc_id, {_TOK} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS average FROM toks), post AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM toks) GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term)"
+_HITS = f"WITH {_POST} SELECT doc_id, round(sum({_IDF} * {_BM}), 6) AS score FROM post JOIN dfs USING (term), st WHERE term IN ({_TERMS}) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT"
+
+
+@query(f"{_HITS} 10")
+def bm25_search(spark, sf):
+    return search.bm25(read(spark, sf, "documents"), "doc_id", "text", TERMS, 10)
+
+
+@query(f"WITH {_POST}, q AS (SELECT DISTINCT item_id, unnest({_TOK}) AS term FROM benchmark), s AS (SELECT item_id, doc_id, round(sum({_IDF} * {_BM}), 6) AS score FROM q JOIN post USING (term) JOIN dfs USING (term), st GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5")
+def bm25_batch(spark, sf):
+    return search.bm25_batch(read(spark, sf, "documents"), "doc_id", "text", read(spark, sf, "benchmark"), "item_id", "text", 5)
+
+
+@query(f"WITH toks AS (SELECT doc_id, {_TOK} AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM toks) SELECT doc_id, count(*) AS n FROM p WHERE t[i] = 'of' AND t[i + 1] = 'the' GROUP BY doc_id")
+def phrase_search(spark, sf):
+    return search.phrase(read(spark, sf, "documents"), "doc_id", "text", ["of", "the"])
+
+
+@query("SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+'), lambda w: strlen(w) >= 2), ' ') AS terms FROM benchmark")
+def fts_tokens(spark, sf):
+    return read(spark, sf, "benchmark").select("item_id", F.array_join(T.query_words(F.col("text")), " ").alias("terms"))
+
+
+@query(f"WITH {_POST} SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM post GROUP BY term")
+def term_stats(spark, sf):
+    return search.term_stats(read(spark, sf, "documents"), "doc_id", "text")
+
+
+@query(f"WITH toks AS (SELECT doc_id, {_TOK} AS t FROM documents), p AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM toks) SELECT doc_id, term, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM p WHERE term IN ({_TERMS}) GROUP BY ALL")
+def postings(spark, sf):
+    p = search.postings(read(spark, sf, "documents"), "doc_id", "text").where(F.col("term").isin(TERMS))
+    return p.select("doc_id", "term", "tf", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+_LINES = r"CASE WHEN coalesce(text, '') = '' THEN CAST([] AS VARCHAR[]) ELSE regexp_split_to_array(regexp_replace(text, '\r?\n\z', ''), '\r?\n') END"
+
+
+def _chunks(window: int, overlap: int) -> str:
+    step = window - overlap
+    return f"WITH l AS (SELECT doc_id, {_LINES} AS ls FROM documents), k AS (SELECT doc_id, ls, unnest(range(0, CAST(ceil(greatest(len(ls) - {window}, 0) / {step}.0) AS BIGINT) + 1)) AS k FROM l WHERE len(ls) > 0) SELECT doc_id, CAST(k * {step} + 1 AS INTEGER) AS start_line, CAST(least(k * {step} + {window}, len(ls)) AS INTEGER) AS end_line, md5(array_to_string(ls[k * {step} + 1:k * {step} + {window}], chr(10))) AS body_md5 FROM k"
+
+
+def _chunk_query(spark, sf, window, overlap):
+    return T.chunk(read(spark, sf, "documents").select("doc_id", "text"), "text", window, overlap).select("doc_id", "start_line", "end_line", F.md5("body").alias("body_md5"))
+
+
+query(_chunks(150, 30), "chunk_default")(lambda spark, sf: _chunk_query(spark, sf, 150, 30))
+query(_chunks(8, 2), "chunk_small")(lambda spark, sf: _chunk_query(spark, sf, 8, 2))
+
+_PATHS = "('src/main.rs'), ('a/b.PY'), ('Dockerfile'), ('x/Dockerfile.dev'), ('CMakeLists.txt'), ('Makefile'), ('README'), ('.gitignore'), ('a.b/c'), ('web/app.tsx'), ('lib/x.tar.gz'), ('q.sql')"
+_LANG_ROWS = ", ".join(f"('{e}', '{k}')" for e, k in languages.rows())
+_NAME_ROWS = ", ".join(f"('{e}', '{k}')" for e, k in languages.NAMES.items())
+
+
+@query(f"WITH p AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name FROM {rel(_PATHS, 'path')}), e AS (SELECT *, lower(regexp_extract(name, '[^.][.]([^.]*)$', 1)) AS ext FROM p) SELECT path, coalesce(n.lang, CASE WHEN name LIKE 'Dockerfile.%' THEN 'dockerfile' END, x.lang, 'text') AS lang FROM e LEFT JOIN {rel(_LANG_ROWS, 'ext, lang')} x ON x.ext = e.ext LEFT JOIN {rel(_NAME_ROWS, 'nm, lang')} n ON n.nm = e.name")
+def lang_tag(spark, sf):
+    return languages.tag(values(spark, _PATHS, "path"))
+
+
+@query("SELECT 'docs/' || doc_id || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS hash FROM documents WHERE text IS NOT NULL AND strlen(text) <= 2097152")
+def file_gates(spark, sf):
+    f = read(spark, sf, "documents").select(F.concat(F.lit("docs\\"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("size"))
+    return index.gate(f).select("path", "size", "hash")
+
+
+_SEEN = "SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN md5(text || 'x') ELSE md5(text) END AS hash FROM documents WHERE doc_id % 11 <> 0"
+_PREV = "SELECT 'd' || doc_id AS path, md5(text) AS hash FROM documents WHERE doc_id % 13 <> 0"
+_STATES = f"s AS ({_SEEN}), p AS ({_PREV}), states AS (SELECT coalesce(s.path, p.path) AS path, CASE WHEN p.hash IS NULL THEN 'added' WHEN s.hash IS NULL THEN 'removed' WHEN s.hash = p.hash THEN 'same' ELSE 'changed' END AS state FROM s FULL JOIN p ON s.path = p.path)"
+
+
+def _snapshots(spark, sf):
+    d = read(spark, sf, "documents")
+    path, own = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.md5("text")
+    seen = d.where("doc_id % 11 <> 0").select(path, "text", F.when(F.col("doc_id") % 7 == 0, F.md5(F.concat("text", F.lit("x")))).otherwise(own).alias("hash"))
+    return seen, d.where("doc_id % 13 <> 0").select(path, "text", own.alias("hash"))
+
+
+@query(f"WITH {_STATES} SELECT path, state FROM states")
+def snapshot_diff(spark, sf):
+    return index.diff(*_snapshots(spark, sf))
+
+
+@query(f"WITH {_STATES}, n AS (SELECT count(*) AS chunks FROM ({_chunks(8, 2)}) c WHERE doc_id % 11 <> 0) SELECT count(*) FILTER (state <> 'removed') AS scanned, count(*) FILTER (state IN ('added', 'changed')) AS indexed, count(*) FILTER (state = 'same') AS skipped, count(*) FILTER (state = 'removed') AS removed, any_value(n.chunks) AS chunks FROM states, n")
+def index_stats(spark, sf):
+    seen, prev = _snapshots(spark, sf)
+    _, chunks, states = index.update(seen, prev.drop("text"), index.chunks_of(prev, 8, 2), 8, 2)
+    return index.stats(states, chunks)
+
+
+_FILES = "(1, 'a.rs'), (2, 'b.rs'), (3, 'c.rs'), (4, 'd.rs')"
+_SYMS = "(1, 1, 'function_item', 'helper', 1, 5), (2, 1, 'impl_item', 'Point', 10, 40), (3, 1, 'function_item', 'new', 12, 20), (4, 1, 'impl_item', 'Circle', 50, 90), (5, 1, 'function_item', 'new', 52, 60), (6, 1, 'closure', 'inner', 54, 56), (7, 1, 'function_item', 'run', 95, 99), (8, 2, 'function_item', 'run', 1, 9), (9, 4, 'function_item', 'run', 1, 9), (10, 2, 'struct_item', 'T', 20, 30), (11, 2, 'alias', 'U', 20, 30), (12, 3, 'function_item', 'main', 1, 50)"
+_SYMCOLS = "symbol_id, file_id, kind, name, start_line, end_line"
+_CALLS = "(1, 1, 'helper', 15), (2, 2, 'helper', 3), (3, 1, 'new', 55), (4, 3, 'run', 4), (5, 2, 'println', 5), (6, 3, 'run', 60), (7, 4, 'run', 20), (8, 3, 'helper', 7)"
+_CALLCOLS = "call_id, file_id, callee_name, line"
+_IMPS = "(1, 3, 'run', false), (2, 2, cast(null as string), true)"
+_RES = "(1, 1), (2, 1), (2, 4)"
+_PARENT = "min_by(o.name, struct_pack(a := o.end_line - o.start_line, b := o.symbol_id))"
+_SY = rel(_SYMS, _SYMCOLS)
+
+
+def _graph(spark):
+    f, s = values(spark, _FILES, "file_id, path"), callgraph.symbol_parents(values(spark, _SYMS, _SYMCOLS))
+    c = callgraph.call_owners(values(spark, _CALLS, _CALLCOLS), s)
+    i, r = values(spark, _IMPS, "import_id, file_id, imported_name, is_wildcard"), values(spark, _RES, "import_id, target_id")
+    return f, s, c, i, r
+
+
+@query(f"SELECT s.symbol_id, s.name, (SELECT {_PARENT} FROM {_SY} o WHERE o.file_id = s.file_id AND o.symbol_id <> s.symbol_id AND o.start_line <= s.start_line AND s.end_line <= o.end_line) AS parent FROM {_SY} s")
+def symbol_parent(spark, sf):
+    return _graph(spark)[1].select("symbol_id", "name", "parent")
+
+
+@query(f"SELECT c.call_id, (SELECT min_by(o.symbol_id, struct_pack(a := o.end_line - o.start_line, b := o.symbol_id)) FROM {_SY} o WHERE o.file_id = c.file_id AND o.start_line <= c.line AND c.line <= o.end_line) AS caller_symbol_id FROM {rel(_CALLS, _CALLCOLS)} c")
+def call_owner(spark, sf):
+    return _graph(spark)[2].select("call_id", "caller_symbol_id")
+
+
+@query("SELECT p_partkey, p_name, word FROM (SELECT p_partkey, p_name, CASE WHEN contains(lower(p_name), 'red') THEN 0 WHEN contains(lower(p_name), 'part') THEN 1 END AS word FROM part) WHERE word IS NOT NULL ORDER BY word, p_partkey LIMIT 8")
+def symbol_like(spark, sf):
+    return search.symbol_like(read(spark, sf, "part").select("p_partkey", "p_name"), "p_name", ["red", "part", "a"], 8, ["p_partkey"])
+
+
+def _callers_sql(files: str, syms: str, calls: str, imps: str, res: str) -> str:
+    return f"""WITH files AS (SELECT * FROM {files}), d AS (SELECT s.name, f.path, s.line, row_number() OVER (PARTITION BY s.name ORDER BY f.path, s.line) AS r FROM {syms} s JOIN files f USING (file_id)),
+d50 AS (SELECT * FROM d WHERE r <= 50), c AS (SELECT c.*, f.path FROM {calls} c JOIN files f USING (file_id)),
+told AS (SELECT DISTINCT i.file_id, i.imported_name, i.is_wildcard, f.path AS target FROM {imps} i JOIN {res} r USING (import_id) JOIN files f ON f.file_id = r.target_id),
+j AS (SELECT c.call_id, c.callee_name, c.path, c.line, d.path AS dp, d.line AS dl, d.path = c.path AS same, d.path IS NOT NULL AND EXISTS (SELECT 1 FROM told t WHERE t.file_id = c.file_id AND t.target = d.path AND (t.imported_name = c.callee_name OR t.is_wildcard)) AS ok FROM c LEFT JOIN d50 d ON d.name = c.callee_name),
+g AS (SELECT call_id, callee_name, path, line, count(dp) AS n, count(*) FILTER (same) AS ns, count(*) FILTER (ok) AS nt, list(struct_pack(p := dp, l := dl) ORDER BY dp, dl) FILTER (dp IS NOT NULL) AS a, list(struct_pack(p := dp, l := dl) ORDER BY dp, dl) FILTER (same) AS s, list(struct_pack(p := dp, l := dl) ORDER BY dp, dl) FILTER (ok) AS t FROM j GROUP BY ALL),
+h AS (SELECT *, CASE WHEN n = 0 THEN 'NoDefinitionIndexed' WHEN ns > 0 THEN 'LikelySameFile' WHEN n = 1 THEN 'UniqueElsewhere' WHEN nt = 1 THEN 'ImportResolved' ELSE 'Ambiguous' END AS hint, CASE WHEN n = 0 THEN [] WHEN ns > 0 THEN s WHEN n > 1 AND nt > 0 THEN t ELSE a END AS chosen FROM g)
+SELECT call_id, callee_name, path, line, hint, array_to_string(list_sort(list_distinct(list_transform(chosen, lambda x: x.p))), ',') AS def_paths, CAST(len(chosen) AS INTEGER) AS n_defs FROM h"""
+
+
+_DIMPS = rel(_IMPS.replace("cast(null as string)", "CAST(NULL AS VARCHAR)"), "import_id, file_id, imported_name, is_wildcard")
+
+
+@query(_callers_sql(rel(_FILES, "file_id, path"), f"(SELECT file_id, name, start_line AS line FROM {_SY})", rel(_CALLS, _CALLCOLS), _DIMPS, rel(_RES, "import_id, target_id")))
+def callers(spark, sf):
+    f, s, c, i, r = _graph(spark)
+    return callgraph.callers(c, s, f, i, r)
+
+
+#: The same over tables of the shape of a call graph: part keys as names, orders as files.
+_CA_FILES = "(SELECT l_orderkey AS file_id, 'f' || lpad(CAST(l_orderkey AS VARCHAR), 9, '0') AS path FROM lineitem GROUP BY l_orderkey)"
+_CA_SYMS = "(SELECT l_orderkey AS file_id, 'p' || (l_partkey % 500) AS name, l_linenumber AS line FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 = 0 GROUP BY ALL)"
+_CA_CALLS = "(SELECT l_orderkey * 10 + l_linenumber AS call_id, l_orderkey AS file_id, 'p' || (min(l_partkey) % 500) AS callee_name, l_linenumber AS line FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey, l_linenumber)"
+
+
+@query(_callers_sql(_CA_FILES, _CA_SYMS, _CA_CALLS, "(SELECT l_orderkey AS import_id, l_orderkey AS file_id, CAST(NULL AS VARCHAR) AS imported_name, true AS is_wildcard FROM lineitem WHERE l_orderkey % 9 = 0 GROUP BY l_orderkey)", "(SELECT l_orderkey AS import_id, l_orderkey + 3 AS target_id FROM lineitem WHERE l_orderkey % 9 = 0 GROUP BY l_orderkey)"))
+def callers_all(spark, sf):
+    l = read(spark, sf, "lineitem")
+    name = lambda c: F.concat(F.lit("p"), (c % 500).cast("string"))
+    f = l.select(F.col("l_orderkey").alias("file_id")).distinct().withColumn("path", F.concat(F.lit("f"), F.lpad(F.col("file_id").cast("string"), 9, "0")))
+    s = l.where("l_linenumber = 1 and l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("file_id"), name(F.col("l_partkey")).alias("name"), F.lit("k").alias("kind"), F.lit(None).cast("string").alias("parent"), F.col("l_linenumber").alias("start_line")).distinct()
+    c = l.where("l_orderkey % 3 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.col("l_orderkey").alias("file_id"), name(F.col("k")).alias("callee_name"), F.col("l_linenumber").alias("line"))
+    i = l.where("l_orderkey % 9 = 0").select(F.col("l_orderkey").alias("import_id")).distinct()
+    return callgraph.callers(c, s, f, i.select("import_id", F.col("import_id").alias("file_id"), F.lit(None).cast("string").alias("imported_name"), F.lit(True).alias("is_wildcard")), i.select("import_id", (F.col("import_id") + 3).alias("target_id")))
+
+
+@query("SELECT * FROM (VALUES ('c.rs', '4:run,7:helper')) AS t(path, calls)")
+def callees(spark, sf):
+    f, s, c, _, _ = _graph(spark)
+    return callgraph.callees(c, s, f, "main")
+
+
+_RPATHS = "src/a.c src/inc/h.h include/x.h utils.ts lib/index.js pkg/models.py pkg/__init__.py pkg/sub/deep.py top.py com/example/util/Helper.java src/main/java/com/example/util/Other.java src/Data/List.hs std/stdio.d src/my_pkg-child.ads src/helper.ml lib/Foo/Bar.pm src/mod_utils.f90 lib/my_app/http_server.ex src/a/b.lua Sources/CoreModule/A.swift Sources/CoreModule/sub/B.swift modules/vpc/main.tf modules/vpc/vars.tf pkg/helper.nim src/my_pkg.vhd run.sh src/tool.rb pkg/utils/a.go pkg/utils/b.go pkg/utils/c.txt src/helpers.rs src/net/mod.rs crates/core/src/lib.rs crates/core/src/shared.rs crates/app/src/main.rs src/permissions.rs".split()
+_RIMPS = [
+    (1, "src/a.c", "c", "inc/h.h", None, False, "src/inc/h.h"), (2, "src/a.c", "c", "../include/x.h", None, False, "include/x.h"), (3, "src/a.c", "c", "../../x.h", None, False, ""),
+    (4, "main.ts", "typescript", "./utils", None, False, "utils.ts"), (5, "main.ts", "javascript", "./lib", None, False, "lib/index.js"), (6, "main.ts", "typescript", "react", None, False, ""),
+    (7, "pkg/views.py", "python", ".", "models", False, "pkg/__init__.py pkg/models.py"), (8, "pkg/sub/x.py", "python", "..models", None, False, "pkg/models.py"), (9, "x.py", "python", "pkg.sub.deep", "f", False, "pkg/sub/deep.py"), (10, "x.py", "python", "top.*", None, True, "top.py"), (11, "x.py", "python", "numpy", None, False, ""),
+    (12, "A.java", "java", "com.example.util.Helper", "Helper", False, "com/example/util/Helper.java"), (13, "A.java", "java", "com.example.util.*", None, True, "com/example/util/Helper.java src/main/java/com/example/util/Other.java"), (14, "A.hs", "haskell", "Data.List.*", None, True, "src/Data/List.hs"), (15, "a.d", "d", "std.stdio.*", None, True, "std/stdio.d"),
+    (16, "a.adb", "ada", "My_Pkg.Child", None, True, "src/my_pkg-child.ads"), (17, "a.ml", "ocaml", "Helper.*", None, True, "src/helper.ml"), (18, "a.pl", "perl", "Foo::Bar.*", None, True, "lib/Foo/Bar.pm"), (19, "a.f90", "fortran", "mod_utils.*", None, True, "src/mod_utils.f90"), (20, "a.ex", "elixir", "MyApp.HTTPServer.*", None, True, "lib/my_app/http_server.ex"), (21, "x.lua", "lua", "a.b", None, False, "src/a/b.lua"),
+    (22, "m.swift", "swift", "CoreModule.*", None, True, "Sources/CoreModule/A.swift Sources/CoreModule/sub/B.swift"), (23, "m.swift", "swift", "Foundation.*", None, True, ""), (24, "main.tf", "hcl", "./modules/vpc", None, True, "modules/vpc/main.tf modules/vpc/vars.tf"), (25, "x.nim", "nim", "pkg/helper", None, False, "pkg/helper.nim"), (26, "x.vhd", "vhdl", "my_pkg", None, True, "src/my_pkg.vhd"),
+    (27, "a.sh", "bash", "./run", None, False, "run.sh"), (28, "src/b.rb", "ruby", "./tool", None, False, "src/tool.rb"), (29, "main.go", "go", "myproject/pkg/utils", None, True, "pkg/utils/a.go pkg/utils/b.go"), (30, "main.go", "go", "fmt", None, True, ""),
+    (31, "src/lib.rs", "rust", "crate::helpers::run", "run", False, "src/helpers.rs"), (32, "src/lib.rs", "rust", "crate::net", None, False, "src/net/mod.rs"), (33, "crates/app/src/main.rs", "rust", "my_core::shared", None, False, "crates/core/src/lib.rs crates/core/src/shared.rs"), (34, "src/lib.rs", "rust", "serde::Deserialize", "Deserialize", False, ""), (35, "src/permissions.rs", "rust", "super::glob_match", "glob_match", False, "src/permissions.rs"),
+]
+
+
+def _resolved(langs: str):
+    def run(spark, sf):
+        rows = [(*r[:6], ["tests"] if r[0] == 35 else []) for r in _RIMPS if r[2] in langs.split()]
+        i = spark.createDataFrame(rows, "import_id int, importer string, lang string, raw_path string, imported_name string, is_wildcard boolean, module_prefix array<string>")
+        p = spark.createDataFrame([(x,) for x in _RPATHS], "path string")
+        mods = spark.createDataFrame([("", "myproject")], "dir string, module string")
+        crates = spark.createDataFrame([("", "", "src"), ("my-core", "crates/core", "crates/core/src"), ("app", "crates/app", "crates/app/src")], "name string, dir string, src string")
+        return resolve.resolve(i, p, mods, crates)
+
+    return run
+
+
+for _name, _langs in {"resolve_relative": "c bash ruby", "resolve_js": "javascript typescript", "resolve_python": "python", "resolve_rust": "rust", "resolve_go": "go", "resolve_dotted": "java haskell d lua", "resolve_flat": "ada ocaml perl fortran vhdl", "resolve_nim": "nim", "resolve_elixir": "elixir", "resolve_swift": "swift", "resolve_hcl": "hcl"}.items():
+    _want = ", ".join(f"({r[0]}, '{p}')" for r in _RIMPS if r[2] in _langs.split() for p in r[6].split())
+    query(f"SELECT CAST(import_id AS INTEGER) AS import_id, path FROM {rel(_want, 'import_id, path')}", _name)(_resolved(_langs))
+
+QUERY_VECTOR = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
+_QV = f"CAST([{', '.join(map(str, QUERY_VECTOR))}] AS DOUBLE[])"
+_EV = "CAST(embedding AS DOUBLE[])"
+_COS = "round(list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform({a}, lambda x: x * x))) * sqrt(list_sum(list_transform({b}, lambda x: x * x)))), 5)"
+
+
+@query(f"SELECT vec_id, {_COS.format(a=_EV, b=_QV)} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+def cosine_topk(spark, sf):
+    return vector.top_k(read(spark, sf, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 10)
+
+
+@query("WITH q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 20), s AS (SELECT qid, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv), 5) AS score FROM embeddings, q WHERE vec_id <> qid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) SELECT qid, vec_id, score, rank FROM r WHERE rank <= 3")
+def cosine_batch(spark, sf):
+    e = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    return vector.top_k_batch(e, "vec_id", "embedding", e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), "qid", 3)
+
+
+@query()
+def lsh_topk(spark, sf):
+    return vector.lsh_top_k(read(spark, sf, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 10)
+
+
+@query("SELECT count(*) AS missing, CAST(min(doc_id) AS BIGINT) AS first_id FROM documents ANTI JOIN (SELECT vec_id AS doc_id FROM embeddings WHERE label = 1) USING (doc_id)")
+def embed_backlog(spark, sf):
+    e = read(spark, sf, "embeddings").where("label = 1").select(F.col("vec_id").alias("doc_id"), F.lit("m").alias("model"))
+    return vector.backlog(read(spark, sf, "documents"), e, "doc_id", "m").agg(F.count("*").alias("missing"), F.min("doc_id").alias("first_id"))
+
+
+@query(f"WITH t AS (SELECT vec_id, {_COS.format(a=_EV, b=_QV)} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10) SELECT vec_id, score, lang, left(text, 40) AS head FROM t JOIN documents ON doc_id = vec_id")
+def hydrate(spark, sf):
+    top = vector.top_k(read(spark, sf, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 10)
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang", F.left("text", F.lit(40)).alias("head"))
+    return d.join(F.broadcast(top), "vec_id").select("vec_id", "score", "lang", "head")
+
+
+_PROMO = f"WITH h AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_HITS} 12)), b AS (SELECT h.*, strlen(text) AS bytes FROM h JOIN documents USING (doc_id))"
+
+
+def _hits(spark, sf):
+    h = search.bm25(read(spark, sf, "documents"), "doc_id", "text", TERMS, 12)
+    rows = h.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id"))).alias("h"))  # 12 rows
+    ranked = rows.select(F.posexplode("h").alias("p", "x")).select(F.col("x.doc_id").alias("doc_id"), (F.col("p") + 1).alias("rank"))
+    sizes = read(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    return sizes.join(F.broadcast(ranked), "doc_id")
+
+
+@query(f"{_PROMO} SELECT CAST(doc_id AS VARCHAR) AS path, CAST(rank AS INTEGER) AS rank, CAST(bytes AS BIGINT) AS bytes FROM b WHERE bytes <= 20000 ORDER BY rank LIMIT 3")
+def promote_files(spark, sf):
+    h = _hits(spark, sf).withColumn("path", F.col("doc_id").cast("string"))
+    promoted, _ = context.promote(h.select("path", F.lit(1).alias("grp"), "rank"), h.select("path", "bytes"))
+    return promoted.select("path", "rank", "bytes")
+
+
+@query(f"{_PROMO.replace('WITH h', 'WITH RECURSIVE h')}, f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, '' AS kept UNION ALL SELECT f.i + 1, CASE WHEN f.used + b.bytes <= 18020 THEN f.used + b.bytes ELSE f.used END, CASE WHEN f.used + b.bytes <= 18020 THEN f.kept || CASE WHEN f.kept = '' THEN '' ELSE ',' END || b.rank ELSE f.kept END FROM f JOIN b ON b.rank = f.i + 1) SELECT used, kept FROM f ORDER BY i DESC LIMIT 1")
+def assemble_budget(spark, sf):
+    return context.assemble(_hits(spark, sf).select("rank", "bytes"), 18_020).select("used", "kept")
+
+
+_TURN = "'--- ' || upper(role) || ' ---' || chr(10) || coalesce(text, '') || chr(10)"
+
+
+@query(f"SELECT conv_id, right(string_agg({_TURN}, '' ORDER BY turn), 500) AS tail, CAST(length(string_agg({_TURN}, '' ORDER BY turn)) AS INTEGER) AS n_chars FROM conversations GROUP BY conv_id")
+def handoff_tail(spark, sf):
+    return context.handoff(read(spark, sf, "conversations"), "conv_id", "turn", "role", "text", 500)
+
+
+_BUCKETS = "(32768, 0, 2048), (32768, 200, 4096), (32768, 24000, 8192), (8192, 1000000, 8192), (1024, 200, 1024)"
+
+
+@query(f"SELECT num_ctx, chars, CAST(bucket AS BIGINT) AS bucket, CAST(trunc(num_ctx * 0.55) * 4 AS BIGINT) AS budget FROM {rel(_BUCKETS, 'num_ctx, chars, bucket')}")
+def prompt_bucket(spark, sf):
+    v = values(spark, _BUCKETS, "num_ctx, chars, want")
+    return v.select("num_ctx", "chars", context.prompt_bucket(F.col("num_ctx"), F.col("chars")).alias("bucket"), context.context_budget(F.col("num_ctx")).alias("budget"))
+
+
+def _unescape(x: str) -> str:
+    for a, b in T.ENTITIES:
+        x = f"replace({x}, '{a}', {chr(39) + b.replace(chr(39), chr(39) * 2) + chr(39)})"
+    return x
+
+
+_PLAIN = _unescape(r"replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?(</script>|\z)', ' ', 'g'), '(?s)<style.*?(</style>|\z)', ' ', 'g'), '(?s)<[^>]*(>|\z)', '', 'g'), '>', '')")
+
+
+@query(rf"SELECT page_id, md5(trim(regexp_replace({_PLAIN}, '\s+', ' ', 'g'))) AS text_md5 FROM pages")
+def html_text(spark, sf):
+    return read(spark, sf, "pages").select("page_id", F.md5(T.html_to_text(F.col("html"))).alias("text_md5"))
+
+
+@query("SELECT page_id, replace(url_encode(url || ' *~'), '%20', '+') AS encoded, url || ' *~' AS decoded FROM pages")
+def url_codec(spark, sf):
+    u = read(spark, sf, "pages").select("page_id", T.percent_encode(F.concat("url", F.lit(" *~"))).alias("encoded"))
+    return u.withColumn("decoded", T.percent_decode("encoded"))
+
+
+@query("SELECT page_id, i AS pos, l[i + 1] AS href FROM (SELECT page_id, l, unnest(range(0, len(l))) AS i FROM (SELECT page_id, list_slice(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1, 8) AS l FROM pages))")
+def scrape_links(spark, sf):
+    l = F.slice(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), 1, 8)
+    return read(spark, sf, "pages").select("page_id", F.posexplode(l).alias("pos", "href")).select("page_id", F.col("pos").cast("long").alias("pos"), "href")
+
+
+@query("WITH l AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no FROM conversations), f AS (SELECT *, sum(CASE WHEN line LIKE '```%' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY no) AS k FROM l) SELECT conv_id, turn, count(*) FILTER (line NOT LIKE '```%' AND k % 2 = 1) AS code_lines, count(*) FILTER (line NOT LIKE '```%' AND k % 2 = 0) AS prose_lines FROM f GROUP BY conv_id, turn")
+def code_fences(spark, sf):
+    f = sessions.fence_lines(read(spark, sf, "conversations"), ["conv_id", "turn"], "text")
+    return f.groupBy("conv_id", "turn").agg(F.count_if(F.col("state") == 1).alias("code_lines"), F.count_if(F.col("state") == 0).alias("prose_lines"))
+
+
+@query("SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN split_part(text, chr(10), 1) ELSE text END AS shown FROM conversations WHERE role = 'user' OR role = 'assistant' AND trim(text) <> ''")
+def transcript_view(spark, sf):
+    c = read(spark, sf, "conversations").where("role = 'user' or role = 'assistant' and trim(text) <> ''")
+    return c.select("conv_id", "turn", "role", F.when(F.col("role") == "user", F.split_part("text", F.lit("\n"), F.lit(1))).otherwise(F.col("text")).alias("shown"))
+
+
+@query("SELECT conv_id, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS prompt_bytes, CAST(least(999, floor(sum(length(coalesce(text, ''))) / 4.0 * 100 / 8192)) AS BIGINT) AS percent FROM conversations GROUP BY conv_id")
+def prompt_size(spark, sf):
+    t = F.coalesce("text", F.lit(""))
+    return read(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.octet_length(t)).alias("prompt_bytes"), F.least(F.lit(999), F.floor(F.sum(F.length(t)) / 4 * 100 / 8192)).cast("long").alias("percent"))
+
+
+_RULES = "(1, 'shell', 'git *', 'allow'), (2, 'shell', 'rm *', 'deny'), (3, 'read', cast(null as string), 'allow'), (4, '*', '*secret*', 'deny')"
+_TOOLCALLS = "(1, 'shell', 'git status'), (2, 'shell', 'rm -rf x'), (3, 'shell', 'ls'), (4, 'read', 'a.txt'), (5, 'write', 'my secret.txt'), (6, 'shell', 'git secret'), (7, 'write', 'a')"
+
+
+@query(f"SELECT c.call_id, coalesce((SELECT min_by(r.action, r.ord) FROM {rel(_RULES.replace('cast(null as string)', 'CAST(NULL AS VARCHAR)'), 'ord, tool, pattern, action')} r WHERE (r.tool = '*' OR r.tool = c.tool) AND (r.pattern IS NULL OR c.arg GLOB r.pattern)), 'fallback') AS verdict FROM {rel(_TOOLCALLS, 'call_id, tool, arg')} c")
+def permission_eval(spark, sf):
+    return sessions.verdicts(values(spark, _TOOLCALLS, "call_id, tool, arg"), values(spark, _RULES, "ord, tool, pattern, action"))
+
+
+_MANIFEST = "(SELECT 's' || (user_id % 20) AS session, event_id AS seq, 'f' || (event_id % 37) AS path, CASE event_type WHEN 'signup' THEN 'Create' WHEN 'error' THEN 'Delete' ELSE 'Modify' END AS action FROM events)"
+
+
+def _manifest(spark, sf):
+    action = F.when(F.col("event_type") == "signup", "Create").when(F.col("event_type") == "error", "Delete").otherwise("Modify")
+    return read(spark, sf, "events").select(F.concat(F.lit("s"), (F.col("user_id") % 20).cast("string")).alias("session"), F.col("event_id").alias("seq"), F.concat(F.lit("f"), (F.col("event_id") % 37).cast("string")).alias("path"), action.alias("action"))
+
+
+@query(f"SELECT session, count(*) AS steps, count(DISTINCT path) AS paths, max(seq) + 1 AS next_seq FROM {_MANIFEST} GROUP BY session")
+def session_summary(spark, sf):
+    return sessions.summaries(_manifest(spark, sf))
+
+
+@query(f"SELECT session, path, CASE WHEN min_by(action, seq) = 'Create' THEN 'remove' ELSE 'restore' END AS effect, min(seq) AS seq FROM {_MANIFEST} WHERE seq > 300 GROUP BY session, path")
+def rollback_effect(spark, sf):
+    return sessions.rollback(_manifest(spark, sf), 300)
+
+
+@query("SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events ORDER BY event_id DESC LIMIT 15")
+def recent_runs(spark, sf):
+    return read(spark, sf, "events").orderBy(F.desc("event_id")).limit(15).select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("WITH RECURSIVE e AS (SELECT user_id, CAST(epoch_ms(ts) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events), b AS (SELECT user_id, t, r, t AS open FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.t, e.r, CASE WHEN e.t < b.open + 600000 THEN b.open ELSE e.t END FROM b JOIN e ON e.user_id = b.user_id AND e.r = b.r + 1) SELECT user_id, open AS at, count(*) AS n FROM b GROUP BY user_id, open")
+def debounce_bursts(spark, sf):
+    return sessions.bursts(read(spark, sf, "events").select("user_id", F.unix_millis("ts").alias("t")), "user_id", "t", 600_000)
+
+
+@query("SELECT event_id, event_type, CAST(row_number() OVER (ORDER BY event_id) - 1 AS INTEGER) AS seq FROM events WHERE user_id = (SELECT min(user_id) FROM events)")
+def event_replay(spark, sf):
+    e = read(spark, sf, "events")
+    one = e.join(F.broadcast(e.agg(F.min("user_id").alias("user_id"))), "user_id")
+    return one.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("l")).select(F.posexplode("l").alias("seq", "x")).select("x.event_id", "x.event_type", "seq")
+
+
+_MODELS = "(1, 4000), (2, 2500), (3, 6000), (4, 1500)"
+
+
+@query(f"SELECT CAST(greatest(1, count(*) FILTER (s <= 0.7 * 12000)) * 3 AS BIGINT) AS slots FROM (SELECT sum(mb) OVER (ORDER BY mb, id) AS s FROM {rel(_MODELS, 'id, mb')})")
+def concurrency_plan(spark, sf):
+    v = values(spark, _MODELS, "id, mb").groupBy().agg(F.array_sort(F.collect_list("mb")).alias("m"))
+    n = F.aggregate("m", F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["n"] + F.when(a["s"] + x <= 0.7 * 12000, 1).otherwise(0)).alias("n")))["n"]
+    return v.select((F.greatest(F.lit(1), n) * 3).cast("long").alias("slots"))
+
+
+_ROUTES = "('cloudy:big-7b'), ('qwen2.5-coder:7b'), ('local-embed-text'), ('llava:13b'), ('other')"
+
+
+@query(f"SELECT tag, CASE WHEN split_part(tag, ':', 1) IN ('cloudy') AND contains(tag, ':') THEN split_part(tag, ':', 1) ELSE 'local' END AS provider, CASE WHEN tag LIKE 'cloudy:%' THEN substring(tag, 8) ELSE tag END AS model FROM {rel(_ROUTES, 'tag')}")
+def model_route(spark, sf):
+    cloud = F.split_part("tag", F.lit(":"), F.lit(1)).isin("cloudy") & F.col("tag").contains(":")
+    return values(spark, _ROUTES, "tag").select("tag", F.when(cloud, F.split_part("tag", F.lit(":"), F.lit(1))).otherwise("local").alias("provider"), F.when(cloud, F.regexp_replace("tag", "^[^:]*:", "")).otherwise(F.col("tag")).alias("model"))
+
+
+@query(f"SELECT tag, CASE WHEN contains(tag, 'embed') THEN 'embedding' WHEN contains(tag, 'llava') THEN 'vision' WHEN contains(tag, 'coder') THEN 'code' ELSE 'general' END AS kind, TRY_CAST(nullif(regexp_extract(tag, '([0-9]+)b', 1), '') AS INTEGER) AS billions FROM {rel(_ROUTES, 'tag')}")
+def model_classify(spark, sf):
+    kind = F.when(F.col("tag").contains("embed"), "embedding").when(F.col("tag").contains("llava"), "vision").when(F.col("tag").contains("coder"), "code").otherwise("general")
+    return values(spark, _ROUTES, "tag").select("tag", kind.alias("kind"), F.expr("try_cast(nullif(regexp_extract(tag, '([0-9]+)b', 1), '') as int)").alias("billions"))
+
+
+_PLAN = "(1, '{\"steps\":[{\"text\":\"read\",\"status\":\"done\"},{\"text\":\"write\",\"status\":\"pending\"}]}')"
+
+
+@query("SELECT * FROM (VALUES (1, '[x] read' || chr(10) || '[ ] write')) AS t(plan_id, shown)")
+def plan_render(spark, sf):
+    v = values(spark, _PLAN, "plan_id, j").select("plan_id", F.from_json("j", "struct<steps:array<struct<text:string,status:string>>>").alias("p"))
+    return v.select("plan_id", F.array_join(F.transform("p.steps", lambda s: F.concat(F.when(s["status"] == "done", "[x] ").otherwise("[ ] "), s["text"])), "\n").alias("shown"))
+
+
+_CODE = [("a.py", "python", "import os\nfrom .m import f as g\nclass A:\n    def run(self):\n        g(os.getcwd())\n"), ("b.rs", "rust", "fn main() {\n    helper(1);\n}\nstruct P;\n"), ("bad.py", "python", "def (")]
+
+
+@query("SELECT path, what, name, CAST(line AS INTEGER) AS line FROM (VALUES ('a.py', 'import', '', 1), ('a.py', 'import', 'f', 2), ('a.py', 'symbol', 'A', 3), ('a.py', 'symbol', 'run', 4), ('a.py', 'call', 'g', 5), ('a.py', 'call', 'getcwd', 5), ('b.rs', 'symbol', 'main', 1), ('b.rs', 'call', 'helper', 2), ('b.rs', 'symbol', 'P', 4)) AS t(path, what, name, line)")
+def extract_code(spark, sf):
+    f = spark.createDataFrame(_CODE, "path string, lang string, text string")
+    return repo.extract(f).select("path", "what", F.coalesce("name", F.lit("")).alias("name"), F.col("start_line").alias("line"))
