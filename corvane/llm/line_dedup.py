@@ -7,27 +7,57 @@ lines under a key with position are all within one edit of each other, and under
 undeleted line; so a link to the earliest line of a key says all, and no pairs are made. The links' edit distance is then
 verified on the texts. A line goes if an earlier one is equal to it or within the bound; the earliest stays.
 
-A line of hundreds of characters has hundreds of deletions, so lines that cannot have a partner emit none: by the
-pigeonhole principle lines within one edit share their first or their second half, and halves are counted first.
+A line of hundreds of characters has hundreds of deletions, so only those are emitted that can meet another's. By the
+pigeonhole principle lines within one edit share their first or their second half, and also all but one of eight
+segments; halves are counted for all lines and segments for those left, and deletions are emitted inside the segments
+outside of which a line equals another.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut
+from .common import BLANKS, bounded_broadcast, cut
 
 MIN_CHARS = 20
 
 
-def normalise(line: Column) -> Column:
+SEGMENTS = 8
+#: Documents with compared lines that may be broadcast; beyond that their join is shuffled.
+MAX_BROADCAST = 1_000_000
+
+
+def normalise(line: str) -> str:
     """Lower case, white space collapsed and trimmed."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    return " ".join(line.lower().split())
+
+
+def _hash(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def halves(norm: str) -> list[int]:
+    """Hashes of the first and last half, for pairs whose longer line is as long as this one, or longer by one."""
+    n = len(norm)
+    return [h for m in (n, n + 1) for h in (_hash("p", str(m), norm[: m // 2]), _hash("s", str(m), norm[n - (m + 1) // 2 :]))]
+
+
+def segment_keys(norm: str) -> list[tuple[int, int, int]]:
+    """(hash, m, q): all but segment q, for pairs whose longer line has m characters."""
+    n = len(norm)
+    out = []
+    for m in (n, n + 1):
+        for q in range(SEGMENTS):
+            rest = m - (q + 1) * m // SEGMENTS
+            out.append((_hash(str(m), str(q), norm[: q * m // SEGMENTS], norm[n - rest :] if rest else ""), m, q))
+    return out
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,70 +91,120 @@ def deletion_keys(line: str) -> tuple[np.ndarray, np.ndarray, np.uint64]:
     return placed, deleted, whole
 
 
+def _lines(min_chars: int):
+    """A row per compared line: its place, digest and halves."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            docs, nos, lids, hs = [], [], [], []
+
+            def out() -> pd.DataFrame:
+                h = np.array(hs, np.int64).reshape(-1, 4)
+                return pd.DataFrame({"doc_id": pd.Series(docs, dtype=b["doc_id"].dtype), "no": np.array(nos, np.int32), "lid": lids, "h0": h[:, 0], "h1": h[:, 1], "h2": h[:, 2], "h3": h[:, 3]})
+
+            for doc, text in zip(b["doc_id"], b["text"]):
+                for no, line in enumerate((text or "").split("\n")):
+                    norm = normalise(line)
+                    if len(norm) >= min_chars:
+                        docs.append(doc)
+                        nos.append(no)
+                        lids.append(hashlib.blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                        hs.append(halves(norm))
+                if len(nos) > 50_000:
+                    yield out()
+                    docs, nos, lids, hs = [], [], [], []
+            yield out()
+
+    return run
+
+
+def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for doc, text, nos in zip(b["doc_id"], b["text"], b["nos"]):
+            ls = (text or "").split("\n")
+            rows += [(doc, no, normalise(ls[no])) for no in nos if no < len(ls)]
+        yield pd.DataFrame({"doc_id": pd.Series([r[0] for r in rows], dtype=b["doc_id"].dtype), "no": [r[1] for r in rows], "norm": [r[2] for r in rows]})
+
+
+def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(doc, no, *k) for doc, no, norm in zip(b["doc_id"], b["no"], b["norm"]) for k in segment_keys(norm)]
+        yield pd.DataFrame({"doc_id": pd.Series([r[0] for r in rows], dtype=b["doc_id"].dtype), **{c: [r[i] for r in rows] for i, c in enumerate(("no", "key", "m", "q"), 1)}})
+
+
 def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """role 0: deletion with position; 1: deletion; 2: the line itself. role 1 and 2 meet under the same key."""
     for b in batches:
         for i in range(0, len(b), 256):
-            keys, roles, lids, docs, nos = [], [], [], [], []
-            for lid, doc, no, text in zip(b["lid"].iloc[i : i + 256], b["first_doc"].iloc[i : i + 256], b["first_no"].iloc[i : i + 256], b["norm"].iloc[i : i + 256]):
-                placed, deleted, whole = deletion_keys(text)
-                deleted = np.unique(deleted)
-                keys.append(np.concatenate([placed, deleted, [whole]]))
-                n = len(keys[-1])
-                roles.append(np.repeat(np.array([0, 1, 2], np.int8), [len(placed), len(deleted), 1]))
-                lids += [lid] * n
-                docs += [doc] * n
-                nos += [no] * n
+            keys, roles, docs, nos = [], [], [], []
+            for doc, no, norm, where in zip(*(b[c].iloc[i : i + 256] for c in ("doc_id", "no", "norm", "where"))):
+                placed, deleted, whole = deletion_keys(norm)
+                n, own = len(norm), set()
+                for w in where:
+                    m, q = w["m"], w["q"]
+                    own.update(range(q * m // SEGMENTS, (q + 1) * m // SEGMENTS) if m == n else ())
+                at = np.array(sorted(own), np.int64)
+                last = [whole] if any(w["m"] == n + 1 for w in where) else []
+                gone = np.unique(deleted[at])
+                keys.append(np.concatenate([placed[at], gone, np.array(last, np.uint64)]))
+                k = len(keys[-1])
+                roles.append(np.repeat(np.array([0, 1, 2], np.int8), [len(at), len(gone), len(last)]))
+                docs += [doc] * k
+                nos += [no] * k
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "role": np.concatenate(roles), "lid": lids, "first_doc": docs, "first_no": nos})
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "role": np.concatenate(roles), "doc_id": pd.Series(docs, dtype=b["doc_id"].dtype), "no": np.array(nos, np.int32)})
+
+
+def near_lines(docs: DataFrame, lines: DataFrame, first: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, no): first places of lines that are one edit away from a line whose first place is earlier."""
+    half = lines.select(F.xxhash64("lid").alias("l"), F.explode(F.array("h0", "h1", "h2", "h3")).alias("half"))
+    shared = half.groupBy("half").agg(F.min("l").alias("a"), F.max("l").alias("b")).where("a <> b").select("half")
+    some = half.join(shared, "half", "left_semi").select("l").distinct()
+    places = first.withColumn("l", F.xxhash64("lid")).join(some, "l", "left_semi").groupBy("doc_id").agg(F.collect_set("no").alias("nos"))
+    places = bounded_broadcast(cut(places.select(F.col("doc_id").alias("__id"), "nos")), MAX_BROADCAST)
+    texts = docs.select("doc_id", "text").join(places, F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "text", "nos")
+    place = f"doc_id {kind}, no int"
+    texts = cut(texts.mapInPandas(_texts, f"{place}, norm string").dropDuplicates(["doc_id", "no"]))
+    segs = texts.mapInPandas(_segments, f"{place}, key long, m int, q int")
+    mine = F.xxhash64("doc_id", "no")
+    common = segs.groupBy("key").agg(F.min(mine).alias("a"), F.max(mine).alias("b")).where("a <> b").select("key")
+    where = segs.join(common, "key", "left_semi").groupBy(F.col("doc_id").alias("__d"), F.col("no").alias("__n")).agg(F.collect_set(F.struct("m", "q")).alias("where"))
+    same = lambda d, n: F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("no") == F.col(n))
+    var = cut(texts.join(where, same("__d", "__n")).select("doc_id", "no", "norm", "where").mapInPandas(_variants, f"key long, role byte, {place}"))
+    who = F.struct("doc_id", "no")
+    of = lambda r: F.when(F.col("role") == r, who)
+    # Positioned keys link to the earliest; unpositioned ones link deletions to the whole line and back.
+    best = var.groupBy("key").agg(F.min(of(0)).alias("m0"), F.max(of(0)).alias("x0"), F.min(of(1)).alias("m1"), F.min(of(2)).alias("m2")).where("m0 <> x0 or (m1 is not null and m2 is not null)")
+    to = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
+    pairs = var.join(best, "key").select("doc_id", "no", to.alias("to")).where(F.col("to") < who).distinct()
+    pairs = pairs.select(F.col("doc_id").alias("__d"), F.col("no").alias("__n"), F.col("to.doc_id").alias("__td"), F.col("to.no").alias("__tn"))
+    ends = pairs.join(texts, same("__d", "__n")).select("__d", "__n", "__td", "__tn", F.col("norm").alias("__norm")).join(texts, same("__td", "__tn"))
+    return ends.where(F.levenshtein("norm", "__norm", 1).between(0, 1)).select(F.col("__d").alias("doc_id"), F.col("__n").alias("no")).distinct()
 
 
 def line_decisions(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, keep, n_near): the numbers (from 0) of the lines that stay, and how many lines went for a near match.
+    """(doc_id, gone, n_near): the numbers (from 0) of the lines that go, and how many of them for a near match.
 
-    Only lines of min_chars normalised characters or more are compared; all others stay and are not listed. "Earliest"
-    is by doc_id, then line number. max_edits is 0 (equal lines only) or 1. A null text has no lines. Rows with the
-    same doc_id are one document, whose lines count by number. A document none of whose lines stays has no row.
+    Only lines of min_chars normalised characters or more are compared; all others stay. "Earliest" is by doc_id, then
+    line number. max_edits is 0 (equal lines only) or 1. A null text has no lines. Rows with the same doc_id are one
+    document, whose lines count by number. A document that loses no line has an empty list or no row.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
-    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    lines = lines.select("doc_id", "no", normalise(F.col("line")).alias("norm")).where(F.length("norm") >= min_chars)
-    lines = lines.withColumn("lid", F.unhex(F.md5("norm")))
-    place = F.struct("doc_id", "no")
-    first = cut(lines.groupBy("lid").agg(F.min(place).alias("p")).select("lid", F.col("p.doc_id").alias("doc_id"), F.col("p.no").alias("no")))
-    kept = first
-    n_near = None
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    lines = docs.select("doc_id", "text").mapInPandas(_lines(min_chars), f"doc_id {kind}, no int, lid binary, h0 long, h1 long, h2 long, h3 long")
+    lines = cut(lines)
+    first = lines.groupBy("lid").agg(F.min(F.struct("doc_id", "no")).alias("p")).select("lid", "p.doc_id", "p.no")
+    first = cut(first) if max_edits else first
+    # The places that stay are first places, of which no line has more than one: no line's copies are joined to it.
+    rows = lines.select("doc_id", "no", F.lit(0).alias("why")).unionByName(first.select("doc_id", "no", F.lit(1).alias("why")))
     if max_edits:
-        n = F.length("norm")
-        half = lambda side, m: F.xxhash64(F.lit(side), m, F.substring("norm", F.lit(1), F.floor(m / 2).cast("int")) if side == "p" else F.substring("norm", n - F.ceil(m / 2).cast("int") + 1, F.ceil(m / 2).cast("int")))
-        # Only the earliest place of each line matters, so copies need not be looked at: their halves are equal anyway.
-        halves = lines.select(F.xxhash64("lid").alias("l"), F.explode(F.array(half("p", n), half("s", n), half("p", n + 1), half("s", n + 1))).alias("half"))
-        shared = halves.groupBy("half").agg(F.min("l").alias("a"), F.max("l").alias("b")).where("a <> b").select("half")
-        some = halves.join(shared, "half", "left_semi").select("l").distinct()
-        near = cut(some.join(first.withColumn("l", F.xxhash64("lid")), "l").select("lid", F.col("doc_id").alias("first_doc"), F.col("no").alias("first_no")))
-        own = lines.select(F.col("doc_id").alias("__d"), F.col("no").alias("__n"), "norm")
-        at = own["__d"].eqNullSafe(near["first_doc"]) & (own["__n"] == near["first_no"])
-        texts = near.join(own, at).select("lid", "first_doc", "first_no", "norm").dropDuplicates(["lid"])
-        texts = cut(texts)
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        var = texts.mapInPandas(_variants, f"key long, role byte, lid binary, first_doc {kind}, first_no int")
-        who = F.struct("first_doc", "first_no", "lid")
-        # Positioned keys link to the earliest; unpositioned ones link deletions to the whole line and back.
-        best = var.groupBy("key").agg(F.min(F.when(F.col("role") == 0, who)).alias("m0"), F.max(F.when(F.col("role") == 0, who)).alias("x0"), F.min(F.when(F.col("role") == 1, who)).alias("m1"), F.min(F.when(F.col("role") == 2, who)).alias("m2"))
-        best = best.where("(m0 is not null and m0 <> x0) or (m1 is not null and m2 is not null)")
-        to = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-        pairs = var.join(best, "key").select("lid", "first_doc", "first_no", to.alias("to")).where(F.col("to").isNotNull() & (F.col("to") < F.struct("first_doc", "first_no", "lid"))).select("lid", F.col("to.lid").alias("to_lid")).distinct()
-        both = pairs.join(texts.select("lid", "norm"), "lid").join(texts.select(F.col("lid").alias("to_lid"), F.col("norm").alias("to_norm")), "to_lid")
-        gone = cut(both.where(F.levenshtein("norm", "to_norm", max_edits).between(0, max_edits)).select("lid").distinct())
-        kept = first.join(gone, "lid", "left_anti")
-        n_near = first.join(gone, "lid", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_near"))
-    out = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("no")).alias("keep"))
-    if n_near is None:
-        return out.withColumn("n_near", F.lit(0).cast("long"))
-    n = n_near.select(F.col("doc_id").alias("__id"), "n_near")
-    joined = out.join(n, F.col("doc_id").eqNullSafe(F.col("__id")), "full")
-    return joined.select(F.coalesce("doc_id", "__id").alias("doc_id"), F.coalesce("keep", F.array().cast("array<int>")).alias("keep"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))
+        rows = rows.unionByName(near_lines(docs, lines, first, kind).withColumn("why", F.lit(2)))
+    pick = lambda k: F.collect_set(F.when(F.col("why") == k, F.col("no")))
+    per = rows.groupBy("doc_id").agg(pick(0).alias("all"), pick(1).alias("first"), pick(2).alias("near"))
+    gone = F.array_except("all", F.array_except("first", "near"))
+    return per.select("doc_id", F.array_sort(gone).alias("gone"), F.size("near").cast("long").alias("n_near"))
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, detail: bool = False) -> DataFrame:
@@ -133,17 +213,15 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS,
     With detail, n_lines, n_removed and n_near follow. Lines shorter than min_chars, blank ones included, always stay.
     Null texts stay null, other columns as they are.
     """
-    d = line_decisions(docs, max_edits, min_chars).select(F.col("doc_id").alias("__id"), F.col("keep").alias("__keep"), F.col("n_near").alias("__near"))
+    d = line_decisions(docs, max_edits, min_chars).where(F.size("gone") > 0).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"), F.col("n_near").alias("__near"))
     j = docs.join(d, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    lines = F.split("text", "\n")
-    stay = F.filter(F.transform(lines, lambda x, i: F.when((F.length(normalise(x)) < min_chars) | F.array_contains(F.coalesce("__keep", F.array().cast("array<int>")), i), x)), lambda x: x.isNotNull())
-    t = j.withColumn("__stay", F.when(F.col("text").isNotNull(), stay))
-    cols = [F.array_join("__stay", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    stay = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
+    left = F.when(F.col("__gone").isNotNull(), F.array_join(stay, "\n")).otherwise(F.col("text"))
+    cols = [left.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if detail:
-        n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-        n = F.when(F.col("text").isNull(), 0).otherwise(n)
-        cols += [n.cast("long").alias("n_lines"), (n - F.when(F.col("text").isNull(), 0).otherwise(F.size("__stay"))).cast("long").alias("n_removed"), F.coalesce("__near", F.lit(0)).cast("long").alias("n_near")]
-    return t.select(*cols)
+        n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+        cols += [n.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__near", F.lit(0)).cast("long").alias("n_near")]
+    return j.select(*cols)
 
 
 def drop_emptied(before: DataFrame, after: DataFrame) -> DataFrame:
