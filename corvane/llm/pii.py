@@ -225,7 +225,7 @@ def find_spans(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                     if is_base or accepts(k, votes) and not any(s < y and x < e for _, x, y in kept):
                         kept.append((order[k], s, e))
                 spans.append([f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(kept)])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "base": base, "spans": spans})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "base": pd.Series(base, dtype=object), "spans": pd.Series(spans, dtype=object)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, base array<string>, spans array<string>")

@@ -95,7 +95,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 add(parts)
         rows = total.reshape(BUCKETS, DIM)
         used = np.flatnonzero(np.abs(rows).sum(axis=1))
-        yield pd.DataFrame({"b": used.astype(np.int32), "v": list(rows[used])})
+        yield pd.DataFrame({"b": used.astype(np.int32), "v": pd.Series(list(rows[used]), dtype=object)})
 
     parts = docs.select("text").mapInPandas(run, "b int, v array<double>")
     sums = parts.groupBy("b").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(DIM))).alias("v")).collect()
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, rows: DataFrame, labels: DataFrame, sample: int = SAMPL
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = dense_index()
         for b in batches:
-            yield pd.DataFrame({"h": b["doc_id"].astype(str), "y": b["y"], "x": [pooled(t, shared.value, index) for t in b["text"]]})
+            yield pd.DataFrame({"h": b["doc_id"].astype(str), "y": b["y"], "x": pd.Series([pooled(t, shared.value, index) for t in b["text"]], dtype=object)})
 
     got = labelled_sample(rows, labels, "quality", sample).mapInPandas(run, "h string, y int, x array<double>").collect()
     got.sort(key=lambda r: (xxhash.xxh64_intdigest(r["h"]), r["y"], r["x"]))

@@ -101,7 +101,7 @@ class Decoder:
                     options = [(ord(o) - 96, -2.5), (-1, -0.1)]
             elif o in LEET:
                 options += [(ord(x) - 96, -0.7) for x in LEET[o]]
-                options.append((-1, -6.0))
+                options.append((-1, -14.0))
             elif o in SEPARATORS:
                 options.append((-1, 0.0))
             else:
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, rows: DataFrame, labels: DataFrame, sample: int = SAMPL
                 seq = _WORD.findall(r)
                 low.append(min((xxhash.xxh64_intdigest(" ".join(seq[i : i + 5])) >> 1 for i in range(max(1, len(seq) - 4))), default=0))
                 w.append(sorted(set(seq)))
-            yield pd.DataFrame({"doc": b["doc_id"].astype(str), "y": b["y"], "low": low, "w": w})
+            yield pd.DataFrame({"doc": b["doc_id"].astype(str), "y": b["y"], "low": low, "w": pd.Series(w, dtype=object)})
 
     got = labelled_sample(rows, labels, "toxic", sample).mapInPandas(words, "doc string, y int, low long, w array<string>")
     got = got.groupBy("low").agg(F.min(F.struct("doc", "y", "w")).alias("r")).select("r.doc", "r.y", "r.w").persist()
