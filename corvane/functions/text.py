@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _folding() -> tuple[str, str]:
@@ -87,7 +88,7 @@ def percent_encode(text: Column) -> Column:
     return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def percent_decode(texts: pd.Series) -> pd.Series:
     """+ is a space, bad escapes stay, bytes that are no UTF-8 are replaced."""
     from urllib.parse import unquote_to_bytes
