@@ -389,9 +389,9 @@ def recent_runs(spark, sf):
     return read(spark, sf, "events").orderBy(F.desc("event_id")).limit(15).select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("WITH RECURSIVE e AS (SELECT user_id, CAST(epoch_ms(ts) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events), b AS (SELECT user_id, t, r, t AS open FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.t, e.r, CASE WHEN e.t < b.open + 600000 THEN b.open ELSE e.t END FROM b JOIN e ON e.user_id = b.user_id AND e.r = b.r + 1) SELECT user_id, open AS opened, count(*) AS n FROM b GROUP BY user_id, open")
+@query("WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, CAST(epoch_us(ts) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events), b AS (SELECT user_id, t, r, t AS open FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.t, e.r, CASE WHEN e.t < b.open + 600000000 THEN b.open ELSE e.t END FROM b JOIN e ON e.user_id = b.user_id AND e.r = b.r + 1) SELECT user_id, open AS opened, count(*) AS n FROM b GROUP BY user_id, open")
 def debounce_bursts(spark, sf):
-    return sessions.bursts(read(spark, sf, "events").select("user_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts) div 1000").alias("t")), "user_id", "t", 600_000).withColumnRenamed("at", "opened")
+    return sessions.bursts(read(spark, sf, "events").select("user_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)").alias("t")), "user_id", "t", 600_000_000).withColumnRenamed("at", "opened")
 
 
 @query("SELECT event_id, event_type, CAST(row_number() OVER (ORDER BY event_id) - 1 AS INTEGER) AS seq FROM events WHERE user_id = (SELECT min(user_id) FROM events)")
