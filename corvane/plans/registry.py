@@ -249,15 +249,18 @@ def cosine_topk(spark, sf):
     return vector.top_k(read(spark, sf, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 10)
 
 
-@query("WITH q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 20), s AS (SELECT qid, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv), 5) AS score FROM embeddings, q WHERE vec_id <> qid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) SELECT qid, vec_id, score, rank FROM r WHERE rank <= 3")
+@query("WITH q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT qid, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv), 5) AS score FROM embeddings, q WHERE vec_id <> qid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) SELECT qid, vec_id, score, rank FROM r WHERE rank <= 3")
 def cosine_batch(spark, sf):
     e = read(spark, sf, "embeddings").select("vec_id", "embedding")
-    return vector.top_k_batch(e, "vec_id", "embedding", e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), "qid", 3)
+    return vector.top_k_batch(e, "vec_id", "embedding", e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), "qid", 3)
 
 
 @query()
-def lsh_topk(spark, sf):
-    return vector.lsh_top_k(read(spark, sf, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 10)
+def ann_batch(spark, sf):
+    e = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    cells = vector.fit_cells(e, "embedding")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    return vector.search_index(vector.build_index(e, "vec_id", "embedding", cells), "vec_id", "embedding", q, "qid", cells, 3)
 
 
 @query("SELECT count(*) AS missing, CAST(min(doc_id) AS BIGINT) AS first_id FROM documents ANTI JOIN (SELECT vec_id AS doc_id FROM embeddings WHERE label = 1) USING (doc_id)")
