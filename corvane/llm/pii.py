@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,11 +115,28 @@ def _votes(kind: str, text: str, s: int, e: int, strict: bool) -> tuple[int, ...
     return (1 if strict else -1, valid, cue, known, around)
 
 
+def disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans; those that overlap go as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def overlaps(spans: list[tuple[int, int]], s: int, e: int) -> bool:
+    """Whether s to e overlaps any of the spans, which are sorted and disjoint; takes their number's logarithm of steps."""
+    i = bisect_left(spans, (e,)) - 1
+    return i >= 0 and spans[i][1] > s
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
     """(kind, start, end, base, votes): the base spans, and wider matches that overlap none of them."""
     base = base_spans(text)
     out = [(k, s, e, True, _votes(k, text, s, e, True)) for k, s, e in base]
-    taken = sorted((s, e) for _, s, e in base)
+    taken = disjoint([(s, e) for _, s, e in base])
     has_digit = _NUMERIC.search(text) is not None
     for kind in KINDS:
         if kind != "email" and not has_digit:
@@ -127,7 +145,7 @@ def candidates(text: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
             continue
         for m in _WIDE[kind].finditer(text):
             s, e = m.span()
-            if not any(a < e and s < b for a, b in taken):
+            if not overlaps(taken, s, e):
                 out.append((kind, s, e, False, _votes(kind, text, s, e, False)))
     return out
 
@@ -221,9 +239,13 @@ def find_spans(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                 found = candidates(t) if t else []
                 base.append([f"{k}:{s}:{e}" for k, s, e, is_base, _ in found if is_base])
                 kept: list[tuple[int, int, int]] = []
+                added: list[tuple[int, int]] = []  # candidates overlap no base span, but one another across kinds
                 for k, s, e, is_base, votes in found:
-                    if is_base or accepts(k, votes) and not any(s < y and x < e for _, x, y in kept):
+                    if is_base:
+                        kept.append((order[k], s, e))
+                    elif accepts(k, votes) and not overlaps(added, s, e):
                         kept.append((order[k], s, e))
+                        insort(added, (s, e))
                 spans.append([f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(kept)])
             yield pd.DataFrame({"doc_id": b["doc_id"], "base": pd.Series(base, dtype=object), "spans": pd.Series(spans, dtype=object)})
 
