@@ -8,10 +8,16 @@ whose coordinates differ by more than the radius anywhere cannot be linked, and
 yields a spanning forest of its links, never all its pairs: what has been reached is not looked at again. Buckets of
 more than `block` fingerprints are split into blocks and every two blocks meet in a task of their own, so no task holds
 more than two blocks and no link is lost. Connected components then run over the links.
+
+Near copies by Jaccard similarity (drop_near_duplicates) lie too many bits apart for any deal of 64 bits: at 0.8 about
+ten. There, links within the radius are verified on the shingle sets and only say which pairs need no further look; the
+others come from an exact split. Shingles have a global order, and two sets similar enough share one among the first few
+of each (prefix filter); all pairs that share one, and that sizes and positions allow, are verified.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -22,32 +28,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, connected_components, cut
+from .common import bounded_broadcast, by_key, connected_components, cut
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BLANK = re.compile(rb"[\x20\x09-\x0D]+")
 RADIUS, N_PIVOTS, BLOCKS, BLOCK = 4, 16, 6, 50_000
 #: Shingles whose bits are counted at once.
 _STEP = 1 << 16
+#: Least Jaccard similarity of near copies, documents that the order of shingles is found from, shingles it puts last.
+SIMILARITY, ORDER_SAMPLE, ORDER_LAST = 0.8, 5_000, 200_000
+#: Buckets or documents that may be broadcast; beyond that their join is shuffled.
+MAX_BROADCAST = 1_000_000
+#: For bounds that are whole numbers but for rounding.
+_EPS = 1e-9
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """The unsigned 64-bit fingerprint: a bit is set if it is in over half the shingles' XXH64 (seed 42); 0 without words."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle, repeats included; of all words if they are fewer than width; none without words."""
     w = [x for x in _BLANK.split((text or "").encode("utf-8", "surrogatepass").translate(_LOWER)) if x]
     if not w:
-        return 0
+        return np.empty(0, np.uint64)
     if len(w) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(w), 42)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), 42)], np.uint64)
     joined, h = memoryview(b" ".join(w)), xxhash.xxh64_intdigest
     ends = np.cumsum([len(x) + 1 for x in w])
     starts = [0, *ends[: len(w) - width].tolist()]
-    hashes = np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())), np.uint64, len(w) - width + 1)
+    return np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())), np.uint64, len(w) - width + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit number of the bits that over half the hashes have."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _STEP):
         ones += np.unpackbits(hashes[i : i + _STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """The unsigned 64-bit fingerprint: a bit is set if it is in over half the shingles' XXH64 (seed 42); 0 without words."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long. One row per row; null and empty texts get 0."""
 
@@ -136,10 +157,125 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS, block
     return fps.join(of, fps["fp"] == of["__fp"]).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
+def shingle_order(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that are common in a bounded sample, and their counts. Any order is exact; this one keeps buckets small."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            h = [np.unique(shingle_hashes(t, width)) for t in b["text"]]
+            yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.uint64), *h]).view(np.int64)})
+
+    step = max(1, docs.count() // ORDER_SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text")
+    got = some.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(ORDER_LAST).toPandas()
+    h, n = got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
+def shingle_sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, fp, k, n, prefix) for each row: a hash of the set of its n shingles, and the first of them in shingle_order."""
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, width))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common, counts = shared.value
+        for b in batches:
+            fp, ks, ns, prefix = [], [], [], []
+            for t in b["text"]:
+                h = shingle_hashes(t, width)
+                fp.append(majority(h))
+                s = np.unique(h)
+                ks.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
+                ns.append(len(s))
+                n = np.zeros(len(s), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    n = np.where(common[at] == s, counts[at], 0)
+                first = len(s) - math.ceil(similarity * len(s) - _EPS) + 1 if len(s) else 0
+                prefix.append(s[np.lexsort((s, n))[:first]].view(np.int64))
+            long = lambda x: np.array(x, np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": long(fp), "k": long(ks), "n": np.array(ns, np.int32), "prefix": pd.Series(prefix, dtype=object)})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long, k long, n int, prefix array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of k whose sets of shingles have at least this Jaccard similarity; sets are made anew for these alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in b["text"]]
+            yield pd.DataFrame({"k": np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64), "items": pd.Series([s.view(np.int64) for s in sets], dtype=object)})
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    places = bounded_broadcast(cut(distinct.join(ends, "k", "left_semi").select(F.col("first").alias("__id")).distinct()), MAX_BROADCAST)
+    # Rows of one doc_id may differ in text: a set that is none of the ends meets no pair.
+    of = docs.select("doc_id", "text").join(places, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text").mapInPandas(run, "k long, items array<long>")
+    of = cut(of.dropDuplicates(["k"]))
+    both = pairs.join(of.select(F.col("k").alias("a"), F.col("items").alias("x")), "a").join(of.select(F.col("k").alias("b"), F.col("items").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - _EPS).select("a", "b")
+
+
+def prefix_pairs(rows: DataFrame, similarity: float, block: int = 2_000) -> DataFrame:
+    """(a, b): pairs of k of different roots that may be similar. rows (k, n, root, pos, h): the prefix of each set of n shingles."""
+    sizes = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("c > 1 and lo <> hi").select("h", "c")
+    sizes = bounded_broadcast(cut(sizes), MAX_BROADCAST)
+    parts = F.ceil(F.col("c") / block).cast("int")
+    own = F.pmod(F.xxhash64("k"), parts).cast("int")
+    dealt = rows.join(sizes, "h").select("h", "k", "n", "root", "pos", own.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j")).select("h", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "k", "n", "root", "pos")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b, held = [], [], 0
+        frame = lambda: pd.DataFrame({"a": np.concatenate([np.empty(0, np.int64), *a]), "b": np.concatenate([np.empty(0, np.int64), *b])})
+        for g in by_key(batches, ["h", "i", "j"]):
+            k, n, root, pos = (g[c].to_numpy(np.int64) for c in ("k", "n", "root", "pos"))
+            left = n - pos
+            for x in range(1, len(k)):
+                m, r = n[:x], similarity / (1 + similarity)
+                may = (root[:x] != root[x]) & (np.minimum(m, n[x]) >= similarity * np.maximum(m, n[x]) - _EPS) & (np.minimum(left[:x], left[x]) >= r * (m + n[x]) - _EPS)
+                y = k[:x][may]
+                if y.size:
+                    a.append(np.minimum(y, k[x]))
+                    b.append(np.maximum(y, k[x]))
+                    held += y.size
+                if held > 50_000:
+                    yield frame()
+                    a, b, held = [], [], 0
+        yield frame()
+
+    return dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInPandas(run, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): component_id is the smallest doc_id reachable over pairs of at least this Jaccard similarity.
+
+    No pair is missed but by a collision of 64-bit hashes. Texts without words equal each other. Repeated rows and null
+    doc_ids are as in near_duplicates.
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
+    sets = cut(shingle_sets(docs, width, similarity))
+    distinct = cut(sets.groupBy("k").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    # Fingerprints that are near or equal, by the smallest k of each.
+    of = distinct.groupBy("fp").agg(F.min("k").alias("low"))
+    near = links(of.select("fp")).withColumnRenamed("b", "__b").join(of.select(F.col("fp").alias("a"), F.col("low").alias("la")), "a").join(of.select(F.col("fp").alias("__b"), F.col("low").alias("lb")), "__b")
+    equal = distinct.join(of, "fp").where("k <> low")
+    done = cut(verified(near.select(F.col("la").alias("a"), F.col("lb").alias("b")).unionByName(equal.select(F.col("low").alias("a"), F.col("k").alias("b"))), docs, distinct, width, similarity))
+    comp = cut(connected_components(done))
+    rooted = distinct.join(comp, distinct["k"] == comp["node"], "left").select("k", "n", F.coalesce("root", "k").alias("root"), F.posexplode("prefix").alias("pos", "h"))
+    rest = verified(cut(prefix_pairs(rooted, similarity)), docs, distinct, width, similarity)
+    comp = cut(connected_components(done.unionByName(rest)))
+    named = distinct.join(comp, distinct["k"] == comp["node"], "left").select("k", "first", F.coalesce("root", "k").alias("root"))
+    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return sets.select("doc_id", "k").join(named.select("k", "root").join(roots, "root").select("k", "component_id"), "k").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each component, the one of smallest doc_id; all columns and its repeated rows stay.
 
     Rows with a null doc_id stay too: they cannot be told apart.
     """
-    gone = near_duplicates(docs, width, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = similar_documents(docs, width, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

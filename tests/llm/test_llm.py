@@ -179,6 +179,36 @@ def test_components_equal_brute_force(spark, rows):
     assert [got[i].component_id for i in range(len(texts))] == [find(i) for i in range(len(texts))]
 
 
+def test_near_copies_equal_brute_force(spark, rows):
+    rng = np.random.default_rng(5)
+    base = [t for t in rows.values() if 300 < len(t) < 3000][:60]
+    more = [" ".join(w if rng.random() > p else f"w{rng.integers(1e6)}" for w in t.split()) for t in base[:40] for p in (0.01, 0.02, 0.04)]
+    texts = [*base, *more, *base[:5], "", "...", "a b", "A  b", None]
+    words = [[x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if x] for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for i, j in combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            far += sets[i] != sets[j] and (simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[j], 5)).bit_count() > 4
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    assert far > 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == {i for i in range(len(texts)) if find(i) == i}
+    # Blocks of two: every two still meet.
+    at = spark.createDataFrame([(i, 5, i, 0, 7) for i in range(9)], "k long, n int, root long, pos int, h long")
+    assert {(r.a, r.b) for r in simhash.prefix_pairs(at, 0.8, block=2).collect()} == set(combinations(range(9), 2))
+
+
 def test_split_buckets_lose_no_link(spark):
     rng = np.random.default_rng(3)
     center = int(rng.integers(0, 2**62))
