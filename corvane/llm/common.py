@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share.
+
+    Where none is set, one machine's temporary folder serves a local master alone; a cluster without one is a RuntimeError.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="corvane-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -44,9 +51,41 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """df with a broadcast hint if its rows, which are counted, number at most max_rows; else df as it is, to be shuffled."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+#: Bytes that a table may have to be broadcast; beyond that its join is shuffled.
+MAX_BROADCAST = 64 << 20
+
+
+def bounded_broadcast(df: DataFrame, row_bytes: Column | int, max_bytes: int = MAX_BROADCAST) -> DataFrame:
+    """df with a broadcast hint if its bytes, summed by row_bytes, are at most max_bytes; else df as it is, to be shuffled."""
+    each = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    return F.broadcast(df) if (df.agg(F.sum(each.cast("long"))).first()[0] or 0) <= max_bytes else df
+
+
+#: Keys that count as hot: those of more than a 100,000th of the rows, so that there are at most 100,000 of them.
+HOT_KEYS, HOT_LEAST = 100_000, 256
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """rows joined to table on key, which is unique and not null in table; hot keys are not dealt to one task.
+
+    Hot keys are told by their counts (key, n) in rows, which are made if not given. There are at most HOT_KEYS of them at any size
+    of input, so their part of table, which must have rows of bounded width, is broadcast, and only the other keys are
+    shuffled. All inputs are read more than once: cut them first.
+    """
+    if counts is None:
+        counts = cut(rows.groupBy(key).agg(F.count("*").alias("n")))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HOT_LEAST, (total or 0) / HOT_KEYS)
+    if (most or 0) <= limit:
+        return rows.join(table, key)
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(key))
+    few = F.broadcast(table.join(hot, key, "left_semi"))
+    return rows.join(few, key).unionByName(rows.join(hot, key, "left_anti").join(table, key))
+
+
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out here, once per row: nothing is folded through an explode."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def crc_mod(doc_id: Column, mod: int) -> Column:
@@ -74,12 +113,41 @@ def by_key(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         yield rest[0] if len(rest) == 1 else pd.concat(rest, ignore_index=True)
 
 
+def arrow_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """One table per run of equal keys (a long column without nulls); the rows must come sorted by it."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            if rest and rest[0].column(key)[0].as_py() != k[i]:
+                yield pa.Table.from_batches(rest)
+                rest = []
+            rest.append(batch.slice(i, j - i))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def rows_of(batch: pa.RecordBatch, kept: Sequence[str], made: dict[str, pa.Array], at: Sequence[int] | None = None) -> pa.RecordBatch:
+    """The kept columns of a batch, at these positions or whole, and made ones after them.
+
+    Kept columns pass as they are in Arrow, so that ids beyond 2^53 beside nulls, and ids of any type, stay exact.
+    """
+    cols = [batch.column(c) for c in kept]
+    if at is not None:
+        where = pa.array(at, pa.int64())
+        cols = [c.take(where) for c in cols]
+    return pa.RecordBatch.from_arrays([*cols, *made.values()], names=[*kept, *made])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the smallest node of its component.
 
     Alternates large-star and small-star steps; each round is written to the shared folder, and only a count and a
-    checksum come to the driver. Every step groups with partial aggregation and joins one row per node, so a star of any
-    size stays splittable. No edges give no rows; self-links and repeats are ignored. RuntimeError if it does not settle.
+    checksum come to the driver. Every step groups with partial aggregation and joins one row per node, the nodes of
+    many links by broadcast, so no star is dealt to one task. No edges give no rows; self-links and repeats are ignored. RuntimeError if it does not settle.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
@@ -91,10 +159,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not now[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+        large = cut(join_split(both, low.drop("n"), "u", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low2 = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        pairs = join_split(large, low2.drop("n"), "u", low2).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
         e = cut(pairs.select("p.u", "p.v").where("u <> v").distinct())
         before, now = now, state(e)
         if now == before:

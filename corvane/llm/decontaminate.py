@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, held
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Window starts per piece of a document: bounds what one row holds, however long the text is.
@@ -35,10 +35,11 @@ def benchmark_windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_broadcast_bytes: int = 256 << 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, spans, items) for each document.
+    """(doc_id, h, n_words, n_hit, spans, items, copies) for each document.
 
     spans: merged word ranges [start, end) covered by benchmark windows; items: sorted ids of the items found. Null and
-    empty texts have no words and so no hits. Rows with the same doc_id and text give one row; extra columns are ignored.
+    empty texts have no words and so no hits. Rows with the same doc_id and text give one row, with their number as copies
+    and xxhash64(text) as h; extra columns are ignored.
     """
     found = benchmark_windows(benchmark, size)
     bytes_, lens = found.agg(F.sum(F.octet_length("key") + 64 + 24 * F.size("items")), F.collect_set("len")).first()
@@ -59,19 +60,20 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_broadca
     rows = p.select("doc_id", "h", "n", F.explode(F.concat(own, *(grams(k) for k in sorted(lens)))).alias("g")).select("doc_id", "h", "n", "g.key", "g.pos", "g.len")
     hits = rows.join(side, "key", "left").where("items is not null or pos = -1")
     spans = F.array_sort(F.collect_list(F.when(F.col("items").isNotNull(), F.struct("pos", (F.col("pos") + F.col("len")).alias("end")))))
-    out = hits.groupBy("doc_id", "h", "n").agg(spans.alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    merged = F.aggregate(
-        "s", empty,
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["pos"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(x["pos"].alias("start"), x["end"].alias("end"))))),
-    )
-    covered = F.aggregate("s", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), lambda a, x: F.struct((a["n"] + F.greatest(x["end"] - F.greatest(x["pos"], a["end"]), F.lit(0))).alias("n"), F.greatest(a["end"], x["end"]).alias("end")))["n"]
-    return out.select("doc_id", "h", F.col("n").cast("long").alias("n_words"), covered.alias("n_hit"), F.when(F.size("s") > 0, merged).otherwise(empty).alias("spans"), "items")
+    # The marker row comes once for each repeated row.
+    out = hits.groupBy("doc_id", "h", "n").agg(spans.alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count_if(F.col("pos") == -1).alias("copies"))
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["pos"], x["end"] - 1)))))
+    out = held(out, "at", places)
+    first = F.filter("at", lambda p, i: F.coalesce(F.get("at", i - 1) != p - 1, F.lit(True)))
+    last = F.filter("at", lambda p, i: F.coalesce(F.get("at", i + 1) != p + 1, F.lit(True)))
+    merged = F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
+    return out.select("doc_id", "h", F.col("n").cast("long").alias("n_words"), F.size("at").cast("long").alias("n_hit"), merged.alias("spans"), "items", "copies")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each document; see find_hits for the edge cases."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row; see find_hits for the edge cases."""
     hits = find_hits(docs, benchmark, size)
+    hits = hits.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
@@ -88,6 +90,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove:
         return docs.join(hit, on, "left_anti")
     if remove != "spans":
         raise ValueError(f"remove: {remove}")
-    cleaned = F.array_join(F.filter(words(F.col("text")), lambda w, i: ~F.exists("__hit_spans", lambda s: (s["start"] <= i) & (i < s["end"]))), " ")
-    out = docs.join(hit, on, "left")
-    return out.select(*(F.when(F.col("__hit_spans").isNotNull(), cleaned).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    out = held(docs.join(hit, on, "left"), "__words", F.when(F.col("__hit_spans").isNotNull(), words(F.col("text"))))
+    gone = F.flatten(F.transform("__hit_spans", lambda s: F.sequence(s["start"], s["end"] - 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__words") - 1), gone)
+    cleaned = F.when(F.col("__hit_spans").isNotNull(), F.array_join(F.transform(left, lambda i: F.get("__words", i)), " ")).otherwise(F.col("text"))
+    return out.select(*(cleaned.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

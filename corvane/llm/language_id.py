@@ -1,8 +1,10 @@
 """Language ID by compression: a zstandard raw-content dictionary per language; the smallest encoding wins.
 
 Texts are reduced to their letters and compressed in chunks, each from scratch with a language's dictionary, so that the
-dictionary and not the text itself is what helps, and so that memory does not grow with the text. All chunks count. The
-dictionaries are the one thing fitted, on a bounded sample of labelled rows.
+dictionary and not the text itself is what helps, and so that memory does not grow with the text. All chunks count. A few
+zero bytes follow each chunk: they compress to the same everywhere, and make sure that a chunk of some letters is encoded
+at all, not stored. So one rule serves all lengths. The dictionaries are the one thing fitted, on a bounded sample of
+labelled rows.
 """
 
 from __future__ import annotations
@@ -13,17 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, rows_of
 
 #: Bytes of each language's dictionary, and the labelled rows it may be cut from.
 DICT_BYTES, SAMPLE = 128 << 10, 400
-CHUNK = 2048
-#: A text is rejected if the best encoding is not smaller than the second by this share, or by this many bytes.
-MARGIN, MARGIN_BYTES = 0.004, 1
-MAX_LANGS = 1000
+CHUNK, PADDING = 2048, bytes(48)
+#: Matches of three bytes count, or short texts would tie.
+LEVEL, MIN_MATCH = 9, 3
+#: A text is rejected if the second-best encoding is larger by no more than this share of the best, a tie included.
+MARGIN = 0.004
+MAX_LANGS = 200
 _RUN = re.compile(r"[\W\d_]+")
 
 
@@ -36,7 +41,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dict_bytes: int = DICT_BYTES) ->
     """A dictionary per language. docs: the rows one may learn from, with text and lang; null ones are left out.
 
     Of each language about `sample` rows are taken by a hash of their text, and pieces of each fill dict_bytes. Ties and
-    repeated rows change nothing: equal texts count once. A ValueError if there are more than MAX_LANGS languages.
+    repeated rows change nothing: equal texts count once. A ValueError if there are more than MAX_LANGS languages, so that
+    the driver collects no more than about 180 MB of pieces.
     """
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("h"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
@@ -47,7 +53,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dict_bytes: int = DICT_BYTES) ->
     rate = F.lit(0.0)
     for k, n in counts.items():
         rate = F.when(F.col("lang") == k, min(1.0, sample / n)).otherwise(rate)
-    piece = 4 * dict_bytes // sample + 256
+    piece = 2 * dict_bytes // sample + 256
     # Some piece of each sampled text, from a place that its hash picks; the sample is bounded, the scored texts are whole.
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - piece, F.lit(1))).cast("int") + 1
     taken = rows.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < rate * 1_000_000).select("lang", "h", F.substring("text", start, F.lit(piece)).alias("t")).distinct().collect()
@@ -65,15 +71,14 @@ class Classifier:
         import zstandard as z
 
         self.langs, self.chunk = sorted(dicts), chunk
-        self.grams = [frozenset(_trigrams(dicts[k].decode(errors="ignore"))) for k in self.langs]
-        params = z.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        params = z.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.tools = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(dicts[k], dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params) for k in self.langs]
 
     def sizes(self, text: str) -> np.ndarray:
         data = text.encode("utf-8", "surrogatepass")
         out = np.zeros(len(self.langs))
         for i in range(0, len(data), self.chunk):
-            part = data[i : i + self.chunk]
+            part = data[i : i + self.chunk] + PADDING
             out += [len(t.compress(part)) for t in self.tools]
         return out
 
@@ -83,38 +88,28 @@ class Classifier:
         if not t or not self.langs:
             return "und", 0.0, True
         sizes = self.sizes(t)
-        if len(t) < 200:
-            # Encodings of short texts tie, as sizes are whole bytes and matches need a few; matched trigrams part them.
-            own = set(_trigrams(t))
-            sizes = sizes - np.array([len(own & g) / (len(own) + 1) for g in self.grams]) * 2
         order = np.argsort(sizes, kind="stable")
-        best = order[0]
-        gap = sizes[order[1]] - sizes[best] if len(order) > 1 else math.inf
-        score = 1 / float(np.exp(-(np.minimum(sizes - sizes[best], 60.0)) / 2).sum())
-        long = len(t) >= 200
-        return self.langs[best], score, bool(long and gap < max(MARGIN_BYTES, MARGIN * sizes[best]))
-
-
-def _trigrams(t: str) -> Iterator[str]:
-    t = f" {t} "
-    return (t[i : i + 3] for i in range(len(t) - 2))
+        best = sizes[order[0]]
+        gap = sizes[order[1]] - best if len(order) > 1 else math.inf
+        score = 1 / float(np.exp(-(np.minimum(sizes - best, 60.0)) / 2).sum())
+        return self.langs[order[0]], score, bool(gap <= MARGIN * best)
 
 
 def predict(docs: DataFrame, dicts: dict[str, bytes]) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for each row; only the text is looked at. Repeated rows give repeated results.
 
-    rejected: null texts, texts without a letter, and texts of 200 letters or more whose margin is narrow.
+    rejected: null texts, texts without a letter, and texts whose margin is narrow, ties above all.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dicts)  # at most MAX_LANGS x DICT_BYTES
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Classifier(shared.value)
         for b in batches:
-            got = [c.predict(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "rejected": [g[2] for g in got]})
+            got = [c.predict(t.as_py()) for t in b.column("text")]
+            yield rows_of(b, ["doc_id"], {"lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64()), "rejected": pa.array([g[2] for g in got], pa.bool_())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

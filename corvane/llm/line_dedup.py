@@ -1,232 +1,412 @@
-"""Line dedup by a deletion-neighbourhood join.
-
-Lines are normalised and taken as distinct by digest. Two lines within one edit are, at some position, the same text with
-one character left out. So each line emits every one-character deletion as a hashed key: with the position, where lines
-that differ by a replaced character meet, and without it, where a line meets those that have one character more. The
-lines under a key with position are all within one edit of each other, and under one without it each is one edit from the
-undeleted line; so a link to the earliest line of a key says all, and no pairs are made. The links' edit distance is then
-verified on the texts. A line goes if an earlier one is equal to it or within the bound; the earliest stays.
-
-A line of hundreds of characters has hundreds of deletions, so only those are emitted that can meet another's. By the
-pigeonhole principle lines within one edit share their first or their second half, and also all but one of eight
-segments; halves are counted for all lines and segments for those left, and deletions are emitted inside the segments
-outside of which a line equals another.
+"""Line dedup by a deletion-neighbourhood join, in words.
+
+Lines are normalised and taken as distinct by digest. An edit is a word replaced, left out or put in. Two lines within two
+edits are the same text once at most two words are left out of each, so each line emits its deletions as hashed keys, in
+forms that make equal keys say all: under a key of two replaced words (with their places), or of one word left out
+anywhere, every two lines are near; under a key of a word left out and one replaced, or of two left out, a longer line is
+near every shorter one. A link to the earliest line of a key is thus enough, and no pairs are made. The links' edit
+distance is then verified on the texts. A line goes if an earlier one is equal to it or near it; the earliest stays.
+
+A line of hundreds of words has tens of thousands of such deletions, so only those are emitted that can meet another's.
+By the pigeonhole principle two near lines share their first, middle or last third (their first or last half, where one
+edit is the bound); those keys are counted for all lines. The lines left are cut into segments, more for longer lines,
+and again counted outside of each segment, of each two neighbours, and of each two others; deletions are emitted inside
+the segments outside of which a line equals another. Both filters lose no pair, whatever the line's length.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bounded_broadcast, cut
+from .common import BLANKS, bounded_broadcast, cut, held, rows_of
 
-MIN_CHARS = 20
+#: The bound: at most MAX_EDITS words, and at most one word in WORDS_PER_EDIT of the longer line.
+MAX_EDITS, WORDS_PER_EDIT = 2, 10
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_U = np.uint64
+_Q = 1 << 20
+
+
+def normalise(line: str | bytes) -> bytes:
+    """A-Z in lower case; words, parted by the six ASCII blanks, a space between them."""
+    data = line if isinstance(line, bytes) else line.encode("utf-8", "surrogatepass")
+    return b" ".join(data.lower().split())  # of bytes, both know ASCII alone
+
+
+def bound(words: int, max_edits: int = MAX_EDITS) -> int:
+    """The edits within which a line is near, by the number of words of the longer one."""
+    return min(max_edits, words // WORDS_PER_EDIT)
+
+
+def near(a: list, b: list, k: int) -> bool:
+    """Whether the word lists are within k edits. After equal words, each of the three edits is tried."""
+    if abs(len(a) - len(b)) > k:
+        return False
+    n = min(len(a), len(b))
+    i = next((x for x in range(n) if a[x] != b[x]), n)
+    a, b = a[i:], b[i:]
+    if not a or not b:
+        return len(a) + len(b) <= k
+    return k > 0 and (near(a[1:], b[1:], k - 1) or near(a[1:], b, k - 1) or near(a, b[1:], k - 1))
+
+
+def _hash(kind: bytes, words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(kind + b" ".join(words)) - (1 << 63)
+
+
+def _rounded(v: int) -> int:
+    """v cut to its three leading bits, so that lines of nearly equal length mostly have the same."""
+    shift = max(0, v.bit_length() - 3)
+    return v >> shift << shift
+
+
+def first_keys(w: list[bytes], max_edits: int = MAX_EDITS) -> dict[int, set[tuple[int, str, int]]]:
+    """Hashes of thirds or halves, with the (m, part, length) they stand for: m words has the longer line of a pair."""
+    n, out = len(w), {}
+    made: dict[tuple[int, int], list[tuple[int, str]]] = {}
+    for m in range(n, n + max_edits + 1):
+        k = bound(m, max_edits)
+        if not k or m - n > k:
+            continue
+        size = _rounded(m // (k + 1))
+        if (k, size) not in made:
+            parts = [(_hash(b"p", w[:size]), "p"), (_hash(b"s", w[n - size :]), "s")]
+            if k == 2:  # one edit on either side: the middle is moved by one at most
+                parts += [(_hash(b"m", w[size + d : 2 * size + d]), "m") for d in (-1, 0, 1)]
+            made[k, size] = parts
+        for h, part in made[k, size]:
+            out.setdefault(h, set()).add((m, part, size))
+    return out
 
 
-SEGMENTS = 8
-#: Documents with compared lines that may be broadcast; beyond that their join is shuffled.
-MAX_BROADCAST = 1_000_000
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix)."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
-def normalise(line: str) -> str:
-    """Lower case, white space collapsed and trimmed."""
-    return " ".join(line.lower().split())
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
-def _hash(*parts: str) -> int:
-    return xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+class Sums:
+    """Running sums of a polynomial hash modulo 2^64 over the words' hashes: any range, moved anywhere, is one difference."""
 
+    def __init__(self, w: list[bytes]):
+        self.n = n = len(w)
+        codes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w), np.uint64, n)
+        self.p = np.zeros(n + 1, np.uint64)
+        np.cumsum(_mix(codes) * _powers(_BASE, n), out=self.p[1:])
+        self.up, self.down = [_U(pow(_BASE, i, 1 << 64)) for i in range(3)], [_U(pow(_INVERSE, i, 1 << 64)) for i in range(3)]
 
-def halves(norm: str) -> list[int]:
-    """Hashes of the first and last half, for pairs whose longer line is as long as this one, or longer by one."""
-    n = len(norm)
-    return [h for m in (n, n + 1) for h in (_hash("p", str(m), norm[: m // 2]), _hash("s", str(m), norm[n - (m + 1) // 2 :]))]
+    def moved(self, x, y, by: int):
+        """The hash of words x to y, as if they stood `by` places further."""
+        return (self.p[y] - self.p[x]) * (self.up[by] if by >= 0 else self.down[-by])
 
 
-def segment_keys(norm: str) -> list[tuple[int, int, int]]:
-    """(hash, m, q): all but segment q, for pairs whose longer line has m characters."""
-    n = len(norm)
-    out = []
-    for m in (n, n + 1):
-        for q in range(SEGMENTS):
-            rest = m - (q + 1) * m // SEGMENTS
-            out.append((_hash(str(m), str(q), norm[: q * m // SEGMENTS], norm[n - rest :] if rest else ""), m, q))
-    return out
+def _segments(m: int) -> np.ndarray:
+    s = max(6, isqrt(m))
+    return np.arange(s + 1) * m // s
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _tag(over: int, d: int, shift: int, q1: np.ndarray, q2: np.ndarray) -> np.ndarray:
+    return (((over * 3 + d) * 3 + shift + 1) * _Q + q1) * _Q + q2
 
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
+def _salt(m: int, d: int, kind: int, q1: np.ndarray, q2: np.ndarray) -> np.ndarray:
+    return _mix(_tag(0, d, kind, q1, q2).astype(np.uint64) ^ _mix(np.array([m], np.uint64)))
 
 
-def deletion_keys(line: str) -> tuple[np.ndarray, np.ndarray, np.uint64]:
-    """Keys of all one-character deletions with their positions, the same without, and the key of the whole line.
+def window_keys(sums: Sums, shared: set[tuple[int, str, int]], max_edits: int = MAX_EDITS) -> tuple[np.ndarray, np.ndarray]:
+    """(key, tag) of all but one or two segments. shared: what first_keys says of the keys that another line has too.
 
-    A polynomial hash modulo 2^64 over mixed code points; a deletion's hash is the prefix's plus the suffix's shifted by
-    one, so all of them come from one running sum.
+    A pair's longer line, of m words, cuts the segments; the other is d words shorter, and between two segments it is
+    moved by `shift`. The tag holds m - n, d, shift and the segments' numbers.
+    """
+    n, keys, tags = sums.n, [], []
+    for m in sorted({x[0] for x in shared}):
+        k, parts = bound(m, max_edits), [(p, size) for x, p, size in shared if x == m]
+        at = _segments(m)
+        q = np.arange(len(at) - 1)
+
+        def may(s: np.ndarray, e: np.ndarray) -> np.ndarray:
+            """Whether edits from s to e leave some shared part alone."""
+            ok = np.zeros(len(s), bool)
+            for p, size in parts:
+                ok |= e >= size if p == "p" else s <= m - size if p == "s" else (s <= size) & (e >= 2 * size)
+            return ok
+
+        for d in ((m - n,) if m > n else range(k + 1)):
+            q1, q2 = (np.concatenate([q, q[:-1]]), np.concatenate([q, q[1:]])) if k == 2 else (q, q)
+            s, e = at[q1], at[q2 + 1]
+            ok = may(s, e) & (e + n - m >= s)
+            q1, q2, s, e = q1[ok], q2[ok], s[ok], e[ok]
+            rest = sums.p[s] + sums.moved(e + n - m, n, m - n)
+            keys.append(_mix(rest ^ _salt(m, d, 0, q1, q2)))
+            tags.append(_tag(m - n, d, 0, q1, q2))
+            if k < 2:
+                continue
+            a, b = np.triu_indices(len(q), 2)
+            ok = np.zeros(len(a), bool)
+            for p, size in parts:  # either segment has an edit
+                ok |= at[a + 1] >= size if p == "p" else at[b] <= m - size if p == "s" else (at[a] <= size) & (at[b + 1] >= 2 * size)
+            a, b = a[ok], b[ok]
+            for shift in ((-1, 0, 1) if d == 0 else (0,) if m == n else (-1, 0) if d == 1 else (-1,)):
+                x, y, end = at[a + 1] + shift, at[b] + shift, at[b + 1] + n - m
+                ok = (x >= at[a]) & (y >= x) & (end >= y)
+                q1, q2, x, y, end = a[ok], b[ok], x[ok], y[ok], end[ok]
+                rest = sums.p[at[q1]] + sums.moved(x, y, -shift) + sums.moved(end, n, m - n)
+                keys.append(_mix(rest ^ _salt(m, d, 1, q1, q2)))
+                tags.append(_tag(m - n, d, shift, q1, q2))
+    return np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.int64), *tags])
+
+
+def _useful(found: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(m - n, d, shift, q1, q2) of the tags, less those of two segments that meet no line which one of them alone does not.
+
+    found: (tag, a hash of the set of lines under its key).
     """
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes)
-    with np.errstate(over="ignore"):
-        powers = np.empty(n, np.uint64)
-        if n:
-            powers[0] = 1
-            np.multiply.accumulate(np.full(n - 1, _BASE, np.uint64), out=powers[1:]) if n > 1 else None
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(codes + np.uint64(1)) * powers, dtype=np.uint64)])
-        deleted = _mix(sums[:-1] + (sums[-1] - sums[1:]) * _INVERSE + np.uint64(n - 1))
-        whole = _mix(sums[-1:] + np.uint64(n))[0]
-        placed = _mix(deleted + _mix(np.arange(n, dtype=np.uint64) + np.uint64(0x51)))
-    return placed, deleted, whole
-
-
-def _lines(min_chars: int):
-    """A row per compared line: its place, digest and halves."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    split = [(t // _Q // _Q // 9, t // _Q // _Q // 3 % 3, t // _Q // _Q % 3 - 1, t // _Q % _Q, t % _Q, x) for t, x in found]
+    one = {(o, d, a): x for o, d, _, a, b, x in split if a == b}
+    return [(o, d, s, a, b) for o, d, s, a, b, x in split if a == b or x not in (one.get((o, d, a)), one.get((o, d, b)))]
+
+
+def deletion_keys(sums: Sums, windows: list[tuple[int, int, int, int, int]], max_edits: int = MAX_EDITS) -> tuple[np.ndarray, np.ndarray]:
+    """(key, role) of the deletions inside the windows. Role 0: all lines under the key are near each other; 1 and 2: each
+    of role 1 is near each of role 2."""
+    n, p = sums.n, sums.p
+    keys, roles = [], []
+
+    def add(kind: int, role: int, rest: np.ndarray, *places: np.ndarray) -> None:
+        key = _mix(rest ^ _mix(np.array([kind], np.uint64)))
+        for x in places:
+            key = _mix(key + _mix(x.astype(np.uint64) + _U(0x51)))
+        keys.append(key)
+        roles.append(np.full(len(key), role, np.int8))
+
+    def less(i: np.ndarray) -> np.ndarray:
+        return p[i] + sums.moved(i + 1, n, -1)
+
+    for over, d, shift, q1, q2 in windows:
+        m = n + over
+        k, at = bound(m, max_edits), _segments(m)
+        if q2 > q1 + 1:
+            w1, w2 = np.arange(at[q1], at[q1 + 1] + shift), np.arange(at[q2] + shift, at[q2 + 1] - over)
+            own = np.concatenate([w1, w2])
+            i, j = (x.ravel() for x in np.meshgrid(w1, w2, indexing="ij"))
+        else:
+            own = np.arange(at[q1], at[q2 + 1] - over)
+            i, j = (own[x] for x in np.triu_indices(len(own), 1))
+        if k == 1:
+            if d == 0:
+                add(1, 0, less(own), own)
+            elif over == 0:
+                add(2, 1, less(own))
+            else:
+                add(2, 2, p[-1:])
+            continue
+        rest = p[i] + sums.moved(i + 1, j, -1) + sums.moved(j + 1, n, -2)
+        if d == 0:
+            if shift == 0:
+                add(3, 0, rest, i, j)
+            add(4, 0, less(own))
+        elif d == 1 and over == 0:  # one of the two is left out, the other replaced, whose place in the shorter line counts
+            add(5, 1, rest, j - 1)
+            add(5, 1, rest, i)
+        elif d == 1:
+            add(5, 2, less(own), own)
+        elif over == 0:
+            add(6, 1, rest)
+        else:
+            add(6, 2, p[-1:])
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int8)
+    key, role = np.concatenate(keys), np.concatenate(roles)
+    _, first = np.unique(np.stack([key, role.astype(np.uint64)]), axis=1, return_index=True)
+    return key[first], role[first]
+
+
+_LIST = pa.list_(pa.int64())
+
+
+def _lines(max_edits: int):
+    """A row per line with a word: its place, digest and first keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, nos, lids, hs = [], [], [], []
+            at, nos, lids, keys = [], [], [], []
 
-            def out() -> pd.DataFrame:
-                h = np.array(hs, np.int64).reshape(-1, 4)
-                return pd.DataFrame({"doc_id": pd.Series(docs, dtype=b["doc_id"].dtype), "no": np.array(nos, np.int32), "lid": lids, "h0": h[:, 0], "h1": h[:, 1], "h2": h[:, 2], "h3": h[:, 3]})
+            def out() -> pa.RecordBatch:
+                return rows_of(b, ["doc_id", "h"], {"no": pa.array(nos, pa.int32()), "lid": pa.array(lids, pa.binary()), "keys": pa.array(keys, _LIST)}, at)
 
-            for doc, text in zip(b["doc_id"], b["text"]):
-                for no, line in enumerate((text or "").split("\n")):
-                    norm = normalise(line)
-                    if len(norm) >= min_chars:
-                        docs.append(doc)
+            for r, text in enumerate(b.column("text")):
+                for no, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
+                    w = line.split()
+                    if w:
+                        at.append(r)
                         nos.append(no)
-                        lids.append(hashlib.blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                        hs.append(halves(norm))
+                        lids.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                        keys.append(list(first_keys(w, max_edits)) if max_edits and len(w) + max_edits >= WORDS_PER_EDIT else [])
                 if len(nos) > 50_000:
                     yield out()
-                    docs, nos, lids, hs = [], [], [], []
+                    at, nos, lids, keys = [], [], [], []
             yield out()
 
     return run
 
 
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The compared lines of each document, with the keys that they share."""
     for b in batches:
-        rows = []
-        for doc, text, nos in zip(b["doc_id"], b["text"], b["nos"]):
-            ls = (text or "").split("\n")
-            rows += [(doc, no, normalise(ls[no])) for no in nos if no < len(ls)]
-        yield pd.DataFrame({"doc_id": pd.Series([r[0] for r in rows], dtype=b["doc_id"].dtype), "no": [r[1] for r in rows], "norm": [r[2] for r in rows]})
+        at, nos, lids, norms, keys = [], [], [], [], []
+        for r, (text, where) in enumerate(zip(b.column("text"), b.column("where"))):
+            ls = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
+            for x in where.as_py():
+                at.append(r)
+                nos.append(x["no"])
+                lids.append(x["lid"])
+                norms.append(normalise(ls[x["no"]]))
+                keys.append(x["keys"])
+        made = {"no": pa.array(nos, pa.int32()), "lid": pa.array(lids, pa.binary()), "norm": pa.array(norms, pa.binary()), "keys": pa.array(keys, _LIST)}
+        yield rows_of(b, ["doc_id", "h"], made, at)
+
+
+def _windows(max_edits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in range(0, b.num_rows, 512):
+                part = b.slice(x, 512)
+                at, keys, tags = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+                for r, (norm, shared) in enumerate(zip(part.column("norm"), part.column("keys"))):
+                    w, own = norm.as_py().split(), set(shared.as_py())
+                    key, tag = window_keys(Sums(w), set().union(*(v for h, v in first_keys(w, max_edits).items() if h in own)), max_edits)
+                    at += [r] * len(key)
+                    keys.append(key)
+                    tags.append(tag)
+                yield rows_of(part, ["lid"], {"key": pa.array(np.concatenate(keys).view(np.int64)), "tag": pa.array(np.concatenate(tags))}, at)
 
+    return run
 
-def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [(doc, no, *k) for doc, no, norm in zip(b["doc_id"], b["no"], b["norm"]) for k in segment_keys(norm)]
-        yield pd.DataFrame({"doc_id": pd.Series([r[0] for r in rows], dtype=b["doc_id"].dtype), **{c: [r[i] for r in rows] for i, c in enumerate(("no", "key", "m", "q"), 1)}})
 
+def _deletions(max_edits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in range(0, b.num_rows, 64):
+                part = b.slice(x, 64)
+                at, keys, roles = [], [np.empty(0, np.uint64)], [np.empty(0, np.int8)]
+                for r, (norm, found) in enumerate(zip(part.column("norm"), part.column("found"))):
+                    key, role = deletion_keys(Sums(norm.as_py().split()), _useful([(f["tag"], f["who"]) for f in found.as_py()]), max_edits)
+                    at += [r] * len(key)
+                    keys.append(key)
+                    roles.append(role)
+                yield rows_of(part, ["lid", "place"], {"key": pa.array(np.concatenate(keys).view(np.int64)), "role": pa.array(np.concatenate(roles))}, at)
 
-def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """role 0: deletion with position; 1: deletion; 2: the line itself. role 1 and 2 meet under the same key."""
-    for b in batches:
-        for i in range(0, len(b), 256):
-            keys, roles, docs, nos = [], [], [], []
-            for doc, no, norm, where in zip(*(b[c].iloc[i : i + 256] for c in ("doc_id", "no", "norm", "where"))):
-                placed, deleted, whole = deletion_keys(norm)
-                n, own = len(norm), set()
-                for w in where:
-                    m, q = w["m"], w["q"]
-                    own.update(range(q * m // SEGMENTS, (q + 1) * m // SEGMENTS) if m == n else ())
-                at = np.array(sorted(own), np.int64)
-                last = [whole] if any(w["m"] == n + 1 for w in where) else []
-                gone = np.unique(deleted[at])
-                keys.append(np.concatenate([placed[at], gone, np.array(last, np.uint64)]))
-                k = len(keys[-1])
-                roles.append(np.repeat(np.array([0, 1, 2], np.int8), [len(at), len(gone), len(last)]))
-                docs += [doc] * k
-                nos += [no] * k
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "role": np.concatenate(roles), "doc_id": pd.Series(docs, dtype=b["doc_id"].dtype), "no": np.array(nos, np.int32)})
-
-
-def near_lines(docs: DataFrame, lines: DataFrame, first: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, no): first places of lines that are one edit away from a line whose first place is earlier."""
-    half = lines.select(F.xxhash64("lid").alias("l"), F.explode(F.array("h0", "h1", "h2", "h3")).alias("half"))
-    shared = half.groupBy("half").agg(F.min("l").alias("a"), F.max("l").alias("b")).where("a <> b").select("half")
-    some = half.join(shared, "half", "left_semi").select("l").distinct()
-    places = first.withColumn("l", F.xxhash64("lid")).join(some, "l", "left_semi").groupBy("doc_id").agg(F.collect_set("no").alias("nos"))
-    places = bounded_broadcast(cut(places.select(F.col("doc_id").alias("__id"), "nos")), MAX_BROADCAST)
-    texts = docs.select("doc_id", "text").join(places, F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "text", "nos")
-    place = f"doc_id {kind}, no int"
-    texts = cut(texts.mapInPandas(_texts, f"{place}, norm string").dropDuplicates(["doc_id", "no"]))
-    segs = texts.mapInPandas(_segments, f"{place}, key long, m int, q int")
-    mine = F.xxhash64("doc_id", "no")
-    common = segs.groupBy("key").agg(F.min(mine).alias("a"), F.max(mine).alias("b")).where("a <> b").select("key")
-    where = segs.join(common, "key", "left_semi").groupBy(F.col("doc_id").alias("__d"), F.col("no").alias("__n")).agg(F.collect_set(F.struct("m", "q")).alias("where"))
-    same = lambda d, n: F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("no") == F.col(n))
-    var = cut(texts.join(where, same("__d", "__n")).select("doc_id", "no", "norm", "where").mapInPandas(_variants, f"key long, role byte, {place}"))
-    who = F.struct("doc_id", "no")
+    return run
+
+
+def _verified(max_edits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("norm"), b.column("__norm")):
+                x, y = x.as_py().split(), y.as_py().split()
+                ok.append(near(x, y, bound(max(len(x), len(y)), max_edits)))
+            yield pa.RecordBatch.from_arrays([b.column("lid").filter(pa.array(ok, pa.bool_()))], names=["lid"])
+
+    return run
+
+
+def near_lines(docs: DataFrame, lines: DataFrame, first: DataFrame, kind: str, max_edits: int) -> DataFrame:
+    """(lid): distinct lines that are near one whose first place is earlier. docs: doc_id, h and text."""
+    keyed = lines.where(F.size("keys") > 0).select(F.xxhash64("lid").alias("l"), "lid", F.explode("keys").alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.min("l").alias("a"), F.max("l").alias("b")).where("a <> b").select("key"))
+    some = keyed.join(bounded_broadcast(shared, 16), "key", "left_semi").groupBy("lid").agg(F.collect_set("key").alias("keys"))
+    places = first.join(some, "lid").groupBy("doc_id", "h").agg(F.collect_list(F.struct("no", "lid", "keys")).alias("where"))
+    places = cut(places.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "where"))
+    places = bounded_broadcast(places, F.lit(40) + F.aggregate("where", F.lit(0), lambda a, x: a + F.lit(64) + 8 * F.size(x["keys"])))
+    texts = docs.join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("doc_id", "h", "text", "where")
+    texts = texts.mapInArrow(_texts, f"doc_id {kind}, h long, no int, lid binary, norm binary, keys array<long>")
+    # Repeated rows give a line's first place more than once.
+    texts = cut(texts.dropDuplicates(["lid"]).select("lid", _place().alias("place"), "norm", "keys"))
+    tagged = texts.select("lid", "norm", "keys").mapInArrow(_windows(max_edits), "lid binary, key long, tag long")
+    mine = F.xxhash64("lid")
+    common = tagged.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(mine).alias("x"), F.min(mine).alias("a"), F.max(mine).alias("b")).where("a <> b").select("key", F.xxhash64("n", "x").alias("who"))
+    found = tagged.join(common, "key").groupBy("lid").agg(F.collect_set(F.struct("tag", "who")).alias("found"))
+    place = texts.schema["place"].dataType.simpleString()
+    var = cut(texts.select("lid", "place", "norm").join(found, "lid").mapInArrow(_deletions(max_edits), f"lid binary, place {place}, key long, role byte"))
+    who = F.struct("place", "lid")
     of = lambda r: F.when(F.col("role") == r, who)
-    # Positioned keys link to the earliest; unpositioned ones link deletions to the whole line and back.
     best = var.groupBy("key").agg(F.min(of(0)).alias("m0"), F.max(of(0)).alias("x0"), F.min(of(1)).alias("m1"), F.min(of(2)).alias("m2")).where("m0 <> x0 or (m1 is not null and m2 is not null)")
     to = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = var.join(best, "key").select("doc_id", "no", to.alias("to")).where(F.col("to") < who).distinct()
-    pairs = pairs.select(F.col("doc_id").alias("__d"), F.col("no").alias("__n"), F.col("to.doc_id").alias("__td"), F.col("to.no").alias("__tn"))
-    ends = pairs.join(texts, same("__d", "__n")).select("__d", "__n", "__td", "__tn", F.col("norm").alias("__norm")).join(texts, same("__td", "__tn"))
-    return ends.where(F.levenshtein("norm", "__norm", 1).between(0, 1)).select(F.col("__d").alias("doc_id"), F.col("__n").alias("no")).distinct()
+    pairs = var.join(best, "key").select("lid", to.alias("to"), "place").where(F.col("to.place") < F.col("place")).select("lid", F.col("to.lid").alias("__lid")).distinct()
+    norms = texts.select("lid", "norm")
+    ends = pairs.join(norms, "lid").join(norms.select(F.col("lid").alias("__lid"), F.col("norm").alias("__norm")), "__lid")
+    return ends.select("lid", "norm", "__norm").mapInArrow(_verified(max_edits), "lid binary").distinct()
+
 
+def _place():
+    """What "earliest" goes by: doc_id, null ones last, then rows of one doc_id by a hash of their text, then line number."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "no")
 
-def line_decisions(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, gone, n_near): the numbers (from 0) of the lines that go, and how many of them for a near match.
 
-    Only lines of min_chars normalised characters or more are compared; all others stay. "Earliest" is by doc_id, then
-    line number. max_edits is 0 (equal lines only) or 1. A null text has no lines. Rows with the same doc_id are one
-    document, whose lines count by number. A document that loses no line has an empty list or no row.
+def line_decisions(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(doc_id, h, gone, n_near): the numbers (from 0) of the lines that go, and how many of them for a near match.
+
+    h is xxhash64(text): rows are told apart by doc_id and text, and repeated rows share their fate. Lines without a word
+    are never compared and stay; every other line is compared for equality, and for nearness if bound() of the longer one
+    is not 0 (10 words; 20 for two edits). "Earliest" is by doc_id, null ones last, then line number. max_edits is 0, 1
+    or 2. A null text has no lines. A row that loses no line has an empty list or none.
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits must be 0 or 1")
+    if max_edits not in (0, 1, 2):
+        raise ValueError("max_edits must be 0, 1 or 2")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = docs.select("doc_id", "text").mapInPandas(_lines(min_chars), f"doc_id {kind}, no int, lid binary, h0 long, h1 long, h2 long, h3 long")
-    lines = cut(lines)
-    first = lines.groupBy("lid").agg(F.min(F.struct("doc_id", "no")).alias("p")).select("lid", "p.doc_id", "p.no")
+    own = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    lines = cut(own.mapInArrow(_lines(max_edits), f"doc_id {kind}, h long, no int, lid binary, keys array<long>"))
+    first = lines.groupBy("lid").agg(F.min(_place()).alias("p")).select("lid", "p.doc_id", "p.h", "p.no")
     first = cut(first) if max_edits else first
     # The places that stay are first places, of which no line has more than one: no line's copies are joined to it.
-    rows = lines.select("doc_id", "no", F.lit(0).alias("why")).unionByName(first.select("doc_id", "no", F.lit(1).alias("why")))
+    place = ["doc_id", "h", "no"]
+    rows = lines.select(*place, F.lit(0).alias("why")).unionByName(first.select(*place, F.lit(1).alias("why")))
     if max_edits:
-        rows = rows.unionByName(near_lines(docs, lines, first, kind).withColumn("why", F.lit(2)))
+        near_ = near_lines(own, lines, first, kind, max_edits)
+        rows = rows.unionByName(first.join(near_, "lid", "left_semi").select(*place, F.lit(2).alias("why")))
     pick = lambda k: F.collect_set(F.when(F.col("why") == k, F.col("no")))
-    per = rows.groupBy("doc_id").agg(pick(0).alias("all"), pick(1).alias("first"), pick(2).alias("near"))
+    per = rows.groupBy("doc_id", "h").agg(pick(0).alias("all"), pick(1).alias("first"), pick(2).alias("near"))
     gone = F.array_except("all", F.array_except("first", "near"))
-    return per.select("doc_id", F.array_sort(gone).alias("gone"), F.size("near").cast("long").alias("n_near"))
+    return per.select("doc_id", "h", F.array_sort(gone).alias("gone"), F.size("near").cast("long").alias("n_near"))
+
 
+def _bare(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), BLANKS, "") == ""
 
-def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS, detail: bool = False) -> DataFrame:
+
+def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, detail: bool = False, drop_emptied: bool = False) -> DataFrame:
     """docs with the lines that an earlier line equals or nearly equals cut out of text; see line_decisions.
 
-    With detail, n_lines, n_removed and n_near follow. Lines shorter than min_chars, blank ones included, always stay.
-    Null texts stay null, other columns as they are.
+    With detail, n_lines, n_removed and n_near follow. With drop_emptied, rows that are left without a word go; rows that
+    had none before stay. Null texts stay null, other columns as they are.
     """
-    d = line_decisions(docs, max_edits, min_chars).where(F.size("gone") > 0).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"), F.col("n_near").alias("__near"))
-    j = docs.join(d, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    stay = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
-    left = F.when(F.col("__gone").isNotNull(), F.array_join(stay, "\n")).otherwise(F.col("text"))
-    cols = [left.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    d = line_decisions(docs, max_edits).where(F.size("gone") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("gone").alias("__gone"), F.col("n_near").alias("__near"))
+    j = docs.join(d, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left")
+    j = held(j, "__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    left = F.when(F.col("__gone").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")).otherwise(F.col("text"))
+    j = j.withColumn("__left", left)
+    if drop_emptied:
+        j = j.where(~_bare(F.col("__left")) | _bare(F.col("text")))
+    cols = [F.col("__left").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if detail:
         n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
         cols += [n.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__near", F.lit(0)).cast("long").alias("n_near")]
     return j.select(*cols)
-
-
-def drop_emptied(before: DataFrame, after: DataFrame) -> DataFrame:
-    """after without the documents that line dedup has left without a word; documents that had none before stay."""
-    bare = lambda c: F.translate(F.coalesce(c, F.lit("")), BLANKS, "") == ""
-    was = before.where(bare(F.col("text"))).select(F.col("doc_id").alias("__was")).distinct()
-    flagged = after.join(was, F.col("doc_id").eqNullSafe(F.col("__was")), "left")
-    return flagged.where(~bare(F.col("text")) | F.col("__was").isNotNull()).select(*(after[c] for c in after.columns))

@@ -1,7 +1,7 @@
 """Best-fit packing by best-two-fit.
 
 Documents become token ids with an end id; longer ones are cut into full pieces after a first, shorter one. Pieces are
-dealt into groups by a hash of their id, and each group is packed by itself: a sequence takes the longest piece left, then
+dealt into groups by a hash of their place, and each group is packed by itself: a sequence takes the longest piece left, then
 the longest that fits, until none does; then its smallest piece is replaced by two unpacked ones that fit the gap so
 expanded more tightly. Only lengths take part, in a histogram, so a group costs a few steps per sequence.
 """
@@ -12,11 +12,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, cut
+from .common import arrow_groups, cut, rows_of
 from .tokenizers_ import id_encoder
 
 LENGTH, END, GROUP = 1024, 2, 2048
@@ -31,17 +31,21 @@ def cut_points(n: int, length: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every row; a null text is empty and so only the end id."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = id_encoder(tokenizer)
         for b in batches:
-            out = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                ids = np.append(ids_of(text or ""), np.uint32(end)).astype("<u4")
-                out += [(doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut_points(len(ids), length))]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            at, out = [], []
+            for r, text in enumerate(b.column("text")):
+                ids = np.append(ids_of(text.as_py() or ""), np.uint32(end)).astype("<u4")
+                own = [(k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut_points(len(ids), length))]
+                at += [r] * len(own)
+                out += own
+            cols = np.array(out, np.int64).reshape(-1, 4).T
+            made = {"piece": pa.array(cols[0].astype(np.int32)), **{c: pa.array(x) for c, x in zip(("start", "length", "ids_crc32"), cols[1:])}}
+            yield rows_of(b, ["doc_id"], made, at)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int = LENGTH) -> list[list[int]]:
@@ -85,26 +89,28 @@ def best_two_fit(lengths: np.ndarray, capacity: int = LENGTH) -> list[list[int]]
 
 
 def pack(pieces_: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """pieces with sequence_id and offset. Groups hold about `group` pieces each, whatever the input's size."""
+    """pieces with sequence_id and offset. Groups hold about `group` pieces each, whatever the input's size.
+
+    Pieces are dealt by their place in the written table, so that repeated rows and null ids spread like any others.
+    """
     p = cut(pieces_)
     n = max(1, -(-p.count() // group))
     kind = p.schema["doc_id"].dataType.simpleString()
-    dealt = p.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(n)).cast("long"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in by_key(batches, ["g"]):
-            bins = best_two_fit(g["length"].to_numpy(), length)
-            seq, off = np.empty(len(g), np.int64), np.empty(len(g), np.int64)
-            lens, base = g["length"].to_numpy(), int(g["g"].iloc[0]) << 32
-            for k, b in enumerate(bins):
+    dealt = p.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in arrow_groups(batches, "g"):
+            lens, base = g.column("length").to_numpy(), g.column("g")[0].as_py() << 32
+            seq, off = np.empty(len(lens), np.int64), np.empty(len(lens), np.int64)
+            for k, b in enumerate(best_two_fit(lens, length)):
                 at = 0
                 for i in b:
                     seq[i], off[i] = base + k, at
                     at += lens[i]
-            yield g.drop(columns="g").assign(sequence_id=seq, offset=off)
+            yield from g.drop_columns("g").append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off)).to_batches()
 
-    rows = dealt.repartition("g").sortWithinPartitions("g", "doc_id", "piece")
-    return rows.mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    rows = dealt.repartition("g").sortWithinPartitions("g", "doc_id", "piece", "ids_crc32")
+    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, group: int = GROUP) -> DataFrame:

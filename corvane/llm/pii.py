@@ -15,9 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import rows_of
 from .toxicity import logistic
 
 KINDS = ("email", "ip", "card", "phone")
@@ -30,7 +32,7 @@ _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01
 
 #: Wider patterns. Each is anchored so that a search is linear in the text.
 _WIDE = {
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}|<at>| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}|<dot>| dot ) ?[A-Za-z0-9-]{2,63})+", re.I),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}|<at>| at ) ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?(?:\(dot\)|\[dot\]|\{dot\}|<dot>| dot ) ?)[A-Za-z0-9-]{2,63})+", re.I),
     "ip": re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9.])[0-9]{1,3}(?:(?: ?[.] ?|\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9]|[.][0-9])"),
     "card": re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ./_-]{1,2}[0-9]{3,6}){2,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9A-Za-z+])(?:\(?[0-9]{2,5}\)?[ .-]{1,2})(?:[0-9]{2,4}[ .-]){1,3}[0-9]{2,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])00[0-9]{8,13}(?![0-9A-Za-z])"),
@@ -197,24 +199,27 @@ def features(votes: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:
-    """The span classifier's weights for each kind, from every candidate of docs."""
+    """The span classifier's weights for each kind, from every candidate of docs and what EM makes of its votes."""
     out = {}
     rows = vote_patterns(docs).collect()  # at most 4 x 2 x 3^5 rows
     for kind in KINDS:
-        own = sorted((r["votes"], r["base"], r["n"]) for r in rows if r["kind"] == kind)
+        own = sorted((r["votes"], r["n"]) for r in rows if r["kind"] == kind)
         if not own:
             continue
-        votes, n = np.array([[int(x) for x in v.split(",")] for v, _, _ in own]), np.array([c for *_, c in own], float)
+        votes, n = np.array([[int(x) for x in v.split(",")] for v, _ in own]), np.array([c for *_, c in own], float)
         p, _, _ = estimate(votes, n)
-        p = np.where([b for _, b, _ in own], 1.0, p)
-        x = features(votes)
         # Soft labels: each pattern counts as spans and as none, in proportion; 2000 rows' weight at most, so that the ridge holds.
         w = np.maximum(1, np.round(2000 * n / n.sum())).astype(int)
-        ones = np.round(w * p).astype(int)
+        ones, x = np.round(w * p).astype(int), features(votes)
         out[kind] = logistic(np.repeat(np.concatenate([x, x]), np.concatenate([ones, w - ones]), axis=0), np.repeat([1.0, 0.0], [ones.sum(), (w - ones).sum()]), l2=1.0)
     return out
 
 
+def accepted(model: dict[str, np.ndarray], kind: str, votes: tuple[int, ...]) -> bool:
+    """Whether the classifier takes a candidate that is no base span; a kind that the corpus never has takes none."""
+    return kind in model and float((features(np.array([votes])) @ model[kind])[0]) > 0
+
+
 def find_spans(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """(doc_id, base, spans) for each row: arrays of (kind, start, end), by kind as listed, then start.
 
@@ -223,20 +228,20 @@ def find_spans(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         order = {k: i for i, k in enumerate(KINDS)}
         known: dict[tuple, bool] = {}
 
         def accepts(kind: str, votes: tuple[int, ...]) -> bool:
             if (kind, votes) not in known:
-                known[kind, votes] = kind in m and votes[1] > 0 and float((features(np.array([votes])) @ m[kind])[0]) > 0
+                known[kind, votes] = accepted(m, kind, votes)
             return known[kind, votes]
 
         for b in batches:
             base, spans = [], []
-            for t in b["text"]:
-                found = candidates(t) if t else []
+            for t in b.column("text"):
+                found = candidates(t.as_py()) if t.is_valid else []
                 base.append([f"{k}:{s}:{e}" for k, s, e, is_base, _ in found if is_base])
                 kept: list[tuple[int, int, int]] = []
                 added: list[tuple[int, int]] = []  # candidates overlap no base span, but one another across kinds
@@ -247,10 +252,11 @@ def find_spans(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                         kept.append((order[k], s, e))
                         insort(added, (s, e))
                 spans.append([f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(kept)])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "base": pd.Series(base, dtype=object), "spans": pd.Series(spans, dtype=object)})
+            texts = pa.list_(pa.string())
+            yield rows_of(b, ["doc_id"], {"base": pa.array(base, texts), "spans": pa.array(spans, texts)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, base array<string>, spans array<string>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base array<string>, spans array<string>")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -264,23 +270,23 @@ def redact(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """docs with every span of text replaced by its kind in angle brackets; overlapping ones go as one. Nulls stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t in b["text"]:
-                cut_ = []
-                for k, s, e, is_base, v in candidates(t) if t else []:
-                    if is_base or k in shared.value and v[1] > 0 and float((features(np.array([v])) @ shared.value[k])[0]) > 0:
-                        cut_.append((s, e, k))
-                at, parts = 0, []
-                for s, e, k in sorted(cut_):
-                    if s >= at:
-                        parts += [t[at:s], f"<{k}>"]
-                    at = max(at, e)
-                out.append(t if t is None else "".join([*parts, t[at:]]))
-            yield b.assign(text=out)
-
-    return docs.mapInPandas(clean, docs.schema)
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            cut_ = []
+            for k, s, e, is_base, v in candidates(t) if t else []:
+                if is_base or accepted(shared.value, k, v):
+                    cut_.append((s, e, k))
+            at, parts = 0, []
+            for s, e, k in sorted(cut_):
+                if s >= at:
+                    parts += [t[at:s], f"<{k}>"]
+                at = max(at, e)
+            out.append(t if t is None else "".join([*parts, t[at:]]))
+        return pd.Series(out, dtype=object)
+
+    return docs.withColumn("text", clean(F.col("text")))
 
 
 def digest(spans: list[str]) -> str:

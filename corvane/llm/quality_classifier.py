@@ -4,74 +4,92 @@ Every word type has a sparse random index vector; a word's vector is the sum of
 all documents. Types share a fixed number of hash buckets, so the table's size is fixed while its counts cover the whole
 corpus. A document is the mean of its tokens' vectors and of their index vectors. The network is fitted on a bounded
 sample of labelled rows and its probabilities are calibrated by a temperature on rows kept apart.
+
+Texts are cut into tokens once: one pass writes each document's buckets with their counts, and each partition's sums of
+neighbours' index vectors; vectors, network and scores come from that table.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, cut, rows_of
 
-BUCKETS, DIM, REACH, NONZERO = 1 << 13, 32, 2, 2
+REACH, NONZERO = 2, 4
 #: Labelled rows that the network may be fitted on, of each label.
 SAMPLE, HIDDEN = 3000, 24
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-#: Tokens whose buckets a worker remembers.
+#: Tokens whose hashes a worker remembers.
 REMEMBER = 1_000_000
-#: Tokens of one text that are pooled at once.
+#: Tokens that are added up at once.
 STEP = 1 << 17
-_seen: dict[str, int] = {}
 
 
-def bucket(token: str) -> int:
-    """Words fall into buckets by hash, apart by case shape; runs of one symbol by symbol, whatever their length."""
-    b = _seen.get(token)
-    if b is None:
-        if len(_seen) > REMEMBER:
-            _seen.clear()
+@dataclass(frozen=True)
+class Space:
+    """Hash buckets of word types and dimensions of their vectors: the driver and each worker hold buckets x dim floats twice."""
+
+    buckets: int = 1 << 16
+    dim: int = 64
+
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each bucket the dimensions of its nonzero entries, and their signs."""
+        rng = np.random.default_rng(17)
+        return rng.integers(0, self.dim, (self.buckets, NONZERO)), rng.choice(np.array([-1, 1], np.int32), (self.buckets, NONZERO))
+
+    def dense(self) -> np.ndarray:
+        dims, signs = self.index()
+        out = np.zeros((self.buckets, self.dim), np.float32)
+        for k in range(NONZERO):
+            np.add.at(out, (np.arange(self.buckets), dims[:, k]), signs[:, k].astype(np.float32))
+        return out
+
+
+class _Hashes(dict):
+    """Words by their lower case and case shape; runs of one symbol by symbol, whatever their length beyond three."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > REMEMBER:
+            self.clear()
         key = token
         if token[0].isalpha():
             key = token.lower() + ("\0" + ("u" if len(token) > 1 and token.isupper() else "t" if token[0].isupper() else ""))
         elif len(set(token)) == 1:
             key = token[0] + "\1" + str(min(len(token), 3))
-        b = _seen[token] = xxhash.xxh32_intdigest(key, 3) % BUCKETS
-    return b
+        h = self[token] = xxhash.xxh32_intdigest(key, 3)
+        return h
+
+
+_hashes = _Hashes()
 
 
-def buckets(text: str | None) -> Iterator[np.ndarray]:
+def buckets(text: str | None, space: Space) -> Iterator[np.ndarray]:
     """The buckets of all tokens of a text, in steps."""
     out: list[int] = []
     for m in _TOKEN.finditer(text or ""):
-        out.append(bucket(m.group()))
+        out.append(_hashes[m.group()])
         if len(out) == STEP:
-            yield np.array(out)
+            yield np.array(out, np.int64) % space.buckets
             out = []
-    yield np.array(out, dtype=np.int64)
+    yield np.array(out, np.int64) % space.buckets
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """For each bucket the dimensions of its nonzero entries, and their signs."""
-    rng = np.random.default_rng(17)
-    return rng.integers(0, DIM, (BUCKETS, NONZERO)), rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
+def tokenised(docs: DataFrame, space: Space) -> DataFrame:
+    """Rows of two kinds. (doc_id, ids, counts): each document's buckets, with bucket null. (bucket, v): a partition's sums
+    of the index vectors of the bucket's neighbours, with ids null; one row per bucket that the partition has met."""
 
-
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """BUCKETS x DIM sums of neighbours' index vectors over every text of docs, scaled to unit length.
-
-    Each partition sends one row per bucket it has met, and rows are summed before they reach the driver, which gets
-    BUCKETS rows at any size of input.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dims, signs = index_vectors()
-        total = np.zeros(BUCKETS * DIM)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dims, signs = space.index()
+        total, ids_type = np.zeros(space.buckets * space.dim, np.int32), pa.list_(pa.int32())
+        schema = None
 
         def add(parts: list[np.ndarray]) -> None:
             ids, doc = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
@@ -80,49 +98,64 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 left, right = ids[:-d][same], ids[d:][same]
                 for word, near in ((left, right), (right, left)):
                     for k in range(NONZERO):
-                        total[:] += np.bincount(word * DIM + dims[near, k], signs[near, k], BUCKETS * DIM)
+                        np.add.at(total, word * space.dim + dims[near, k], signs[near, k])
 
         for b in batches:
-            parts, n = [], 0
-            for t in b["text"]:
-                for ids in buckets(t):
-                    parts.append(ids)
-                    n += len(ids)
-                    if n > STEP:
-                        add(parts)
-                        parts, n = [], 0
+            parts, n, ids, counts = [], 0, [], []
+            for t in b.column("text"):
+                own: dict[int, int] | None = None
+                for part in buckets(t.as_py(), space):
+                    parts.append(part)
+                    n += len(part)
+                    u, c = np.unique(part, return_counts=True)
+                    if len(part) < STEP and own is None:
+                        break
+                    own = own or {}
+                    for x, y in zip(u.tolist(), c.tolist()):
+                        own[x] = own.get(x, 0) + y
+                if own is not None:
+                    u, c = np.array(sorted(own), np.int64), np.array([own[x] for x in sorted(own)], np.int64)
+                ids.append(u.astype(np.int32))
+                counts.append(c.astype(np.int32))
+                if n > STEP:
+                    add(parts)
+                    parts, n = [], 0
             if parts:
                 add(parts)
-        rows = total.reshape(BUCKETS, DIM)
-        used = np.flatnonzero(np.abs(rows).sum(axis=1))
-        yield pd.DataFrame({"b": used.astype(np.int32), "v": pd.Series(list(rows[used]), dtype=object)})
+            nulls = pa.nulls(b.num_rows, pa.int32())
+            out = rows_of(b, ["doc_id"], {"ids": pa.array(ids, ids_type), "counts": pa.array(counts, ids_type), "bucket": nulls, "v": pa.nulls(b.num_rows, ids_type)})
+            schema = out.schema
+            yield out
+        if schema is not None:
+            rows = total.reshape(space.buckets, space.dim)
+            used = np.flatnonzero(np.abs(rows).sum(axis=1))
+            for i in range(0, len(used), 8192):
+                u = used[i : i + 8192]
+                n = len(u)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, schema.field("doc_id").type), pa.nulls(n, ids_type), pa.nulls(n, ids_type), pa.array(u.astype(np.int32)), pa.array(list(rows[u]), ids_type)], schema=schema)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return cut(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, counts array<int>, bucket int, v array<int>"))
 
-    parts = docs.select("text").mapInPandas(run, "b int, v array<double>")
-    sums = parts.groupBy("b").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(DIM))).alias("v")).collect()
-    out = np.zeros((BUCKETS, DIM))
+
+def word_vectors(tokens: DataFrame, space: Space) -> np.ndarray:
+    """buckets x dim sums of neighbours' index vectors over every text, scaled to unit length.
+
+    Rows are summed before they reach the driver, which gets one row per bucket at any size of input.
+    """
+    sums = tokens.where("bucket is not null").groupBy("bucket").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(space.dim))).alias("v")).collect()
+    out = np.zeros((space.buckets, space.dim))
     for r in sums:
-        out[r["b"]] = r["v"]
+        out[r["bucket"]] = r["v"]
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def pooled(text: str | None, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
+def pooled(ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Means of the tokens' word vectors and index vectors, and the log length."""
-    n, v, w = 0, np.zeros(DIM), np.zeros(DIM)
-    for ids in buckets(text):
-        if len(ids):
-            n += len(ids)
-            v += vectors[ids].sum(axis=0, dtype=np.float64)
-            w += index[ids].sum(axis=0, dtype=np.float64)
-    return np.concatenate([v / max(n, 1), w / max(n, 1), [np.log1p(n) / 10]])
-
-
-def dense_index() -> np.ndarray:
-    dims, signs = index_vectors()
-    out = np.zeros((BUCKETS, DIM), np.float32)
-    for k in range(NONZERO):
-        np.add.at(out, (np.arange(BUCKETS), dims[:, k]), signs[:, k])
-    return out
+    c = counts.astype(np.float32)
+    n = float(counts.sum(dtype=np.int64))
+    return np.concatenate([c @ vectors[ids] / max(n, 1.0), c @ index[ids] / max(n, 1.0), [np.log1p(n) / 10]])
 
 
 class Network:
@@ -173,9 +206,9 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, rounds: int = 300)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int = SAMPLE) -> DataFrame:
-    """(text, y): about `sample` rows of each label at most, taken by a hash of doc_id. The labels are counted first.
+    """docs with y: about `sample` rows of each label at most, taken by a hash of doc_id. The labels are counted first.
 
-    Null labels and texts are left out; a document with several labels has the smallest one.
+    Null labels are left out; a document with several labels has the smallest one.
     """
     one = labels.where(F.col(column).isNotNull()).groupBy("doc_id").agg(F.min(column).cast("int").alias("y"))
     n = dict(one.groupBy("y").count().where("y in (0, 1)").collect())
@@ -183,46 +216,52 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int
     some = one.where("y in (0, 1)").where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < rate * 1_000_000)
     if sample <= 100_000:
         some = F.broadcast(some)  # about 2 x sample rows
-    return docs.where("text is not null").select("doc_id", "text").join(some, "doc_id").select("doc_id", "text", "y")
+    return docs.join(some, "doc_id")
+
 
+def _features(b: pa.RecordBatch, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
+    x = [pooled(i.values.to_numpy(), c.values.to_numpy(), vectors, index) for i, c in zip(b.column("ids"), b.column("counts"))]
+    return np.array(x).reshape(b.num_rows, 2 * vectors.shape[1] + 1)
 
-def fit(docs: DataFrame, rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
-    """Word vectors from all of docs, and the network from labelled ones among rows."""
-    vectors = word_vectors(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = dense_index()
+def fit(tokens: DataFrame, rows: DataFrame, labels: DataFrame, space: Space, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
+    """Word vectors from all of tokens, and the network from labelled ones among rows, which are some of its documents."""
+    vectors = word_vectors(tokens, space)
+    shared = tokens.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = space.dense()
         for b in batches:
-            yield pd.DataFrame({"h": b["doc_id"].astype(str), "y": b["y"], "x": pd.Series([pooled(t, shared.value, index) for t in b["text"]], dtype=object)})
+            x = _features(b, shared.value, index)
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["h", "y", "x"])
 
-    got = labelled_sample(rows, labels, "quality", sample).mapInPandas(run, "h string, y int, x array<double>").collect()
+    some = labelled_sample(rows, labels, "quality", sample).select(F.col("doc_id").cast("string").alias("h"), "y", "ids", "counts")
+    got = some.mapInArrow(run, "h string, y int, x array<double>").collect()
     got.sort(key=lambda r: (xxhash.xxh64_intdigest(r["h"]), r["y"], r["x"]))
-    x = np.array([r["x"] for r in got]).reshape(len(got), 2 * DIM + 1)
+    x = np.array([r["x"] for r in got]).reshape(len(got), 2 * space.dim + 1)
     return vectors, train(x, np.array([r["y"] for r in got], float))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
-    """(doc_id, score) for each row; only the text is looked at. Null and empty texts are scored as texts without words."""
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
+def score(tokens: DataFrame, vectors: np.ndarray, net: Network, space: Space) -> DataFrame:
+    """(doc_id, score) for each document of tokens. Null and empty texts are scored as texts without words."""
+    shared = tokens.sparkSession.sparkContext.broadcast((vectors, net))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = dense_index()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = space.dense()
         vec, model = shared.value
         for b in batches:
-            x = np.array([pooled(t, vec, index) for t in b["text"]]).reshape(len(b), 2 * DIM + 1)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": model.probabilities(x)})
+            yield rows_of(b, ["doc_id"], {"score": pa.array(model.probabilities(_features(b, vec, index)))})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double")
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.where("bucket is null").select("doc_id", "ids", "counts").mapInArrow(run, f"doc_id {kind}, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, space: Space = Space()) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs; labels come from rows whose crc32 mod 3 is not 1.
 
-    A null doc_id is not held out and teaches nothing. Empty tables give no rows.
+    A null doc_id is not held out and teaches nothing. Repeated rows give repeated results. Empty tables give no rows.
     """
     held = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
-    vectors, net = fit(docs, docs.where("doc_id is not null").where(~held), labels, sample)
-    s = score(docs, vectors, net)
-    return s.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    tokens = tokenised(docs, space)
+    vectors, net = fit(tokens, tokens.where("bucket is null and doc_id is not null").where(~held), labels, space, sample)
+    return score(tokens, vectors, net, space).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

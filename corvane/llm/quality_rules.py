@@ -1,9 +1,12 @@
 """Quality rules with risk-controlled thresholds. DataFrame functions only.
 
-Base statistics fail a text outright. Beyond that, four ratios get a cutoff per stratum (the language): the smallest one
-of a fixed grid for which labelled good documents bound the rate of false rejections. For n good documents of which k
-would go, the exact binomial test P(Bin(n, alpha) <= k) must be at most delta / m, m being the number of all cutoffs
-tried in all strata (Bonferroni). A stratum without enough labels certifies nothing, and its rules reject nothing.
+Base statistics fail a text outright. Beyond that, four ratios have a cutoff each, and a text goes if it exceeds any. The
+cutoffs come in levels, fixed in advance from loose to tight, and each stratum (language) takes the tightest level for
+which labelled good documents bound the rate of false rejections by the verdict as it is given, that is by the four rules
+together: if k of n good documents would go, the exact binomial test P(Bin(n, alpha) <= k) must be at most delta divided
+by the number of strata (Bonferroni). Within a stratum the levels are tested in their order until one fails, which needs
+no further correction (fixed-sequence testing). So with probability 1 - delta no stratum loses more than the share alpha
+of its good documents. A stratum without enough labels certifies no level, and its rules reject nothing.
 """
 
 from __future__ import annotations
@@ -13,13 +16,18 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, bounded_broadcast, cut
+from .common import BLANKS, LOWER, UPPER, bounded_broadcast, cut, held
 
 SYMBOLS = "#*$%&|<>"
-GRID = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7)
 RULES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio")
+#: The cutoffs of each rule, from loose to tight; the levels go through them side by side.
+LEVELS = {
+    "symbol_ratio": (0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02),
+    "dup_line_ratio": (0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1),
+    "repeat_ratio": (0.2, 0.19, 0.18, 0.17, 0.16, 0.15, 0.12, 0.1, 0.08, 0.05),
+    "upper_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15),
+}
 ALPHA, DELTA = 0.01, 0.05
-MAX_STRATA = 100_000
 
 
 def _repeats(at: str) -> Column:
@@ -36,11 +44,6 @@ def _repeats(at: str) -> Column:
     )["n"]
 
 
-def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is worked out here, once per row: nothing is folded through an explode."""
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
 def statistics(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     """doc_id, stratum, the base statistics, base_failed and the four ratios of each row; a null text counts as empty.
 
@@ -50,7 +53,7 @@ def statistics(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     split = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda s: F.translate(s, BLANKS, "") != "")
     a = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), text.alias("text"), lines.alias("ln"))
-    a = _held(a, "w", split)
+    a = held(a, "w", split)
     n = F.size("w")
     hashes = F.when(n >= 5, F.transform(F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 5)))).otherwise(F.array().cast("array<long>"))
     b = a.select(
@@ -58,10 +61,10 @@ def statistics(docs: DataFrame, stratum: str = "lang") -> DataFrame:
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"), F.size("ln").cast("long").alias("n_lines"),
         (F.size("ln") - F.size(F.array_distinct("ln"))).cast("long").alias("n_dup_lines"), (F.length("text") - F.length(F.translate("text", UPPER, ""))).alias("n_upper"), "w",
     )
-    b = _held(b, "h", hashes).drop("w")
+    b = held(b, "h", hashes).drop("w")
     # The dearer path is taken only by texts in which some window comes twice.
     rep = F.when(F.size(F.array_distinct("h")) < F.size("h"), F.lit(True)).otherwise(F.lit(False))
-    at = _held(b, "at", F.when(rep, F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("h")
+    at = held(b, "at", F.when(rep, F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("h")
     c = at.withColumn("n_repeat_words", F.when(F.col("at").isNotNull(), _repeats("at")).otherwise(F.lit(0)).cast("long")).drop("at")
     per = lambda x, y: F.col(x) / F.greatest(F.col(y), F.lit(1))
     return c.select(
@@ -89,28 +92,34 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(top * total)
 
 
-def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per stratum that has labelled good documents: the certified cutoff of each rule, null where none is.
+def _over(level: Column) -> Column:
+    """Whether a row's ratios exceed a cutoff of the level, a number from 1; no cutoff is exceeded at a null level."""
+    out = F.lit(False)
+    for r in RULES:
+        out = out | F.coalesce(F.col(r) > F.get(F.array(*map(F.lit, LEVELS[r])), level - 1), F.lit(False))
+    return out
+
+
+def certified(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, n, level): for each stratum with labelled good documents, their number and its level, null if none holds.
 
     A document with several labels is good only if all call it good; null labels are none. Documents that base statistics
     fail are left out, as the rules never decide on them.
     """
     good = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    held = stats.where("not base_failed").join(good, "doc_id", "left_semi")
-    counts = cut(held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(F.col(r) > c).alias(f"{r}:{i}") for r in RULES for i, c in enumerate(GRID))))
-    strata = counts.count()
-    tried = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut"), F.col(f"`{r}:{i}`").alias("k")) for r in RULES for i, c in enumerate(GRID))))
-    tests = counts.select("stratum", "n", tried.alias("t"))
-    passed = tests.select("stratum", "t.rule", "t.cut", (binomial_tail(F.col("n"), F.col("t.k"), alpha) <= delta / (len(RULES) * len(GRID) * max(strata, 1))).alias("ok"))
-    return passed.groupBy("stratum").agg(*(F.min(F.when((F.col("rule") == r) & F.col("ok"), F.col("cut"))).alias(f"cut_{r}") for r in RULES))
+    held_ = stats.where("not base_failed").join(good, "doc_id", "left_semi")
+    steps = range(1, len(LEVELS[RULES[0]]) + 1)
+    counts = cut(held_.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(_over(F.lit(t))).alias(f"k{t}") for t in steps)))
+    strata = max(counts.count(), 1)
+    tests = counts.select("stratum", "n", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"k{t}").alias("k")) for t in steps))).alias("x"))
+    tests = tests.select("stratum", "n", "x.t", (binomial_tail(F.col("n"), F.col("x.k"), alpha) <= delta / strata).alias("ok"))
+    # Every level rejects what a looser one does: k grows with the level, so no level holds beyond the first that fails.
+    return tests.groupBy("stratum").agg(F.first("n").alias("n"), F.max(F.when(F.col("ok"), F.col("t"))).alias("level"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, stratum: str = "lang") -> DataFrame:
-    """statistics of each row with kept: false if base_failed or some certified cutoff of the stratum is exceeded."""
+    """statistics of each row with level and kept: false if base_failed or some cutoff of the stratum's level is exceeded."""
     stats = cut(statistics(docs, stratum))
-    limits = bounded_broadcast(cut(cutoffs(stats, labels, alpha, delta)), MAX_STRATA)
-    out = stats.join(limits, "stratum", "left")
-    over = F.lit(False)
-    for r in RULES:
-        over = over | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~over)
+    levels = cut(certified(stats, labels, alpha, delta).select("stratum", "level"))
+    out = stats.join(bounded_broadcast(levels, F.octet_length("stratum") + 64), "stratum", "left")
+    return out.withColumn("kept", ~F.col("base_failed") & ~_over(F.col("level")))

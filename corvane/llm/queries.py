@@ -54,7 +54,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "level", "kept")
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_line_dedup, op4_token_counts, op5_simhash, op6_language_id, op7_toxicity, op8_packing, op9_quality_classifier, op10_quality_rules)}

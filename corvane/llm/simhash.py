@@ -3,16 +3,20 @@
 Each document gets a 64-bit fingerprint of its word shingles. Copies collapse to distinct fingerprints first. These are
 dealt into buckets so that any two within the radius share one (the bits are cut into blocks; with at most 4 differing
 bits, at least two of six blocks are equal, and each pair of blocks is a table of buckets). Inside a bucket the distances
-of every fingerprint to a set of reference fingerprints stand in a table: by the triangle inequality, two fingerprints
-whose coordinates differ by more than the radius anywhere cannot be linked, and only survivors are compared. A bucket
-yields a spanning forest of its links, never all its pairs: what has been reached is not looked at again. Buckets of
-more than `block` fingerprints are split into blocks and every two blocks meet in a task of their own, so no task holds
-more than two blocks and no link is lost. Connected components then run over the links.
+of every fingerprint to a set of reference fingerprints stand in a table, whose rows are sorted by the coordinate that
+spreads most: by the triangle inequality, two fingerprints whose coordinates differ by more than the radius anywhere
+cannot be linked. So each is held only against the run of rows whose first coordinate is near enough, that run is
+thinned coordinate by coordinate, and what survives all of them is compared. A bucket yields a spanning forest of its
+links, never all its pairs: what has been reached is not looked at again. Buckets of more than `block` fingerprints are
+split into blocks and every two blocks meet in a task of their own, so no task holds more than two blocks and no link is
+lost. Connected components then run over the links.
 
 Near copies by Jaccard similarity (drop_near_duplicates) lie too many bits apart for any deal of 64 bits: at 0.8 about
 ten. There, links within the radius are verified on the shingle sets and only say which pairs need no further look; the
 others come from an exact split. Shingles have a global order, and two sets similar enough share one among the first few
-of each (prefix filter); all pairs that share one, and that sizes and positions allow, are verified.
+of each (prefix filter). Some rounds first hold each document against one hub of those that it shares a shingle with, so
+that large groups of copies grow together without their pairs; what shares a shingle and is still apart, and what sizes
+and positions allow, is verified pair by pair.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, by_key, connected_components, cut
+from .common import bounded_broadcast, by_key, connected_components, cut, join_split, rows_of
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BLANK = re.compile(rb"[\x20\x09-\x0D]+")
@@ -37,8 +42,8 @@ RADIUS, N_PIVOTS, BLOCKS, BLOCK = 4, 16, 6, 50_000
 _STEP = 1 << 16
 #: Least Jaccard similarity of near copies, documents that the order of shingles is found from, shingles it puts last.
 SIMILARITY, ORDER_SAMPLE, ORDER_LAST = 0.8, 5_000, 200_000
-#: Buckets or documents that may be broadcast; beyond that their join is shuffled.
-MAX_BROADCAST = 1_000_000
+#: Rounds in which documents are held against hubs alone.
+HUB_ROUNDS = 4
 #: For bounds that are whole numbers but for rounding.
 _EPS = 1e-9
 
@@ -72,13 +77,13 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long. One row per row; null and empty texts get 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t, width) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column("text")), np.uint64, b.num_rows)
+            yield rows_of(b, ["doc_id"], {"fp": pa.array(fp.view(np.int64))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def pivots(n: int = N_PIVOTS) -> np.ndarray:
@@ -92,18 +97,24 @@ def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
 
 def spanning_links(fps: np.ndarray, dist: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Positions of links that span each component of the graph of fingerprints within the radius."""
-    left, out = np.arange(len(fps)), []
-    while left.size > 1:
-        frontier, left = [left[0]], left[1:]
-        while frontier and left.size:
+    by = np.argsort(-dist.std(axis=0), kind="stable") if len(fps) else np.arange(dist.shape[1])
+    order = np.argsort(dist[:, by[0]], kind="stable")
+    f, table, left, out = fps[order], np.ascontiguousarray(dist[order][:, by].T), np.ones(len(fps), bool), []
+    lo, hi = np.searchsorted(table[0], table[0] - radius, "left"), np.searchsorted(table[0], table[0] + radius, "right")
+    for start in range(len(f)):
+        frontier = [start] if left[start] else []
+        left[start] = False
+        while frontier:
             x = frontier.pop()
-            near = np.flatnonzero((np.abs(dist[left] - dist[x]) <= radius).all(axis=1))
-            near = near[np.bitwise_count(fps[left[near]] ^ fps[x]) <= radius]
-            if near.size:
-                hit = left[near]
-                out += [(int(x), int(y)) for y in hit]
-                frontier += hit.tolist()
-                left = np.delete(left, near)
+            near = lo[x] + np.flatnonzero(left[lo[x] : hi[x]])
+            for coordinate in table[1:]:
+                if near.size < 2:
+                    break
+                near = near[np.abs(coordinate[near] - coordinate[x]) <= radius]
+            near = near[np.bitwise_count(f[near] ^ f[x]) <= radius]
+            left[near] = False
+            out += [(int(order[x]), int(order[y])) for y in near]
+            frontier += near.tolist()
     return out
 
 
@@ -148,13 +159,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS, block
     doc_id is no candidate for component_id unless its component has no other. Empty tables give no rows.
     """
     fps = cut(fingerprints(docs, width))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     comp = cut(connected_components(links(distinct.select("fp"), radius, blocks)))
     # The smallest doc_id of each component, then of each fingerprint: both tables have a row per distinct fingerprint.
-    named = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = named.select(F.col("fp").alias("__fp"), "root").join(roots, "root").select("__fp", "component_id")
-    return fps.join(of, fps["fp"] == of["__fp"]).select("doc_id", "fp", "component_id")
+    named = cut(distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    roots = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    roots = cut(roots)
+    of = cut(join_split(named.select("fp", "root"), roots.drop("n"), "root", roots).select("fp", "component_id"))
+    return join_split(fps, of, "fp", distinct).select("doc_id", "fp", "component_id")
 
 
 def shingle_order(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,12 +189,12 @@ def shingle_sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(doc_id, fp, k, n, prefix) for each row: a hash of the set of its n shingles, and the first of them in shingle_order."""
     shared = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, width))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for b in batches:
             fp, ks, ns, prefix = [], [], [], []
-            for t in b["text"]:
-                h = shingle_hashes(t, width)
+            for t in b.column("text"):
+                h = shingle_hashes(t.as_py(), width)
                 fp.append(majority(h))
                 s = np.unique(h)
                 ks.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
@@ -193,35 +205,53 @@ def shingle_sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                     n = np.where(common[at] == s, counts[at], 0)
                 first = len(s) - math.ceil(similarity * len(s) - _EPS) + 1 if len(s) else 0
                 prefix.append(s[np.lexsort((s, n))[:first]].view(np.int64))
-            long = lambda x: np.array(x, np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": long(fp), "k": long(ks), "n": np.array(ns, np.int32), "prefix": pd.Series(prefix, dtype=object)})
+            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield rows_of(b, ["doc_id"], {"fp": long(fp), "k": long(ks), "n": pa.array(ns, pa.int32()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long, k long, n int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, k long, n int, prefix array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of k whose sets of shingles have at least this Jaccard similarity; sets are made anew for these alone."""
+def wanted_sets(docs: DataFrame, distinct: DataFrame, ks: DataFrame, width: int) -> DataFrame:
+    """(k, items): the shingle sets of these k, made anew from the texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, width)) for t in b["text"]]
-            yield pd.DataFrame({"k": np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64), "items": pd.Series([s.view(np.int64) for s in sets], dtype=object)})
+            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in b.column("text")]
+            k = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["k", "items"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    places = bounded_broadcast(cut(distinct.join(ends, "k", "left_semi").select(F.col("first").alias("__id")).distinct()), MAX_BROADCAST)
+    places = bounded_broadcast(cut(distinct.join(ks, "k", "left_semi").select(F.col("first").alias("__id")).distinct()), F.octet_length(F.coalesce(F.col("__id").cast("string"), F.lit(""))) + 40)
     # Rows of one doc_id may differ in text: a set that is none of the ends meets no pair.
-    of = docs.select("doc_id", "text").join(places, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text").mapInPandas(run, "k long, items array<long>")
-    of = cut(of.dropDuplicates(["k"]))
-    both = pairs.join(of.select(F.col("k").alias("a"), F.col("items").alias("x")), "a").join(of.select(F.col("k").alias("b"), F.col("items").alias("y")), "b")
+    of = docs.select("doc_id", "text").join(places, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text").mapInArrow(run, "k long, items array<long>")
+    return cut(of.dropDuplicates(["k"]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of k whose sets of shingles have at least this Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - _EPS).select("a", "b")
 
 
+def _may(n, pos, m, at, similarity: float):
+    """Whether sets of n and m shingles that share one at these places of their order can be similar enough."""
+    need = similarity / (1 + similarity) * (n + m) - _EPS
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - _EPS) & (F.least(n - pos, m - at) >= need)
+
+
+def hub_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each k beside one hub of another root that it shares a shingle with. rows as in prefix_pairs."""
+    hubs = cut(rows.groupBy("h").agg(F.min(F.struct("root", "k", "n", "pos")).alias("hub"), F.max("root").alias("hi"), F.count("*").alias("n")).where("hub.root <> hi"))
+    met = join_split(rows.withColumnRenamed("n", "size"), hubs.select("h", "hub"), "h", hubs).where("root <> hub.root").where(_may(F.col("size"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), similarity))
+    one = met.groupBy("k").agg(F.min("hub.k").alias("hub"))
+    return one.select(F.least("k", "hub").alias("a"), F.greatest("k", "hub").alias("b")).distinct()
+
+
 def prefix_pairs(rows: DataFrame, similarity: float, block: int = 2_000) -> DataFrame:
     """(a, b): pairs of k of different roots that may be similar. rows (k, n, root, pos, h): the prefix of each set of n shingles."""
     sizes = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("c > 1 and lo <> hi").select("h", "c")
-    sizes = bounded_broadcast(cut(sizes), MAX_BROADCAST)
+    sizes = bounded_broadcast(cut(sizes), 32)
     parts = F.ceil(F.col("c") / block).cast("int")
     own = F.pmod(F.xxhash64("k"), parts).cast("int")
     dealt = rows.join(sizes, "h").select("h", "k", "n", "root", "pos", own.alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j")).select("h", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "k", "n", "root", "pos")
@@ -257,19 +287,37 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     sets = cut(shingle_sets(docs, width, similarity))
-    distinct = cut(sets.groupBy("k").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    distinct = cut(sets.groupBy("k").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("copies")))
     # Fingerprints that are near or equal, by the smallest k of each.
-    of = distinct.groupBy("fp").agg(F.min("k").alias("low"))
+    of = cut(distinct.groupBy("fp").agg(F.min("k").alias("low"), F.count("*").alias("n")))
     near = links(of.select("fp")).withColumnRenamed("b", "__b").join(of.select(F.col("fp").alias("a"), F.col("low").alias("la")), "a").join(of.select(F.col("fp").alias("__b"), F.col("low").alias("lb")), "__b")
-    equal = distinct.join(of, "fp").where("k <> low")
-    done = cut(verified(near.select(F.col("la").alias("a"), F.col("lb").alias("b")).unionByName(equal.select(F.col("low").alias("a"), F.col("k").alias("b"))), docs, distinct, width, similarity))
+    equal = join_split(distinct.select("k", "fp"), of.select("fp", "low"), "fp", of).where("k <> low")
+    tried = cut(near.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).unionByName(equal.select(F.col("low").alias("a"), F.col("k").alias("b"))).distinct())
+    prefix = distinct.select("k", "n", F.posexplode("prefix").alias("pos", "h"))
+    shared = bounded_broadcast(cut(prefix.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")), 16)
+    # From here on, only what shares a shingle of its prefix.
+    prefix = cut(prefix.join(shared, "h", "left_semi"))
+    ends = tried.select(F.explode(F.array("a", "b")).alias("k")).unionByName(prefix.select("k")).distinct()
+    items = wanted_sets(docs, distinct, ends, width)
+    done = cut(verified(tried, items, similarity))
     comp = cut(connected_components(done))
-    rooted = distinct.join(comp, distinct["k"] == comp["node"], "left").select("k", "n", F.coalesce("root", "k").alias("root"), F.posexplode("prefix").alias("pos", "h"))
-    rest = verified(cut(prefix_pairs(rooted, similarity)), docs, distinct, width, similarity)
+
+    def rooted() -> DataFrame:
+        return prefix.join(comp, prefix["k"] == comp["node"], "left").select("k", "n", F.coalesce("root", "k").alias("root"), "pos", "h")
+
+    for _ in range(HUB_ROUNDS):
+        pairs = cut(hub_pairs(rooted(), similarity).join(tried, ["a", "b"], "left_anti"))
+        more = cut(verified(pairs, items, similarity))
+        if more.isEmpty():
+            break
+        tried, done = cut(tried.unionByName(pairs)), cut(done.unionByName(more))
+        comp = cut(connected_components(done))
+    rest = verified(cut(prefix_pairs(rooted(), similarity).join(tried, ["a", "b"], "left_anti")), items, similarity)
     comp = cut(connected_components(done.unionByName(rest)))
-    named = distinct.join(comp, distinct["k"] == comp["node"], "left").select("k", "first", F.coalesce("root", "k").alias("root"))
-    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return sets.select("doc_id", "k").join(named.select("k", "root").join(roots, "root").select("k", "component_id"), "k").select("doc_id", "component_id")
+    named = cut(distinct.join(comp, distinct["k"] == comp["node"], "left").select("k", "first", "copies", F.coalesce("root", "k").alias("root")))
+    roots = cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    ids = cut(join_split(named.select("k", "root"), roots.drop("n"), "root", roots).select("k", "component_id"))
+    return join_split(sets.select("doc_id", "k"), ids, "k", named.select("k", F.col("copies").alias("n"))).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from .common import LOWER, UPPER
 from .decontaminate import WORD
-from .line_dedup import MIN_CHARS
-from .quality_rules import ALPHA, DELTA, GRID, RULES, SYMBOLS
+from .line_dedup import MAX_EDITS, WORDS_PER_EDIT
+from .quality_rules import ALPHA, DELTA, LEVELS, RULES, SYMBOLS
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 
@@ -24,20 +24,32 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM dw d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
 
-_NORM = r"trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'))"
+_LCP = "coalesce(nullif(list_position(list_transform(list_zip(x, y), lambda z: z[1] IS DISTINCT FROM z[2]), true), 0), greatest(len(x), len(y)) + 1)"
+
+
+def _edit(name: str, before: str, least: int) -> str:
+    """One edit tried in each of its three ways, then the equal words after it cut off."""
+    ways = "[{'x': x[2:], 'y': y[2:]}, {'x': x[2:], 'y': y}, {'x': x, 'y': y[2:]}]"
+    return f"{name} AS (SELECT a, b, k, x[l:] AS x, y[l:] AS y FROM (SELECT *, {_LCP} AS l FROM (SELECT a, b, k, o.x AS x, o.y AS y FROM (SELECT a, b, k, unnest({ways}) AS o FROM {before} WHERE k >= {least}))))"
+
 
 OP3 = f"""
 WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, no, ls[no + 1] AS line FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS no FROM docs)),
-norm AS (SELECT doc_id, no, line, {_NORM} AS t FROM lines),
-firsts AS (SELECT t, min(struct_pack(d := doc_id, n := no)) AS p FROM norm WHERE length(t) >= {MIN_CHARS} GROUP BY t),
-halves AS (SELECT t, p, m, 'p' AS side, t[1:m // 2] AS h FROM firsts, (SELECT unnest([0, 1]) AS more), LATERAL (SELECT length(t) + more AS m)
-  UNION ALL SELECT t, p, m, 's', right(t, CAST(ceil(m / 2.0) AS INT)) FROM firsts, (SELECT unnest([0, 1]) AS more), LATERAL (SELECT length(t) + more AS m)),
-near AS (SELECT DISTINCT b.t FROM halves a JOIN halves b ON a.side = b.side AND a.m = b.m AND a.h = b.h AND a.p < b.p
-  WHERE abs(length(a.t) - length(b.t)) <= 1 AND levenshtein(a.t, b.t) <= 1),
-marked AS (SELECT n.doc_id, n.no, n.line, length(n.t) < {MIN_CHARS} OR (f.p.d = n.doc_id AND f.p.n = n.no AND r.t IS NULL) AS keep,
-  coalesce(length(n.t) >= {MIN_CHARS} AND f.p.d = n.doc_id AND f.p.n = n.no AND r.t IS NOT NULL, false) AS is_near
-  FROM norm n LEFT JOIN firsts f ON f.t = n.t LEFT JOIN near r ON r.t = n.t),
+norm AS (SELECT doc_id, no, line, list_filter(regexp_split_to_array(translate(line, '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM lines),
+firsts AS (SELECT w, len(w) AS n, min(struct_pack(d := doc_id, n := no)) AS p FROM norm WHERE len(w) > 0 GROUP BY w),
+long AS (SELECT w, n, p, m, CAST(least({MAX_EDITS}, m // {WORDS_PER_EDIT}) AS INT) AS k FROM (SELECT *, n + unnest(range({MAX_EDITS} + 1)) AS m FROM firsts)),
+parts AS (SELECT w, n, p, m, k, m // (k + 1) AS s FROM long WHERE k > 0 AND m - n <= k),
+keys AS (SELECT w, n, p, m, k, 'p' AS side, w[1:s] AS h FROM parts UNION ALL SELECT w, n, p, m, k, 's', w[n - s + 1:n] FROM parts
+  UNION ALL SELECT w, n, p, m, k, 'm', w[s + d + 1:2 * s + d] FROM parts, (SELECT unnest([-1, 0, 1]) AS d) WHERE k = 2),
+cand AS (SELECT DISTINCT a.w AS a, b.w AS b, a.k AS k FROM keys a JOIN keys b ON a.side = b.side AND a.m = b.m AND a.h = b.h AND a.p < b.p WHERE a.m = greatest(a.n, b.n)),
+e0 AS (SELECT a, b, k, x[l:] AS x, y[l:] AS y FROM (SELECT *, {_LCP} AS l FROM (SELECT a, b, k, a AS x, b AS y FROM cand))),
+{_edit("e1", "e0", 1)},
+{_edit("e2", "e1", 2)},
+near AS (SELECT DISTINCT b AS w FROM (FROM e0 UNION ALL FROM e1 UNION ALL FROM e2) WHERE len(x) = 0 AND len(y) = 0),
+marked AS (SELECT n.doc_id, n.no, n.line, len(n.w) = 0 OR (f.p.d = n.doc_id AND f.p.n = n.no AND r.w IS NULL) AS keep,
+  coalesce(f.p.d = n.doc_id AND f.p.n = n.no AND r.w IS NOT NULL, false) AS is_near
+  FROM norm n LEFT JOIN firsts f ON f.w = n.w LEFT JOIN near r ON r.w = n.w),
 per AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_removed, count(*) FILTER (is_near) AS n_near,
   string_agg(line, chr(10) ORDER BY no) FILTER (keep) AS text FROM marked GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(p.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(p.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(p.n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(p.text, '')) AS text_sha256
@@ -45,9 +57,11 @@ FROM documents d LEFT JOIN per p USING (doc_id)
 """
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_COUNTS = ", ".join(f"count(*) FILTER ({r} > {c}) AS {r}_{i}" for r in RULES for i, c in enumerate(GRID))
-_TRIED = ", ".join(f"{{'rule': '{r}', 'cut': {c}, 'k': {r}_{i}}}" for r in RULES for i, c in enumerate(GRID))
+_STEPS = range(1, len(LEVELS[RULES[0]]) + 1)
+_COUNTS = ", ".join("count(*) FILTER (" + " OR ".join(f"{r} > {LEVELS[r][t - 1]}" for r in RULES) + f") AS k{t}" for t in _STEPS)
+_TRIED = ", ".join(f"{{'t': {t}, 'k': k{t}}}" for t in _STEPS)
 _TAIL = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))))"
+_OVER = " OR ".join(f"coalesce({r} > list_extract([{', '.join(map(str, LEVELS[r]))}], level), false)" for r in RULES)
 
 OP10 = f"""
 WITH a AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
@@ -63,11 +77,9 @@ s AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
   n_repeat_words / greatest(n_words, 1) AS repeat_ratio, n_upper / greatest(word_chars, 1) AS upper_ratio FROM c),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
 counts AS (SELECT stratum, count(*) AS n, {_COUNTS} FROM s SEMI JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY stratum),
-tests AS (SELECT stratum, n, t.rule AS rule, t.cut AS cut, t.k AS k FROM (SELECT stratum, n, unnest([{_TRIED}]) AS t FROM counts)),
-passed AS (SELECT stratum, rule, min(cut) AS cut FROM tests WHERE k < n * {ALPHA} AND {_TAIL} <= {DELTA} / ({len(RULES) * len(GRID)} * (SELECT count(*) FROM counts)) GROUP BY stratum, rule),
-lim AS (SELECT stratum, {", ".join(f"max(cut) FILTER (rule = '{r}') AS c_{r}" for r in RULES)} FROM passed GROUP BY stratum)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT ({" OR ".join(f"coalesce({r} > c_{r}, false)" for r in RULES)}) AS kept
+tests AS (SELECT stratum, n, x.t AS t, x.k AS k FROM (SELECT stratum, n, unnest([{_TRIED}]) AS x FROM counts)),
+lim AS (SELECT stratum, CAST(max(t) AS INT) AS level FROM tests WHERE k < n * {ALPHA} AND {_TAIL} <= {DELTA} / (SELECT count(*) FROM counts) GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, level, NOT base_failed AND NOT ({_OVER}) AS kept
 FROM s LEFT JOIN lim USING (stratum)
 """
 

@@ -13,16 +13,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
-from .tokenizers_ import counter, version
+from .common import cut, join_split, scratch
+from .tokenizers_ import counter, keeps_white_space, version
 
 SCHEMA = "digest binary, version string, n_tokens long"
 #: Bytes of text given to the tokenizer at once.
 BATCH = 1 << 20
 
 
-def normalise(text: Column, collapse: bool = True) -> Column:
-    """A null text is empty; runs of ASCII white space become a space, for tokenizers that do the same themselves."""
+def normalise(text: Column, collapse: bool) -> Column:
+    """A null text is empty; with collapse, runs of ASCII white space become a space."""
     text = F.coalesce(text, F.lit(""))
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ") if collapse else text
 
@@ -35,18 +35,19 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 2048, collapse: bool = True) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs.
 
-    cache: a folder that outlives the call; by default one of its own in the shared folder. Null and empty texts have 0
-    bytes and 0 tokens. Copies, and texts that differ in white space alone where collapse is set, are encoded once.
-    Repeated rows give repeated results; extra columns are ignored. collapse must be off for tokenizers that keep white
-    space. Two runs that append the same digest at once do no harm: readers take one row per digest.
+    cache: a folder that outlives the call, partitioned by tokenizer version; by default one of its own in the shared
+    folder. Null and empty texts have 0 bytes and 0 tokens. Copies are encoded once, and so are texts that differ in
+    ASCII white space alone if the tokenizer is one that cannot see it. Repeated rows give repeated results; extra columns
+    are ignored. Two runs that append the same digest at once do no harm: readers take one row per digest.
     """
     spark, ver = docs.sparkSession, version(tokenizer)
-    cache = cache or scratch(spark, "token-counts")
+    cache, collapse = cache or scratch(spark, "token-counts"), not keeps_white_space(tokenizer)
     t = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), normalise(F.col("text"), collapse).alias("norm"))
     t = t.withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    places = cut(t.select("doc_id", "n_bytes", "digest"))
 
     def stored() -> DataFrame:
         return read_cache(spark, cache).where(F.col("version") == ver).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
@@ -67,6 +68,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
             counts += count(part)
             yield pd.DataFrame({"digest": b["digest"], "version": ver, "n_tokens": counts})
 
-    misses.mapInPandas(run, SCHEMA).write.mode("append").parquet(cache)
-    out = t.select("doc_id", "n_bytes", "digest").join(stored(), "digest")
+    misses.mapInPandas(run, SCHEMA).write.mode("append").partitionBy("version").parquet(cache)
+    out = join_split(places, stored(), "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -73,7 +73,16 @@ def id_encoder(name: str) -> Callable[[str], np.ndarray]:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     special = {t["content"]: t["id"] for t in model["added_tokens"]}
     fast = tiktoken.Encoding(os.path.basename(ranks_at), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda t: fast.encode_to_numpy(t, allowed_special="all") if _latin(t) else slow(t)
+
+    def encode(t: str) -> np.ndarray:
+        if _latin(t):
+            try:
+                return fast.encode_to_numpy(t, allowed_special="all")
+            except ValueError:  # its pattern gives up on white space of about a million characters in a row
+                pass
+        return slow(t)
+
+    return encode
 
 
 @cache
@@ -108,6 +117,18 @@ def counter(name: str) -> Callable[[list[str]], list[int]]:
     return count
 
 
+@cache
+def keeps_white_space(name: str) -> bool:
+    """Whether the length or kind of ASCII white space between words can change the tokens, as far as its file says.
+
+    It cannot where the normaliser makes one space of any run, and the pre-tokenizer leaves spaces out.
+    """
+    lib = library(name)
+    split = _word_pattern(json.loads(lib.to_str()))
+    probe = "a \t\n\x0b\f\r b  c"
+    return split is None or lib.normalizer.normalize_str(probe) != "a b c" or split("a b c") != ["a", "b", "c"]
+
+
 def _word_pattern(model: dict) -> Callable[[str], list[str]] | None:
     """How the pre-tokenizer cuts a normalised text into words, each of which is then encoded by itself; None if unknown."""
     import regex
