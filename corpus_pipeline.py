@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line equals or nearly equals go; a document left without a word goes with them."""
-    out = line_dedup.drop_emptied(docs, line_dedup.dedup_lines(docs))
+    out = line_dedup.dedup_lines(docs, drop_emptied=True)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -43,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines), ("simhash_dedup", dedup_documents), ("decontamination", drop_benchmark), ("packing", pack)]
 
-#: Compression sizes and token ids have no SQL; tests hold the pipeline against a brute-force version.
+#: Compression sizes and token ids have no SQL; tests hold the pipeline against one in plain Python, stage by stage.
 ORACLE_SQL = None
 
 
