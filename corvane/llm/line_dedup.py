@@ -9,7 +9,7 @@ distance is then verified on the texts. A line goes if an earlier one is equal t
 
 A line of hundreds of words has tens of thousands of such deletions, so only those are emitted that can meet another's.
 By the pigeonhole principle two near lines share their first, middle or last third (their first or last half, where one
-edit is the bound); those keys are counted for all lines. The lines left are cut into segments, more for longer lines,
+edit is the bound); those keys are counted for all lines, with the lengths of the lines under them. The lines left are cut into segments, more for longer lines,
 and again counted outside of each segment, of each two neighbours, and of each two others; deletions are emitted inside
 the segments outside of which a line equals another. Both filters lose no pair, whatever the line's length.
 """
@@ -17,6 +17,8 @@ the segments outside of which a line equals another. Both filters lose no pair,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache, lru_cache
+from itertools import accumulate
 from math import isqrt
 
 import numpy as np
@@ -58,32 +60,51 @@ def near(a: list, b: list, k: int) -> bool:
     return k > 0 and (near(a[1:], b[1:], k - 1) or near(a[1:], b, k - 1) or near(a, b[1:], k - 1))
 
 
-def _hash(kind: bytes, words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(kind + b" ".join(words)) - (1 << 63)
-
-
 def _rounded(v: int) -> int:
     """v cut to its three leading bits, so that lines of nearly equal length mostly have the same."""
     shift = max(0, v.bit_length() - 3)
     return v >> shift << shift
 
 
-def first_keys(w: list[bytes], max_edits: int = MAX_EDITS) -> dict[int, set[tuple[int, str, int]]]:
-    """Hashes of thirds or halves, with the (m, part, length) they stand for: m words has the longer line of a pair."""
-    n, out = len(w), {}
-    made: dict[tuple[int, int], list[tuple[int, str]]] = {}
+@lru_cache(1 << 14)
+def _plan(n: int, max_edits: int) -> list[tuple[int, int, int, list[tuple[int, str, int]]]]:
+    """(seed, first word, end, meanings) of the parts that a line of n words is filed under.
+
+    A meaning is (m, part, length): m words has the longer line of a pair.
+    """
+    plan: dict[tuple[int, int], list[tuple[int, str, int]]] = {}
     for m in range(n, n + max_edits + 1):
         k = bound(m, max_edits)
         if not k or m - n > k:
             continue
         size = _rounded(m // (k + 1))
-        if (k, size) not in made:
-            parts = [(_hash(b"p", w[:size]), "p"), (_hash(b"s", w[n - size :]), "s")]
-            if k == 2:  # one edit on either side: the middle is moved by one at most
-                parts += [(_hash(b"m", w[size + d : 2 * size + d]), "m") for d in (-1, 0, 1)]
-            made[k, size] = parts
-        for h, part in made[k, size]:
-            out.setdefault(h, set()).add((m, part, size))
+        parts = [("p", 0), ("s", n - size)]
+        if k == 2:  # one edit on either side: the middle is moved by one at most
+            parts += [("m", size + d) for d in (-1, 0, 1)]
+        for part, at in parts:
+            plan.setdefault((part, at, at + size), []).append((m, part, size))
+    return [("psm".index(part), a, b, meant) for (part, a, b), meant in plan.items()]
+
+
+def _starts(w: list[bytes]) -> list[int]:
+    """Where each word starts in the joined line, and where one after the last would."""
+    return list(accumulate((len(x) + 1 for x in w), initial=0))
+
+
+def key_list(norm: bytes, w: list[bytes], max_edits: int = MAX_EDITS) -> list[int]:
+    """Hashes of thirds or halves."""
+    plan = _plan(len(w), max_edits)
+    if not plan:
+        return []
+    at = _starts(w)
+    return [xxhash.xxh3_64_intdigest(norm[at[a] : at[b] - 1], seed) - (1 << 63) for seed, a, b, _ in plan]
+
+
+def first_keys(w: list[bytes], max_edits: int = MAX_EDITS) -> dict[int, list[tuple[int, str, int]]]:
+    """The key_list with what each key means."""
+    out: dict[int, list] = {}
+    for h, (*_, meant) in zip(key_list(b" ".join(w), w, max_edits), _plan(len(w), max_edits)):
+        out.setdefault(h, []).extend(meant)
     return out
 
 
@@ -128,48 +149,67 @@ def _salt(m: int, d: int, kind: int, q1: np.ndarray, q2: np.ndarray) -> np.ndarr
     return _mix(_tag(0, d, kind, q1, q2).astype(np.uint64) ^ _mix(np.array([m], np.uint64)))
 
 
-def window_keys(sums: Sums, shared: set[tuple[int, str, int]], max_edits: int = MAX_EDITS) -> tuple[np.ndarray, np.ndarray]:
-    """(key, tag) of all but one or two segments. shared: what first_keys says of the keys that another line has too.
+def met(w: list[bytes], shared: dict[int, int], max_edits: int = MAX_EDITS) -> dict[tuple[int, int], set[tuple[str, int]]]:
+    """For (m, d), the (part, length) that the line shares with one that makes such a pair with it.
+
+    m is the words of the pair's longer line and d how many more they are. shared: the line's first keys under which there
+    are others, each with the lengths modulo 8 of all lines under it, as a set of bits.
+    """
+    n, out = len(w), {}
+    for h, meant in first_keys(w, max_edits).items():
+        if lengths := shared.get(h):
+            for m, part, size in meant:
+                for d in range(bound(m, max_edits) + 1) if m == n else (m - n,):
+                    if lengths >> ((m - d if m == n else m) % 8) & 1:
+                        out.setdefault((m, d), set()).add((part, size))
+    return out
+
+
+def window_keys(sums: Sums, shared: dict[tuple[int, int], set[tuple[str, int]]], max_edits: int = MAX_EDITS) -> tuple[np.ndarray, np.ndarray]:
+    """(key, tag) of all but one or two segments, for the pairs that met() leaves.
 
     A pair's longer line, of m words, cuts the segments; the other is d words shorter, and between two segments it is
     moved by `shift`. The tag holds m - n, d, shift and the segments' numbers.
     """
-    n, keys, tags = sums.n, [], []
-    for m in sorted({x[0] for x in shared}):
-        k, parts = bound(m, max_edits), [(p, size) for x, p, size in shared if x == m]
-        at = _segments(m)
+    n, keys, tags = sums.n, [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for (m, d), parts in sorted(shared.items()):
+        at, k = _segments(m), bound(m, max_edits)
         q = np.arange(len(at) - 1)
 
-        def may(s: np.ndarray, e: np.ndarray) -> np.ndarray:
-            """Whether edits from s to e leave some shared part alone."""
-            ok = np.zeros(len(s), bool)
+        def may(first: np.ndarray, last: np.ndarray, last_start: np.ndarray, first_end: np.ndarray) -> np.ndarray:
+            """Whether edits in windows from first to last leave some shared part alone, each window having one."""
+            ok = np.zeros(len(first), bool)
             for p, size in parts:
-                ok |= e >= size if p == "p" else s <= m - size if p == "s" else (s <= size) & (e >= 2 * size)
+                ok |= first_end >= size if p == "p" else last_start <= m - size if p == "s" else (first <= size) & (last >= 2 * size)
             return ok
 
-        for d in ((m - n,) if m > n else range(k + 1)):
-            q1, q2 = (np.concatenate([q, q[:-1]]), np.concatenate([q, q[1:]])) if k == 2 else (q, q)
-            s, e = at[q1], at[q2 + 1]
-            ok = may(s, e) & (e + n - m >= s)
-            q1, q2, s, e = q1[ok], q2[ok], s[ok], e[ok]
-            rest = sums.p[s] + sums.moved(e + n - m, n, m - n)
-            keys.append(_mix(rest ^ _salt(m, d, 0, q1, q2)))
-            tags.append(_tag(m - n, d, 0, q1, q2))
-            if k < 2:
-                continue
-            a, b = np.triu_indices(len(q), 2)
-            ok = np.zeros(len(a), bool)
-            for p, size in parts:  # either segment has an edit
-                ok |= at[a + 1] >= size if p == "p" else at[b] <= m - size if p == "s" else (at[a] <= size) & (at[b + 1] >= 2 * size)
-            a, b = a[ok], b[ok]
-            for shift in ((-1, 0, 1) if d == 0 else (0,) if m == n else (-1, 0) if d == 1 else (-1,)):
-                x, y, end = at[a + 1] + shift, at[b] + shift, at[b + 1] + n - m
-                ok = (x >= at[a]) & (y >= x) & (end >= y)
-                q1, q2, x, y, end = a[ok], b[ok], x[ok], y[ok], end[ok]
-                rest = sums.p[at[q1]] + sums.moved(x, y, -shift) + sums.moved(end, n, m - n)
-                keys.append(_mix(rest ^ _salt(m, d, 1, q1, q2)))
-                tags.append(_tag(m - n, d, shift, q1, q2))
-    return np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.int64), *tags])
+        q1, q2 = (np.concatenate([q, q[:-1]]), np.concatenate([q, q[1:]])) if k == 2 else (q, q)
+        s, e = at[q1], at[q2 + 1]
+        ok = may(s, e, s, e) & (e + n - m >= s)
+        q1, q2, s, e = q1[ok], q2[ok], s[ok], e[ok]
+        rest = sums.p[s] + sums.moved(e + n - m, n, m - n)
+        keys.append(_mix(rest ^ _salt(m, d, 0, q1, q2)))
+        tags.append(_tag(m - n, d, 0, q1, q2))
+        if k < 2:
+            continue
+        a, b = _far_pairs(len(q))
+        ok = may(at[a], at[b + 1], at[b], at[a + 1])
+        a, b = a[ok], b[ok]
+        before, salt = sums.p[at[a]], _salt(m, d, 1, a, b)
+        end = at[b + 1] + n - m
+        before = before + sums.moved(end, n, m - n)
+        for shift in ((-1, 0, 1) if d == 0 else (0,) if m == n else (-1, 0) if d == 1 else (-1,)):
+            x, y = at[a + 1] + shift, at[b] + shift
+            ok = (x >= at[a]) & (y >= x) & (end >= y)
+            rest = before + sums.moved(x, y, -shift)
+            keys.append(_mix(rest ^ salt)[ok])
+            tags.append(_tag(m - n, d, shift, a, b)[ok])
+    return np.concatenate(keys), np.concatenate(tags)
+
+
+@cache
+def _far_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 2)
 
 
 def _useful(found: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -238,6 +278,7 @@ def deletion_keys(sums: Sums, windows: list[tuple[int, int, int, int, int]], max
 
 
 _LIST = pa.list_(pa.int64())
+_SHARED = pa.list_(pa.struct([("key", pa.int64()), ("lengths", pa.int32())]))
 
 
 def _lines(max_edits: int):
@@ -245,10 +286,10 @@ def _lines(max_edits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, nos, lids, keys = [], [], [], []
+            at, nos, lids, ns, keys = [], [], [], [], []
 
             def out() -> pa.RecordBatch:
-                return rows_of(b, ["doc_id", "h"], {"no": pa.array(nos, pa.int32()), "lid": pa.array(lids, pa.binary()), "keys": pa.array(keys, _LIST)}, at)
+                return rows_of(b, ["doc_id", "h"], {"no": pa.array(nos, pa.int32()), "lid": pa.array(lids, pa.binary()), "n": pa.array(ns, pa.int32()), "keys": pa.array(keys, _LIST)}, at)
 
             for r, text in enumerate(b.column("text")):
                 for no, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
@@ -256,11 +297,13 @@ def _lines(max_edits: int):
                     if w:
                         at.append(r)
                         nos.append(no)
-                        lids.append(xxhash.xxh3_128_digest(b" ".join(w)))
-                        keys.append(list(first_keys(w, max_edits)) if max_edits and len(w) + max_edits >= WORDS_PER_EDIT else [])
+                        ns.append(len(w))
+                        norm = b" ".join(w)
+                        lids.append(xxhash.xxh3_128_digest(norm))
+                        keys.append(key_list(norm, w, max_edits))
                 if len(nos) > 50_000:
                     yield out()
-                    at, nos, lids, keys = [], [], [], []
+                    at, nos, lids, ns, keys = [], [], [], [], []
             yield out()
 
     return run
@@ -278,7 +321,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lids.append(x["lid"])
                 norms.append(normalise(ls[x["no"]]))
                 keys.append(x["keys"])
-        made = {"no": pa.array(nos, pa.int32()), "lid": pa.array(lids, pa.binary()), "norm": pa.array(norms, pa.binary()), "keys": pa.array(keys, _LIST)}
+        made = {"no": pa.array(nos, pa.int32()), "lid": pa.array(lids, pa.binary()), "norm": pa.array(norms, pa.binary()), "keys": pa.array(keys, _SHARED)}
         yield rows_of(b, ["doc_id", "h"], made, at)
 
 
@@ -289,8 +332,8 @@ def _windows(max_edits: int):
                 part = b.slice(x, 512)
                 at, keys, tags = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
                 for r, (norm, shared) in enumerate(zip(part.column("norm"), part.column("keys"))):
-                    w, own = norm.as_py().split(), set(shared.as_py())
-                    key, tag = window_keys(Sums(w), set().union(*(v for h, v in first_keys(w, max_edits).items() if h in own)), max_edits)
+                    w = norm.as_py().split()
+                    key, tag = window_keys(Sums(w), met(w, {x["key"]: x["lengths"] for x in shared.as_py()}, max_edits), max_edits)
                     at += [r] * len(key)
                     keys.append(key)
                     tags.append(tag)
@@ -310,7 +353,7 @@ def _deletions(max_edits: int):
                     at += [r] * len(key)
                     keys.append(key)
                     roles.append(role)
-                yield rows_of(part, ["lid", "place"], {"key": pa.array(np.concatenate(keys).view(np.int64)), "role": pa.array(np.concatenate(roles))}, at)
+                yield rows_of(part, ["lid"], {"key": pa.array(np.concatenate(keys).view(np.int64)), "role": pa.array(np.concatenate(roles))}, at)
 
     return run
 
@@ -329,22 +372,26 @@ def _verified(max_edits: int):
 
 def near_lines(docs: DataFrame, lines: DataFrame, first: DataFrame, kind: str, max_edits: int) -> DataFrame:
     """(lid): distinct lines that are near one whose first place is earlier. docs: doc_id, h and text."""
-    keyed = lines.where(F.size("keys") > 0).select(F.xxhash64("lid").alias("l"), "lid", F.explode("keys").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.min("l").alias("a"), F.max("l").alias("b")).where("a <> b").select("key"))
-    some = keyed.join(bounded_broadcast(shared, 16), "key", "left_semi").groupBy("lid").agg(F.collect_set("key").alias("keys"))
+    keyed = lines.where(F.size("keys") > 0).select(F.xxhash64("lid").alias("l"), "lid", F.expr("shiftleft(1, n % 8)").alias("bit"), F.explode("keys").alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.min("l").alias("a"), F.max("l").alias("b"), F.bit_or("bit").alias("lengths")).where("a <> b").select("key", "lengths"))
+    some = keyed.join(bounded_broadcast(shared, 24), "key").groupBy("lid").agg(F.collect_set(F.struct("key", "lengths")).alias("keys"))
     places = first.join(some, "lid").groupBy("doc_id", "h").agg(F.collect_list(F.struct("no", "lid", "keys")).alias("where"))
     places = cut(places.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "where"))
-    places = bounded_broadcast(places, F.lit(40) + F.aggregate("where", F.lit(0), lambda a, x: a + F.lit(64) + 8 * F.size(x["keys"])))
+    places = bounded_broadcast(places, F.lit(40) + F.aggregate("where", F.lit(0), lambda a, x: a + F.lit(64) + 16 * F.size(x["keys"])))
     texts = docs.join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("doc_id", "h", "text", "where")
-    texts = texts.mapInArrow(_texts, f"doc_id {kind}, h long, no int, lid binary, norm binary, keys array<long>")
+    texts = texts.mapInArrow(_texts, f"doc_id {kind}, h long, no int, lid binary, norm binary, keys array<struct<key:long,lengths:int>>")
     # Repeated rows give a line's first place more than once.
     texts = cut(texts.dropDuplicates(["lid"]).select("lid", _place().alias("place"), "norm", "keys"))
-    tagged = texts.select("lid", "norm", "keys").mapInArrow(_windows(max_edits), "lid binary, key long, tag long")
-    mine = F.xxhash64("lid")
-    common = tagged.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(mine).alias("x"), F.min(mine).alias("a"), F.max(mine).alias("b")).where("a <> b").select("key", F.xxhash64("n", "x").alias("who"))
-    found = tagged.join(common, "key").groupBy("lid").agg(F.collect_set(F.struct("tag", "who")).alias("found"))
-    place = texts.schema["place"].dataType.simpleString()
-    var = cut(texts.select("lid", "place", "norm").join(found, "lid").mapInArrow(_deletions(max_edits), f"lid binary, place {place}, key long, role byte"))
+    # Most keys have one line: those go first, and only the rest is looked at closely.
+    tagged = _shared(cut(texts.select("lid", "norm", "keys").mapInArrow(_windows(max_edits), "lid binary, key long, tag long")))
+    # Of lines that differ in length, a key needs a longer one and a shorter one. A low half counts the former, a high one the latter.
+    over, d = F.floor(F.col("tag") / (9 * _Q * _Q)), F.floor(F.col("tag") / (3 * _Q * _Q)) % 3
+    half, mine = 1 << 32, F.xxhash64("lid")
+    common = tagged.groupBy("key").agg(F.sum(F.when(over > 0, F.lit(half)).otherwise(F.lit(1)).cast("long")).alias("n"), F.bit_xor(mine).alias("x"), F.min(mine).alias("a"), F.max(mine).alias("b"), F.first(d == 0).alias("same"))
+    common = common.where("a <> b").where(F.when(F.col("same"), F.lit(True)).otherwise((F.col("n") > half) & (F.col("n") % half > 0)))
+    found = tagged.join(common.select("key", F.xxhash64("n", "x").alias("who")), "key").groupBy("lid").agg(F.collect_set(F.struct("tag", "who")).alias("found"))
+    var = _shared(cut(texts.select("lid", "norm").join(found, "lid").mapInArrow(_deletions(max_edits), "lid binary, key long, role byte")))
+    var = var.join(texts.select("lid", "place"), "lid")
     who = F.struct("place", "lid")
     of = lambda r: F.when(F.col("role") == r, who)
     best = var.groupBy("key").agg(F.min(of(0)).alias("m0"), F.max(of(0)).alias("x0"), F.min(of(1)).alias("m1"), F.min(of(2)).alias("m2")).where("m0 <> x0 or (m1 is not null and m2 is not null)")
@@ -355,6 +402,12 @@ def near_lines(docs: DataFrame, lines: DataFrame, first: DataFrame, kind: str, m
     return ends.select("lid", "norm", "__norm").mapInArrow(_verified(max_edits), "lid binary").distinct()
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows of keyed whose key comes more than once."""
+    keys = cut(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    return cut(keyed.join(bounded_broadcast(keys, 16), "key", "left_semi"))
+
+
 def _place():
     """What "earliest" goes by: doc_id, null ones last, then rows of one doc_id by a hash of their text, then line number."""
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "no")
@@ -372,7 +425,7 @@ def line_decisions(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
         raise ValueError("max_edits must be 0, 1 or 2")
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    lines = cut(own.mapInArrow(_lines(max_edits), f"doc_id {kind}, h long, no int, lid binary, keys array<long>"))
+    lines = cut(own.mapInArrow(_lines(max_edits), f"doc_id {kind}, h long, no int, lid binary, n int, keys array<long>"))
     first = lines.groupBy("lid").agg(F.min(_place()).alias("p")).select("lid", "p.doc_id", "p.h", "p.no")
     first = cut(first) if max_edits else first
     # The places that stay are first places, of which no line has more than one: no line's copies are joined to it.
