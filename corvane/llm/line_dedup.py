@@ -115,12 +115,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+_KINDS = [_mix(np.array([kind], np.uint64)) for kind in range(7)]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
+_POWERS = _powers(_BASE, 4096)
+_MOVES = {i: _U(pow(_BASE if i > 0 else _INVERSE, abs(i), 1 << 64)) for i in range(-2, 3)}
+
+
 class Sums:
     """Running sums of a polynomial hash modulo 2^64 over the words' hashes: any range, moved anywhere, is one difference."""
 
@@ -128,14 +135,14 @@ class Sums:
         self.n = n = len(w)
         codes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w), np.uint64, n)
         self.p = np.zeros(n + 1, np.uint64)
-        np.cumsum(_mix(codes) * _powers(_BASE, n), out=self.p[1:])
-        self.up, self.down = [_U(pow(_BASE, i, 1 << 64)) for i in range(3)], [_U(pow(_INVERSE, i, 1 << 64)) for i in range(3)]
+        np.cumsum(_mix(codes) * (_POWERS[:n] if n <= len(_POWERS) else _powers(_BASE, n)), out=self.p[1:])
 
     def moved(self, x, y, by: int):
         """The hash of words x to y, as if they stood `by` places further."""
-        return (self.p[y] - self.p[x]) * (self.up[by] if by >= 0 else self.down[-by])
+        return (self.p[y] - self.p[x]) * _MOVES[by]
 
 
+@lru_cache(1 << 14)
 def _segments(m: int) -> np.ndarray:
     s = max(6, isqrt(m))
     return np.arange(s + 1) * m // s
@@ -173,38 +180,43 @@ def window_keys(sums: Sums, shared: dict[tuple[int, int], set[tuple[str, int]]],
     """
     n, keys, tags = sums.n, [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for (m, d), parts in sorted(shared.items()):
-        at, k = _segments(m), bound(m, max_edits)
-        q = np.arange(len(at) - 1)
-
-        def may(first: np.ndarray, last: np.ndarray, last_start: np.ndarray, first_end: np.ndarray) -> np.ndarray:
-            """Whether edits in windows from first to last leave some shared part alone, each window having one."""
-            ok = np.zeros(len(first), bool)
-            for p, size in parts:
-                ok |= first_end >= size if p == "p" else last_start <= m - size if p == "s" else (first <= size) & (last >= 2 * size)
-            return ok
-
-        q1, q2 = (np.concatenate([q, q[:-1]]), np.concatenate([q, q[1:]])) if k == 2 else (q, q)
-        s, e = at[q1], at[q2 + 1]
-        ok = may(s, e, s, e) & (e + n - m >= s)
-        q1, q2, s, e = q1[ok], q2[ok], s[ok], e[ok]
-        rest = sums.p[s] + sums.moved(e + n - m, n, m - n)
-        keys.append(_mix(rest ^ _salt(m, d, 0, q1, q2)))
-        tags.append(_tag(m - n, d, 0, q1, q2))
-        if k < 2:
-            continue
+        find = _windows_of if m < 256 else _windows_of.__wrapped__  # what is remembered stays small
+        for s, x, y, e, by, salt, tag in find(n, m, d, bound(m, max_edits), frozenset(parts)):
+            rest = sums.p[s] + sums.moved(e, n, m - n)
+            if x is not None:
+                rest = rest + sums.moved(x, y, by)
+            keys.append(_mix(rest ^ salt))
+            tags.append(tag)
+    return np.concatenate(keys), np.concatenate(tags)
+
+
+@lru_cache(1 << 12)
+def _windows_of(n: int, m: int, d: int, k: int, parts: frozenset) -> list[tuple]:
+    """(end of the start, middle's start and end or none, start of the end, middle's move, salt, tag), arrays over windows."""
+    at = _segments(m)
+    q = np.arange(len(at) - 1)
+
+    def may(first: np.ndarray, last: np.ndarray, last_start: np.ndarray, first_end: np.ndarray) -> np.ndarray:
+        """Whether edits in windows from first to last leave some shared part alone, each window having one."""
+        ok = np.zeros(len(first), bool)
+        for p, size in parts:
+            ok |= first_end >= size if p == "p" else last_start <= m - size if p == "s" else (first <= size) & (last >= 2 * size)
+        return ok
+
+    q1, q2 = (np.concatenate([q, q[:-1]]), np.concatenate([q, q[1:]])) if k == 2 else (q, q)
+    s, e = at[q1], at[q2 + 1]
+    ok = may(s, e, s, e) & (e + n - m >= s)
+    q1, q2, s, e = q1[ok], q2[ok], s[ok], e[ok]
+    out = [(s, None, None, e + n - m, 0, _salt(m, d, 0, q1, q2), _tag(m - n, d, 0, q1, q2))]
+    if k == 2:
         a, b = _far_pairs(len(q))
         ok = may(at[a], at[b + 1], at[b], at[a + 1])
         a, b = a[ok], b[ok]
-        before, salt = sums.p[at[a]], _salt(m, d, 1, a, b)
-        end = at[b + 1] + n - m
-        before = before + sums.moved(end, n, m - n)
         for shift in ((-1, 0, 1) if d == 0 else (0,) if m == n else (-1, 0) if d == 1 else (-1,)):
-            x, y = at[a + 1] + shift, at[b] + shift
+            x, y, end = at[a + 1] + shift, at[b] + shift, at[b + 1] + n - m
             ok = (x >= at[a]) & (y >= x) & (end >= y)
-            rest = before + sums.moved(x, y, -shift)
-            keys.append(_mix(rest ^ salt)[ok])
-            tags.append(_tag(m - n, d, shift, a, b)[ok])
-    return np.concatenate(keys), np.concatenate(tags)
+            out.append((at[a][ok], x[ok], y[ok], end[ok], -shift, _salt(m, d, 1, a, b)[ok], _tag(m - n, d, shift, a, b)[ok]))
+    return out
 
 
 @cache
@@ -229,7 +241,7 @@ def deletion_keys(sums: Sums, windows: list[tuple[int, int, int, int, int]], max
     keys, roles = [], []
 
     def add(kind: int, role: int, rest: np.ndarray, *places: np.ndarray) -> None:
-        key = _mix(rest ^ _mix(np.array([kind], np.uint64)))
+        key = _mix(rest ^ _KINDS[kind])
         for x in places:
             key = _mix(key + _mix(x.astype(np.uint64) + _U(0x51)))
         keys.append(key)
@@ -273,7 +285,7 @@ def deletion_keys(sums: Sums, windows: list[tuple[int, int, int, int, int]], max
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int8)
     key, role = np.concatenate(keys), np.concatenate(roles)
-    _, first = np.unique(np.stack([key, role.astype(np.uint64)]), axis=1, return_index=True)
+    _, first = np.unique(key + role.astype(np.uint64), return_index=True)
     return key[first], role[first]
 
 
