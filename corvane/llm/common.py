@@ -146,8 +146,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the smallest node of its component.
 
     Alternates large-star and small-star steps; each round is written to the shared folder, and only a count and a
-    checksum come to the driver. Every step groups with partial aggregation and joins one row per node, the nodes of
-    many links by broadcast, so no star is dealt to one task. No edges give no rows; self-links and repeats are ignored. RuntimeError if it does not settle.
+    checksum come to the driver. Every step groups with partial aggregation and joins one row per node; a join
+    at a node of very many links is left to AQE to split. No edges give no rows; self-links and repeats are ignored. RuntimeError if it does not settle.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
@@ -159,10 +159,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not now[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
-        large = cut(join_split(both, low.drop("n"), "u", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low2 = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        pairs = join_split(large, low2.drop("n"), "u", low2).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        pairs = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
         e = cut(pairs.select("p.u", "p.v").where("u <> v").distinct())
         before, now = now, state(e)
         if now == before:

@@ -227,8 +227,9 @@ def wanted_sets(docs: DataFrame, distinct: DataFrame, ks: DataFrame, width: int)
     return cut(of.dropDuplicates(["k"]))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of k whose sets of shingles have at least this Jaccard similarity."""
+def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of k whose sets of shingles have at least this Jaccard similarity; sets are made for these alone."""
+    sets = wanted_sets(docs, distinct, pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), width)
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - _EPS).select("a", "b")
@@ -297,9 +298,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
     shared = bounded_broadcast(cut(prefix.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")), 16)
     # From here on, only what shares a shingle of its prefix.
     prefix = cut(prefix.join(shared, "h", "left_semi"))
-    ends = tried.select(F.explode(F.array("a", "b")).alias("k")).unionByName(prefix.select("k")).distinct()
-    items = wanted_sets(docs, distinct, ends, width)
-    done = cut(verified(tried, items, similarity))
+    check = lambda pairs: cut(verified(pairs, docs, distinct, width, similarity))
+    done = check(tried)
     comp = cut(connected_components(done))
 
     def rooted() -> DataFrame:
@@ -307,12 +307,12 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
 
     for _ in range(HUB_ROUNDS):
         pairs = cut(hub_pairs(rooted(), similarity).join(tried, ["a", "b"], "left_anti"))
-        more = cut(verified(pairs, items, similarity))
+        more = check(pairs)
         if more.isEmpty():
             break
         tried, done = cut(tried.unionByName(pairs)), cut(done.unionByName(more))
         comp = cut(connected_components(done))
-    rest = verified(cut(prefix_pairs(rooted(), similarity).join(tried, ["a", "b"], "left_anti")), items, similarity)
+    rest = check(cut(prefix_pairs(rooted(), similarity).join(tried, ["a", "b"], "left_anti")))
     comp = cut(connected_components(done.unionByName(rest)))
     named = cut(distinct.join(comp, distinct["k"] == comp["node"], "left").select("k", "first", "copies", F.coalesce("root", "k").alias("root")))
     roots = cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
