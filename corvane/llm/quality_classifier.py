@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, rows_of
+from .common import crc_mod, rows_of, scratch
 
 REACH, NONZERO = 2, 4
 #: Labelled rows that the network may be fitted on, of each label.
@@ -37,7 +37,7 @@ STEP = 1 << 17
 class Space:
     """Hash buckets of word types and dimensions of their vectors: the driver and each worker hold buckets x dim floats twice."""
 
-    buckets: int = 1 << 16
+    buckets: int = 1 << 15
     dim: int = 64
 
     def index(self) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +134,10 @@ def tokenised(docs: DataFrame, space: Space) -> DataFrame:
                 n = len(u)
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, schema.field("doc_id").type), pa.nulls(n, ids_type), pa.nulls(n, ids_type), pa.array(u.astype(np.int32)), pa.array(list(rows[u]), ids_type)], schema=schema)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return cut(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, counts array<int>, bucket int, v array<int>"))
+    kind, at = docs.schema["doc_id"].dataType.simpleString(), scratch(docs.sparkSession, "tokens")
+    # Parquet packs the small numbers that these mostly are; a checkpoint would be larger than the texts.
+    docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, counts array<int>, bucket int, v array<int>").write.parquet(at)
+    return docs.sparkSession.read.parquet(at)
 
 
 def word_vectors(tokens: DataFrame, space: Space) -> np.ndarray:
