@@ -111,7 +111,23 @@ def preview(text: Column, width: int = 160) -> Column:
 
 
 def camel_to_snake(name: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(name, r"([A-Z]+)([A-Z][a-z])", "$1_$2"), r"([a-z0-9])([A-Z])", "$1_$2"))
+    """Underscores before capitals that have a lower-case letter beside them, but not at the start."""
+    return F.lower(F.regexp_replace(name, r"(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z0-9])(?=[A-Z][a-z])", "_"))
+
+
+def truncate_bytes(text: Column, most: int) -> Column:
+    """The longest start of the text that takes at most `most` bytes in UTF-8 and cuts no character."""
+    b = F.substring(F.encode(text, "UTF-8"), 1, most)
+    # At most three bytes of a cut character are at the end.
+    tries = F.array(*(F.substring(F.encode(text, "UTF-8"), 1, max(most - k, 0)) for k in range(1, 4)))
+    ok = lambda x: F.is_valid_utf8(x.cast("string"))
+    return F.when(ok(b), b).otherwise(F.element_at(F.filter(tries, ok), 1)).cast("string")
+
+
+def line_range(text: Column, start: int, end: int) -> Column:
+    """Lines start to end (from 1, inclusive, clamped); empty if there are none."""
+    lo = max(start, 1)
+    return F.array_join(F.slice(F.split(text, "\n"), lo, max(end - lo + 1, 0)), "\n")
 
 
 def fold_path(path: Column) -> Column:

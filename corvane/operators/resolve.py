@@ -17,7 +17,10 @@ EXTRA = {"ruby": ["rb"], "bash": ["sh"], "lua": ["lua"], "r": ["R", "r"], "racke
 JS = ["ts", "tsx", "js", "jsx", "mjs", "cjs"]
 #: Languages of dotted modules, the extensions of their files, and whether a wildcard means a whole directory.
 DOTTED = {"java": (["java"], True), "kotlin": (["kt", "kts"], True), "groovy": (["groovy"], True), "scala": (["scala"], True), "csharp": (["cs"], False), "elm": (["elm"], False), "haskell": (["hs", "lhs"], False), "d": (["d", "di"], False), "julia": (["jl"], False), "lua": (["lua"], False)}
-ROOTS = ["", "src", "lib", "src/main/java", "src/main/kotlin", "src/main/scala", "src/main/groovy", "app", "source"]
+#: Conventional source roots. Beside them every top-level directory of the paths is one.
+ROOTS = ["", "src", "lib", "app", "source", "rtl", "hdl", *(f"src/{part}/{lang}" for part in ("main", "test") for lang in ("java", "kotlin", "scala", "groovy"))]
+#: Languages without imports of files.
+UNRESOLVED = ["wgsl"]
 
 
 def _with(base: Column, exts: list[str]) -> Column:
@@ -37,12 +40,17 @@ def beside(importer: Column, raw: Column) -> Column:
     return fold_path(F.concat(parent_dir(importer), F.lit("/"), raw))
 
 
-def candidates(imports: DataFrame) -> DataFrame:
-    """(import_id, path) and (import_id, dir): files and directories an import may mean."""
+def candidates(imports: DataFrame, top: bool = False) -> DataFrame:
+    """(import_id, path) and (import_id, dir): files and directories an import may mean.
+
+    With top, only what may lie below a root, named from there: to be matched with paths less their top-level directory.
+    """
+    under = (lambda rel: F.array(rel)) if top else _under
     i, raw, name, lang = imports, F.col("raw_path"), F.col("imported_name"), F.col("lang")
     plain = F.regexp_replace(raw, r"[.](\*|_)$", "")
     rel = beside(F.col("importer"), raw)
     none = F.array().cast("array<string>")
+    here = none if top else F.array(rel)
     literal = F.array(rel)
     for k, v in EXTRA.items():
         literal = F.when(lang == k, _with(rel, v)).otherwise(literal)
@@ -51,28 +59,30 @@ def candidates(imports: DataFrame) -> DataFrame:
     dots = F.length(F.regexp_extract(raw, r"^\.*", 0))
     tail = F.replace(F.regexp_replace(plain, r"^\.*", ""), F.lit("."), F.lit("/"))
     up = F.concat(F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), tail)
-    mods = F.when(dots > 0, F.array(beside(F.col("importer"), up))).otherwise(_under(tail))
+    mods = F.when(dots > 0, F.array(beside(F.col("importer"), up))).otherwise(under(tail))
     join = lambda m, s: F.when(m == "", s.substr(F.lit(2), F.lit(10_000))).otherwise(F.concat(m, s))
     py = F.flatten(F.transform(mods, lambda m: F.array(F.concat(m, F.lit(".py")), join(m, F.lit("/__init__.py")), join(m, F.concat(F.lit("/"), name, F.lit(".py"))), join(m, F.concat(F.lit("/"), name, F.lit("/__init__.py"))))))
     dotted, dirs = none, none
     for k, (exts, package) in DOTTED.items():
-        one = _each(_under(F.replace(plain, F.lit("."), F.lit("/"))), exts)
+        one = _each(under(F.replace(plain, F.lit("."), F.lit("/"))), exts)
         dotted = F.when(lang == k, F.when(F.col("is_wildcard"), none).otherwise(one) if package else one).otherwise(dotted)
         if package:
-            dirs = F.when((lang == k) & F.col("is_wildcard"), _under(F.replace(plain, F.lit("."), F.lit("/")))).otherwise(dirs)
+            dirs = F.when((lang == k) & F.col("is_wildcard"), under(F.replace(plain, F.lit("."), F.lit("/")))).otherwise(dirs)
     flat = {
-        "ada": _each(_under(F.replace(F.lower(plain), F.lit("."), F.lit("-"))), ["ads", "adb"]),
-        "ocaml": _each(_under(F.lower(F.split_part(plain, F.lit("."), F.lit(1)))), ["ml", "mli"]),
-        "perl": _each(_under(F.replace(plain, F.lit("::"), F.lit("/"))), ["pm"]),
-        "fortran": F.concat(F.array(rel), _each(F.concat(_under(plain), _under(F.lower(plain))), ["f90", "f95", "f03", "f08", "f", "for", "F90", "F", "FOR"])),
-        "vhdl": _each(F.concat(_under(plain), _under(F.lower(plain))), ["vhd", "vhdl"]),
-        "nim": _each(F.concat(F.array(rel), _under(raw)), ["nim"]),
-        "elixir": _each(_under(F.array_join(F.transform(F.split(plain, r"\."), camel_to_snake), "/")), ["ex", "exs"]),
+        "ada": _each(under(F.replace(F.lower(plain), F.lit("."), F.lit("-"))), ["ads", "adb"]),
+        "ocaml": _each(under(F.lower(F.split_part(plain, F.lit("."), F.lit(1)))), ["ml", "mli"]),
+        "perl": _each(under(F.replace(plain, F.lit("::"), F.lit("/"))), ["pm"]),
+        "fortran": F.concat(here, _each(F.concat(under(plain), under(F.lower(plain))), ["f90", "f95", "f03", "f08", "f", "for", "F90", "F", "FOR"])),
+        "vhdl": _each(F.concat(under(plain), under(F.lower(plain))), ["vhd", "vhdl"]),
+        "nim": _each(F.concat(here, under(raw)), ["nim"]),
+        "elixir": _each(under(F.array_join(F.transform(F.split(plain, r"\."), camel_to_snake), "/")), ["ex", "exs"]),
     }
     tries = F.when(lang.isin("javascript", "typescript", "tsx", "svelte", "vue"), js).when(lang == "python", py).when(lang.isin(*DOTTED), dotted)
     for k, v in flat.items():
         tries = tries.when(lang == k, v)
-    tries = tries.when(lang.isin("swift", "hcl", "go", "rust"), none).otherwise(literal)
+    tries = tries.when(lang.isin("swift", "hcl", "go", "rust", *UNRESOLVED), none).otherwise(literal)
+    if top:
+        i = i.where(lang.isin("python", *DOTTED, *flat) & ~raw.startswith("."))
     dirs = F.when(lang == "hcl", F.array(rel)).when(lang == "swift", F.array(F.concat(F.lit("Sources/"), plain))).otherwise(dirs)
     paths = i.select("import_id", F.explode(F.array_distinct(tries)).alias("path")).where("path is not null")
     return paths.withColumn("dir", F.lit(None).cast("string")).unionByName(i.select("import_id", F.explode(dirs).alias("dir")).withColumn("path", F.lit(None).cast("string"))).join(i.select("import_id", "lang"), "import_id")
@@ -82,11 +92,16 @@ def resolve(imports: DataFrame, paths: DataFrame, manifests: DataFrame | None =
     """Distinct (import_id, path). Both joins are equi joins on a path or directory, hashed like any other key."""
     c = candidates(imports)
     files = c.where("path is not null").join(paths.select("path"), "path", "left_semi").select("import_id", "path")
+    below = candidates(imports, top=True).withColumnRenamed("path", "short")
+    shorter = paths.where(F.contains("path", F.lit("/"))).select(paths["path"], F.regexp_replace("path", r"\A[^/]*/", "").alias("short"))
+    files = files.unionByName(below.where("short is not null").join(shorter, "short").select("import_id", "path"))
     ext = F.regexp_extract("path", r"\.([^./]*)$", 1)
     p = paths.select("path", parent_dir(F.col("path")).alias("dir"), ext.alias("ext"))
     deep = paths.select("path", F.concat(F.lit("Sources/"), F.split_part(F.col("path"), F.lit("/"), F.lit(2))).alias("dir"), ext.alias("ext")).where("path like 'Sources/%'")
     want = reduce(lambda a, k: a.when(F.col("lang") == k, F.array(*map(F.lit, DOTTED[k][0]))), [k for k in DOTTED if DOTTED[k][1]], F.when(F.col("lang") == "hcl", F.array(F.lit("tf"))))
     d = c.where("dir is not null and lang <> 'swift'").join(p, "dir").where(F.array_contains(want, F.col("ext"))).select("import_id", p["path"])
+    q = p.where(F.contains("dir", F.lit("/"))).withColumn("dir", F.regexp_replace("dir", r"\A[^/]*/", ""))
+    d = d.unionByName(below.where("dir is not null").join(q, "dir").where(F.array_contains(want, F.col("ext"))).select("import_id", q["path"]))
     s = c.where("dir is not null and lang = 'swift'").join(deep, "dir").where("ext = 'swift'").select("import_id", deep["path"])
     return files.unionByName(d).unionByName(s).unionByName(resolve_go(imports, paths, manifests)).unionByName(resolve_rust(imports, paths, crates)).distinct()
 

@@ -20,11 +20,14 @@ def rollback(manifest: DataFrame, to: int | None = None) -> DataFrame:
 
 
 def verdicts(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The first rule in order that fits each call: tool equal or *, and its pattern, if any, on the argument."""
+    """The first rule in order that fits each call: tool equal or *, and its pattern, if any, on the argument.
+
+    Without one, and where it says "ask", the verdict is the fallback.
+    """
     r = rules.select(F.col("tool").alias("__t"), F.col("pattern").alias("__p"), "action", "ord")
     fits = ((F.col("__t") == "*") | (F.col("__t") == F.col("tool"))) & (F.col("__p").isNull() | F.coalesce(F.expr("arg rlike __rx"), F.lit(False)))
     j = calls.join(F.broadcast(r.withColumn("__rx", glob_regex(F.col("__p")))), fits, "left")
-    return j.groupBy("call_id").agg(F.coalesce(F.min_by("action", "ord"), F.lit("fallback")).alias("verdict"))
+    return j.groupBy("call_id").agg(F.coalesce(F.min_by(F.when(F.col("action") != "ask", F.col("action")).otherwise("fallback"), "ord"), F.lit("fallback")).alias("verdict"))
 
 
 def bursts(events: DataFrame, key: str, ts_ms: str, gap: int = 600) -> DataFrame:

@@ -107,6 +107,9 @@ def lang_tag(spark, sf):
 @query("SELECT 'docs/' || doc_id || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS hash FROM documents WHERE text IS NOT NULL AND strlen(text) <= 2097152")
 def file_gates(spark, sf):
     f = read(spark, sf, "documents").select(F.concat(F.lit("docs\\"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("size"))
+    # One file too large, one binary and one ill-coded, none of which passes.
+    bad = spark.sql("select * from values ('big', cast(repeat('a', 2097153) as binary)), ('binary', X'6100'), ('coded', X'C328') as t(path, content)")
+    f = f.unionByName(bad.withColumn("size", F.octet_length("content").cast("long")))
     return index.gate(f).select("path", "size", "hash")
 
 
@@ -445,3 +448,89 @@ _CODE = [("a.py", "python", "import os\nfrom .m import f as g\nclass A:\n    def
 def extract_code(spark, sf):
     f = spark.createDataFrame(_CODE, "path string, lang string, text string")
     return repo.extract(f).select("path", "what", F.coalesce("name", F.lit("")).alias("name"), F.col("start_line").alias("line"))
+
+
+@query("SELECT doc_id, coalesce(array_to_string((string_split(text, chr(10)))[2:4], chr(10)), '') AS lines FROM documents WHERE text IS NOT NULL")
+def read_lines(spark, sf):
+    return read(spark, sf, "documents").where("text is not null").select("doc_id", T.line_range(F.col("text"), 2, 4).alias("lines"))
+
+
+@query("SELECT doc_id, 'docs/' || doc_id || '.txt:1-' || len(string_split(text, chr(10))) || ' (' || coalesce(lang, 'text') || ')' AS header, array_to_string((string_split(text, chr(10)))[1:6], chr(10)) AS body FROM documents WHERE text IS NOT NULL")
+def hit_rendering(spark, sf):
+    lines = F.size(F.split("text", "\n"))
+    header = F.format_string("docs/%s.txt:1-%d (%s)", F.col("doc_id").cast("string"), lines, F.coalesce("lang", F.lit("text")))
+    return read(spark, sf, "documents").where("text is not null").select("doc_id", header.alias("header"), T.line_range(F.col("text"), 1, 6).alias("body"))
+
+
+_COUNTED = ["documents", "pages", "embeddings", "conversations", "events"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _COUNTED))
+def table_counts(spark, sf):
+    out = [read(spark, sf, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in _COUNTED]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
+
+@query("SELECT DISTINCT p_type AS model FROM part")
+def distinct_models(spark, sf):
+    return read(spark, sf, "part").select(F.col("p_type").alias("model")).distinct()
+
+
+@query("SELECT p_brand AS kind, min_by(p_name, {'s': p_size, 'k': p_partkey}) AS smallest, max_by(p_name, {'s': p_size, 'k': p_partkey}) AS largest FROM part GROUP BY p_brand")
+def size_extremes(spark, sf):
+    by = F.struct("p_size", "p_partkey")
+    return read(spark, sf, "part").groupBy(F.col("p_brand").alias("kind")).agg(F.min_by("p_name", by).alias("smallest"), F.max_by("p_name", by).alias("largest"))
+
+
+# The longest start of at most 300 bytes, found in SQL by summing the characters' bytes.
+@query("SELECT doc_id, coalesce((SELECT string_agg(c, '' ORDER BY i) FROM (SELECT c, i, sum(octet_length(encode(c))) OVER (ORDER BY i) AS b FROM (SELECT unnest(string_split(left(text, 300), '')) AS c, generate_subscripts(string_split(left(text, 300), ''), 1) AS i)) WHERE b <= 300), '') AS cut FROM documents WHERE text IS NOT NULL")
+def byte_truncation(spark, sf):
+    return read(spark, sf, "documents").where("text is not null").select("doc_id", T.truncate_bytes(F.col("text"), 300).alias("cut"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = (SELECT max(conv_id) FROM conversations)")
+def latest_session(spark, sf):
+    c = read(spark, sf, "conversations")
+    return c.join(F.broadcast(c.agg(F.max("conv_id").alias("conv_id"))), "conv_id", "left_semi").select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND contains(lower(text), 'the') ORDER BY conv_id DESC, turn DESC LIMIT 20")
+def history_search(spark, sf):
+    """The latest 20 questions that hold a word: the limit is the feature."""
+    hit = read(spark, sf, "conversations").where((F.col("role") == "user") & F.contains(F.lower("text"), F.lit("the")))
+    return hit.orderBy(F.desc("conv_id"), F.desc("turn")).limit(20).select("conv_id", "turn", "text")
+
+
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch_s, CAST(floor(epoch((SELECT max(ts) FROM events))) AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) AS seconds_ago FROM events")
+def seconds_ago(spark, sf):
+    e = read(spark, sf, "events")
+    now = e.agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("now"))
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return e.crossJoin(F.broadcast(now)).select("event_id", at.alias("epoch_s"), (F.col("now") - at).alias("seconds_ago"))
+
+
+@query("SELECT count(*) > 0 AS found FROM embeddings WHERE embedding IS NOT NULL")
+def has_embeddings(spark, sf):
+    some = read(spark, sf, "embeddings").where("embedding is not null").limit(1)
+    return some.agg((F.count("*") > 0).alias("found"))
+
+
+_ROOT_PATHS = "backend/shop/models.py src/test/java/org/acme/T.java tools/org/acme/U.java hdl/alu.vhd deep/in/shop/models.py shader.wgsl"
+_ROOT_IMPORTS = "(1, 'x.py', 'python', 'shop.models', NULL, false), (2, 'A.java', 'java', 'org.acme.T', 'T', false), (3, 'A.java', 'java', 'org.acme.*', NULL, true), (4, 'top.vhd', 'vhdl', 'alu', NULL, true), (5, 'a.wgsl', 'wgsl', 'shader.wgsl', NULL, false)"
+_ROOT_SQL = f"""
+WITH i AS {rel(_ROOT_IMPORTS, "import_id, importer, lang, raw_path, imported_name, is_wildcard")},
+p AS (SELECT unnest(string_split('{_ROOT_PATHS}', ' ')) AS path),
+roots AS (SELECT unnest([{", ".join(f"'{r}/'" if r else "''" for r in resolve.ROOTS)}]) AS root UNION SELECT split_part(path, '/', 1) || '/' FROM p WHERE contains(path, '/')),
+e AS (SELECT * FROM (VALUES ('python', '.py'), ('java', '.java'), ('vhdl', '.vhd')) AS t(lang, ext))
+SELECT DISTINCT CAST(import_id AS INTEGER) AS import_id, path FROM i JOIN e USING (lang) CROSS JOIN roots JOIN p
+  ON (NOT (is_wildcard AND lang = 'java') AND path = root || replace(raw_path, '.', '/') || ext)
+  OR (is_wildcard AND lang = 'java' AND regexp_replace(path, '/[^/]*$', '') = root || replace(replace(raw_path, '.*', ''), '.', '/') AND ends_with(path, ext))
+"""
+
+
+@query(_ROOT_SQL)
+def resolve_roots(spark, sf):
+    i = spark.sql(f"select int(import_id) as import_id, importer, lang, raw_path, string(imported_name) as imported_name, is_wildcard from values {_ROOT_IMPORTS} as t(import_id, importer, lang, raw_path, imported_name, is_wildcard)")
+    return resolve.resolve(i, spark.createDataFrame([(x,) for x in _ROOT_PATHS.split()], "path string"))
