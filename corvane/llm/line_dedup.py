@@ -234,6 +234,20 @@ def _useful(found: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]
     return [(o, d, s, a, b) for o, d, s, a, b, x in split if a == b or x not in (one.get((o, d, a)), one.get((o, d, b)))]
 
 
+def _spots(n: int, over: int, k: int, shift: int, q1: int, q2: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a window in a line of n words, and the pairs of two of them in which two edits may lie."""
+    at = _segments(n + over)
+    if q2 > q1 + 1:
+        w1, w2 = np.arange(at[q1], at[q1 + 1] + shift), np.arange(at[q2] + shift, at[q2 + 1] - over)
+        return np.concatenate([w1, w2]), np.repeat(w1, len(w2)), np.tile(w2, len(w1))
+    own = np.arange(at[q1], at[q2 + 1] - over)
+    i, j = np.triu_indices(len(own), 1) if k == 2 else (own[:0], own[:0])
+    return own, own[i], own[j]
+
+
+_remembered_spots = lru_cache(1 << 12)(_spots)
+
+
 def deletion_keys(sums: Sums, windows: list[tuple[int, int, int, int, int]], max_edits: int = MAX_EDITS) -> tuple[np.ndarray, np.ndarray]:
     """(key, role) of the deletions inside the windows. Role 0: all lines under the key are near each other; 1 and 2: each
     of role 1 is near each of role 2."""
@@ -250,16 +264,15 @@ def deletion_keys(sums: Sums, windows: list[tuple[int, int, int, int, int]], max
     def less(i: np.ndarray) -> np.ndarray:
         return p[i] + sums.moved(i + 1, n, -1)
 
+    # Windows of one kind are hashed together: a line has many, and most are short.
+    kinds: dict[tuple[int, int, int], list] = {}
+    find = _remembered_spots if n < 256 else _spots  # what is remembered stays small
     for over, d, shift, q1, q2 in windows:
-        m = n + over
-        k, at = bound(m, max_edits), _segments(m)
-        if q2 > q1 + 1:
-            w1, w2 = np.arange(at[q1], at[q1 + 1] + shift), np.arange(at[q2] + shift, at[q2 + 1] - over)
-            own = np.concatenate([w1, w2])
-            i, j = (x.ravel() for x in np.meshgrid(w1, w2, indexing="ij"))
-        else:
-            own = np.arange(at[q1], at[q2 + 1] - over)
-            i, j = (own[x] for x in np.triu_indices(len(own), 1))
+        kinds.setdefault((over, d, shift), []).append(find(n, over, bound(n + over, max_edits), shift, q1, q2))
+    for (over, d, shift), spots in kinds.items():
+        k = bound(n + over, max_edits)
+        own, i, j = (np.concatenate(x) for x in zip(*spots))
+        own = np.unique(own)
         if k == 1:
             if d == 0:
                 add(1, 0, less(own), own)
@@ -453,7 +466,7 @@ def line_decisions(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
 
 
 def _bare(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), BLANKS, "") == ""
+    return ~F.coalesce(text, F.lit("")).rlike(f"[^{BLANKS}]")
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, detail: bool = False, drop_emptied: bool = False) -> DataFrame:
@@ -463,6 +476,8 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, detail: bool = Fals
     had none before stay. Null texts stay null, other columns as they are.
     """
     d = line_decisions(docs, max_edits).where(F.size("gone") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("gone").alias("__gone"), F.col("n_near").alias("__near"))
+    # Few documents lose lines: while their line numbers fit, the texts are not shuffled.
+    d = bounded_broadcast(cut(d), F.lit(48) + 4 * F.size("__gone"))
     j = docs.join(d, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left")
     j = held(j, "__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
@@ -472,6 +487,6 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, detail: bool = Fals
         j = j.where(~_bare(F.col("__left")) | _bare(F.col("text")))
     cols = [F.col("__left").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if detail:
-        n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+        n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
         cols += [n.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__near", F.lit(0)).cast("long").alias("n_near")]
     return j.select(*cols)
