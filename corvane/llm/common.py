@@ -130,7 +130,7 @@ def arrow_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(rest)
 
 
-def rows_of(batch: pa.RecordBatch, kept: Sequence[str], made: dict[str, pa.Array], at: Sequence[int] | None = None) -> pa.RecordBatch:
+def rows_of(batch: pa.RecordBatch, kept: Sequence[str], made: dict[str, pa.Array], at: Sequence[int] | np.ndarray | None = None) -> pa.RecordBatch:
     """The kept columns of a batch, at these positions or whole, and made ones after them.
 
     Kept columns pass as they are in Arrow, so that ids beyond 2^53 beside nulls, and ids of any type, stay exact.

@@ -229,7 +229,11 @@ def _useful(found: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]
 
     found: (tag, a hash of the set of lines under its key).
     """
-    split = [(t // _Q // _Q // 9, t // _Q // _Q // 3 % 3, t // _Q // _Q % 3 - 1, t // _Q % _Q, t % _Q, x) for t, x in found]
+    split = []
+    for t, x in found:
+        rest, q2 = divmod(t, _Q)
+        kind, q1 = divmod(rest, _Q)
+        split.append((kind // 9, kind // 3 % 3, kind % 3 - 1, q1, q2, x))
     one = {(o, d, a): x for o, d, _, a, b, x in split if a == b}
     return [(o, d, s, a, b) for o, d, s, a, b, x in split if a == b or x not in (one.get((o, d, a)), one.get((o, d, b)))]
 
@@ -350,18 +354,27 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows_of(b, ["doc_id", "h"], made, at)
 
 
+def _parts(lists: pa.ListArray) -> Iterator[list[list]]:
+    """The fields of each list of structs, as lists: no object is made for a struct."""
+    fields = [x.to_pylist() for x in lists.flatten().flatten()]
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    for a, b in zip([0, *ends], ends):
+        yield [x[a:b] for x in fields]
+
+
 def _windows(max_edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in range(0, b.num_rows, 512):
                 part = b.slice(x, 512)
-                at, keys, tags = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-                for r, (norm, shared) in enumerate(zip(part.column("norm"), part.column("keys"))):
+                sizes, keys, tags = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+                for norm, (shared, lengths) in zip(part.column("norm"), _parts(part.column("keys"))):
                     w = norm.as_py().split()
-                    key, tag = window_keys(Sums(w), met(w, {x["key"]: x["lengths"] for x in shared.as_py()}, max_edits), max_edits)
-                    at += [r] * len(key)
+                    key, tag = window_keys(Sums(w), met(w, dict(zip(shared, lengths)), max_edits), max_edits)
+                    sizes.append(len(key))
                     keys.append(key)
                     tags.append(tag)
+                at = np.repeat(np.arange(len(sizes)), sizes)
                 yield rows_of(part, ["lid"], {"key": pa.array(np.concatenate(keys).view(np.int64)), "tag": pa.array(np.concatenate(tags))}, at)
 
     return run
@@ -372,12 +385,13 @@ def _deletions(max_edits: int):
         for b in batches:
             for x in range(0, b.num_rows, 64):
                 part = b.slice(x, 64)
-                at, keys, roles = [], [np.empty(0, np.uint64)], [np.empty(0, np.int8)]
-                for r, (norm, found) in enumerate(zip(part.column("norm"), part.column("found"))):
-                    key, role = deletion_keys(Sums(norm.as_py().split()), _useful([(f["tag"], f["who"]) for f in found.as_py()]), max_edits)
-                    at += [r] * len(key)
+                sizes, keys, roles = [], [np.empty(0, np.uint64)], [np.empty(0, np.int8)]
+                for norm, found in zip(part.column("norm"), _parts(part.column("found"))):
+                    key, role = deletion_keys(Sums(norm.as_py().split()), _useful(list(zip(*found))), max_edits)
+                    sizes.append(len(key))
                     keys.append(key)
                     roles.append(role)
+                at = np.repeat(np.arange(len(sizes)), sizes)
                 yield rows_of(part, ["lid"], {"key": pa.array(np.concatenate(keys).view(np.int64)), "role": pa.array(np.concatenate(roles))}, at)
 
     return run
