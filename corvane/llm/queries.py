@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, token_counts, toxicity
+from . import decontaminate, divergence, hard_negatives, language_id, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash, token_counts, toxicity
 from .common import crc_mod, table
 
 WORD_TOKENIZER, ID_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -57,4 +57,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "level", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_line_dedup, op4_token_counts, op5_simhash, op6_language_id, op7_toxicity, op8_packing, op9_quality_classifier, op10_quality_rules)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", moved, F.col("id") % 100 == 0)
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = mixing.plan(table(spark, sf_dir, "documents"))
+    return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_line_dedup, op4_token_counts, op5_simhash, op6_language_id, op7_toxicity, op8_packing, op9_quality_classifier, op10_quality_rules, op11_hard_negatives, op12_mixing, op13_divergence)}

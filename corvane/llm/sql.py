@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import LOWER, UPPER
 from .decontaminate import WORD
 from .line_dedup import MAX_EDITS, WORDS_PER_EDIT
+from .mixing import BITS, SEED
 from .quality_rules import ALPHA, DELTA, LEVELS, RULES, SYMBOLS
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
@@ -83,4 +84,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM s LEFT JOIN lim USING (stratum)
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op3_line_dedup": OP3, "op10_quality_rules": OP10}
+_RANKED = "row_number() OVER (PARTITION BY {} ORDER BY s DESC, id) AS r"
+
+OP11 = f"""
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, v.id AS id, a.label = v.label AS same, CAST(list_sum(list_transform(list_zip(a.q, v.q), lambda z: z[1] * z[2])) AS BIGINT) AS s FROM v a JOIN v ON a.id <> v.id AND len(a.q) = len(v.q) WHERE a.id % 100 = 0),
+p AS (SELECT a, id AS p, s AS ps FROM (SELECT *, {_RANKED.format("a")} FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.a, p.p, p.ps, s.id, s.s, {_RANKED.format("p.a, p.p")} FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.ps <= 100 * s.s AND 100 * s.s <= 100 * p.ps)
+SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, id AS negative_id, ps AS positive_score, s AS negative_score FROM n WHERE r <= 5
+"""
+
+# Half words are whole numbers here; sources by rising size over weight, those that are stopped first.
+OP12 = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(concat_ws('|', '{SEED}', CAST(doc_id AS VARCHAR), source, md5(coalesce(text, '')))) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+r AS (SELECT *, sum(z) OVER () * 3 - coalesce(sum(4 * z) OVER b, 0) AS left_, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS rest
+  FROM w WINDOW b AS (ORDER BY z / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, 4 * z * rest <= left_ * w AS stopped FROM r),
+t AS (SELECT source, z, CASE WHEN stopped THEN CAST(2 * z AS DOUBLE) ELSE CAST(sum(z) OVER () * 3 - coalesce(sum(4 * z) FILTER (stopped) OVER (), 0) AS DOUBLE) * w / CAST(2 * (sum(w) OVER () - coalesce(sum(w) FILTER (stopped) OVER (), 0)) AS DOUBLE) END AS target FROM c),
+k AS (SELECT *, CASE WHEN z > 0 THEN target / z ELSE 0 END AS rate FROM t)
+SELECT doc_id, size, z AS source_size, target, size * CAST(floor(rate) + CASE WHEN CAST('0x' || left(h, {BITS // 4}) AS BIGINT) / {1 << BITS}.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source
+"""
+
+_P = "1 + CAST((1000000000::HUGEINT * ({} + 5)) // ({} + 5 * v) AS BIGINT)"
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS x, row_number() OVER () AS no FROM documents),
+t AS (SELECT lang, source, no, unnest(regexp_extract_all(x, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT no) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, {_P.format("coalesce(c.c, 0)", "coalesce(n.n, 0)")} AS p, {_P.format("k.c", "l.n")} AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN n USING (lang, source)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o) WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLE = {"op1_decontaminate": OP1, "op3_line_dedup": OP3, "op10_quality_rules": OP10, "op11_hard_negatives": OP11, "op12_mixing": OP12, "op13_divergence": OP13}
