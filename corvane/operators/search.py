@@ -41,25 +41,6 @@ def bm25(chunks: DataFrame, key: str, text: str, terms: list[str], limit: int =
     return rows.where(any_ > 0).join(F.broadcast(stats)).select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
-def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, positions): the inverted index."""
-    t = chunks.select(key, F.posexplode(tokens(F.col(text))).alias("position", "term"))
-    return t.groupBy("term", key).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-
-
-def bm25_batch(chunks: DataFrame, key: str, text: str, queries: DataFrame, qid: str, qtext: str, limit: int = 5) -> DataFrame:
-    """The limit best rows for each query. queries is a bounded set: its terms are broadcast if small, by Spark's estimate."""
-    q = queries.select(qid, F.explode(F.array_distinct(tokens(F.col(qtext)))).alias("term"))
-    t = chunks.select(key, tokens(F.col(text)).alias("t"))
-    stats = t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("average"))
-    tf = t.select(key, F.size("t").alias("len"), F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").join(F.broadcast(stats)).select(key, "term", (idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("len"), F.col("average"))).alias("w"))
-    total = q.join(scored, "term").groupBy(qid, key).agg(F.round(F.sum("w"), 6).alias("score"))
-    w = Window.partitionBy(qid).orderBy(F.desc("score"), key)
-    return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-
-
 def phrase(chunks: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
     """Rows that hold the words next to each other: key, n occurrences."""
     t = once(chunks.select(key, text), "t", tokens(F.col(text)))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import languages
 from ..functions import text as T
-from ..operators import callgraph, context, index, resolve, search, sessions, vector
+from ..operators import callgraph, context, index, resolve, search, sessions, stored_search, vector
 from ..sources import repo
+from ..sources.shared import fingerprint, shared_dir
+from ..sources.snapshots import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,19 +50,38 @@ _POST = f"toks AS (SELECT doc_id, {_TOK} AS t FROM documents), st AS (SELECT cou
 _HITS = f"WITH {_POST} SELECT doc_id, round(sum({_IDF} * {_BM}), 6) AS score FROM post JOIN dfs USING (term), st WHERE term IN ({_TERMS}) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT"
 
 
+def stored(spark: SparkSession, sf: str) -> stored_search.Index:
+    """The stored index over documents, in the shared folder: built by the first search of a session or of a lasting folder,
+    and anew where the table's files have changed."""
+    at = f"{sf}/documents.parquet"
+    store = Store(spark, f"{shared_dir(spark)}/search-{fingerprint(spark, at)}")
+    snapshot = store.open_or_init()
+    return stored_search.open_index(snapshot if "blocks" in snapshot.tables else stored_search.append(store, read(spark, sf, "documents"), "doc_id"))
+
+
 @query(f"{_HITS} 10")
 def bm25_search(spark, sf):
-    return search.bm25(read(spark, sf, "documents"), "doc_id", "text", TERMS, 10)
+    return stored_search.bm25(stored(spark, sf), TERMS, 10).withColumnRenamed("key", "doc_id")
 
 
 @query(f"WITH {_POST}, q AS (SELECT DISTINCT item_id, unnest({_TOK}) AS term FROM benchmark), s AS (SELECT item_id, doc_id, round(sum({_IDF} * {_BM}), 6) AS score FROM q JOIN post USING (term) JOIN dfs USING (term), st GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5")
 def bm25_batch(spark, sf):
-    return search.bm25_batch(read(spark, sf, "documents"), "doc_id", "text", read(spark, sf, "benchmark"), "item_id", "text", 5)
+    return stored_search.bm25_batch(stored(spark, sf), read(spark, sf, "benchmark"), "item_id", "text", 5).withColumnRenamed("key", "doc_id")
 
 
 @query(f"WITH toks AS (SELECT doc_id, {_TOK} AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM toks) SELECT doc_id, count(*) AS n FROM p WHERE t[i] = 'of' AND t[i + 1] = 'the' GROUP BY doc_id")
 def phrase_search(spark, sf):
-    return search.phrase(read(spark, sf, "documents"), "doc_id", "text", ["of", "the"])
+    return stored_search.phrase(stored(spark, sf), ["of", "the"]).select(F.col("key").alias("doc_id"), "n")
+
+
+_MATCHED = [["of", "the"], ["stupid"], ["in", "the"], ["und"]]
+_FOUND = " UNION ALL ".join(f"SELECT {i} AS p, doc_id, len(t) AS len, len(list_filter(range(1, len(t) + 1), lambda i: t[i:i + {len(w) - 1}] = {w})) AS tf FROM toks" for i, w in enumerate(_MATCHED))
+
+
+@query(f"WITH toks AS (SELECT doc_id, {_TOK} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS average FROM toks), found AS (SELECT * FROM ({_FOUND}) WHERE tf > 0), dfs AS (SELECT p, count(*) AS df FROM found GROUP BY p) SELECT doc_id, round(sum({_IDF} * {_BM}), 6) AS score FROM found JOIN dfs USING (p), st GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 12")
+def match_search(spark, sf):
+    """A search string of words, two of which are phrases by their underscore."""
+    return stored_search.match(stored(spark, sf), "OF_the? stupid! in_the, (Ünd) - a", 12).withColumnRenamed("key", "doc_id")
 
 
 @query("SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+'), lambda w: strlen(w) >= 2), ' ') AS terms FROM benchmark")
@@ -70,13 +91,26 @@ def fts_tokens(spark, sf):
 
 @query(f"WITH {_POST} SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM post GROUP BY term")
 def term_stats(spark, sf):
-    return search.term_stats(read(spark, sf, "documents"), "doc_id", "text")
+    return stored_search.term_stats(stored(spark, sf))
 
 
 @query(f"WITH toks AS (SELECT doc_id, {_TOK} AS t FROM documents), p AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM toks) SELECT doc_id, term, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM p WHERE term IN ({_TERMS}) GROUP BY ALL")
 def postings(spark, sf):
-    p = search.postings(read(spark, sf, "documents"), "doc_id", "text").where(F.col("term").isin(TERMS))
-    return p.select("doc_id", "term", "tf", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+    p = stored_search.postings(stored(spark, sf), TERMS)
+    return p.select(F.col("key").alias("doc_id"), "term", F.col("tf").cast("long").alias("tf"), F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+@query(f"WITH toks AS (SELECT doc_id, {_TOK} AS t FROM documents WHERE lang IS DISTINCT FROM 'de') SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL) GROUP BY term")
+def index_merge(spark, sf):
+    """A segment per source of every fourth hash, appended one by one, then merged without the documents of one language."""
+    d = read(spark, sf, "documents")
+    store = Store(spark, f"{shared_dir(spark)}/merged-{fingerprint(spark, f'{sf}/documents.parquet')}")
+    snapshot = store.open_or_init()
+    for part in range(len(snapshot.tables.get("blocks", ())), 4) if snapshot.version < 5 else ():
+        snapshot = stored_search.append(store, d.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == part), "doc_id")
+    if snapshot.version < 5:
+        snapshot = stored_search.merge(store, drop=d.where("lang = 'de'").select(F.col("doc_id").alias("key")))
+    return stored_search.term_stats(stored_search.open_index(snapshot))
 
 
 _LINES = r"CASE WHEN coalesce(text, '') = '' THEN CAST([] AS VARCHAR[]) ELSE regexp_split_to_array(regexp_replace(text, '\r?\n\z', ''), '\r?\n') END"
@@ -283,7 +317,7 @@ _PROMO = f"WITH h AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)
 
 
 def _hits(spark, sf):
-    h = search.bm25(read(spark, sf, "documents"), "doc_id", "text", TERMS, 12)
+    h = stored_search.bm25(stored(spark, sf), TERMS, 12).withColumnRenamed("key", "doc_id")
     rows = h.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id"))).alias("h"))  # 12 rows
     ranked = rows.select(F.posexplode("h").alias("p", "x")).select(F.col("x.doc_id").alias("doc_id"), (F.col("p") + 1).alias("rank"))
     sizes = read(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
