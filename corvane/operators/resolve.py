@@ -1,109 +1,117 @@
 """Import resolution: candidate paths per language, kept where a file has them. No match gives no row, never a guess.
 
-imports: import_id, importer, lang, raw_path, imported_name (null: none), is_wildcard. paths: path.
+imports: import_id, importer, lang, raw_path, imported_name (null: none), is_wildcard. paths: path. What a language tries is a row
+of RULES, joined by language; candidates meet the paths in equi joins.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import camel_to_snake, fold_path, parent_dir
 
-#: Extensions tried after the exact path. Fixed values, by language.
-EXTRA = {"ruby": ["rb"], "bash": ["sh"], "lua": ["lua"], "r": ["R", "r"], "racket": ["rkt"], "crystal": ["cr"], "prolog": ["pl", "pro"], "latex": ["tex"], "nix": ["nix"], "scheme": ["scm"], "vim": ["vim"], "cmake": ["cmake"]}
+#: Extensions tried after the exact path beside the importer, by language. Fixed values.
+BESIDE = {"c": "", "cpp": "", "objc": "", "glsl": "", "hlsl": "", "proto": "", "verilog": "", "cmake": "", "vim": "vim", "solidity": "sol", "nix": "nix", "bash": "sh bash", "fish": "fish", "ruby": "rb", "r": "R r", "racket": "rkt", "erlang": "hrl", "zig": "zig", "php": "php", "latex": "tex", "dart": "dart", "scheme": "scm ss", "powershell": "ps1 psm1", "crystal": "cr", "asm": "inc asm s", "prolog": "pro pl", "graphql": "graphql gql", "fortran": "inc", "nim": "nim"}
 JS = ["ts", "tsx", "js", "jsx", "mjs", "cjs"]
-#: Languages of dotted modules, the extensions of their files, and whether a wildcard means a whole directory.
-DOTTED = {"java": (["java"], True), "kotlin": (["kt", "kts"], True), "groovy": (["groovy"], True), "scala": (["scala"], True), "csharp": (["cs"], False), "elm": (["elm"], False), "haskell": (["hs", "lhs"], False), "d": (["d", "di"], False), "julia": (["jl"], False), "lua": (["lua"], False)}
-#: Conventional source roots. Beside them every top-level directory of the paths is one.
-ROOTS = ["", "src", "lib", "app", "source", "rtl", "hdl", *(f"src/{part}/{lang}" for part in ("main", "test") for lang in ("java", "kotlin", "scala", "groovy"))]
-#: Languages without imports of files.
-UNRESOLVED = ["wgsl"]
+#: Languages whose modules lie below roots: how a module becomes a path, its extensions, and the conventional roots beside the
+#: root itself and every top-level directory. Fixed values.
+JVM = "src/main/java src/test/java src/main/kotlin src/test/kotlin src/main/scala src/main/groovy src"
+ROOTED = {
+    "java": ("dotted", "java", JVM), "kotlin": ("dotted", "kt", JVM), "groovy": ("dotted", "groovy", JVM), "scala": ("dotted", "scala", JVM), "csharp": ("dotted", "cs", "src"), "elm": ("dotted", "elm", "src"),
+    "haskell": ("dotted", "hs", "src app lib"), "d": ("dotted", "d", "source src"), "julia": ("dotted", "jl", "src"), "lua": ("dotted", "lua", "lua src"), "ada": ("dashed", "ads adb", "src source"), "ocaml": ("first", "ml mli", "src lib"),
+    "perl": ("colons", "pm", "lib"), "fortran": ("cases", "f90 f95 f03 f08 f for F90 F95 F", "src"), "elixir": ("snake", "ex exs", "lib"), "vhdl": ("cases", "vhd vhdl", "src rtl hdl"), "nim": ("slashes", "nim", ""), "python": ("python", "", ""),
+}
+#: Languages in which a wildcard means all files of a directory.
+PACKAGES = ("java", "kotlin", "groovy", "scala")
 
 
-def _with(base: Column, exts: list[str]) -> Column:
-    return F.array(base, *(F.concat(base, F.lit("." + e)) for e in exts))
+def rules(spark: SparkSession) -> DataFrame:
+    """(lang, beside, shape, exts, roots): a row per language; a null array where the language has no such rule."""
+    rows = [(k, BESIDE[k].split() if k in BESIDE else None, *((ROOTED[k][0], ROOTED[k][1].split(), ["", *ROOTED[k][2].split()]) if k in ROOTED else (None, None, None))) for k in sorted({*BESIDE, *ROOTED})]
+    return F.broadcast(spark.createDataFrame(rows, "lang string, beside array<string>, shape string, exts array<string>, roots array<string>"))
 
 
-def _under(rel: Column) -> Column:
-    """A path below every root."""
-    return F.transform(F.array(*map(F.lit, ROOTS)), lambda r: F.when(r == "", rel).otherwise(F.concat(r, F.lit("/"), rel)))
+def beside(importer: Column, raw: Column) -> Column:
+    return fold_path(F.concat(parent_dir(importer), F.lit("/"), raw))
 
 
-def _each(paths: Column, exts: list[str]) -> Column:
-    return F.flatten(F.transform(paths, lambda p: F.array(*(F.concat(p, F.lit("." + e)) for e in exts))))
+def _below(root: Column, rel: Column) -> Column:
+    return F.when(root == "", rel).otherwise(F.concat(root, F.lit("/"), rel))
 
 
-def beside(importer: Column, raw: Column) -> Column:
-    return fold_path(F.concat(parent_dir(importer), F.lit("/"), raw))
+def _product(a: Column, b: Column, f) -> Column:
+    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: f(x, y))))
 
 
-def candidates(imports: DataFrame, top: bool = False) -> DataFrame:
-    """(import_id, path) and (import_id, dir): files and directories an import may mean.
+def candidates(imports: DataFrame) -> DataFrame:
+    """(import_id, lang, rank, path, short, dir): what an import may mean, lower ranks first.
 
-    With top, only what may lie below a root, named from there: to be matched with paths less their top-level directory.
+    path: a file named from the repository; short: one named from a top-level directory, whichever; dir: a directory, of
+    which dir_short says whether it is named from a top-level one.
     """
-    under = (lambda rel: F.array(rel)) if top else _under
-    i, raw, name, lang = imports, F.col("raw_path"), F.col("imported_name"), F.col("lang")
+    raw, name = F.col("raw_path"), F.col("imported_name")
+    i = imports.join(rules(imports.sparkSession), "lang", "left")
     plain = F.regexp_replace(raw, r"[.](\*|_)$", "")
-    rel = beside(F.col("importer"), raw)
     none = F.array().cast("array<string>")
-    here = none if top else F.array(rel)
-    literal = F.array(rel)
-    for k, v in EXTRA.items():
-        literal = F.when(lang == k, _with(rel, v)).otherwise(literal)
-    js = F.when(raw.rlike(r"^\.\.?/"), F.concat(_with(rel, JS), F.array(*(F.concat(rel, F.lit("/index." + e)) for e in JS[:4])))).otherwise(none)
+    rel = beside(F.col("importer"), raw)
+    js = F.col("lang").isin("javascript", "typescript", "tsx", "svelte", "vue") & raw.rlike(r"^\.\.?/")
+    near = F.when(js, F.concat(F.array(rel), *(F.array(F.concat(rel, F.lit(f".{e}"))) for e in JS), *(F.array(F.concat(rel, F.lit(f"/index.{e}"))) for e in JS[:4])))
+    near = near.when(F.col("beside").isNotNull(), F.concat(F.array(rel), F.transform("beside", lambda e: F.concat(rel, F.lit("."), e))))
     # Python: dots beyond the first climb; without dots a module lies below a root.
     dots = F.length(F.regexp_extract(raw, r"^\.*", 0))
     tail = F.replace(F.regexp_replace(plain, r"^\.*", ""), F.lit("."), F.lit("/"))
-    up = F.concat(F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), tail)
-    mods = F.when(dots > 0, F.array(beside(F.col("importer"), up))).otherwise(under(tail))
-    join = lambda m, s: F.when(m == "", s.substr(F.lit(2), F.lit(10_000))).otherwise(F.concat(m, s))
-    py = F.flatten(F.transform(mods, lambda m: F.array(F.concat(m, F.lit(".py")), join(m, F.lit("/__init__.py")), join(m, F.concat(F.lit("/"), name, F.lit(".py"))), join(m, F.concat(F.lit("/"), name, F.lit("/__init__.py"))))))
-    dotted, dirs = none, none
-    for k, (exts, package) in DOTTED.items():
-        one = _each(under(F.replace(plain, F.lit("."), F.lit("/"))), exts)
-        dotted = F.when(lang == k, F.when(F.col("is_wildcard"), none).otherwise(one) if package else one).otherwise(dotted)
-        if package:
-            dirs = F.when((lang == k) & F.col("is_wildcard"), under(F.replace(plain, F.lit("."), F.lit("/")))).otherwise(dirs)
-    flat = {
-        "ada": _each(under(F.replace(F.lower(plain), F.lit("."), F.lit("-"))), ["ads", "adb"]),
-        "ocaml": _each(under(F.lower(F.split_part(plain, F.lit("."), F.lit(1)))), ["ml", "mli"]),
-        "perl": _each(under(F.replace(plain, F.lit("::"), F.lit("/"))), ["pm"]),
-        "fortran": F.concat(here, _each(F.concat(under(plain), under(F.lower(plain))), ["f90", "f95", "f03", "f08", "f", "for", "F90", "F", "FOR"])),
-        "vhdl": _each(F.concat(under(plain), under(F.lower(plain))), ["vhd", "vhdl"]),
-        "nim": _each(F.concat(here, under(raw)), ["nim"]),
-        "elixir": _each(under(F.array_join(F.transform(F.split(plain, r"\."), camel_to_snake), "/")), ["ex", "exs"]),
-    }
-    tries = F.when(lang.isin("javascript", "typescript", "tsx", "svelte", "vue"), js).when(lang == "python", py).when(lang.isin(*DOTTED), dotted)
-    for k, v in flat.items():
-        tries = tries.when(lang == k, v)
-    tries = tries.when(lang.isin("swift", "hcl", "go", "rust", *UNRESOLVED), none).otherwise(literal)
-    if top:
-        i = i.where(lang.isin("python", *DOTTED, *flat) & ~raw.startswith("."))
-    dirs = F.when(lang == "hcl", F.array(rel)).when(lang == "swift", F.array(F.concat(F.lit("Sources/"), plain))).otherwise(dirs)
-    paths = i.select("import_id", F.explode(F.array_distinct(tries)).alias("path")).where("path is not null")
-    return paths.withColumn("dir", F.lit(None).cast("string")).unionByName(i.select("import_id", F.explode(dirs).alias("dir")).withColumn("path", F.lit(None).cast("string"))).join(i.select("import_id", "lang"), "import_id")
+    up = beside(F.col("importer"), F.concat(F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), tail))
+
+    def modules(m: Column) -> Column:
+        join = lambda s: F.when(m == "", s).otherwise(F.concat(m, F.lit("/"), s))
+        return F.array(F.when(m != "", F.concat(m, F.lit(".py"))), join(F.lit("__init__.py")), join(F.concat(name, F.lit(".py"))), join(F.concat(name, F.lit("/__init__.py"))))
+
+    near = F.when((F.col("lang") == "python") & (dots > 0), modules(up)).otherwise(near)
+    shape = F.col("shape")
+    rooted = (
+        F.when(shape == "dotted", F.array(F.replace(plain, F.lit("."), F.lit("/")))).when(shape == "dashed", F.array(F.replace(F.lower(plain), F.lit("."), F.lit("-")))).when(shape == "first", F.array(F.lower(F.split_part(plain, F.lit("."), F.lit(1)))))
+        .when(shape == "colons", F.array(F.replace(plain, F.lit("::"), F.lit("/")))).when(shape == "cases", F.array_distinct(F.array(plain, F.lower(plain)))).when(shape == "slashes", F.array(raw))
+        .when(shape == "snake", F.array(F.array_join(F.transform(F.split(plain, r"\."), camel_to_snake), "/")))
+    )
+    package = F.col("lang").isin(*PACKAGES) & F.col("is_wildcard")
+    named = F.when(package, none).when((shape == "python") & (dots == 0), modules(tail)).otherwise(_product(rooted, F.col("exts"), lambda m, e: F.concat(m, F.lit("."), e)))
+    below = _product(F.col("roots"), named, _below)
+    packages = F.when(package, F.transform("roots", lambda r: _below(r, rooted[0])))
+    later = F.when(F.col("beside").isNotNull(), 1).otherwise(0)
+    dirs = F.when(F.col("lang") == "hcl", F.array(rel)).when(F.col("lang") == "swift", F.array(F.concat(F.lit("Sources/"), F.split_part(plain, F.lit("."), F.lit(1))))).otherwise(packages)
+
+    def one(paths: Column, to: str, rank: Column, short: bool = False) -> DataFrame:
+        d = i.select("import_id", "lang", rank.alias("rank"), F.explode(F.array_distinct(paths)).alias(to)).where(F.col(to).isNotNull())
+        return d.select("import_id", "lang", "rank", *(F.col(to).alias(c) if c == to else F.lit(None).cast("string").alias(c) for c in ("path", "short", "dir")), F.lit(short).alias("dir_short"))
+
+    parts = [one(near, "path", F.lit(0)), one(below, "path", later), one(named, "short", later), one(dirs, "dir", F.lit(0)), one(F.when(package, F.slice(rooted, 1, 1)), "dir", F.lit(0), True)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def resolve(imports: DataFrame, paths: DataFrame, manifests: DataFrame | None = None, crates: DataFrame | None = None) -> DataFrame:
-    """Distinct (import_id, path). Both joins are equi joins on a path or directory, hashed like any other key."""
+    """Distinct (import_id, path). All joins are equi joins on a path or directory, hashed like any other key."""
     c = candidates(imports)
-    files = c.where("path is not null").join(paths.select("path"), "path", "left_semi").select("import_id", "path")
-    below = candidates(imports, top=True).withColumnRenamed("path", "short")
-    shorter = paths.where(F.contains("path", F.lit("/"))).select(paths["path"], F.regexp_replace("path", r"\A[^/]*/", "").alias("short"))
-    files = files.unionByName(below.where("short is not null").join(shorter, "short").select("import_id", "path"))
+    files = c.where("path is not null").join(paths.select("path"), "path", "left_semi").select("import_id", "lang", "rank", "path")
+    shorter = paths.where(F.contains("path", F.lit("/"))).select(F.col("path").alias("full"), F.regexp_replace("path", r"\A[^/]*/", "").alias("short"))
+    files = files.unionByName(c.where("short is not null").join(shorter, "short").select("import_id", "lang", "rank", F.col("full").alias("path")))
+    # Where a language looks beside the importer first, what lies below a root counts only if nothing does.
+    twice = sorted(set(BESIDE) & set(ROOTED))
+    best = Window.partitionBy("import_id")
+    first = files.where(F.col("lang").isin(twice)).withColumn("best", F.min("rank").over(best)).where("rank = best").drop("best")
+    files = files.where(~F.col("lang").isin(twice)).unionByName(first).select("import_id", "path")
     ext = F.regexp_extract("path", r"\.([^./]*)$", 1)
     p = paths.select("path", parent_dir(F.col("path")).alias("dir"), ext.alias("ext"))
-    deep = paths.select("path", F.concat(F.lit("Sources/"), F.split_part(F.col("path"), F.lit("/"), F.lit(2))).alias("dir"), ext.alias("ext")).where("path like 'Sources/%'")
-    want = reduce(lambda a, k: a.when(F.col("lang") == k, F.array(*map(F.lit, DOTTED[k][0]))), [k for k in DOTTED if DOTTED[k][1]], F.when(F.col("lang") == "hcl", F.array(F.lit("tf"))))
-    d = c.where("dir is not null and lang <> 'swift'").join(p, "dir").where(F.array_contains(want, F.col("ext"))).select("import_id", p["path"])
-    q = p.where(F.contains("dir", F.lit("/"))).withColumn("dir", F.regexp_replace("dir", r"\A[^/]*/", ""))
-    d = d.unionByName(below.where("dir is not null").join(q, "dir").where(F.array_contains(want, F.col("ext"))).select("import_id", q["path"]))
-    s = c.where("dir is not null and lang = 'swift'").join(deep, "dir").where("ext = 'swift'").select("import_id", deep["path"])
-    return files.unionByName(d).unionByName(s).unionByName(resolve_go(imports, paths, manifests)).unionByName(resolve_rust(imports, paths, crates)).distinct()
+    want = reduce(lambda a, k: a.when(F.col("lang") == k, ROOTED[k][1]), PACKAGES, F.when(F.col("lang") == "hcl", "tf"))
+    of = lambda d, q: d.join(q, "dir").where(F.col("ext") == want).select("import_id", "path")
+    kept = c.where("dir is not null").select("import_id", "lang", "dir", "dir_short")
+    direct = of(kept.where("not dir_short and lang <> 'swift'"), p)
+    short = of(kept.where("dir_short"), p.where(F.contains("dir", F.lit("/"))).withColumn("dir", F.regexp_replace("dir", r"\A[^/]*/", "")))
+    deep = paths.where("path like 'Sources/%/%'").select("path", F.concat(F.lit("Sources/"), F.split_part(F.col("path"), F.lit("/"), F.lit(2))).alias("dir"), ext.alias("ext"))
+    swift = kept.where("lang = 'swift'").join(deep, "dir").where("ext = 'swift'").select("import_id", "path")
+    return reduce(DataFrame.unionByName, [files, direct, short, swift, resolve_go(imports, paths, manifests), resolve_rust(imports, paths, crates)]).distinct()
 
 
 def resolve_go(imports: DataFrame, paths: DataFrame, manifests: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import languages
 from ..functions import text as T
 from ..operators import callgraph, context, index, resolve, search, sessions, stored_search, vector
-from ..sources import repo
+from ..sources import extract
 from ..sources.shared import fingerprint, shared_dir
 from ..sources.snapshots import Store
 
@@ -481,7 +481,7 @@ _CODE = [("a.py", "python", "import os\nfrom .m import f as g\nclass A:\n    def
 @query("SELECT path, what, name, CAST(line AS INTEGER) AS line FROM (VALUES ('a.py', 'import', '', 1), ('a.py', 'import', 'f', 2), ('a.py', 'symbol', 'A', 3), ('a.py', 'symbol', 'run', 4), ('a.py', 'call', 'g', 5), ('a.py', 'call', 'getcwd', 5), ('b.rs', 'symbol', 'main', 1), ('b.rs', 'call', 'helper', 2), ('b.rs', 'symbol', 'P', 4)) AS t(path, what, name, line)")
 def extract_code(spark, sf):
     f = spark.createDataFrame(_CODE, "path string, lang string, text string")
-    return repo.extract(f).select("path", "what", F.coalesce("name", F.lit("")).alias("name"), F.col("start_line").alias("line"))
+    return extract.extract(f).select("path", "what", F.coalesce("name", F.lit("")).alias("name"), F.col("start_line").alias("line"))
 
 
 @query("SELECT doc_id, coalesce(array_to_string((string_split(text, chr(10)))[2:4], chr(10)), '') AS lines FROM documents WHERE text IS NOT NULL")
@@ -556,9 +556,10 @@ _ROOT_IMPORTS = "(1, 'x.py', 'python', 'shop.models', NULL, false), (2, 'A.java'
 _ROOT_SQL = f"""
 WITH i AS {rel(_ROOT_IMPORTS, "import_id, importer, lang, raw_path, imported_name, is_wildcard")},
 p AS (SELECT unnest(string_split('{_ROOT_PATHS}', ' ')) AS path),
-roots AS (SELECT unnest([{", ".join(f"'{r}/'" if r else "''" for r in resolve.ROOTS)}]) AS root UNION SELECT split_part(path, '/', 1) || '/' FROM p WHERE contains(path, '/')),
+conventional AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{r}/')" for k in ("python", "java", "vhdl") for r in resolve.ROOTED[k][2].split())}, ('python', ''), ('java', ''), ('vhdl', '')) AS t(lang, root)),
+roots AS (SELECT lang, root FROM conventional UNION SELECT k.lang, split_part(path, '/', 1) || '/' FROM p, (SELECT DISTINCT lang FROM conventional) k WHERE contains(path, '/')),
 e AS (SELECT * FROM (VALUES ('python', '.py'), ('java', '.java'), ('vhdl', '.vhd')) AS t(lang, ext))
-SELECT DISTINCT CAST(import_id AS INTEGER) AS import_id, path FROM i JOIN e USING (lang) CROSS JOIN roots JOIN p
+SELECT DISTINCT CAST(import_id AS INTEGER) AS import_id, path FROM i JOIN e USING (lang) JOIN roots USING (lang) JOIN p
   ON (NOT (is_wildcard AND lang = 'java') AND path = root || replace(raw_path, '.', '/') || ext)
   OR (is_wildcard AND lang = 'java' AND regexp_replace(path, '/[^/]*$', '') = root || replace(replace(raw_path, '.*', ''), '.', '/') AND ends_with(path, ext))
 """

@@ -1,12 +1,9 @@
-"""Files of a source tree, and what is extracted from them."""
+"""Files of a source tree."""
 
 from __future__ import annotations
 
-import ast
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,74 +18,3 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + re.escape(base) + "/", "")
     f = f.select(path.alias("path"), "content", F.col("modificationTime").alias("mtime"))
     return f.where(~F.col("path").rlike(r"(^|/)(\.[^/]+|" + "|".join(SKIP) + ")(/|$)"))
-
-
-#: Definition and call patterns for languages without a parser here: (kind, pattern with the name as its only group).
-PATTERNS = {
-    "rust": [("function_item", r"\bfn\s+(\w+)"), ("struct_item", r"\bstruct\s+(\w+)"), ("enum_item", r"\benum\s+(\w+)"), ("trait_item", r"\btrait\s+(\w+)"), ("mod_item", r"\bmod\s+(\w+)")],
-    "javascript": [("function_declaration", r"\bfunction\s*\*?\s*(\w+)"), ("class_declaration", r"\bclass\s+(\w+)")],
-    "typescript": [("function_declaration", r"\bfunction\s*\*?\s*(\w+)"), ("class_declaration", r"\bclass\s+(\w+)"), ("interface_declaration", r"\binterface\s+(\w+)")],
-    "go": [("function_declaration", r"^func\s+(\w+)"), ("method_declaration", r"^func\s*\([^)]*\)\s*(\w+)"), ("type_declaration", r"^type\s+(\w+)")],
-    "java": [("class_declaration", r"\bclass\s+(\w+)"), ("interface_declaration", r"\binterface\s+(\w+)"), ("method_declaration", r"^\s+(?:public|private|protected|static|final|\s)*[\w<>\[\]]+\s+(\w+)\s*\([^;]*$")],
-    "ruby": [("method", r"^\s*def\s+(?:self\.)?(\w+[?!]?)"), ("class", r"^\s*class\s+(\w+)"), ("module", r"^\s*module\s+(\w+)")],
-    "c": [("function_definition", r"^[\w*\s]+?\b(\w+)\s*\([^;]*\)\s*\{"), ("struct_specifier", r"^(?:typedef\s+)?struct\s+(\w+)\s*\{")],
-    "bash": [("function_definition", r"^\s*(?:function\s+)?(\w+)\s*\(\)\s*\{")],
-}
-CALL = re.compile(r"(\w+)\s*!?\(")
-NOT_CALLED = frozenset("if for while switch return catch fn func function def class match sizeof elif else".split())
-
-
-def python_rows(text: str) -> list[tuple]:
-    """(what, kind, name, start, end, raw, wildcard) by the ast module; nothing if the text does not parse."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    out = []
-    for n in ast.walk(tree):
-        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            out.append(("symbol", "function_definition", n.name, n.lineno, n.end_lineno, None, False))
-        elif isinstance(n, ast.ClassDef):
-            out.append(("symbol", "class_definition", n.name, n.lineno, n.end_lineno, None, False))
-        elif isinstance(n, ast.Call):
-            f = n.func
-            name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
-            if name:
-                out.append(("call", "call", name, n.lineno, n.lineno, None, False))
-        elif isinstance(n, ast.Import):
-            out += [("import", "import", None, n.lineno, n.lineno, a.name, False) for a in n.names]
-        elif isinstance(n, ast.ImportFrom):
-            m = "." * n.level + (n.module or "")
-            out += [("import", "import", None if a.name == "*" else a.name, n.lineno, n.lineno, f"{m}.*" if a.name == "*" else m, a.name == "*") for a in n.names]
-    return out
-
-
-def pattern_rows(text: str, lang: str) -> list[tuple]:
-    """The same by patterns: a symbol ends where its braces do, or at its line without any."""
-    out, ls = [], text.split("\n")
-    for no, line in enumerate(ls, 1):
-        named = set()
-        for kind, p in PATTERNS.get(lang, ()):
-            for m in re.finditer(p, line):
-                depth, end = 0, no
-                for k in range(no - 1, len(ls)):
-                    depth += ls[k].count("{") - ls[k].count("}")
-                    if depth <= 0 and (k > no - 1 or "{" in ls[k] or k == len(ls) - 1):
-                        end = k + 1
-                        break
-                named.add(m.group(1))
-                out.append(("symbol", kind, m.group(1), no, end, None, False))
-        if lang in PATTERNS:
-            out += [("call", "call", m.group(1), no, no, None, False) for m in CALL.finditer(line) if m.group(1) not in NOT_CALLED and m.group(1) not in named]
-    return out
-
-
-def extract(files: DataFrame) -> DataFrame:
-    """(path, what, kind, name, start_line, end_line, raw_path, is_wildcard) of files (path, lang, text)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(p, *r) for p, lang, t in zip(b["path"], b["lang"], b["text"]) if t for r in (python_rows(t) if lang == "python" else pattern_rows(t, lang))]
-            yield pd.DataFrame(rows, columns=["path", "what", "kind", "name", "start_line", "end_line", "raw_path", "is_wildcard"])
-
-    return files.select("path", "lang", "text").mapInPandas(run, "path string, what string, kind string, name string, start_line int, end_line int, raw_path string, is_wildcard boolean")
