@@ -125,9 +125,9 @@ def truncate_bytes(text: Column, most: int) -> Column:
 
 
 def line_range(text: Column, start: int, end: int) -> Column:
-    """Lines start to end (from 1, inclusive, clamped); empty if there are none."""
+    r"""Lines start to end (from 1, inclusive, clamped), ended as in lines(); empty if there are none."""
     lo = max(start, 1)
-    return F.array_join(F.slice(F.split(text, "\n"), lo, max(end - lo + 1, 0)), "\n")
+    return F.array_join(F.slice(lines(text), lo, max(end - lo + 1, 0)), "\n")
 
 
 def fold_path(path: Column) -> Column:

@@ -30,8 +30,11 @@ def call_owners(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 def definitions(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(name, defs, n): of each name its first definitions by path and line, so that common names stay bounded."""
     d = symbols.join(files, "file_id").select("name", "path", "kind", "parent", F.col("start_line").alias("line"))
-    w = Window.partitionBy("name").orderBy("path", "line")
-    first = d.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= MOST_DEFINITIONS)
+    # Of a very common name each part keeps its first ones before they meet.
+    d = d.withColumn("__part", F.pmod(F.xxhash64("path"), F.lit(64)))
+    part, whole = (Window.partitionBy(*by).orderBy("path", "line") for by in (("name", "__part"), ("name",)))
+    first = d.withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= MOST_DEFINITIONS)
+    first = first.withColumn("__r", F.row_number().over(whole)).where(F.col("__r") <= MOST_DEFINITIONS)
     return first.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("path", "line", "kind", "parent"))).alias("defs"))
 
 
@@ -40,8 +43,10 @@ def callers(calls: DataFrame, symbols: DataFrame, files: DataFrame, imports: Dat
 
     No definition: NoDefinitionIndexed. Some in the caller's file: LikelySameFile. One: UniqueElsewhere. Else those in
     files that the caller's imports of the name, or wildcards, resolve to: one is ImportResolved, more are Ambiguous among
-    them, none is Ambiguous among all.
+    them, none is Ambiguous among all. caller: the name of the symbol around the call, where calls have its id.
     """
+    if "caller_symbol_id" in calls.columns:
+        calls = calls.join(symbols.select(F.col("symbol_id").alias("caller_symbol_id"), F.col("name").alias("caller")), "caller_symbol_id", "left")
     if name is not None:
         calls, symbols = calls.where(F.col("callee_name") == name), symbols.where(F.col("name") == name)
     d = definitions(symbols, files).withColumnRenamed("name", "callee_name")
@@ -56,11 +61,13 @@ def callers(calls: DataFrame, symbols: DataFrame, files: DataFrame, imports: Dat
     c = c.withColumn("__same", same).withColumn("__told", told)
     kind = F.when(F.col("defs").isNull(), "NoDefinitionIndexed").when(F.size("__same") > 0, "LikelySameFile").when(F.size("defs") == 1, "UniqueElsewhere").when(F.size("__told") == 1, "ImportResolved").otherwise("Ambiguous")
     chosen = F.when(F.size("__same") > 0, F.col("__same")).when((F.size("defs") > 1) & (F.size("__told") > 0), F.col("__told")).otherwise(F.col("defs"))
-    return c.select("call_id", "callee_name", "path", "line", kind.alias("hint"), F.coalesce(F.array_join(F.array_distinct(F.transform(chosen, lambda x: x["path"])), ","), F.lit("")).alias("def_paths"), F.coalesce(F.size(chosen), F.lit(0)).alias("n_defs"))
+    return c.select("call_id", *(["caller"] if "caller" in c.columns else []), "callee_name", "path", "line", kind.alias("hint"), F.coalesce(F.array_join(F.array_distinct(F.transform(chosen, lambda x: x["path"])), ","), F.lit("")).alias("def_paths"), F.coalesce(F.size(chosen), F.lit(0)).alias("n_defs"))
 
 
-def callees(calls: DataFrame, symbols: DataFrame, files: DataFrame, caller: str, limit: int = 30) -> DataFrame:
-    """What the named symbol calls: the first rows by path and line, then one row per path with calls in order."""
-    s = symbols.where(F.col("name") == caller).select(F.col("symbol_id").alias("caller_symbol_id"))
-    rows = calls.join(s, "caller_symbol_id").join(files, "file_id").select("path", "line", "callee_name").orderBy("path", "line", "callee_name").limit(limit)
-    return rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "callee_name"))), lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["callee_name"])), ",").alias("calls"))
+def callees(calls: DataFrame, symbols: DataFrame, files: DataFrame, caller: str | None = None, limit: int = 30) -> DataFrame:
+    """(caller, path, calls): what each named symbol, or the one given, calls: its first rows by path and line, then one row
+    per path with calls in order."""
+    s = (symbols if caller is None else symbols.where(F.col("name") == caller)).select(F.col("symbol_id").alias("caller_symbol_id"), F.col("name").alias("caller"))
+    order = Window.partitionBy("caller").orderBy("path", "line", "callee_name")
+    rows = calls.join(s, "caller_symbol_id").join(files, "file_id").select("caller", "path", "line", "callee_name").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= limit)
+    return rows.groupBy("caller", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "callee_name"))), lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["callee_name"])), ",").alias("calls"))

@@ -37,7 +37,34 @@ def prompt_bucket(num_ctx: Column, chars: Column) -> Column:
 
 
 def handoff(stages: DataFrame, key: str, order: str, name: str, body: str, budget: int) -> DataFrame:
-    """All stages' blocks in order as one text per key, of which the tail within the budget of characters is kept."""
-    s = stages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(name).alias("n"), F.col(body).alias("b")))).alias("s"))
-    text = F.array_join(F.transform("s", lambda x: F.concat(F.lit("--- "), F.upper(x["n"]), F.lit(" ---\n"), F.coalesce(x["b"], F.lit("")), F.lit("\n"))), "")
-    return s.select(key, F.right(text, F.lit(budget)).alias("tail"), F.length(text).alias("n_chars"))
+    """(key, tail, n_chars): of all stages' blocks in order as one text per key, the tail within the budget of characters.
+
+    Each block has a header, so that the tail lies in a bounded number of last blocks; only those are put together.
+    """
+    block = F.concat(F.lit("--- "), F.upper(F.col(name)), F.lit(" ---\n"), F.coalesce(F.col(body), F.lit("")), F.lit("\n"))
+    s = stages.select(key, F.col(order).alias("__o"), block.alias("__b")).withColumn("__n", F.length("__b"))
+    last = s.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__o")))).where(F.col("__r") <= budget // 10 + 1)
+    before = Window.partitionBy(key).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    tail = last.withColumn("__after", F.coalesce(F.sum("__n").over(before), F.lit(0))).where(F.col("__after") < budget)
+    tail = tail.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__o", "__b"))).alias("__t"))
+    total = s.groupBy(key).agg(F.sum("__n").cast("int").alias("n_chars"))
+    return total.join(tail, key).select(key, F.right(F.array_join("__t.__b", ""), F.lit(budget)).alias("tail"), "n_chars")
+
+
+def slots(models: DataFrame, group: str, size: str, order: str, room: float, fraction: float = 0.7, each: int = 3) -> DataFrame:
+    """(group, slots): how many of a group's models fit into a part of the room, smallest first, times the calls of each; one at least.
+
+    Models of no size do not count against the room. Of a large group only as many rows are ranked as can fit.
+    """
+    least = models.groupBy(group).agg(F.min(size).alias("__least"), F.count("*").alias("__all"))
+    fit = F.floor(F.lit(room * fraction) / F.greatest(F.col("__least"), F.lit(1))) + 1
+    w = Window.partitionBy(group).orderBy(size, order)
+    ranked = models.join(least, group).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= fit)
+    ranked = ranked.withColumn("__s", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranked.groupBy(group).agg((F.greatest(F.lit(1), F.count_if(F.col("__s") <= room * fraction)) * each).cast("long").alias("slots"))
+
+
+def rendered_plan(plan: Column) -> Column:
+    """A plan's steps, one to a line, with a box that is ticked where the step is done; plan is JSON."""
+    steps = F.from_json(plan, "struct<steps:array<struct<text:string,status:string>>>")["steps"]
+    return F.array_join(F.transform(steps, lambda s: F.concat(F.when(s["status"] == "done", "[x] ").otherwise("[ ] "), s["text"])), "\n")

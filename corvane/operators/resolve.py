@@ -47,10 +47,10 @@ def _product(a: Column, b: Column, f) -> Column:
 
 
 def candidates(imports: DataFrame) -> DataFrame:
-    """(import_id, lang, rank, path, short, dir): what an import may mean, lower ranks first.
+    """(import_id, lang, rank, kind, place): what an import may mean, lower ranks first.
 
-    path: a file named from the repository; short: one named from a top-level directory, whichever; dir: a directory, of
-    which dir_short says whether it is named from a top-level one.
+    kind: "path", a file named from the repository; "short", one named from a top-level directory, whichever; "dir" and an
+    extension, or "topdir" and one, all such files of a directory named likewise; "swift", all files of a target.
     """
     raw, name = F.col("raw_path"), F.col("imported_name")
     i = imports.join(rules(imports.sparkSession), "lang", "left")
@@ -83,35 +83,41 @@ def candidates(imports: DataFrame) -> DataFrame:
     later = F.when(F.col("beside").isNotNull(), 1).otherwise(0)
     dirs = F.when(F.col("lang") == "hcl", F.array(rel)).when(F.col("lang") == "swift", F.array(F.concat(F.lit("Sources/"), F.split_part(plain, F.lit("."), F.lit(1))))).otherwise(packages)
 
-    def one(paths: Column, to: str, rank: Column, short: bool = False) -> DataFrame:
-        d = i.select("import_id", "lang", rank.alias("rank"), F.explode(F.array_distinct(paths)).alias(to)).where(F.col(to).isNotNull())
-        return d.select("import_id", "lang", "rank", *(F.col(to).alias(c) if c == to else F.lit(None).cast("string").alias(c) for c in ("path", "short", "dir")), F.lit(short).alias("dir_short"))
+    want = reduce(lambda a, k: a.when(F.col("lang") == k, F.lit(ROOTED[k][1])), PACKAGES, F.when(F.col("lang") == "hcl", F.lit("tf")))
 
-    parts = [one(near, "path", F.lit(0)), one(below, "path", later), one(named, "short", later), one(dirs, "dir", F.lit(0)), one(F.when(package, F.slice(rooted, 1, 1)), "dir", F.lit(0), True)]
-    return reduce(DataFrame.unionByName, parts)
+    def each(places: Column, kind: Column, rank: Column) -> Column:
+        return F.coalesce(F.transform(F.filter(places, lambda x: x.isNotNull()), lambda x: F.struct(kind.alias("kind"), x.alias("place"), rank.alias("rank"))), F.array().cast("array<struct<kind:string,place:string,rank:int>>"))
+
+    found = F.concat(
+        each(near, F.lit("path"), F.lit(0)), each(below, F.lit("path"), later), each(named, F.lit("short"), later),
+        each(dirs, F.when(F.col("lang") == "swift", F.lit("swift")).otherwise(F.concat(F.lit("dir."), want)), F.lit(0)), each(F.when(package, F.slice(rooted, 1, 1)), F.concat(F.lit("topdir."), want), F.lit(0)),
+    )
+    return i.select("import_id", "lang", F.explode(F.array_distinct(found)).alias("c")).select("import_id", "lang", "c.*")
+
+
+def targets(paths: DataFrame) -> DataFrame:
+    """(kind, place, path): each file under every name that a candidate may have for it."""
+    path, ext = F.col("path"), F.regexp_extract("path", r"\.([^./]*)$", 1)
+    inner, directory = F.regexp_replace(path, r"\A[^/]*/", ""), parent_dir(path)
+    deep = F.contains(path, F.lit("/"))
+    row = lambda kind, place: F.struct(kind.alias("kind"), place.alias("place"))
+    packaged = ext.isin("tf", *(ROOTED[k][1] for k in PACKAGES))
+    all_ = F.array(
+        row(F.lit("path"), path), row(F.lit("short"), F.when(deep, inner)), row(F.when(packaged, F.concat(F.lit("dir."), ext)), directory),
+        row(F.when(packaged & F.contains(directory, F.lit("/")), F.concat(F.lit("topdir."), ext)), parent_dir(inner)),
+        row(F.when((ext == "swift") & path.rlike(r"\ASources/[^/]+/"), F.lit("swift")), F.concat(F.lit("Sources/"), F.split_part(path, F.lit("/"), F.lit(2)))),
+    )
+    return paths.select("path", F.explode(F.filter(all_, lambda x: x["kind"].isNotNull() & x["place"].isNotNull())).alias("t")).select("t.kind", "t.place", "path")
 
 
 def resolve(imports: DataFrame, paths: DataFrame, manifests: DataFrame | None = None, crates: DataFrame | None = None) -> DataFrame:
-    """Distinct (import_id, path). All joins are equi joins on a path or directory, hashed like any other key."""
-    c = candidates(imports)
-    files = c.where("path is not null").join(paths.select("path"), "path", "left_semi").select("import_id", "lang", "rank", "path")
-    shorter = paths.where(F.contains("path", F.lit("/"))).select(F.col("path").alias("full"), F.regexp_replace("path", r"\A[^/]*/", "").alias("short"))
-    files = files.unionByName(c.where("short is not null").join(shorter, "short").select("import_id", "lang", "rank", F.col("full").alias("path")))
+    """Distinct (import_id, path): one equi join of candidates and files, besides go and rust."""
+    found = candidates(imports).join(targets(paths), ["kind", "place"]).select("import_id", "lang", "rank", "path")
     # Where a language looks beside the importer first, what lies below a root counts only if nothing does.
     twice = sorted(set(BESIDE) & set(ROOTED))
-    best = Window.partitionBy("import_id")
-    first = files.where(F.col("lang").isin(twice)).withColumn("best", F.min("rank").over(best)).where("rank = best").drop("best")
-    files = files.where(~F.col("lang").isin(twice)).unionByName(first).select("import_id", "path")
-    ext = F.regexp_extract("path", r"\.([^./]*)$", 1)
-    p = paths.select("path", parent_dir(F.col("path")).alias("dir"), ext.alias("ext"))
-    want = reduce(lambda a, k: a.when(F.col("lang") == k, ROOTED[k][1]), PACKAGES, F.when(F.col("lang") == "hcl", "tf"))
-    of = lambda d, q: d.join(q, "dir").where(F.col("ext") == want).select("import_id", "path")
-    kept = c.where("dir is not null").select("import_id", "lang", "dir", "dir_short")
-    direct = of(kept.where("not dir_short and lang <> 'swift'"), p)
-    short = of(kept.where("dir_short"), p.where(F.contains("dir", F.lit("/"))).withColumn("dir", F.regexp_replace("dir", r"\A[^/]*/", "")))
-    deep = paths.where("path like 'Sources/%/%'").select("path", F.concat(F.lit("Sources/"), F.split_part(F.col("path"), F.lit("/"), F.lit(2))).alias("dir"), ext.alias("ext"))
-    swift = kept.where("lang = 'swift'").join(deep, "dir").where("ext = 'swift'").select("import_id", "path")
-    return reduce(DataFrame.unionByName, [files, direct, short, swift, resolve_go(imports, paths, manifests), resolve_rust(imports, paths, crates)]).distinct()
+    best = F.min(F.when(F.col("lang").isin(twice), F.col("rank"))).over(Window.partitionBy("import_id"))
+    files = found.withColumn("best", best).where(F.col("best").isNull() | (F.col("rank") == F.col("best"))).select("import_id", "path")
+    return reduce(DataFrame.unionByName, [files, resolve_go(imports, paths, manifests), resolve_rust(imports, paths, crates)]).distinct()
 
 
 def resolve_go(imports: DataFrame, paths: DataFrame, manifests: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex
@@ -31,25 +36,60 @@ def verdicts(calls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def bursts(events: DataFrame, key: str, ts_ms: str, gap: int = 600) -> DataFrame:
-    """Bursts per key: a window of gap ms opens at an event that no open window holds, and later ones do not extend it."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.col(ts_ms))).alias("t"))
-    start = F.struct(F.lit(None).cast("long").alias("open"), F.array().cast("array<struct<at:bigint,n:bigint>>").alias("b"))
-
-    def step(a: Column, x: Column) -> Column:
-        inside = a["open"].isNotNull() & (x < a["open"] + gap)
-        last = F.element_at(a["b"], -1)
-        more = F.concat(F.slice(a["b"], F.lit(1), F.greatest(F.size(a["b"]) - 1, F.lit(0))), F.array(F.struct(last["at"].alias("at"), (last["n"] + 1).alias("n"))))
-        new = F.concat(a["b"], F.array(F.struct(x.alias("at"), F.lit(1).cast("long").alias("n"))))
-        return F.when(inside, F.struct(a["open"].alias("open"), more.alias("b"))).otherwise(F.struct(x.alias("open"), new.alias("b")))
+    """(key, at, n): a window of gap ms opens at an event that no open window holds, and later ones do not extend it.
 
-    return rows.select(key, F.explode(F.aggregate("t", start, step)["b"]).alias("b")).select(key, F.col("b.at").alias("at"), F.col("b.n").alias("n"))
+    One pass over the sorted events of a key, which holds a batch and one open window. Null keys and times take no part.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.select(F.col(key).alias("k"), F.col(ts_ms).cast("long").alias("t")).where("k is not null and t is not null")
+    rows = rows.repartition("k").sortWithinPartitions("k", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, opened, n = None, 0, 0
+        for b in batches:
+            out: list[tuple] = []
+            keys, times = b["k"], b["t"].to_numpy()
+            at = 0
+            for run_ in pc.run_end_encode(keys).run_ends.to_pylist() if b.num_rows else ():
+                k = keys[at].as_py()
+                if k != now:
+                    if n:
+                        out.append((now, opened, n))
+                    now, n = k, 0
+                while at < run_:
+                    if n == 0:
+                        opened = int(times[at])
+                    end = at + int(np.searchsorted(times[at:run_], opened + gap))
+                    n, at = n + end - at, end
+                    if at < run_:
+                        out.append((now, opened, n))
+                        n = 0
+            yield _bursts(out, keys.type)
+        if n:
+            yield _bursts([(now, opened, n)], keys.type)
+
+    return rows.mapInArrow(run, f"k {kind}, at long, n long").withColumnRenamed("k", key)
+
+
+def _bursts(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    k, at, n = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(k, kind), pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["k", "at", "n"])
 
 
 def fence_lines(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Lines of texts with in_code: a line that starts with three backticks toggles; an open fence runs to the end."""
-    t = texts.select(*keys, F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("ls"))
-    ticks = F.transform("ls", lambda x: F.when(x.startswith("```"), 1).otherwise(0))
-    t = t.withColumn("f", ticks)
-    flags = F.aggregate("f", F.struct(F.lit(0).alias("on"), F.array().cast("array<int>").alias("o")), lambda a, x: F.struct(((a["on"] + x) % 2).alias("on"), F.concat(a["o"], F.array(F.when(x == 1, -1).otherwise(a["on"]))).alias("o")))["o"]
-    t = t.withColumn("o", flags).select(*keys, F.posexplode(F.arrays_zip("ls", "o")).alias("no", "z"))
-    return t.select(*keys, "no", F.col("z.ls").alias("line"), F.col("z.o").alias("state"))
+    """(keys, part, no, line, state): lines between fences, state 1 in code and 0 outside; fences themselves are left out.
+
+    A line that starts with three backticks toggles, and an open fence runs to the end. Texts are split at their fences
+    within the row: part counts the pieces, of which every other is code, and no the lines of a piece.
+    """
+    t = texts.select(*keys, F.split(F.concat(F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), r"(?<=\n)```[^\n]*(?=\n|\z)").alias("parts"))
+    t = t.withColumn("last", F.size("parts") - 1).select(*keys, "last", F.posexplode("parts").alias("part", "p"))
+    # A piece starts with the break before its first line and, but for the last one, ends with the break before a fence.
+    body = F.when(F.col("part") == F.col("last"), F.col("p")).otherwise(F.left("p", F.length("p") - 1))
+    t = t.withColumn("p", body).where("p <> ''")
+    return t.select(*keys, "part", (F.col("part") % 2).alias("state"), F.posexplode(F.split(F.expr("substring(p, 2)"), "\n")).alias("no", "line"))
+
+
+def replay(events: DataFrame, run: str, order: str) -> DataFrame:
+    """events with seq, from 0 in each run by order: what a reader that attaches from the start is given."""
+    return events.withColumn("seq", F.row_number().over(Window.partitionBy(run).orderBy(order)) - 1)

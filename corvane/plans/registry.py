@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import languages
 from ..functions import text as T
-from ..operators import callgraph, context, index, resolve, search, sessions, stored_search, vector
-from ..sources import extract
+from ..operators import callgraph, context, index, search, sessions, stored_search, vector
 from ..sources.shared import fingerprint, shared_dir
 from ..sources.snapshots import Store
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None) -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLE[name or f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
-
+from . import code_queries  # noqa: F401  registers its queries
+from .base import ORACLE, QUERIES, callers_sql, query, read
 
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     return spark.sql(f"select * from values {rows} as t({columns})")
@@ -128,14 +109,19 @@ def _chunk_query(spark, sf, window, overlap):
 query(_chunks(150, 30), "chunk_default")(lambda spark, sf: _chunk_query(spark, sf, 150, 30))
 query(_chunks(8, 2), "chunk_small")(lambda spark, sf: _chunk_query(spark, sf, 8, 2))
 
-_PATHS = "('src/main.rs'), ('a/b.PY'), ('Dockerfile'), ('x/Dockerfile.dev'), ('CMakeLists.txt'), ('Makefile'), ('README'), ('.gitignore'), ('a.b/c'), ('web/app.tsx'), ('lib/x.tar.gz'), ('q.sql')"
+#: What file names can look like: every known extension in either case, special names, and some that say nothing.
+_ENDS = [*(f"x/a.{e.upper() if i % 3 == 0 else e}" for i, (e, _) in enumerate(languages.rows())), *(f"x/{n}" for n in languages.NAMES), "x/Dockerfile.dev", "x/README", "x/.gitignore", "a.b/c", "x/y.tar.gz", "x/.rs", "x/makefile.py", "x/dockerfile"]
 _LANG_ROWS = ", ".join(f"('{e}', '{k}')" for e, k in languages.rows())
 _NAME_ROWS = ", ".join(f"('{e}', '{k}')" for e, k in languages.NAMES.items())
+_ENDS_SQL = rel(", ".join(f"({i}, '{e}')" for i, e in enumerate(_ENDS)), "i, e")
 
 
-@query(f"WITH p AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name FROM {rel(_PATHS, 'path')}), e AS (SELECT *, lower(regexp_extract(name, '[^.][.]([^.]*)$', 1)) AS ext FROM p) SELECT path, coalesce(n.lang, CASE WHEN name LIKE 'Dockerfile.%' THEN 'dockerfile' END, x.lang, 'text') AS lang FROM e LEFT JOIN {rel(_LANG_ROWS, 'ext, lang')} x ON x.ext = e.ext LEFT JOIN {rel(_NAME_ROWS, 'nm, lang')} n ON n.nm = e.name")
+@query(f"WITH p AS (SELECT 'p' || doc_id || '/' || e AS path, regexp_extract(e, '([^/]*)$', 1) AS name FROM documents JOIN {_ENDS_SQL} ON i = doc_id % {len(_ENDS)}), e AS (SELECT *, lower(regexp_extract(name, '[^.][.]([^.]*)$', 1)) AS ext FROM p) SELECT path, coalesce(n.lang, CASE WHEN name LIKE 'Dockerfile.%' THEN 'dockerfile' END, x.lang, 'text') AS lang FROM e LEFT JOIN {rel(_LANG_ROWS, 'ext, lang')} x ON x.ext = e.ext LEFT JOIN {rel(_NAME_ROWS, 'nm, lang')} n ON n.nm = e.name")
 def lang_tag(spark, sf):
-    return languages.tag(values(spark, _PATHS, "path"))
+    """A path per document, whose name goes by its id."""
+    ends = F.broadcast(spark.createDataFrame(list(enumerate(_ENDS)), "i long, e string"))
+    d = read(spark, sf, "documents").select("doc_id", (F.col("doc_id") % len(_ENDS)).alias("i")).join(ends, "i")
+    return languages.tag(d.select(F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("/"), "e").alias("path"))).select("path", "lang")
 
 
 @query("SELECT 'docs/' || doc_id || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS hash FROM documents WHERE text IS NOT NULL AND strlen(text) <= 2097152")
@@ -171,65 +157,18 @@ def index_stats(spark, sf):
     return index.stats(states, chunks)
 
 
-_FILES = "(1, 'a.rs'), (2, 'b.rs'), (3, 'c.rs'), (4, 'd.rs')"
-_SYMS = "(1, 1, 'function_item', 'helper', 1, 5), (2, 1, 'impl_item', 'Point', 10, 40), (3, 1, 'function_item', 'new', 12, 20), (4, 1, 'impl_item', 'Circle', 50, 90), (5, 1, 'function_item', 'new', 52, 60), (6, 1, 'closure', 'inner', 54, 56), (7, 1, 'function_item', 'run', 95, 99), (8, 2, 'function_item', 'run', 1, 9), (9, 4, 'function_item', 'run', 1, 9), (10, 2, 'struct_item', 'T', 20, 30), (11, 2, 'alias', 'U', 20, 30), (12, 3, 'function_item', 'main', 1, 50)"
-_SYMCOLS = "symbol_id, file_id, kind, name, start_line, end_line"
-_CALLS = "(1, 1, 'helper', 15), (2, 2, 'helper', 3), (3, 1, 'new', 55), (4, 3, 'run', 4), (5, 2, 'println', 5), (6, 3, 'run', 60), (7, 4, 'run', 20), (8, 3, 'helper', 7)"
-_CALLCOLS = "call_id, file_id, callee_name, line"
-_IMPS = "(1, 3, 'run', false), (2, 2, cast(null as string), true)"
-_RES = "(1, 1), (2, 1), (2, 4)"
-_PARENT = "min_by(o.name, struct_pack(a := o.end_line - o.start_line, b := o.symbol_id))"
-_SY = rel(_SYMS, _SYMCOLS)
-
-
-def _graph(spark):
-    f, s = values(spark, _FILES, "file_id, path"), callgraph.symbol_parents(values(spark, _SYMS, _SYMCOLS))
-    c = callgraph.call_owners(values(spark, _CALLS, _CALLCOLS), s)
-    i, r = values(spark, _IMPS, "import_id, file_id, imported_name, is_wildcard"), values(spark, _RES, "import_id, target_id")
-    return f, s, c, i, r
-
-
-@query(f"SELECT s.symbol_id, s.name, (SELECT {_PARENT} FROM {_SY} o WHERE o.file_id = s.file_id AND o.symbol_id <> s.symbol_id AND o.start_line <= s.start_line AND s.end_line <= o.end_line) AS parent FROM {_SY} s")
-def symbol_parent(spark, sf):
-    return _graph(spark)[1].select("symbol_id", "name", "parent")
-
-
-@query(f"SELECT c.call_id, (SELECT min_by(o.symbol_id, struct_pack(a := o.end_line - o.start_line, b := o.symbol_id)) FROM {_SY} o WHERE o.file_id = c.file_id AND o.start_line <= c.line AND c.line <= o.end_line) AS caller_symbol_id FROM {rel(_CALLS, _CALLCOLS)} c")
-def call_owner(spark, sf):
-    return _graph(spark)[2].select("call_id", "caller_symbol_id")
-
-
 @query("SELECT p_partkey, p_name, word FROM (SELECT p_partkey, p_name, CASE WHEN contains(lower(p_name), 'red') THEN 0 WHEN contains(lower(p_name), 'part') THEN 1 END AS word FROM part) WHERE word IS NOT NULL ORDER BY word, p_partkey LIMIT 8")
 def symbol_like(spark, sf):
     return search.symbol_like(read(spark, sf, "part").select("p_partkey", "p_name"), "p_name", ["red", "part", "a"], 8, ["p_partkey"])
 
 
-def _callers_sql(files: str, syms: str, calls: str, imps: str, res: str) -> str:
-    return f"""WITH files AS (SELECT * FROM {files}), d AS (SELECT s.name, f.path, s.line, row_number() OVER (PARTITION BY s.name ORDER BY f.path, s.line) AS r FROM {syms} s JOIN files f USING (file_id)),
-d50 AS (SELECT * FROM d WHERE r <= 50), c AS (SELECT c.*, f.path FROM {calls} c JOIN files f USING (file_id)),
-told AS (SELECT DISTINCT i.file_id, i.imported_name, i.is_wildcard, f.path AS target FROM {imps} i JOIN {res} r USING (import_id) JOIN files f ON f.file_id = r.target_id),
-j AS (SELECT c.call_id, c.callee_name, c.path, c.line, d.path AS dp, d.line AS dl, d.path = c.path AS same, d.path IS NOT NULL AND EXISTS (SELECT 1 FROM told t WHERE t.file_id = c.file_id AND t.target = d.path AND (t.imported_name = c.callee_name OR t.is_wildcard)) AS ok FROM c LEFT JOIN d50 d ON d.name = c.callee_name),
-g AS (SELECT call_id, callee_name, path, line, count(dp) AS n, count(*) FILTER (same) AS ns, count(*) FILTER (ok) AS nt, list(struct_pack(p := dp, l := dl) ORDER BY dp, dl) FILTER (dp IS NOT NULL) AS a, list(struct_pack(p := dp, l := dl) ORDER BY dp, dl) FILTER (same) AS s, list(struct_pack(p := dp, l := dl) ORDER BY dp, dl) FILTER (ok) AS t FROM j GROUP BY ALL),
-h AS (SELECT *, CASE WHEN n = 0 THEN 'NoDefinitionIndexed' WHEN ns > 0 THEN 'LikelySameFile' WHEN n = 1 THEN 'UniqueElsewhere' WHEN nt = 1 THEN 'ImportResolved' ELSE 'Ambiguous' END AS hint, CASE WHEN n = 0 THEN [] WHEN ns > 0 THEN s WHEN n > 1 AND nt > 0 THEN t ELSE a END AS chosen FROM g)
-SELECT call_id, callee_name, path, line, hint, array_to_string(list_sort(list_distinct(list_transform(chosen, lambda x: x.p))), ',') AS def_paths, CAST(len(chosen) AS INTEGER) AS n_defs FROM h"""
-
-
-_DIMPS = rel(_IMPS.replace("cast(null as string)", "CAST(NULL AS VARCHAR)"), "import_id, file_id, imported_name, is_wildcard")
-
-
-@query(_callers_sql(rel(_FILES, "file_id, path"), f"(SELECT file_id, name, start_line AS line FROM {_SY})", rel(_CALLS, _CALLCOLS), _DIMPS, rel(_RES, "import_id, target_id")))
-def callers(spark, sf):
-    f, s, c, i, r = _graph(spark)
-    return callgraph.callers(c, s, f, i, r)
-
-
-#: The same over tables of the shape of a call graph: part keys as names, orders as files.
+#: Tables of the shape of a call graph: part keys as names, orders as files.
 _CA_FILES = "(SELECT l_orderkey AS file_id, 'f' || lpad(CAST(l_orderkey AS VARCHAR), 9, '0') AS path FROM lineitem GROUP BY l_orderkey)"
 _CA_SYMS = "(SELECT l_orderkey AS file_id, 'p' || (l_partkey % 500) AS name, l_linenumber AS line FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 = 0 GROUP BY ALL)"
 _CA_CALLS = "(SELECT l_orderkey * 10 + l_linenumber AS call_id, l_orderkey AS file_id, 'p' || (min(l_partkey) % 500) AS callee_name, l_linenumber AS line FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey, l_linenumber)"
 
 
-@query(_callers_sql(_CA_FILES, _CA_SYMS, _CA_CALLS, "(SELECT l_orderkey AS import_id, l_orderkey AS file_id, CAST(NULL AS VARCHAR) AS imported_name, true AS is_wildcard FROM lineitem WHERE l_orderkey % 9 = 0 GROUP BY l_orderkey)", "(SELECT l_orderkey AS import_id, l_orderkey + 3 AS target_id FROM lineitem WHERE l_orderkey % 9 = 0 GROUP BY l_orderkey)"))
+@query(callers_sql(_CA_FILES, _CA_SYMS, _CA_CALLS, "(SELECT l_orderkey AS import_id, l_orderkey AS file_id, CAST(NULL AS VARCHAR) AS imported_name, true AS is_wildcard FROM lineitem WHERE l_orderkey % 9 = 0 GROUP BY l_orderkey)", "(SELECT l_orderkey AS import_id, l_orderkey + 3 AS target_id FROM lineitem WHERE l_orderkey % 9 = 0 GROUP BY l_orderkey)"))
 def callers_all(spark, sf):
     l = read(spark, sf, "lineitem")
     name = lambda c: F.concat(F.lit("p"), (c % 500).cast("string"))
@@ -240,41 +179,6 @@ def callers_all(spark, sf):
     return callgraph.callers(c, s, f, i.select("import_id", F.col("import_id").alias("file_id"), F.lit(None).cast("string").alias("imported_name"), F.lit(True).alias("is_wildcard")), i.select("import_id", (F.col("import_id") + 3).alias("target_id")))
 
 
-@query("SELECT * FROM (VALUES ('c.rs', '4:run,7:helper')) AS t(path, calls)")
-def callees(spark, sf):
-    f, s, c, _, _ = _graph(spark)
-    return callgraph.callees(c, s, f, "main")
-
-
-_RPATHS = "src/a.c src/inc/h.h include/x.h utils.ts lib/index.js pkg/models.py pkg/__init__.py pkg/sub/deep.py top.py com/example/util/Helper.java src/main/java/com/example/util/Other.java src/Data/List.hs std/stdio.d src/my_pkg-child.ads src/helper.ml lib/Foo/Bar.pm src/mod_utils.f90 lib/my_app/http_server.ex src/a/b.lua Sources/CoreModule/A.swift Sources/CoreModule/sub/B.swift modules/vpc/main.tf modules/vpc/vars.tf pkg/helper.nim src/my_pkg.vhd run.sh src/tool.rb pkg/utils/a.go pkg/utils/b.go pkg/utils/c.txt src/helpers.rs src/net/mod.rs crates/core/src/lib.rs crates/core/src/shared.rs crates/app/src/main.rs src/permissions.rs".split()
-_RIMPS = [
-    (1, "src/a.c", "c", "inc/h.h", None, False, "src/inc/h.h"), (2, "src/a.c", "c", "../include/x.h", None, False, "include/x.h"), (3, "src/a.c", "c", "../../x.h", None, False, ""),
-    (4, "main.ts", "typescript", "./utils", None, False, "utils.ts"), (5, "main.ts", "javascript", "./lib", None, False, "lib/index.js"), (6, "main.ts", "typescript", "react", None, False, ""),
-    (7, "pkg/views.py", "python", ".", "models", False, "pkg/__init__.py pkg/models.py"), (8, "pkg/sub/x.py", "python", "..models", None, False, "pkg/models.py"), (9, "x.py", "python", "pkg.sub.deep", "f", False, "pkg/sub/deep.py"), (10, "x.py", "python", "top.*", None, True, "top.py"), (11, "x.py", "python", "numpy", None, False, ""),
-    (12, "A.java", "java", "com.example.util.Helper", "Helper", False, "com/example/util/Helper.java"), (13, "A.java", "java", "com.example.util.*", None, True, "com/example/util/Helper.java src/main/java/com/example/util/Other.java"), (14, "A.hs", "haskell", "Data.List.*", None, True, "src/Data/List.hs"), (15, "a.d", "d", "std.stdio.*", None, True, "std/stdio.d"),
-    (16, "a.adb", "ada", "My_Pkg.Child", None, True, "src/my_pkg-child.ads"), (17, "a.ml", "ocaml", "Helper.*", None, True, "src/helper.ml"), (18, "a.pl", "perl", "Foo::Bar.*", None, True, "lib/Foo/Bar.pm"), (19, "a.f90", "fortran", "mod_utils.*", None, True, "src/mod_utils.f90"), (20, "a.ex", "elixir", "MyApp.HTTPServer.*", None, True, "lib/my_app/http_server.ex"), (21, "x.lua", "lua", "a.b", None, False, "src/a/b.lua"),
-    (22, "m.swift", "swift", "CoreModule.*", None, True, "Sources/CoreModule/A.swift Sources/CoreModule/sub/B.swift"), (23, "m.swift", "swift", "Foundation.*", None, True, ""), (24, "main.tf", "hcl", "./modules/vpc", None, True, "modules/vpc/main.tf modules/vpc/vars.tf"), (25, "x.nim", "nim", "pkg/helper", None, False, "pkg/helper.nim"), (26, "x.vhd", "vhdl", "my_pkg", None, True, "src/my_pkg.vhd"),
-    (27, "a.sh", "bash", "./run", None, False, "run.sh"), (28, "src/b.rb", "ruby", "./tool", None, False, "src/tool.rb"), (29, "main.go", "go", "myproject/pkg/utils", None, True, "pkg/utils/a.go pkg/utils/b.go"), (30, "main.go", "go", "fmt", None, True, ""),
-    (31, "src/lib.rs", "rust", "crate::helpers::run", "run", False, "src/helpers.rs"), (32, "src/lib.rs", "rust", "crate::net", None, False, "src/net/mod.rs"), (33, "crates/app/src/main.rs", "rust", "my_core::shared", None, False, "crates/core/src/lib.rs crates/core/src/shared.rs"), (34, "src/lib.rs", "rust", "serde::Deserialize", "Deserialize", False, ""), (35, "src/permissions.rs", "rust", "super::glob_match", "glob_match", False, "src/permissions.rs"),
-]
-
-
-def _resolved(langs: str):
-    def run(spark, sf):
-        rows = [(*r[:6], ["tests"] if r[0] == 35 else []) for r in _RIMPS if r[2] in langs.split()]
-        i = spark.createDataFrame(rows, "import_id int, importer string, lang string, raw_path string, imported_name string, is_wildcard boolean, module_prefix array<string>")
-        p = spark.createDataFrame([(x,) for x in _RPATHS], "path string")
-        mods = spark.createDataFrame([("", "myproject")], "dir string, module string")
-        crates = spark.createDataFrame([("", "", "src"), ("my-core", "crates/core", "crates/core/src"), ("app", "crates/app", "crates/app/src")], "name string, dir string, src string")
-        return resolve.resolve(i, p, mods, crates)
-
-    return run
-
-
-for _name, _langs in {"resolve_relative": "c bash ruby", "resolve_js": "javascript typescript", "resolve_python": "python", "resolve_rust": "rust", "resolve_go": "go", "resolve_dotted": "java haskell d lua", "resolve_flat": "ada ocaml perl fortran vhdl", "resolve_nim": "nim", "resolve_elixir": "elixir", "resolve_swift": "swift", "resolve_hcl": "hcl"}.items():
-    _want = ", ".join(f"({r[0]}, '{p}')" for r in _RIMPS if r[2] in _langs.split() for p in r[6].split())
-    query(f"SELECT CAST(import_id AS INTEGER) AS import_id, path FROM {rel(_want, 'import_id, path')}", _name)(_resolved(_langs))
-
 QUERY_VECTOR = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
 _QV = f"CAST([{', '.join(map(str, QUERY_VECTOR))}] AS DOUBLE[])"
 _EV = "CAST(embedding AS DOUBLE[])"
@@ -344,13 +248,15 @@ def handoff_tail(spark, sf):
     return context.handoff(read(spark, sf, "conversations"), "conv_id", "turn", "role", "text", 500)
 
 
-_BUCKETS = "(32768, 0, 2048), (32768, 200, 4096), (32768, 24000, 8192), (8192, 1000000, 8192), (1024, 200, 1024)"
+_CTX = [1024, 8192, 32768]
 
 
-@query(f"SELECT num_ctx, chars, CAST(bucket AS BIGINT) AS bucket, CAST(trunc(num_ctx * 0.55) * 4 AS BIGINT) AS budget FROM {rel(_BUCKETS, 'num_ctx, chars, bucket')}")
+@query(f"WITH c AS (SELECT conv_id, {_CTX}[conv_id % 3 + 1] AS num_ctx, CAST(sum(length(coalesce(text, ''))) AS BIGINT) * (1 + conv_id % 40) AS chars FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(least(num_ctx, greatest(2048, pow(2, ceil(log2(floor(chars / 4.0) + 2048))))) AS BIGINT) AS bucket, CAST(trunc(num_ctx * 0.55) * 4 AS BIGINT) AS budget FROM c")
 def prompt_bucket(spark, sf):
-    v = values(spark, _BUCKETS, "num_ctx, chars, want")
-    return v.select("num_ctx", "chars", context.prompt_bucket(F.col("num_ctx"), F.col("chars")).alias("bucket"), context.context_budget(F.col("num_ctx")).alias("budget"))
+    """The room for each conversation, as often over as its id says, in one of three models."""
+    c = read(spark, sf, "conversations").groupBy("conv_id").agg((F.sum(F.length(F.coalesce("text", F.lit("")))) * (1 + F.col("conv_id") % 40)).alias("chars"))
+    num_ctx = F.element_at(F.array(*map(F.lit, _CTX)), (F.col("conv_id") % 3 + 1).cast("int"))
+    return c.select("conv_id", context.prompt_bucket(num_ctx, F.col("chars")).alias("bucket"), context.context_budget(num_ctx).alias("budget"))
 
 
 def _unescape(x: str) -> str:
@@ -397,13 +303,15 @@ def prompt_size(spark, sf):
     return read(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.octet_length(t)).alias("prompt_bytes"), F.least(F.lit(999), F.floor(F.sum(F.length(t)) / 4 * 100 / 8192)).cast("long").alias("percent"))
 
 
-_RULES = "(1, 'shell', 'git *', 'allow'), (2, 'shell', 'rm *', 'deny'), (3, 'read', cast(null as string), 'allow'), (4, '*', '*secret*', 'deny')"
-_TOOLCALLS = "(1, 'shell', 'git status'), (2, 'shell', 'rm -rf x'), (3, 'shell', 'ls'), (4, 'read', 'a.txt'), (5, 'write', 'my secret.txt'), (6, 'shell', 'git secret'), (7, 'write', 'a')"
+_RULES = """(1, 'error', '*"k": 1*', 'allow'), (2, 'error', '*"k": 12*', 'deny'), (3, 'signup', cast(null as string), 'allow'), (4, 'click', '{"k": 5?}', 'deny'), (5, '*', '*77*', 'deny'), (6, 'view', '*', 'ask'), (7, '*', '{*: 3*}', 'allow')"""
+_LIKE = "replace(replace(replace(replace(r.pattern, '\\', '\\\\'), '%', '\\%'), '_', '\\_'), '*', '%')"
 
 
-@query(f"SELECT c.call_id, coalesce((SELECT min_by(r.action, r.ord) FROM {rel(_RULES.replace('cast(null as string)', 'CAST(NULL AS VARCHAR)'), 'ord, tool, pattern, action')} r WHERE (r.tool = '*' OR r.tool = c.tool) AND (r.pattern IS NULL OR c.arg GLOB r.pattern)), 'fallback') AS verdict FROM {rel(_TOOLCALLS, 'call_id, tool, arg')} c")
+@query(f"SELECT c.event_id, coalesce((SELECT CASE WHEN min_by(r.action, r.ord) = 'ask' THEN 'fallback' ELSE min_by(r.action, r.ord) END FROM {rel(_RULES.replace('cast(null as string)', 'CAST(NULL AS VARCHAR)'), 'ord, tool, pattern, action')} r WHERE (r.tool = '*' OR r.tool = c.event_type) AND (r.pattern IS NULL OR c.props LIKE {_LIKE} ESCAPE '\\')), 'fallback') AS verdict FROM events c")
 def permission_eval(spark, sf):
-    return sessions.verdicts(values(spark, _TOOLCALLS, "call_id, tool, arg"), values(spark, _RULES, "ord, tool, pattern, action"))
+    """Every event as a call of a tool, under a few rules; * alone is special in a pattern."""
+    calls = read(spark, sf, "events").select(F.col("event_id").alias("call_id"), F.col("event_type").alias("tool"), F.col("props").alias("arg"))
+    return sessions.verdicts(calls, values(spark, _RULES, "ord, tool, pattern, action")).withColumnRenamed("call_id", "event_id")
 
 
 _MANIFEST = "(SELECT 's' || (user_id % 20) AS session, event_id AS seq, 'f' || (event_id % 37) AS path, CASE event_type WHEN 'signup' THEN 'Create' WHEN 'error' THEN 'Delete' ELSE 'Modify' END AS action FROM events)"
@@ -434,65 +342,55 @@ def debounce_bursts(spark, sf):
     return sessions.bursts(read(spark, sf, "events").select("user_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)").alias("t")), "user_id", "t", 600_000_000).withColumnRenamed("at", "opened")
 
 
-@query("SELECT event_id, event_type, CAST(row_number() OVER (ORDER BY event_id) - 1 AS INTEGER) AS seq FROM events WHERE user_id = (SELECT min(user_id) FROM events)")
+@query("SELECT user_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS seq FROM events")
 def event_replay(spark, sf):
-    e = read(spark, sf, "events")
-    one = e.join(F.broadcast(e.agg(F.min("user_id").alias("user_id"))), "user_id")
-    return one.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("l")).select(F.posexplode("l").alias("seq", "x")).select("x.event_id", "x.event_type", "seq")
+    return sessions.replay(read(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
-_MODELS = "(1, 4000), (2, 2500), (3, 6000), (4, 1500)"
+@query("SELECT brand, CAST(greatest(1, count(*) FILTER (s <= 0.7 * 12000)) * 3 AS BIGINT) AS slots FROM (SELECT p_brand AS brand, sum(p_size * 100) OVER (PARTITION BY p_brand ORDER BY p_size * 100, p_partkey ROWS UNBOUNDED PRECEDING) AS s FROM part) GROUP BY brand")
+def concurrency_plan(spark, sf):
+    """Parts as models of a brand that share a machine."""
+    m = read(spark, sf, "part").select(F.col("p_brand").alias("brand"), (F.col("p_size") * 100).alias("mb"), "p_partkey")
+    return context.slots(m, "brand", "mb", "p_partkey", 12_000)
 
 
-@query(f"SELECT CAST(greatest(1, count(*) FILTER (s <= 0.7 * 12000)) * 3 AS BIGINT) AS slots FROM (SELECT sum(mb) OVER (ORDER BY mb, id) AS s FROM {rel(_MODELS, 'id, mb')})")
-def concurrency_plan(spark, sf):
-    v = values(spark, _MODELS, "id, mb").groupBy().agg(F.array_sort(F.collect_list("mb")).alias("m"))
-    n = F.aggregate("m", F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["n"] + F.when(a["s"] + x <= 0.7 * 12000, 1).otherwise(0)).alias("n")))["n"]
-    return v.select((F.greatest(F.lit(1), n) * 3).cast("long").alias("slots"))
+#: A model's tag by a part: provider or none, family, and size.
+_TAGS = ["cloudy:big-{}b", "qwen2.5-coder:{}b", "local-embed-text", "llava:{}b", "other-{}", "Cloudy:x{}B", "mixed-vision-{}b:latest"]
+_TAG = f"CASE p_partkey % {len(_TAGS)} " + " ".join(f"WHEN {i} THEN " + " || ".join(x if x == "p_size" else f"'{x}'" for x in [y for part in t.split("{}") for y in (part, "p_size")][:-1] if x) for i, t in enumerate(_TAGS)) + " END"
 
 
-_ROUTES = "('cloudy:big-7b'), ('qwen2.5-coder:7b'), ('local-embed-text'), ('llava:13b'), ('other')"
+def _tags(spark, sf):
+    return spark.sql(f"select p_partkey, {_TAG} as tag from {{part}}", part=read(spark, sf, "part"))
 
 
-@query(f"SELECT tag, CASE WHEN split_part(tag, ':', 1) IN ('cloudy') AND contains(tag, ':') THEN split_part(tag, ':', 1) ELSE 'local' END AS provider, CASE WHEN tag LIKE 'cloudy:%' THEN substring(tag, 8) ELSE tag END AS model FROM {rel(_ROUTES, 'tag')}")
+@query(f"SELECT p_partkey, tag, CASE WHEN tag LIKE 'cloudy:%' THEN 'cloudy' ELSE 'local' END AS provider, CASE WHEN tag LIKE 'cloudy:%' THEN substring(tag, 8) ELSE tag END AS model FROM (SELECT p_partkey, {_TAG} AS tag FROM part)")
 def model_route(spark, sf):
     cloud = F.split_part("tag", F.lit(":"), F.lit(1)).isin("cloudy") & F.col("tag").contains(":")
-    return values(spark, _ROUTES, "tag").select("tag", F.when(cloud, F.split_part("tag", F.lit(":"), F.lit(1))).otherwise("local").alias("provider"), F.when(cloud, F.regexp_replace("tag", "^[^:]*:", "")).otherwise(F.col("tag")).alias("model"))
+    return _tags(spark, sf).select("p_partkey", "tag", F.when(cloud, F.split_part("tag", F.lit(":"), F.lit(1))).otherwise("local").alias("provider"), F.when(cloud, F.regexp_replace("tag", "^[^:]*:", "")).otherwise(F.col("tag")).alias("model"))
 
 
-@query(f"SELECT tag, CASE WHEN contains(tag, 'embed') THEN 'embedding' WHEN contains(tag, 'llava') THEN 'vision' WHEN contains(tag, 'coder') THEN 'code' ELSE 'general' END AS kind, TRY_CAST(nullif(regexp_extract(tag, '([0-9]+)b', 1), '') AS INTEGER) AS billions FROM {rel(_ROUTES, 'tag')}")
+@query(f"SELECT p_partkey, tag, CASE WHEN contains(tag, 'embed') THEN 'embedding' WHEN contains(tag, 'llava') THEN 'vision' WHEN contains(tag, 'coder') THEN 'code' ELSE 'general' END AS kind, TRY_CAST(nullif(regexp_extract(tag, '([0-9]+)b', 1), '') AS INTEGER) AS billions FROM (SELECT p_partkey, {_TAG} AS tag FROM part)")
 def model_classify(spark, sf):
     kind = F.when(F.col("tag").contains("embed"), "embedding").when(F.col("tag").contains("llava"), "vision").when(F.col("tag").contains("coder"), "code").otherwise("general")
-    return values(spark, _ROUTES, "tag").select("tag", kind.alias("kind"), F.expr("try_cast(nullif(regexp_extract(tag, '([0-9]+)b', 1), '') as int)").alias("billions"))
-
+    return _tags(spark, sf).select("p_partkey", "tag", kind.alias("kind"), F.expr("try_cast(nullif(regexp_extract(tag, '([0-9]+)b', 1), '') as int)").alias("billions"))
 
-_PLAN = "(1, '{\"steps\":[{\"text\":\"read\",\"status\":\"done\"},{\"text\":\"write\",\"status\":\"pending\"}]}')"
 
-
-@query("SELECT * FROM (VALUES (1, '[x] read' || chr(10) || '[ ] write')) AS t(plan_id, shown)")
+@query("SELECT conv_id, string_agg(CASE WHEN turn % 2 = 0 THEN '[x] ' ELSE '[ ] ' END || role || ' ' || turn, chr(10) ORDER BY turn) AS shown FROM conversations GROUP BY conv_id")
 def plan_render(spark, sf):
-    v = values(spark, _PLAN, "plan_id, j").select("plan_id", F.from_json("j", "struct<steps:array<struct<text:string,status:string>>>").alias("p"))
-    return v.select("plan_id", F.array_join(F.transform("p.steps", lambda s: F.concat(F.when(s["status"] == "done", "[x] ").otherwise("[ ] "), s["text"])), "\n").alias("shown"))
-
+    """A plan of steps per conversation, kept as JSON, rendered."""
+    step = F.struct("turn", F.concat("role", F.lit(" "), F.col("turn").cast("string")).alias("text"), F.when(F.col("turn") % 2 == 0, "done").otherwise("pending").alias("status"))
+    plans = read(spark, sf, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(step)).alias("steps"))).alias("j"))
+    return plans.select("conv_id", context.rendered_plan(F.col("j")).alias("shown"))
 
-_CODE = [("a.py", "python", "import os\nfrom .m import f as g\nclass A:\n    def run(self):\n        g(os.getcwd())\n"), ("b.rs", "rust", "fn main() {\n    helper(1);\n}\nstruct P;\n"), ("bad.py", "python", "def (")]
 
-
-@query("SELECT path, what, name, CAST(line AS INTEGER) AS line FROM (VALUES ('a.py', 'import', '', 1), ('a.py', 'import', 'f', 2), ('a.py', 'symbol', 'A', 3), ('a.py', 'symbol', 'run', 4), ('a.py', 'call', 'g', 5), ('a.py', 'call', 'getcwd', 5), ('b.rs', 'symbol', 'main', 1), ('b.rs', 'call', 'helper', 2), ('b.rs', 'symbol', 'P', 4)) AS t(path, what, name, line)")
-def extract_code(spark, sf):
-    f = spark.createDataFrame(_CODE, "path string, lang string, text string")
-    return extract.extract(f).select("path", "what", F.coalesce("name", F.lit("")).alias("name"), F.col("start_line").alias("line"))
-
-
-@query("SELECT doc_id, coalesce(array_to_string((string_split(text, chr(10)))[2:4], chr(10)), '') AS lines FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, coalesce(array_to_string(({_LINES})[2:4], chr(10)), '') AS lines FROM documents WHERE text IS NOT NULL")
 def read_lines(spark, sf):
     return read(spark, sf, "documents").where("text is not null").select("doc_id", T.line_range(F.col("text"), 2, 4).alias("lines"))
 
 
-@query("SELECT doc_id, 'docs/' || doc_id || '.txt:1-' || len(string_split(text, chr(10))) || ' (' || coalesce(lang, 'text') || ')' AS header, array_to_string((string_split(text, chr(10)))[1:6], chr(10)) AS body FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, 'docs/' || doc_id || '.txt:1-' || len({_LINES}) || ' (' || coalesce(lang, 'text') || ')' AS header, array_to_string(({_LINES})[1:6], chr(10)) AS body FROM documents WHERE text IS NOT NULL")
 def hit_rendering(spark, sf):
-    lines = F.size(F.split("text", "\n"))
-    header = F.format_string("docs/%s.txt:1-%d (%s)", F.col("doc_id").cast("string"), lines, F.coalesce("lang", F.lit("text")))
+    header = F.format_string("docs/%s.txt:1-%d (%s)", F.col("doc_id").cast("string"), F.size(T.lines(F.col("text"))), F.coalesce("lang", F.lit("text")))
     return read(spark, sf, "documents").where("text is not null").select("doc_id", header.alias("header"), T.line_range(F.col("text"), 1, 6).alias("body"))
 
 
@@ -549,23 +447,3 @@ def seconds_ago(spark, sf):
 def has_embeddings(spark, sf):
     some = read(spark, sf, "embeddings").where("embedding is not null").limit(1)
     return some.agg((F.count("*") > 0).alias("found"))
-
-
-_ROOT_PATHS = "backend/shop/models.py src/test/java/org/acme/T.java tools/org/acme/U.java hdl/alu.vhd deep/in/shop/models.py shader.wgsl"
-_ROOT_IMPORTS = "(1, 'x.py', 'python', 'shop.models', NULL, false), (2, 'A.java', 'java', 'org.acme.T', 'T', false), (3, 'A.java', 'java', 'org.acme.*', NULL, true), (4, 'top.vhd', 'vhdl', 'alu', NULL, true), (5, 'a.wgsl', 'wgsl', 'shader.wgsl', NULL, false)"
-_ROOT_SQL = f"""
-WITH i AS {rel(_ROOT_IMPORTS, "import_id, importer, lang, raw_path, imported_name, is_wildcard")},
-p AS (SELECT unnest(string_split('{_ROOT_PATHS}', ' ')) AS path),
-conventional AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{r}/')" for k in ("python", "java", "vhdl") for r in resolve.ROOTED[k][2].split())}, ('python', ''), ('java', ''), ('vhdl', '')) AS t(lang, root)),
-roots AS (SELECT lang, root FROM conventional UNION SELECT k.lang, split_part(path, '/', 1) || '/' FROM p, (SELECT DISTINCT lang FROM conventional) k WHERE contains(path, '/')),
-e AS (SELECT * FROM (VALUES ('python', '.py'), ('java', '.java'), ('vhdl', '.vhd')) AS t(lang, ext))
-SELECT DISTINCT CAST(import_id AS INTEGER) AS import_id, path FROM i JOIN e USING (lang) JOIN roots USING (lang) JOIN p
-  ON (NOT (is_wildcard AND lang = 'java') AND path = root || replace(raw_path, '.', '/') || ext)
-  OR (is_wildcard AND lang = 'java' AND regexp_replace(path, '/[^/]*$', '') = root || replace(replace(raw_path, '.*', ''), '.', '/') AND ends_with(path, ext))
-"""
-
-
-@query(_ROOT_SQL)
-def resolve_roots(spark, sf):
-    i = spark.sql(f"select int(import_id) as import_id, importer, lang, raw_path, string(imported_name) as imported_name, is_wildcard from values {_ROOT_IMPORTS} as t(import_id, importer, lang, raw_path, imported_name, is_wildcard)")
-    return resolve.resolve(i, spark.createDataFrame([(x,) for x in _ROOT_PATHS.split()], "path string"))
