@@ -25,6 +25,8 @@ _BRACKET = re.compile(r"[()\[\]{}]")
 _TYPE_BEFORE = re.compile(r"([A-Za-z_]\w*)[ \t*&]+\Z")
 _GOES_ON = re.compile(r"\s*(?:\{|where\b|extends\b|implements\b|with\b|throws\b|:(?!:)|->|is\b)")
 
+#: Rows that a task holds before it sends them on.
+FLUSH = 20_000
 #: what: symbol, call or import. prefix: names of the modules around a rust import.
 SCHEMA = "path string, what string, kind string, name string, start_line int, end_line int, raw_path string, is_wildcard boolean, module_prefix array<string>"
 
@@ -248,11 +250,17 @@ def rows_of(text: str, lang: str) -> list[tuple]:
 def extract(files: DataFrame) -> DataFrame:
     """SCHEMA of files (path, lang, text); rows of a file in no order. A null text or path gives none."""
 
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows: list[tuple] = []
             for path, lang, text in zip(b["path"], b["lang"], b["text"]):
-                rows = [(path, *r) for r in rows_of(text, lang)] if text and path else []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "what", "kind", "name", "start_line", "end_line", "raw_path", "is_wildcard", "module_prefix"])
+                rows += [(path, *r) for r in rows_of(text, lang)] if text and path else []
+                if len(rows) >= FLUSH:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "lang", "text").mapInPandas(run, SCHEMA)
