@@ -83,6 +83,14 @@ def join_split(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame |
     return rows.join(few, key).unionByName(rows.join(hot, key, "left_anti").join(table, key))
 
 
+def fresh(df: DataFrame) -> str:
+    """A prefix that no column of df starts with, for columns of ours beside it."""
+    p = "_"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column that is worked out here, once per row: nothing is folded through an explode."""
     return df.withColumn(name, F.explode(F.array(value)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, held
+from .common import ascii_lower, fresh, held
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Window starts per piece of a document: bounds what one row holds, however long the text is.
@@ -84,14 +84,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove:
     normalised words without the covered ones, joined by spaces, and other texts stay as they are. A repeated row is
     treated as its twin is. Null texts stay null.
     """
-    hit = find_hits(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("__hit_id"), F.col("h").alias("__hit_h"), F.col("spans").alias("__hit_spans"))
-    on = F.col("doc_id").eqNullSafe(F.col("__hit_id")) & (F.xxhash64("text") == F.col("__hit_h"))
+    p = fresh(docs)
+    hit = find_hits(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias(f"{p}hit_id"), F.col("h").alias(f"{p}hit_h"), F.col("spans").alias(f"{p}hit_spans"))
+    on = F.col("doc_id").eqNullSafe(F.col(f"{p}hit_id")) & (F.xxhash64("text") == F.col(f"{p}hit_h"))
     if remove == "documents":
         return docs.join(hit, on, "left_anti")
     if remove != "spans":
         raise ValueError(f"remove: {remove}")
-    out = held(docs.join(hit, on, "left"), "__words", F.when(F.col("__hit_spans").isNotNull(), words(F.col("text"))))
-    gone = F.flatten(F.transform("__hit_spans", lambda s: F.sequence(s["start"], s["end"] - 1)))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__words") - 1), gone)
-    cleaned = F.when(F.col("__hit_spans").isNotNull(), F.array_join(F.transform(left, lambda i: F.get("__words", i)), " ")).otherwise(F.col("text"))
+    out = held(docs.join(hit, on, "left"), f"{p}words", F.when(F.col(f"{p}hit_spans").isNotNull(), words(F.col("text"))))
+    gone = F.flatten(F.transform(f"{p}hit_spans", lambda s: F.sequence(s["start"], s["end"] - 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(f"{p}words") - 1), gone)
+    cleaned = F.when(F.col(f"{p}hit_spans").isNotNull(), F.array_join(F.transform(left, lambda i: F.get(f"{p}words", i)), " ")).otherwise(F.col("text"))
     return out.select(*(cleaned.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bounded_broadcast, cut, held, rows_of
+from .common import BLANKS, bounded_broadcast, cut, fresh, held, rows_of
 
 #: The bound: at most MAX_EDITS words, and at most one word in WORDS_PER_EDIT of the longer line.
 MAX_EDITS, WORDS_PER_EDIT = 2, 10
@@ -489,18 +489,19 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, detail: bool = Fals
     With detail, n_lines, n_removed and n_near follow. With drop_emptied, rows that are left without a word go; rows that
     had none before stay. Null texts stay null, other columns as they are.
     """
-    d = line_decisions(docs, max_edits).where(F.size("gone") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("gone").alias("__gone"), F.col("n_near").alias("__near"))
+    p = fresh(docs)
+    d = line_decisions(docs, max_edits).where(F.size("gone") > 0).select(F.col("doc_id").alias(f"{p}id"), F.col("h").alias(f"{p}h"), F.col("gone").alias(f"{p}gone"), F.col("n_near").alias(f"{p}near"))
     # Few documents lose lines: while their line numbers fit, the texts are not shuffled.
-    d = bounded_broadcast(cut(d), F.lit(48) + 4 * F.size("__gone"))
-    j = docs.join(d, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left")
-    j = held(j, "__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    left = F.when(F.col("__gone").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")).otherwise(F.col("text"))
-    j = j.withColumn("__left", left)
+    d = bounded_broadcast(cut(d), F.lit(48) + 4 * F.size(f"{p}gone"))
+    j = docs.join(d, F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.xxhash64("text") == F.col(f"{p}h")), "left")
+    j = held(j, f"{p}lines", F.when(F.col(f"{p}gone").isNotNull(), F.split("text", "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(f"{p}lines") - 1), F.col(f"{p}gone"))
+    left = F.when(F.col(f"{p}gone").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(f"{p}lines", i)), "\n")).otherwise(F.col("text"))
+    j = j.withColumn(f"{p}left", left)
     if drop_emptied:
-        j = j.where(~_bare(F.col("__left")) | _bare(F.col("text")))
-    cols = [F.col("__left").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+        j = j.where(~_bare(F.col(f"{p}left")) | _bare(F.col("text")))
+    cols = [F.col(f"{p}left").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if detail:
         n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-        cols += [n.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__near", F.lit(0)).cast("long").alias("n_near")]
+        cols += [n.cast("long").alias("n_lines"), F.coalesce(F.size(f"{p}gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(f"{p}near", F.lit(0)).cast("long").alias("n_near")]
     return j.select(*cols)
