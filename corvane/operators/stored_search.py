@@ -14,13 +14,16 @@ Keys are unique over all segments. Scores are those of search.bm25 over all docu
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import once, query_words, tokens
+from ..functions.text import query_words, tokens
 from ..sources.shared import cut
 from ..sources.snapshots import Snapshot, Store
 from .search import B, K1, LEAST_IDF, idf, weight
@@ -36,13 +39,65 @@ def folder_of(term: Column) -> Column:
 
 
 def blocks_of(docs: DataFrame, key: str, text: str, documents: int, per_range: int = RANGE) -> DataFrame:
-    """(folder, term, range, n, occurrences, most_tf, least_ratio, keys, tfs, lens, positions): one row per term and range."""
+    """(folder, term, range, n, occurrences, most_tf, least_ratio, keys, tfs, lens, positions): one row per term and range.
+
+    Texts are dealt by range, so that a task builds a range's blocks at once. A row without a term holds a range's documents,
+    with their lengths.
+    """
     ranges = max(1, -(-documents // per_range))
-    t = once(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "t", tokens(F.col("text"))).select("key", F.size("t").alias("len"), F.posexplode("t").alias("position", "term"))
-    p = t.groupBy("term", "key", "len").agg(F.array_sort(F.collect_list("position")).alias("at"))
-    p = p.select("term", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int").alias("range"), F.struct("key", F.size("at").alias("tf"), "len", "at").alias("e"))
-    b = p.groupBy("term", "range").agg(F.array_sort(F.collect_list("e")).alias("e"), F.max("e.tf").alias("most_tf"), F.min(F.col("e.len") / F.col("e.tf")).alias("least_ratio"), F.sum("e.tf").alias("occurrences"))
-    return b.select(folder_of(F.col("term")).alias("folder"), "term", "range", F.size("e").alias("n"), "occurrences", "most_tf", "least_ratio", F.col("e.key").alias("keys"), F.col("e.tf").alias("tfs"), F.col("e.len").alias("lens"), F.col("e.at").alias("positions"))
+    kind = docs.schema[key].dataType.simpleString()
+    d = docs.select(F.col(key).alias("key"), F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int").alias("range"), F.col(text).alias("text"))
+    d = d.repartition("range").sortWithinPartitions("range").select("key", "range", tokens(F.col("text")).alias("t"))
+    schema = f"term string, range int, n int, occurrences long, most_tf int, least_ratio double, keys array<{kind}>, tfs array<int>, lens array<int>, positions array<array<int>>"
+    return d.mapInArrow(_inverted, schema).withColumn("folder", folder_of(F.col("term")))
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each run of rows of one range."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        ranges = b["range"].to_numpy()
+        cuts = [0, *(np.flatnonzero(ranges[1:] != ranges[:-1]) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            if held and held[0]["range"][0].as_py() != ranges[i]:
+                yield _blocks(held)
+                held = []
+            held.append(b.slice(i, j - i))
+    if held:
+        yield _blocks(held)
+
+
+def _blocks(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    t = pa.Table.from_batches(parts).sort_by("key").combine_chunks()
+    keys, number = t["key"].combine_chunks(), t["range"][0].as_py()
+    lists = t["t"].combine_chunks()
+    lens = lists.value_lengths().to_numpy()
+    words = lists.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(lens)), lens)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(lens) - lens, lens)
+    ids = words.indices.to_numpy()
+    order = np.lexsort((place, doc, ids))
+    ids, doc, place = ids[order], doc[order], place[order]
+    new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (doc[1:] != doc[:-1])]) if len(ids) else np.zeros(0, int)  # of postings
+    tf = np.diff(np.r_[new, len(ids)])
+    of, at = ids[new], doc[new]
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)  # of terms
+    each = lambda f, x, kind: f.reduceat(x, first).astype(kind) if len(first) else np.zeros(0, kind)
+    size = lens[at]
+    # Documents come last, as postings of no term.
+    n = np.r_[np.diff(np.r_[first, len(of)]), len(lens)]
+    bounds = pa.array(np.r_[0, np.cumsum(n)], pa.int32())
+    whole = lambda x: pa.ListArray.from_arrays(bounds, x)
+    positions = pa.ListArray.from_arrays(pa.array(np.r_[new, np.full(len(lens) + 1, len(ids))], pa.int32()), pa.array(place, pa.int32()))
+    with_docs = lambda x, y: pa.array(np.r_[x, y], pa.int32())
+    made = {
+        "term": pa.concat_arrays([words.dictionary.take(pa.array(of[first])), pa.nulls(1, words.dictionary.type)]), "range": pa.array(np.full(len(n), number), pa.int32()), "n": pa.array(n, pa.int32()),
+        "occurrences": pa.array(np.r_[each(np.add, tf, np.int64), lens.sum()], pa.int64()), "most_tf": with_docs(each(np.maximum, tf, np.int32), 0), "least_ratio": pa.array([*each(np.minimum, size / tf, float), None], pa.float64()),
+        "keys": whole(pa.concat_arrays([keys.take(pa.array(at)), keys])), "tfs": whole(with_docs(tf, np.zeros(len(lens), int))), "lens": whole(with_docs(size, lens)), "positions": whole(positions),
+    }
+    return pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
 
 def _laid_out(blocks: DataFrame, documents: int, per_range: int) -> DataFrame:
@@ -57,23 +112,31 @@ def append(store: Store, docs: DataFrame, key: str = "key", text: str = "text",
     docs = docs.where(F.col(key).isNotNull())
     n = docs.count()
     blocks = _laid_out(blocks_of(docs, key, text, n, per_range), n, per_range)
-    sizes = docs.select(F.col(key).alias("key"), F.size(tokens(F.col(text))).cast("long").alias("len"))
-    return store.commit(base, add={"blocks": blocks, "documents": sizes}, partition_by={"blocks": ["folder"]})
+    return store.commit(base, add={"blocks": blocks}, partition_by={"blocks": ["folder"]})
+
+
+def documents(blocks: DataFrame) -> DataFrame:
+    """(key, len) of every document."""
+    here = blocks.where((F.col("folder") == folder_of(F.lit(None).cast("string"))) & F.col("term").isNull())
+    return here.select(F.inline(F.arrays_zip("keys", "lens"))).withColumnsRenamed({"keys": "key", "lens": "len"})
 
 
 def merge(store: Store, drop: DataFrame | None = None, per_range: int = RANGE) -> Snapshot:
     """One segment of all, without the keys of drop (key). Texts are not read again."""
     base = store.open()
-    docs, blocks = base.read("documents"), base.read("blocks")
-    e = blocks.select("term", F.explode(F.arrays_zip("keys", "tfs", "lens", "positions")).alias("e")).select("term", "e.*")
+    blocks = base.read("blocks")
+    e = blocks.select("term", F.inline(F.arrays_zip("keys", "tfs", "lens", "positions")))
+    docs = documents(blocks)
     if drop is not None:
-        docs, e = docs.join(drop.select("key"), "key", "left_anti"), e.join(drop.select(F.col("key").alias("keys")), "keys", "left_anti")
-    documents = docs.count()
-    ranges = max(1, -(-documents // per_range))
+        gone = drop.select(F.col("key").alias("keys")).distinct()
+        docs, e = docs.join(gone, docs["key"] == gone["keys"], "left_anti"), e.join(gone, "keys", "left_anti")
+    n = docs.count()
+    ranges = max(1, -(-n // per_range))
     p = e.select("term", F.pmod(F.xxhash64("keys"), F.lit(ranges)).cast("int").alias("range"), F.struct("keys", "tfs", "lens", "positions").alias("e"))
-    b = p.groupBy("term", "range").agg(F.array_sort(F.collect_list("e")).alias("e"), F.max("e.tfs").alias("most_tf"), F.min(F.col("e.lens") / F.col("e.tfs")).alias("least_ratio"), F.sum("e.tfs").alias("occurrences"))
-    b = b.select(folder_of(F.col("term")).alias("folder"), "term", "range", F.size("e").alias("n"), "occurrences", "most_tf", "least_ratio", "e.keys", "e.tfs", "e.lens", "e.positions")
-    return store.commit(base, replace={"blocks": _laid_out(b, documents, per_range), "documents": docs}, partition_by={"blocks": ["folder"]})
+    ratio = F.min(F.when(F.col("e.tfs") > 0, F.col("e.lens") / F.col("e.tfs")))
+    b = p.groupBy("term", "range").agg(F.array_sort(F.collect_list("e")).alias("e"), F.max("e.tfs").alias("most_tf"), ratio.alias("least_ratio"), F.sum("e.tfs").alias("tf"), F.sum("e.lens").alias("len"))
+    b = b.select("term", "range", F.size("e").alias("n"), F.when(F.col("term").isNull(), F.col("len")).otherwise(F.col("tf")).alias("occurrences"), "most_tf", "least_ratio", "e.keys", "e.tfs", "e.lens", "e.positions", folder_of(F.col("term")).alias("folder"))
+    return store.commit(base, replace={"blocks": _laid_out(b, n, per_range)}, partition_by={"blocks": ["folder"]})
 
 
 @dataclass(frozen=True)
@@ -87,9 +150,10 @@ class Index:
 
 
 def open_index(snapshot: Snapshot) -> Index:
-    n, average = snapshot.read("documents").agg(F.count("*"), F.avg("len")).first()
-    parts = [p.withColumn("segment", F.lit(i)) for i, p in enumerate(snapshot.parts("blocks"))]
-    return Index(snapshot.spark, reduce(DataFrame.unionByName, parts), n or 0, average or 0.0)
+    blocks = reduce(DataFrame.unionByName, [p.withColumn("segment", F.lit(i)) for i, p in enumerate(snapshot.parts("blocks"))])
+    here = blocks.where((F.col("folder") == folder_of(F.lit(None).cast("string"))) & F.col("term").isNull())
+    n, words = here.agg(F.sum("n"), F.sum("occurrences")).first()
+    return Index(snapshot.spark, blocks, n or 0, (words or 0) / n if n else 0.0)
 
 
 def of_terms(index: Index, terms: list[str]) -> DataFrame:
@@ -214,7 +278,7 @@ def match(index: Index, query: str, limit: int = 10) -> DataFrame:
 
 def term_stats(index: Index) -> DataFrame:
     """(term, tf, df), from the blocks' heads alone."""
-    return index.blocks.groupBy("term").agg(F.sum("occurrences").alias("tf"), F.sum("n").alias("df"))
+    return index.blocks.where("term is not null").groupBy("term").agg(F.sum("occurrences").alias("tf"), F.sum("n").alias("df"))
 
 
 def postings(index: Index, terms: list[str]) -> DataFrame:
