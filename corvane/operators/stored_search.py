@@ -1,6 +1,6 @@
 """Full-text search over a stored index: posting blocks in Parquet, read by term, skipped by their best score.
 
-Documents are dealt into ranges by a hash of their key. A block holds the postings of one term in one range: keys, term
+Documents are dealt into ranges. A block holds the postings of one term in one range: keys, term
 frequencies, lengths and positions, and beside them what bounds the weight of any of its postings: the highest frequency
 and the lowest length for one occurrence. Blocks lie in folders by a hash of the term, sorted by term, so that a search
 opens the folders of its terms and the row groups that hold them. As the blocks of all terms share their ranges, the sum of
@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ from ..sources.shared import cut
 from ..sources.snapshots import Snapshot, Store
 from .search import B, K1, LEAST_IDF, idf, weight
 
-#: Folders by hash of the term; documents in a range on average; tasks that the largest folder is written by.
-FOLDERS, RANGE, WRITERS = 32, 512, 8
+#: Folders by hash of the term; documents and words in a range at most, but for a longer document; tasks that a folder is written by.
+FOLDERS, RANGE, MOST_WORDS, WRITERS = 32, 2048, 4_000_000, 8
 #: Ranges that are looked into first, to find a kth score.
 FIRST = 8
 
@@ -38,40 +39,39 @@ def folder_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
-def blocks_of(docs: DataFrame, key: str, text: str, documents: int, per_range: int = RANGE) -> DataFrame:
+def blocks_of(docs: DataFrame, key: str, text: str, per_range: int = RANGE) -> DataFrame:
     """(folder, term, range, n, occurrences, most_tf, least_ratio, keys, tfs, lens, positions): one row per term and range.
 
-    Texts are dealt by range, so that a task builds a range's blocks at once. A row without a term holds a range's documents,
-    with their lengths.
+    A range is a run of documents of one task, so that texts are not shuffled and a range's blocks are built at once. A row
+    without a term holds a range's documents, with their lengths.
     """
-    ranges = max(1, -(-documents // per_range))
     kind = docs.schema[key].dataType.simpleString()
-    d = docs.select(F.col(key).alias("key"), F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int").alias("range"), F.col(text).alias("text"))
-    d = d.repartition("range").sortWithinPartitions("range").select("key", "range", tokens(F.col("text")).alias("t"))
-    schema = f"term string, range int, n int, occurrences long, most_tf int, least_ratio double, keys array<{kind}>, tfs array<int>, lens array<int>, positions array<array<int>>"
-    return d.mapInArrow(_inverted, schema).withColumn("folder", folder_of(F.col("term")))
-
-
-def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of each run of rows of one range."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        ranges = b["range"].to_numpy()
-        cuts = [0, *(np.flatnonzero(ranges[1:] != ranges[:-1]) + 1).tolist(), b.num_rows]
-        for i, j in zip(cuts, cuts[1:]):
-            if i == j:
-                continue
-            if held and held[0]["range"][0].as_py() != ranges[i]:
-                yield _blocks(held)
-                held = []
-            held.append(b.slice(i, j - i))
-    if held:
-        yield _blocks(held)
-
-
-def _blocks(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    d = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t"))
+    schema = f"term string, range long, n int, occurrences long, most_tf int, least_ratio double, keys array<{kind}>, tfs array<int>, lens array<int>, positions array<array<int>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, rows, words = TaskContext.get().partitionId() << 32, [], 0, 0
+        for b in batches:
+            ends = np.cumsum(b["t"].value_lengths().to_numpy(zero_copy_only=False))
+            at = 0
+            while at < b.num_rows:
+                most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_WORDS - words)) + 1
+                to = max(at + 1, min(b.num_rows, at + per_range - rows, most))
+                held.append(b.slice(at, to - at))
+                rows, words, at = rows + to - at, words + int(ends[to - 1] - (ends[at - 1] if at else 0)), to
+                if rows >= per_range or words >= MOST_WORDS:
+                    yield _blocks(held, number)
+                    number, held, rows, words = number + 1, [], 0, 0
+        if held:
+            yield _blocks(held, number)
+
+    return d.mapInArrow(run, schema).withColumn("folder", folder_of(F.col("term")))
+
+
+def _blocks(parts: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+    """The blocks of one range."""
     t = pa.Table.from_batches(parts).sort_by("key").combine_chunks()
-    keys, number = t["key"].combine_chunks(), t["range"][0].as_py()
+    keys = t["key"].combine_chunks()
     lists = t["t"].combine_chunks()
     lens = lists.value_lengths().to_numpy()
     words = lists.flatten().dictionary_encode()
@@ -93,7 +93,7 @@ def _blocks(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     positions = pa.ListArray.from_arrays(pa.array(np.r_[new, np.full(len(lens) + 1, len(ids))], pa.int32()), pa.array(place, pa.int32()))
     with_docs = lambda x, y: pa.array(np.r_[x, y], pa.int32())
     made = {
-        "term": pa.concat_arrays([words.dictionary.take(pa.array(of[first])), pa.nulls(1, words.dictionary.type)]), "range": pa.array(np.full(len(n), number), pa.int32()), "n": pa.array(n, pa.int32()),
+        "term": pa.concat_arrays([words.dictionary.take(pa.array(of[first])), pa.nulls(1, words.dictionary.type)]), "range": pa.array(np.full(len(n), number), pa.int64()), "n": pa.array(n, pa.int32()),
         "occurrences": pa.array(np.r_[each(np.add, tf, np.int64), lens.sum()], pa.int64()), "most_tf": with_docs(each(np.maximum, tf, np.int32), 0), "least_ratio": pa.array([*each(np.minimum, size / tf, float), None], pa.float64()),
         "keys": whole(pa.concat_arrays([keys.take(pa.array(at)), keys])), "tfs": whole(with_docs(tf, np.zeros(len(lens), int))), "lens": whole(with_docs(size, lens)), "positions": whole(positions),
     }
@@ -102,8 +102,8 @@ def _blocks(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 def _laid_out(blocks: DataFrame, documents: int, per_range: int) -> DataFrame:
     """Tasks by folder, a folder's by several where there are many ranges, as a very common term fills it; sorted by term within each."""
-    writers = min(WRITERS, max(1, documents // per_range // 64))
-    return blocks.repartition(FOLDERS * writers, "folder", F.pmod("range", F.lit(writers))).sortWithinPartitions("folder", "term", "range")
+    writers = min(WRITERS, max(1, documents // per_range // 16))
+    return blocks.repartition(FOLDERS * writers, "folder", F.pmod(F.xxhash64("range"), F.lit(writers))).sortWithinPartitions("folder", "term", "range")
 
 
 def append(store: Store, docs: DataFrame, key: str = "key", text: str = "text", per_range: int = RANGE) -> Snapshot:
@@ -111,7 +111,7 @@ def append(store: Store, docs: DataFrame, key: str = "key", text: str = "text",
     base = store.open_or_init()
     docs = docs.where(F.col(key).isNotNull())
     n = docs.count()
-    blocks = _laid_out(blocks_of(docs, key, text, n, per_range), n, per_range)
+    blocks = _laid_out(blocks_of(docs, key, text, per_range), n, per_range)
     return store.commit(base, add={"blocks": blocks}, partition_by={"blocks": ["folder"]})
 
 
@@ -132,7 +132,7 @@ def merge(store: Store, drop: DataFrame | None = None, per_range: int = RANGE) -
         docs, e = docs.join(gone, docs["key"] == gone["keys"], "left_anti"), e.join(gone, "keys", "left_anti")
     n = docs.count()
     ranges = max(1, -(-n // per_range))
-    p = e.select("term", F.pmod(F.xxhash64("keys"), F.lit(ranges)).cast("int").alias("range"), F.struct("keys", "tfs", "lens", "positions").alias("e"))
+    p = e.select("term", F.pmod(F.xxhash64("keys"), F.lit(ranges)).alias("range"), F.struct("keys", "tfs", "lens", "positions").alias("e"))
     ratio = F.min(F.when(F.col("e.tfs") > 0, F.col("e.lens") / F.col("e.tfs")))
     b = p.groupBy("term", "range").agg(F.array_sort(F.collect_list("e")).alias("e"), F.max("e.tfs").alias("most_tf"), ratio.alias("least_ratio"), F.sum("e.tfs").alias("tf"), F.sum("e.lens").alias("len"))
     b = b.select("term", "range", F.size("e").alias("n"), F.when(F.col("term").isNull(), F.col("len")).otherwise(F.col("tf")).alias("occurrences"), "most_tf", "least_ratio", "e.keys", "e.tfs", "e.lens", "e.positions", folder_of(F.col("term")).alias("folder"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import callgraph, graph, resolve
+from ..operators import callgraph, graph, ignore, resolve
 from ..sources import extract
 from ..sources.shared import cut
 from .base import callers_sql, query
@@ -204,3 +204,40 @@ def resolve_rust(spark, sf):
 
 # Conventional and top-level roots together, over one tree of several languages.
 _resolved("resolve_roots", ["python", "java", "vhdl", "lua"])
+
+
+#: Ignore files of the tree below, as text and as what SQL makes of them: directory, line, negated, directories alone, expression.
+_IGNORE = {".gitignore": "# top\n*.log\n/only_here\nbrand1*/m?/\n!keep.log\ndeep/**/x\\ y\n\ncache/  \n", "brand2/.gitignore": "*\n!*.txt\n!m*/\n", "brand3/.gitignore": "m[1-3]\n!m2\n/keep.log\n"}
+_RULED = [("", 1, False, False, "(.*/)?[^/]*[.]log"), ("", 2, False, False, "only_here"), ("", 3, False, True, "brand1[^/]*/m[^/]"), ("", 4, True, False, "(.*/)?keep[.]log"), ("", 5, False, False, "deep/([^/]+/)*x y"), ("", 7, False, True, "(.*/)?cache"),
+          ("brand2", 0, False, False, "(.*/)?[^/]*"), ("brand2", 1, True, False, "(.*/)?[^/]*[.]txt"), ("brand2", 2, True, True, "(.*/)?m[^/]*"), ("brand3", 0, False, False, "(.*/)?m[123]"), ("brand3", 1, True, False, "(.*/)?m2"), ("brand3", 2, False, False, "keep[.]log")]
+_LEAF = "CASE k % 11 WHEN 0 THEN 'keep.log' WHEN 1 THEN 'a' || k || '.log' WHEN 2 THEN 'only_here' WHEN 3 THEN 'cache/a' || k || '.txt' WHEN 4 THEN '.hidden' WHEN 5 THEN 'target/x.c' WHEN 6 THEN 'cache' WHEN 7 THEN 'x y' WHEN 8 THEN '.venv/b.py' ELSE 'a' || k || '.txt' END"
+_TREE = f"SELECT DISTINCT CASE WHEN k % 13 = 0 THEN '' WHEN k % 13 = 1 THEN 'deep/' || brand || '/' ELSE brand || '/m' || size || '/' END || {_LEAF} AS path FROM ({{}})"
+
+
+def _tree(spark, sf):
+    b = base(spark, sf, 1)
+    return spark.sql(_TREE.format("select * from {b}"), b=b)
+
+
+_WALKED = f"""t AS ({_TREE.format(base_sql(1))}), s AS (SELECT path, string_split(path, '/') AS p FROM t),
+o AS (SELECT * FROM s WHERE len(list_filter(p, lambda x: starts_with(x, '.'))) = 0 AND NOT list_has_any(p[1:len(p) - 1], {list(ignore.SKIP_DIRS)})),
+e AS (SELECT path, unnest(range(1, len(p) + 1)) AS n, p FROM o), en AS (SELECT DISTINCT path, array_to_string(p[1:n], '/') AS entry, n < len(p) AS is_dir FROM e),
+ru AS (SELECT * FROM {values_sql(_RULED, 'dir, ord, negated, dir_only, rx')} t),
+h AS (SELECT en.path, entry, negated, row_number() OVER (PARTITION BY en.path, entry ORDER BY length(dir) DESC, ord DESC) AS r FROM en JOIN ru ON (dir = '' OR starts_with(entry, dir || '/')) AND (is_dir OR NOT dir_only) AND regexp_full_match(CASE WHEN dir = '' THEN entry ELSE substring(entry, length(dir) + 2) END, rx)),
+w AS (SELECT path FROM o ANTI JOIN (SELECT path FROM h WHERE r = 1 AND NOT negated) USING (path))"""
+
+
+def _walked(spark, sf):
+    files = spark.createDataFrame(list(_IGNORE.items()), "path string, text string")
+    return ignore.walk(_tree(spark, sf), ignore.rules(files))
+
+
+@query(f"WITH {_WALKED} SELECT path FROM w")
+def ignored_walk(spark, sf):
+    """A tree of part's rows under three ignore files."""
+    return _walked(spark, sf).select("path")
+
+
+@query(f"WITH {_WALKED}, d AS (SELECT string_split(path, '/') AS p FROM w), n AS (SELECT p, unnest(range(1, len(p) + 1)) AS n FROM d) SELECT DISTINCT array_to_string(p[1:n], '/') || CASE WHEN n < len(p) THEN '/' ELSE '' END AS entry FROM n")
+def list_tree(spark, sf):
+    return ignore.listing(_walked(spark, sf), recursive=True)
