@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages
 from ..functions import text as T
-from ..operators import callgraph, context, index, search, sessions, stored_search, vector
+from ..operators import callgraph, context, index, logs, search, sessions, stored_search, vector
 from ..sources.shared import fingerprint, shared_dir
 from ..sources.snapshots import Store
 from . import code_queries  # noqa: F401  registers its queries
@@ -447,3 +447,37 @@ def seconds_ago(spark, sf):
 def has_embeddings(spark, sf):
     some = read(spark, sf, "embeddings").where("embedding is not null").limit(1)
     return some.agg((F.count("*") > 0).alias("found"))
+
+
+_RUNNER = "['tests: 3 total', 'FAILED a::' || turn, '  --- FAIL: x', 'ok', 'thread panicked at ' || turn, '12 passed, 1 Failed', 'FAIL y ', '✗ z', 'E AssertionError: ' || role, '']"
+_OUTPUT = f"conv_id, turn, coalesce(text, '') || CASE WHEN (conv_id + turn) % 3 = 0 THEN '' ELSE chr(10) || {_RUNNER}[(conv_id + turn) % 10 + 1] || chr(10) || {_RUNNER}[(conv_id * 7 + turn) % 10 + 1] END"
+_BAD = "(starts_with(trim(line), 'FAILED ') OR starts_with(trim(line), 'FAIL ') OR starts_with(trim(line), '--- FAIL:') OR contains(line, 'AssertionError') OR contains(line, 'panicked at') OR starts_with(trim(line), '✗') OR starts_with(trim(line), '✕'))"
+_SUMS = "(contains(lower(line), 'passed') OR contains(lower(line), 'failed') OR (contains(lower(line), 'tests:') AND contains(lower(line), 'total')))"
+
+
+@query(rf"""WITH c AS (SELECT {_OUTPUT} AS text FROM conversations), g AS (SELECT conv_id, max(turn) % 2 = 0 AS ok, string_agg(text, chr(10) ORDER BY turn) AS text FROM c GROUP BY conv_id),
+l AS (SELECT conv_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM (SELECT conv_id, {_LINES} AS ls FROM g)),
+f AS (SELECT conv_id, string_agg(trim(line), chr(10) ORDER BY no) AS failing FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY no) AS r FROM l WHERE {_BAD}) WHERE r <= 20 GROUP BY conv_id),
+s AS (SELECT conv_id, max_by(trim(line), no) AS sum_ FROM l WHERE {_SUMS} GROUP BY conv_id), t AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY no) AS tail FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY no DESC) AS r FROM l) WHERE r <= 40 GROUP BY conv_id)
+SELECT conv_id, CASE WHEN ok THEN 'TESTS PASSED' ELSE 'TESTS FAILED' END || chr(10) || CASE WHEN sum_ IS NULL AND failing IS NULL THEN chr(10) || '(no recognizable summary line — raw output tail)' || chr(10) || coalesce(tail, '') ELSE coalesce(sum_ || chr(10), '') || coalesce(chr(10) || 'failing:' || chr(10) || failing || chr(10), '') END AS summary
+FROM g LEFT JOIN f USING (conv_id) LEFT JOIN s USING (conv_id) LEFT JOIN t USING (conv_id)""")
+def test_output(spark, sf):
+    """Conversations as logs of test runs, with lines in the manner of several runners between what they say."""
+    c = spark.sql(f"select {_OUTPUT.replace('chr(10)', 'char(10)').replace('[' + chr(39), 'array(' + chr(39)).replace(', ' + chr(39) * 2 + ']', ', ' + chr(39) * 2 + ')').replace(' % 10 + 1]', ' % 10]')} as text from {{c}}", c=read(spark, sf, "conversations"))
+    g = c.groupBy("conv_id").agg((F.max("turn") % 2 == 0).alias("ok"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return logs.summarized(g, "conv_id", "text", "ok")
+
+
+@query("""WITH d AS (SELECT conv_id, turn, role, replace(replace(coalesce(text, ''), '"', ''), chr(92), '') AS t FROM conversations)
+SELECT conv_id, string_agg(t, '' ORDER BY turn) FILTER (role <> 'assistant') AS content, coalesce(string_agg(t, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS thinking, count(*) FILTER (turn % 2 = 1) > 0 AS called, coalesce(string_agg(turn || ',', '' ORDER BY turn) FILTER (turn % 2 = 1), '') AS arguments FROM d GROUP BY conv_id""")
+def reply_fragments(spark, sf):
+    """Each conversation as a streamed reply: a record per turn, cut into chunks of 37 bytes whatever they cut, and put together."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), r'["\\\\]', "")
+    call = F.when(F.col("turn") % 2 == 1, F.array(F.struct(F.lit(0).alias("index"), F.when(F.col("turn") == 1, "c1").alias("id"), F.struct(F.lit(None).cast("string").alias("name"), F.concat(F.col("turn").cast("string"), F.lit(",")).alias("arguments")).alias("function"))))
+    delta = F.struct(F.when(F.col("role") != "assistant", t).alias("content"), F.when(F.col("role") == "assistant", t).alias("reasoning_content"), call.alias("tool_calls"))
+    record = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(delta.alias("delta"))).alias("choices"))), F.lit("\r\n\n"))
+    whole = read(spark, sf, "conversations").withColumn("record", record).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "record"))), lambda x: x["record"]), "").alias("all"))
+    b = whole.withColumn("b", F.encode(F.concat("all", F.lit(": ping\n\ndata: [DONE]\ndata: {}\n")), "UTF-8"))
+    chunks = b.select("conv_id", "b", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("b") - 1) / 37).cast("int"))).alias("seq")).select("conv_id", "seq", F.expr("substring(b, seq * 37 + 1, 37)").alias("data"))
+    r = logs.replies(logs.records(chunks, "conv_id", "seq", "data"), "conv_id")
+    return r.select("conv_id", "content", "thinking", (F.size("calls") > 0).alias("called"), F.coalesce(F.get("calls", F.lit(0))["arguments"], F.lit("")).alias("arguments"))
