@@ -57,7 +57,7 @@ def fit(rows: DataFrame, lists: int | None = None) -> dict[int, np.ndarray]:
         by.setdefault(len(v), []).append(v)
     out = {}
     for n in sorted(by, key=lambda n: (-len(by[n]), n))[:LENGTHS]:
-        x = np.unique(np.array(by[n], float).reshape(-1, n), axis=0)
+        x = np.unique(np.array(by[n], float), axis=0) if n else np.zeros((1, 0))
         c = x[np.linspace(0, len(x) - 1, min(len(x), max(1, lists * len(by[n]) // len(got)))).astype(int)]
         for _ in range(FITS):
             own = _nearest(x, c)[0]
@@ -93,7 +93,7 @@ def invert(rows: DataFrame, centroids: dict[int, np.ndarray]) -> DataFrame:
         lists, far = np.full(len(qs), -1), np.zeros(len(qs))
         for n, at in _by_length(qs).items():
             if n in cs:
-                own, far[at] = _nearest(np.array(qs.iloc[at].tolist(), float).reshape(-1, n), cs[n])
+                own, far[at] = _nearest(np.array(qs.iloc[at].tolist(), float).reshape(len(at), n), cs[n])
                 lists[at] = own + start[n]
         return pd.DataFrame({"list": lists.astype("int32"), "far": far})
 

@@ -44,6 +44,8 @@ _STEP = 1 << 16
 SIMILARITY, ORDER_SAMPLE, ORDER_LAST = 0.8, 5_000, 200_000
 #: Rounds in which documents are held against hubs alone.
 HUB_ROUNDS = 4
+#: Bins of a sketch.
+BINS = 256
 #: For bounds that are whole numbers but for rounding.
 _EPS = 1e-9
 
@@ -186,19 +188,21 @@ def shingle_order(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(doc_id, fp, k, n, prefix) for each row: a hash of the set of its n shingles, and the first of them in shingle_order."""
+    """(doc_id, fp, k, n, prefix, sketch) for each row: a hash of the set of its n shingles, the first of them in shingle_order,
+    and how many of them fall into each of BINS bins, 255 at most."""
     shared = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for b in batches:
-            fp, ks, ns, prefix = [], [], [], []
+            fp, ks, ns, prefix, sketch = [], [], [], [], []
             for t in b.column("text"):
                 h = shingle_hashes(t.as_py(), width)
                 fp.append(majority(h))
                 s = np.unique(h)
                 ks.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
                 ns.append(len(s))
+                sketch.append(np.minimum(np.bincount((s % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                 n = np.zeros(len(s), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
@@ -206,10 +210,10 @@ def shingle_sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                 first = len(s) - math.ceil(similarity * len(s) - _EPS) + 1 if len(s) else 0
                 prefix.append(s[np.lexsort((s, n))[:first]].view(np.int64))
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield rows_of(b, ["doc_id"], {"fp": long(fp), "k": long(ks), "n": pa.array(ns, pa.int32()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
+            yield rows_of(b, ["doc_id"], {"fp": long(fp), "k": long(ks), "n": pa.array(ns, pa.int32()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, k long, n int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, k long, n int, prefix array<long>, sketch binary")
 
 
 def wanted_sets(docs: DataFrame, distinct: DataFrame, ks: DataFrame, width: int) -> DataFrame:
@@ -227,8 +231,29 @@ def wanted_sets(docs: DataFrame, distinct: DataFrame, ks: DataFrame, width: int)
     return cut(of.dropDuplicates(["k"]))
 
 
+def may_be_similar(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of k whose sketches leave room for the similarity: two sets share at most the lesser count of each bin.
+
+    So nothing similar is lost; a bin that is full says nothing, and its pair stays.
+    """
+
+    @F.pandas_udf("boolean")
+    def room(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=bool)
+        p, q = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), BINS) for v in (x, y))
+        most = np.minimum(p, q).sum(axis=1, dtype=np.int64)
+        full = ((p == 255) | (q == 255)).any(axis=1)
+        return pd.Series(full | (most >= similarity * (n.to_numpy() + m.to_numpy() - most) - _EPS))
+
+    side = lambda k, x, n: distinct.select(F.col("k").alias(k), F.col("sketch").alias(x), F.col("n").alias(n))
+    both = pairs.join(side("a", "x", "nx"), "a").join(side("b", "y", "ny"), "b")
+    return both.where(room("x", "y", "nx", "ny")).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of k whose sets of shingles have at least this Jaccard similarity; sets are made for these alone."""
+    pairs = cut(may_be_similar(pairs, distinct, similarity))
     sets = wanted_sets(docs, distinct, pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), width)
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -288,7 +313,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     sets = cut(shingle_sets(docs, width, similarity))
-    distinct = cut(sets.groupBy("k").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("copies")))
+    distinct = cut(sets.groupBy("k").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
     # Fingerprints that are near or equal, by the smallest k of each.
     of = cut(distinct.groupBy("fp").agg(F.min("k").alias("low"), F.count("*").alias("n")))
     near = links(of.select("fp")).withColumnRenamed("b", "__b").join(of.select(F.col("fp").alias("a"), F.col("low").alias("la")), "a").join(of.select(F.col("fp").alias("__b"), F.col("low").alias("lb")), "__b")
