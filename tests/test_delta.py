@@ -25,7 +25,7 @@ def test_random_edits_equal_full_rebuilds(spark, tmp_path):
     dirs = ["", "pkg/", "src/", "src/main/java/pkg/", "n1/", "n2/"]
     manifests = spark.createDataFrame([("", "ex.io")], "dir string, module string")
     store, tree = Store(spark, str(tmp_path / "s")), {}
-    for step in range(4):
+    for step in range(3):
         for _ in range(40 if step == 0 else 8):
             ext, lang, text = content(rng, names)
             tree[f"{rng.choice(dirs)}{rng.choice(names)}.{ext}"] = (lang, text)
