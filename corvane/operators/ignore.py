@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import parent_dir
 
 #: Directories that are never walked. Fixed values.
-SKIP_DIRS = (".git", ".graviton", "target", "node_modules", "dist", "build", "venv", ".venv", "__pycache__", ".mypy_cache", ".idea", ".vscode")
+SKIP_DIRS = (".git", "target", "node_modules", "dist", "build", "venv", ".venv", "__pycache__", ".mypy_cache", ".idea", ".vscode")
 
 
 def pattern_regex(pattern: str) -> str | None:
