@@ -33,3 +33,26 @@ def found(spark):
 @pytest.mark.parametrize("n", range(len(CASES)), ids=lambda n: f"{CASES[n][0]}-{CASES[n][2]}")
 def test_import(found, n):
     assert found.get(n, set()) == set(CASES[n][3].split())
+
+
+def test_rows_of_whole_directories_are_not_shuffled(spark):
+    """500 imports of a directory of 500 files: each pair once, and what is sent between tasks grows with imports and files alone."""
+    files = [f"{d}/f{n}.{e}" for d, e in (("m/p", "go"), ("src/org/p", "java"), ("Sources/P/x", "swift"), ("mods/p", "tf")) for n in range(500)]
+    asked = {"go": "ex.io/m/p", "java": "org.p.*", "swift": "P.*", "hcl": "./mods/p"}
+    i = spark.createDataFrame([(f"{lang}{n}", "top.x", lang, raw, None, True) for lang, raw in asked.items() for n in range(500)], "import_id string, importer string, lang string, raw_path string, imported_name string, is_wildcard boolean")
+    paths = spark.createDataFrame([(p,) for p in files + files], "path string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        it, out = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None).iterator(), {}
+        while it.hasNext():
+            s = it.next()
+            out[s.stageId()] = s.shuffleWriteRecords()
+        return out
+
+    before = stages()
+    found = resolve.resolve(i, paths, spark.createDataFrame([("m", "ex.io/m")], "dir string, module string"))
+    got = found.selectExpr("count(*) as n", "count(distinct import_id) as i").first()
+    # count(distinct import_id) sends an id on once a task.
+    assert (got.n, got.i) == (4 * 500 * 500, 2000)
+    assert sum(v for k, v in stages().items() if k not in before) < 60_000
