@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -40,13 +41,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 _L = r"[A-Za-z]"
 _X = r"0-9@$!|+(€"
 #: Mixed letters and look-alikes; single characters with separators between them; a letter three times or more. Each
-#: branch starts at the start of a run alone, so that a search is linear in the text.
-_SUSPECT = re.compile(
-    rf"(?<![\w{_X}])(?:[{_X}]+{_L}|{_L}+[{_X}])[A-Za-z{_X}]*"
-    rf"|(?<![\w@$])[A-Za-z{_X}](?:[ .\-_*~]{{1,2}}[A-Za-z{_X}])+(?![\w@$])"
-    r"|(?<![A-Za-z])(?=[A-Za-z]*?([A-Za-z])\1\1)[A-Za-z]+"
-)
-_ATOM = re.compile(rf"[A-Za-z{_X}]+")
+#: branch starts at the start of a run alone, so that a search is linear in the text; none starts after a letter, which is asked first.
+_MIXED = rf"(?<![\w{_X}])(?:[{_X}]+{_L}|{_L}+[{_X}])[A-Za-z{_X}]*|(?<![\w@$])[A-Za-z{_X}](?:[ .\-_*~]{{1,2}}[A-Za-z{_X}])+(?![\w@$])"
+_SUSPECT = re.compile(rf"(?<![A-Za-z])(?=[A-Za-z{_X}])(?:{_MIXED}|(?=[A-Za-z]*?([A-Za-z])\1\1)[A-Za-z]+)")
+#: The same for texts in which no letter comes three times on end.
+_SUSPECT_MIXED = re.compile(rf"(?<![A-Za-z])(?=[A-Za-z{_X}])(?:{_MIXED})")
+_TRIPLES = [x * 3 for x in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+_ATOM = re.compile(rf"([A-Za-z{_X}]+)")
 _RUN = re.compile(r"(.)\1{3,}", re.S)
 _FOLD = str.maketrans({k: v[0] for k, v in LEET.items()} | {"|": "i"})
 #: Parts that a word may be cut into, repetitions included.
@@ -172,24 +173,27 @@ class Gate:
     def spans(self, text: str) -> Iterator[tuple[int, int]]:
         if not self.folded:
             return
-        atoms, i = list(_ATOM.finditer(text)), 0
-        while i < len(atoms):
-            whole, end = self._folded(atoms[i].group()), 0
-            if whole in self.starts:
-                for j in range(i, min(i + PARTS, len(atoms))):
-                    if j > i:
-                        gap = text[atoms[j - 1].end() : atoms[j].start()]
-                        if len(gap) > 2 or gap.strip(SEPARATORS):
-                            break
-                        nxt = self._folded(atoms[j].group())
-                        whole = whole + (nxt[1:] if nxt[:1] == whole[-1:] else nxt)
-                        if whole not in self.starts:
-                            break
-                    if whole in self.folded:
-                        end = j + 1
-            if end and not (end == i + 1 and atoms[i].group().lower() in self.plain):
-                yield atoms[i].start(), atoms[end - 1].end()
-            i = max(end, i + 1)
+        parts = _ATOM.split(text)  # what parts atoms, and atoms, in turn
+        names, gaps = parts[1::2], parts[::2]
+        known, starts, folded = self.known, self.starts, self.folded
+        each = [known.get(x) or self._folded(x) for x in names]
+        ends: list[int] = []
+        free = 0  # the first atom that is in no span
+        for i in [k for k, x in enumerate(each) if x in starts]:
+            if i < free:
+                continue
+            whole, end = each[i], i + 1 if each[i] in folded else 0
+            for j in range(i + 1, min(i + PARTS, len(names))):
+                nxt = each[j]
+                whole = whole + (nxt[1:] if nxt[:1] == whole[-1:] else nxt)
+                if whole not in starts or len(gaps[j]) > 2 or gaps[j].strip(SEPARATORS):
+                    break
+                if whole in folded:
+                    end = j + 1
+            if end and not (end == i + 1 and names[i].lower() in self.plain):
+                ends = ends or list(accumulate(map(len, parts)))
+                yield ends[2 * i], ends[2 * end - 1]
+            free = max(end, i + 1)
 
 
 def restore(text: str | None, decode: Decoder, gate: Gate | None = None) -> str:
@@ -198,7 +202,8 @@ def restore(text: str | None, decode: Decoder, gate: Gate | None = None) -> str:
     spans = [(s, e, -8.0) for s, e in gate.spans(text)] if gate else []
     # What is left of the others beside the gate's, in which a look-alike is likelier a letter.
     free = zip([0, *(e for _, e, _ in spans)], [*(s for s, _, _ in spans), len(text)])
-    spans += [(*m.span(), -2.0) for s, e in list(free) for m in _SUSPECT.finditer(text, s, e)]
+    find = _SUSPECT if any(x in text for x in _TRIPLES) else _SUSPECT_MIXED
+    spans += [(*m.span(), -2.0) for s, e in list(free) for m in find.finditer(text, s, e)]
     out, at = [], 0
     for s, e, stay in sorted(spans):
         out += [text[at:s], decode(text[s:e], stay)]
@@ -239,7 +244,9 @@ class Scorer:
         return got
 
     def score(self, words: set[str]) -> float:
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, float(np.dot(features(map(self.weight, words)), self.coef))))))
+        get, weight = self.known.get, self.weight
+        told = [x if (x := get(w)) is not None else weight(w) for w in words]
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, float(np.dot(features(told), self.coef))))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 60) -> np.ndarray:
