@@ -33,6 +33,8 @@ from .search import B, K1, LEAST_IDF, idf, weight
 FOLDERS, RANGE, MOST_WORDS, WRITERS = 32, 2048, 4_000_000, 8
 #: Ranges that are looked into first, to find a kth score.
 FIRST = 8
+#: Bytes that the ranges of a merge, with the keys that they lose, may have to be broadcast.
+MAX_BROADCAST = 64 << 20
 
 
 def folder_of(term: Column) -> Column:
@@ -121,22 +123,42 @@ def documents(blocks: DataFrame) -> DataFrame:
     return here.select(F.inline(F.arrays_zip("keys", "lens"))).withColumnsRenamed({"keys": "key", "lens": "len"})
 
 
+def _parts(snapshot: Snapshot) -> DataFrame:
+    """The blocks of every segment, with its number."""
+    return reduce(DataFrame.unionByName, [p.withColumn("segment", F.lit(i)) for i, p in enumerate(snapshot.parts("blocks"))])
+
+
 def merge(store: Store, drop: DataFrame | None = None, per_range: int = RANGE) -> Snapshot:
-    """One segment of all, without the keys of drop (key). Texts are not read again."""
+    """One segment of all, without the keys of drop (key). Texts are not read again, and blocks stay whole: a range goes as it is, less
+    what it loses, into a range that may hold others, of fewer than per_range documents before it."""
     base = store.open()
-    blocks = base.read("blocks")
-    e = blocks.select("term", F.inline(F.arrays_zip("keys", "tfs", "lens", "positions")))
-    docs = documents(blocks)
-    if drop is not None:
-        gone = drop.select(F.col("key").alias("keys")).distinct()
-        docs, e = docs.join(gone, docs["key"] == gone["keys"], "left_anti"), e.join(gone, "keys", "left_anti")
-    n = docs.count()
-    ranges = max(1, -(-n // per_range))
-    p = e.select("term", F.pmod(F.xxhash64("keys"), F.lit(ranges)).alias("range"), F.struct("keys", "tfs", "lens", "positions").alias("e"))
-    ratio = F.min(F.when(F.col("e.tfs") > 0, F.col("e.lens") / F.col("e.tfs")))
-    b = p.groupBy("term", "range").agg(F.array_sort(F.collect_list("e")).alias("e"), F.max("e.tfs").alias("most_tf"), ratio.alias("least_ratio"), F.sum("e.tfs").alias("tf"), F.sum("e.lens").alias("len"))
-    b = b.select("term", "range", F.size("e").alias("n"), F.when(F.col("term").isNull(), F.col("len")).otherwise(F.col("tf")).alias("occurrences"), "most_tf", "least_ratio", "e.keys", "e.tfs", "e.lens", "e.positions", folder_of(F.col("term")).alias("folder"))
-    return store.commit(base, replace={"blocks": _laid_out(b, n, per_range)}, partition_by={"blocks": ["folder"]})
+    blocks = _parts(base)
+    here = blocks.where((F.col("folder") == folder_of(F.lit(None).cast("string"))) & F.col("term").isNull())
+    # A row per range, of which there is one for some thousand documents.
+    filled = F.sum(F.greatest(F.col("n") / per_range, F.col("occurrences") / MOST_WORDS)).over(Window.orderBy("segment", "range").rowsBetween(Window.unboundedPreceding, -1))
+    to = here.select("segment", "range", "n", F.floor(F.coalesce(filled, F.lit(0))).cast("long").alias("to"))
+    none = F.array().cast(blocks.schema["keys"].dataType)
+    if drop is None:
+        to = to.withColumn("gone", none)
+    else:
+        lost = here.select("segment", "range", F.explode("keys").alias("key")).join(drop.select("key").distinct(), "key", "left_semi")
+        to = to.join(lost.groupBy("segment", "range").agg(F.collect_list("key").alias("gone")), ["segment", "range"], "left").withColumn("gone", F.coalesce("gone", none))
+    # Ranges that stay by themselves, which most are where segments are large, need no grouping: their blocks are only laid out.
+    to = cut(to.withColumn("shared", F.count("*").over(Window.partitionBy("to")) > 1))
+    n, bytes_ = to.agg(F.sum(F.col("n") - F.size("gone")), F.sum(F.lit(48) + 24 * F.size("gone"))).first()
+    to = F.broadcast(to) if (bytes_ or 0) <= MAX_BROADCAST else to
+    entries = F.arrays_zip("keys", "tfs", "lens", "positions")
+    left = F.when(F.size("gone") == 0, entries).otherwise(F.filter(entries, lambda x: ~F.array_contains("gone", x["keys"])))
+    b = blocks.join(to.drop("n"), ["segment", "range"]).select("term", F.col("to").alias("range"), "shared", left.alias("e")).where(F.size("e") > 0)
+    grouped = b.where("shared").groupBy("term", "range").agg(F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
+    b = b.where("not shared").select("term", "range", "e").unionByName(grouped)
+    ratio = F.array_min(F.transform(F.filter("e", lambda x: x["tfs"] > 0), lambda x: x["lens"] / x["tfs"]))
+    counted = F.when(F.col("term").isNull(), F.col("e.lens")).otherwise(F.col("e.tfs"))
+    b = b.select(
+        "term", "range", F.size("e").alias("n"), F.aggregate(counted, F.lit(0).cast("long"), lambda a, x: a + x).alias("occurrences"), F.array_max("e.tfs").alias("most_tf"), ratio.alias("least_ratio"),
+        "e.keys", "e.tfs", "e.lens", "e.positions", folder_of(F.col("term")).alias("folder"),
+    )
+    return store.commit(base, replace={"blocks": _laid_out(b, n or 0, per_range)}, partition_by={"blocks": ["folder"]})
 
 
 @dataclass(frozen=True)
@@ -150,7 +172,7 @@ class Index:
 
 
 def open_index(snapshot: Snapshot) -> Index:
-    blocks = reduce(DataFrame.unionByName, [p.withColumn("segment", F.lit(i)) for i, p in enumerate(snapshot.parts("blocks"))])
+    blocks = _parts(snapshot)
     here = blocks.where((F.col("folder") == folder_of(F.lit(None).cast("string"))) & F.col("term").isNull())
     n, words = here.agg(F.sum("n"), F.sum("occurrences")).first()
     return Index(snapshot.spark, blocks, n or 0, (words or 0) / n if n else 0.0)

@@ -135,3 +135,27 @@ def test_an_empty_index(spark, store, texts):
     none = stored_search.open_index(stored_search.append(store, texts.limit(0)))
     assert (none.n, none.average) == (0, 0.0)
     assert stored_search.bm25(none, ["the"]).count() == stored_search.phrase(none, ["the", "x"]).count() == stored_search.match(none, "foo_bar the").count() == 0
+
+
+def test_merge_sends_no_posting_by_itself(spark, texts, tmp_path):
+    """Blocks are shuffled whole: what a merge sends between tasks is far fewer rows than there are postings."""
+    store = Store(spark, str(tmp_path / "whole"))
+    many = texts.select("key", F.concat_ws(" ", "text", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("q"), i.cast("string")))).alias("text"))
+    for part in (0, 1):
+        stored_search.append(store, many.where(F.col("key") % 2 == part))
+    status = spark.sparkContext._jsc.sc().statusStore()
+
+    def sent():
+        it, out = status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None).iterator(), {}
+        while it.hasNext():
+            s = it.next()
+            out[s.stageId()] = s.shuffleWriteRecords()
+        return out
+
+    before = sent()
+    merged = stored_search.open_index(stored_search.merge(store, drop=many.where("key % 4 = 0").select("key")))
+    rows_sent = sum(v for k, v in sent().items() if k not in before)
+    left = many.where("key % 4 <> 0")
+    assert merged.n == left.count()
+    assert rows(stored_search.term_stats(merged)) == rows(search.term_stats(left, "key", "text"))
+    assert rows_sent < 60 * merged.n / 2
