@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, by_key, connected_components, cut, join_split, rows_of
+from .common import bounded_broadcast, by_key, connected_components, cut, join_split, packed, rows_of, tasks_for
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BLANK = re.compile(rb"[\x20\x09-\x0D]+")
@@ -44,8 +44,8 @@ _STEP = 1 << 16
 SIMILARITY, ORDER_SAMPLE, ORDER_LAST = 0.8, 5_000, 200_000
 #: Rounds in which documents are held against hubs alone.
 HUB_ROUNDS = 4
-#: Bins of a sketch.
-BINS = 256
+#: Bins of a sketch, and bytes of sketches that may be broadcast.
+BINS, SKETCHES = 256, 16 << 20
 #: For bounds that are whole numbers but for rounding.
 _EPS = 1e-9
 
@@ -246,15 +246,18 @@ def may_be_similar(pairs: DataFrame, distinct: DataFrame, similarity: float) ->
         full = ((p == 255) | (q == 255)).any(axis=1)
         return pd.Series(full | (most >= similarity * (n.to_numpy() + m.to_numpy() - most) - _EPS))
 
-    side = lambda k, x, n: distinct.select(F.col("k").alias(k), F.col("sketch").alias(x), F.col("n").alias(n))
+    # Few pairs have few ends, whose sketches are found and joined without a shuffle of all.
+    ends = bounded_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("k")), 16)
+    ends = bounded_broadcast(cut(distinct.join(ends, "k", "left_semi").select("k", "sketch", "n")), BINS + 48, SKETCHES)
+    side = lambda k, x, n: ends.select(F.col("k").alias(k), F.col("sketch").alias(x), F.col("n").alias(n))
     both = pairs.join(side("a", "x", "nx"), "a").join(side("b", "y", "ny"), "b")
     return both.where(room("x", "y", "nx", "ny")).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of k whose sets of shingles have at least this Jaccard similarity; sets are made for these alone."""
-    pairs = cut(may_be_similar(pairs, distinct, similarity))
-    sets = wanted_sets(docs, distinct, pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), width)
+    pairs = packed(cut(may_be_similar(pairs, distinct, similarity)))
+    sets = wanted_sets(docs, distinct, bounded_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("k")), 16), width)
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - _EPS).select("a", "b")
@@ -266,12 +269,13 @@ def _may(n, pos, m, at, similarity: float):
     return (F.least(n, m) >= similarity * F.greatest(n, m) - _EPS) & (F.least(n - pos, m - at) >= need)
 
 
-def hub_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each k beside one hub of another root that it shares a shingle with. rows as in prefix_pairs."""
-    hubs = cut(rows.groupBy("h").agg(F.min(F.struct("root", "k", "n", "pos")).alias("hub"), F.max("root").alias("hi"), F.count("*").alias("n")).where("hub.root <> hi"))
+def hub_pairs(rows: DataFrame, similarity: float, tasks: int) -> DataFrame:
+    """(a, b): each k beside one hub of another root that it shares a shingle with, in so many tasks at most. rows as in prefix_pairs."""
+    hubs = rows.groupBy("h").agg(F.min(F.struct("root", "k", "n", "pos")).alias("hub"), F.max("root").alias("hi"), F.count("*").alias("n")).where("hub.root <> hi")
+    hubs = cut(hubs.coalesce(tasks))
     met = join_split(rows.withColumnRenamed("n", "size"), hubs.select("h", "hub"), "h", hubs).where("root <> hub.root").where(_may(F.col("size"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), similarity))
     one = met.groupBy("k").agg(F.min("hub.k").alias("hub"))
-    return one.select(F.least("k", "hub").alias("a"), F.greatest("k", "hub").alias("b")).distinct()
+    return one.coalesce(tasks).select(F.least("k", "hub").alias("a"), F.greatest("k", "hub").alias("b")).distinct().coalesce(tasks)
 
 
 def prefix_pairs(rows: DataFrame, similarity: float, block: int = 2_000) -> DataFrame:
@@ -321,24 +325,28 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
     tried = cut(near.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).unionByName(equal.select(F.col("low").alias("a"), F.col("k").alias("b"))).distinct())
     prefix = distinct.select("k", "n", F.posexplode("prefix").alias("pos", "h"))
     shared = bounded_broadcast(cut(prefix.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")), 16)
-    # From here on, only what shares a shingle of its prefix.
+    # From here on, only what shares a shingle of its prefix. Tables of few rows stay in few partitions, and are broadcast.
     prefix = cut(prefix.join(shared, "h", "left_semi"))
-    check = lambda pairs: cut(verified(pairs, docs, distinct, width, similarity))
+    tasks = tasks_for(prefix.count())
+    prefix, tried = prefix.coalesce(tasks), packed(tried)
+    check = lambda pairs: packed(cut(verified(pairs, docs, distinct, width, similarity)))
+    components = lambda links: bounded_broadcast(packed(cut(connected_components(links))), 24)
+    untried = lambda pairs: packed(cut(pairs.join(bounded_broadcast(tried, 24), ["a", "b"], "left_anti")))
     done = check(tried)
-    comp = cut(connected_components(done))
+    comp = components(done)
 
     def rooted() -> DataFrame:
         return prefix.join(comp, prefix["k"] == comp["node"], "left").select("k", "n", F.coalesce("root", "k").alias("root"), "pos", "h")
 
     for _ in range(HUB_ROUNDS):
-        pairs = cut(hub_pairs(rooted(), similarity).join(tried, ["a", "b"], "left_anti"))
+        pairs = untried(hub_pairs(rooted(), similarity, tasks))
         more = check(pairs)
         if more.isEmpty():
             break
         tried, done = cut(tried.unionByName(pairs)), cut(done.unionByName(more))
-        comp = cut(connected_components(done))
-    rest = check(cut(prefix_pairs(rooted(), similarity).join(tried, ["a", "b"], "left_anti")))
-    comp = cut(connected_components(done.unionByName(rest)))
+        comp = components(done)
+    rest = check(untried(prefix_pairs(rooted(), similarity)))
+    comp = components(done.unionByName(rest))
     named = cut(distinct.join(comp, distinct["k"] == comp["node"], "left").select("k", "first", "copies", F.coalesce("root", "k").alias("root")))
     roots = cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
     ids = cut(join_split(named.select("k", "root"), roots.drop("n"), "root", roots).select("k", "component_id"))
