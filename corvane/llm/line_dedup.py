@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bounded_broadcast, cut, fresh, held, rows_of
+from .common import BLANKS, bounded_broadcast, cut, fresh, held, join_split, rows_of
 
 #: The bound: at most MAX_EDITS words, and at most one word in WORDS_PER_EDIT of the longer line.
 MAX_EDITS, WORDS_PER_EDIT = 2, 10
@@ -86,26 +86,13 @@ def _plan(n: int, max_edits: int) -> list[tuple[int, int, int, list[tuple[int, s
     return [("psm".index(part), a, b, meant) for (part, a, b), meant in plan.items()]
 
 
-def _starts(w: list[bytes]) -> list[int]:
-    """Where each word starts in the joined line, and where one after the last would."""
-    return list(accumulate((len(x) + 1 for x in w), initial=0))
-
-
 def key_list(norm: bytes, w: list[bytes], max_edits: int = MAX_EDITS) -> list[int]:
     """Hashes of thirds or halves."""
     plan = _plan(len(w), max_edits)
     if not plan:
         return []
-    at = _starts(w)
-    return [xxhash.xxh3_64_intdigest(norm[at[a] : at[b] - 1], seed) - (1 << 63) for seed, a, b, _ in plan]
-
-
-def first_keys(w: list[bytes], max_edits: int = MAX_EDITS) -> dict[int, list[tuple[int, str, int]]]:
-    """The key_list with what each key means."""
-    out: dict[int, list] = {}
-    for h, (*_, meant) in zip(key_list(b" ".join(w), w, max_edits), _plan(len(w), max_edits)):
-        out.setdefault(h, []).extend(meant)
-    return out
+    at, digest = list(accumulate(map(len, w), initial=0)), xxhash.xxh3_64_intdigest  # word x starts at at[x] + x
+    return [digest(norm[at[a] + a : at[b] + b - 1], seed) - (1 << 63) for seed, a, b, _ in plan]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -129,17 +116,21 @@ _MOVES = {i: _U(pow(_BASE if i > 0 else _INVERSE, abs(i), 1 << 64)) for i in ran
 
 
 class Sums:
-    """Running sums of a polynomial hash modulo 2^64 over the words' hashes: any range, moved anywhere, is one difference."""
+    """Running sums of a polynomial hash modulo 2^64 over the words' hashes, for lines of n words each, a row per line: any
+    range of words, moved anywhere, is one difference."""
 
-    def __init__(self, w: list[bytes]):
-        self.n = n = len(w)
-        codes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w), np.uint64, n)
-        self.p = np.zeros(n + 1, np.uint64)
-        np.cumsum(_mix(codes) * (_POWERS[:n] if n <= len(_POWERS) else _powers(_BASE, n)), out=self.p[1:])
+    def __init__(self, codes: np.ndarray):
+        self.n = n = codes.shape[1]
+        self.p = np.zeros((len(codes), n + 1), np.uint64)
+        np.cumsum(_mix(codes) * (_POWERS[:n] if n <= len(_POWERS) else _powers(_BASE, n)), axis=1, out=self.p[:, 1:])
 
     def moved(self, x, y, by: int):
         """The hash of words x to y, as if they stood `by` places further."""
-        return (self.p[y] - self.p[x]) * _MOVES[by]
+        return (self.p[:, y] - self.p[:, x]) * _MOVES[by]
+
+
+def _codes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 @lru_cache(1 << 14)
@@ -156,14 +147,14 @@ def _salt(m: int, d: int, kind: int, q1: np.ndarray, q2: np.ndarray) -> np.ndarr
     return _mix(_tag(0, d, kind, q1, q2).astype(np.uint64) ^ _mix(np.array([m], np.uint64)))
 
 
-def met(w: list[bytes], shared: dict[int, int], max_edits: int = MAX_EDITS) -> dict[tuple[int, int], set[tuple[str, int]]]:
+def met(norm: bytes, w: list[bytes], shared: dict[int, int], max_edits: int = MAX_EDITS) -> dict[tuple[int, int], set[tuple[str, int]]]:
     """For (m, d), the (part, length) that the line shares with one that makes such a pair with it.
 
     m is the words of the pair's longer line and d how many more they are. shared: the line's first keys under which there
     are others, each with the lengths modulo 8 of all lines under it, as a set of bits.
     """
     n, out = len(w), {}
-    for h, meant in first_keys(w, max_edits).items():
+    for h, (*_, meant) in zip(key_list(norm, w, max_edits), _plan(n, max_edits)):
         if lengths := shared.get(h):
             for m, part, size in meant:
                 for d in range(bound(m, max_edits) + 1) if m == n else (m - n,):
@@ -173,21 +164,21 @@ def met(w: list[bytes], shared: dict[int, int], max_edits: int = MAX_EDITS) -> d
 
 
 def window_keys(sums: Sums, shared: dict[tuple[int, int], set[tuple[str, int]]], max_edits: int = MAX_EDITS) -> tuple[np.ndarray, np.ndarray]:
-    """(key, tag) of all but one or two segments, for the pairs that met() leaves.
+    """(keys, tags) of all but one or two segments, for the pairs that met() leaves: a row of keys per line, under one row of tags.
 
     A pair's longer line, of m words, cuts the segments; the other is d words shorter, and between two segments it is
     moved by `shift`. The tag holds m - n, d, shift and the segments' numbers.
     """
-    n, keys, tags = sums.n, [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    n, keys, tags = sums.n, [np.empty((len(sums.p), 0), np.uint64)], [np.empty(0, np.int64)]
     for (m, d), parts in sorted(shared.items()):
         find = _windows_of if m < 256 else _windows_of.__wrapped__  # what is remembered stays small
         for s, x, y, e, by, salt, tag in find(n, m, d, bound(m, max_edits), frozenset(parts)):
-            rest = sums.p[s] + sums.moved(e, n, m - n)
+            rest = sums.p[:, s] + sums.moved(e, [n], m - n)
             if x is not None:
                 rest = rest + sums.moved(x, y, by)
             keys.append(_mix(rest ^ salt))
             tags.append(tag)
-    return np.concatenate(keys), np.concatenate(tags)
+    return np.concatenate(keys, axis=1), np.concatenate(tags)
 
 
 @lru_cache(1 << 12)
@@ -252,9 +243,9 @@ def _spots(n: int, over: int, k: int, shift: int, q1: int, q2: int) -> tuple[np.
 _remembered_spots = lru_cache(1 << 12)(_spots)
 
 
-def deletion_keys(sums: Sums, windows: list[tuple[int, int, int, int, int]], max_edits: int = MAX_EDITS) -> tuple[np.ndarray, np.ndarray]:
-    """(key, role) of the deletions inside the windows. Role 0: all lines under the key are near each other; 1 and 2: each
-    of role 1 is near each of role 2."""
+def deletion_keys(sums: Sums, windows: list[tuple[int, int, int, int, int]], max_edits: int = MAX_EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, roles) of the deletions inside the windows, a row per line, and which of them are a line's first of their kind.
+    Role 0: all lines under the key are near each other; 1 and 2: each of role 1 is near each of role 2."""
     n, p = sums.n, sums.p
     keys, roles = [], []
 
@@ -263,10 +254,10 @@ def deletion_keys(sums: Sums, windows: list[tuple[int, int, int, int, int]], max
         for x in places:
             key = _mix(key + _mix(x.astype(np.uint64) + _U(0x51)))
         keys.append(key)
-        roles.append(np.full(len(key), role, np.int8))
+        roles.append(np.full(key.shape[1], role, np.int8))
 
     def less(i: np.ndarray) -> np.ndarray:
-        return p[i] + sums.moved(i + 1, n, -1)
+        return p[:, i] + sums.moved(i + 1, [n], -1)
 
     # Windows of one kind are hashed together: a line has many, and most are short.
     kinds: dict[tuple[int, int, int], list] = {}
@@ -283,9 +274,10 @@ def deletion_keys(sums: Sums, windows: list[tuple[int, int, int, int, int]], max
             elif over == 0:
                 add(2, 1, less(own))
             else:
-                add(2, 2, p[-1:])
+                add(2, 2, p[:, -1:])
             continue
-        rest = p[i] + sums.moved(i + 1, j, -1) + sums.moved(j + 1, n, -2)
+        i, j = np.divmod(np.unique(i * (n + 1) + j), n + 1)
+        rest = p[:, i] + sums.moved(i + 1, j, -1) + sums.moved(j + 1, [n], -2)
         if d == 0:
             if shift == 0:
                 add(3, 0, rest, i, j)
@@ -298,15 +290,15 @@ def deletion_keys(sums: Sums, windows: list[tuple[int, int, int, int, int]], max
         elif over == 0:
             add(6, 1, rest)
         else:
-            add(6, 2, p[-1:])
-    if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.int8)
-    key, role = np.concatenate(keys), np.concatenate(roles)
-    _, first = np.unique(key + role.astype(np.uint64), return_index=True)
-    return key[first], role[first]
+            add(6, 2, p[:, -1:])
+    key, role = np.concatenate([np.empty((len(p), 0), np.uint64), *keys], axis=1), np.concatenate([np.empty(0, np.int8), *roles])
+    told = key + role.astype(np.uint64)
+    by = np.argsort(told, axis=1)
+    told, new = np.take_along_axis(told, by, 1), np.ones(key.shape, bool)
+    new[:, 1:] = told[:, 1:] != told[:, :-1]
+    return np.take_along_axis(key, by, 1), role[by], new
 
 
-_LIST = pa.list_(pa.int64())
 _SHARED = pa.list_(pa.struct([("key", pa.int64()), ("lengths", pa.int32())]))
 
 
@@ -314,25 +306,28 @@ def _lines(max_edits: int):
     """A row per line with a word: its place, digest and first keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for b in batches:
-            at, nos, lids, ns, keys = [], [], [], [], []
+            at, nos, lids, ns, keys, ends = [], [], [], [], [], [0]
 
             def out() -> pa.RecordBatch:
-                return rows_of(b, ["doc_id", "h"], {"no": pa.array(nos, pa.int32()), "lid": pa.array(lids, pa.binary()), "n": pa.array(ns, pa.int32()), "keys": pa.array(keys, _LIST)}, at)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(keys, np.int64, len(keys))))
+                return rows_of(b, ["doc_id", "h"], {"no": pa.array(nos, pa.int32()), "lid": pa.array(lids, pa.binary()), "n": pa.array(ns, pa.int32()), "keys": lists}, at)
 
-            for r, text in enumerate(b.column("text")):
-                for no, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
+            for r, text in enumerate(b.column("text").cast(pa.binary())):
+                for no, line in enumerate((text.as_py() or b"").lower().split(b"\n")):
                     w = line.split()
                     if w:
                         at.append(r)
                         nos.append(no)
                         ns.append(len(w))
                         norm = b" ".join(w)
-                        lids.append(xxhash.xxh3_128_digest(norm))
-                        keys.append(key_list(norm, w, max_edits))
+                        lids.append(digest(norm))
+                        keys += key_list(norm, w, max_edits)
+                        ends.append(len(keys))
                 if len(nos) > 50_000:
                     yield out()
-                    at, nos, lids, ns, keys = [], [], [], [], []
+                    at, nos, lids, ns, keys, ends = [], [], [], [], [], [0]
             yield out()
 
     return run
@@ -342,8 +337,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The compared lines of each document, with the keys that they share."""
     for b in batches:
         at, nos, lids, norms, keys = [], [], [], [], []
-        for r, (text, where) in enumerate(zip(b.column("text"), b.column("where"))):
-            ls = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
+        for r, (text, where) in enumerate(zip(b.column("text").cast(pa.binary()), b.column("where"))):
+            ls = (text.as_py() or b"").split(b"\n")
             for x in where.as_py():
                 at.append(r)
                 nos.append(x["no"])
@@ -362,37 +357,69 @@ def _parts(lists: pa.ListArray) -> Iterator[list[list]]:
         yield [x[a:b] for x in fields]
 
 
+def _alike(kinds: Iterable[tuple], words: list[list[bytes]]) -> Iterator[tuple[tuple, Sums, np.ndarray]]:
+    """(kind, sums, positions) of the lines of one kind, which have equally many words, bounded in words."""
+    groups: dict[tuple, list[int]] = {}
+    for r, kind in enumerate(kinds):
+        groups.setdefault(kind, []).append(r)
+    for kind, own in groups.items():
+        n = len(words[own[0]])
+        step = max(1, _WORDS // n)
+        for x in range(0, len(own), step):
+            rows = own[x : x + step]
+            yield kind, Sums(_codes([w for r in rows for w in words[r]]).reshape(len(rows), n)), np.array(rows)
+
+
+#: Rows that are grouped by kind, and words of lines that are hashed at once.
+_ROWS, _WORDS = 4096, 1 << 14
+
+
+def _lists(sizes: list[np.ndarray], values: list[np.ndarray]) -> pa.ListArray:
+    """Lists of these sizes of the values: a row per line, as a row per key takes many times the room and the time."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], *sizes]).cumsum(), pa.int32()), pa.array(np.concatenate(values), pa.int64()))
+
+
 def _windows(max_edits: int):
+    """(lid, keys, tags) of each line."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in range(0, b.num_rows, 512):
-                part = b.slice(x, 512)
-                sizes, keys, tags = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-                for norm, (shared, lengths) in zip(part.column("norm"), _parts(part.column("keys"))):
-                    w = norm.as_py().split()
-                    key, tag = window_keys(Sums(w), met(w, dict(zip(shared, lengths)), max_edits), max_edits)
-                    sizes.append(len(key))
-                    keys.append(key)
-                    tags.append(tag)
-                at = np.repeat(np.arange(len(sizes)), sizes)
-                yield rows_of(part, ["lid"], {"key": pa.array(np.concatenate(keys).view(np.int64)), "tag": pa.array(np.concatenate(tags))}, at)
+            for x in range(0, b.num_rows, _ROWS):
+                part = b.slice(x, _ROWS)
+                norms = part.column("norm").to_pylist()
+                words = [norm.split() for norm in norms]
+                kinds = []
+                for norm, w, (shared, lengths) in zip(norms, words, _parts(part.column("keys"))):
+                    found = met(norm, w, dict(zip(shared, lengths)), max_edits)
+                    kinds.append((len(w), frozenset((pair, frozenset(parts)) for pair, parts in found.items())))
+                at, sizes, keys, tags = [], [], [], []
+                for (_, found), sums, rows in _alike(kinds, words):
+                    key, tag = window_keys(sums, dict(found), max_edits)
+                    at.append(rows)
+                    sizes.append(np.full(len(rows), len(tag)))
+                    keys.append(key.ravel().view(np.int64))
+                    tags.append(np.tile(tag, len(rows)))
+                yield rows_of(part, ["lid"], {"keys": _lists(sizes, keys), "tags": _lists(sizes, tags)}, np.concatenate(at))
 
     return run
 
 
 def _deletions(max_edits: int):
+    """(lid, keys) of each line; the two low bits of a key are its role."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in range(0, b.num_rows, 64):
-                part = b.slice(x, 64)
-                sizes, keys, roles = [], [np.empty(0, np.uint64)], [np.empty(0, np.int8)]
-                for norm, found in zip(part.column("norm"), _parts(part.column("found"))):
-                    key, role = deletion_keys(Sums(norm.as_py().split()), _useful(list(zip(*found))), max_edits)
-                    sizes.append(len(key))
-                    keys.append(key)
-                    roles.append(role)
-                at = np.repeat(np.arange(len(sizes)), sizes)
-                yield rows_of(part, ["lid"], {"key": pa.array(np.concatenate(keys).view(np.int64)), "role": pa.array(np.concatenate(roles))}, at)
+            for x in range(0, b.num_rows, _ROWS):
+                part = b.slice(x, _ROWS)
+                words = [norm.split() for norm in part.column("norm").to_pylist()]
+                kinds = [(len(w), tuple(sorted(_useful(list(zip(*found)))))) for w, found in zip(words, _parts(part.column("found")))]
+                at, sizes, keys = [], [], []
+                for (_, windows), sums, rows in _alike(kinds, words):
+                    key, role, new = deletion_keys(sums, windows, max_edits)
+                    at.append(rows)
+                    sizes.append(new.sum(axis=1))
+                    keys.append((key[new] & ~_U(3) | role[new].astype(np.uint64)).view(np.int64))
+                yield rows_of(part, ["lid"], {"keys": _lists(sizes, keys)}, np.concatenate(at))
 
     return run
 
@@ -409,12 +436,13 @@ def _verified(max_edits: int):
     return run
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, first: DataFrame, kind: str, max_edits: int) -> DataFrame:
-    """(lid): distinct lines that are near one whose first place is earlier. docs: doc_id, h and text."""
-    keyed = lines.where(F.size("keys") > 0).select(F.xxhash64("lid").alias("l"), "lid", F.expr("shiftleft(1, n % 8)").alias("bit"), F.explode("keys").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.min("l").alias("a"), F.max("l").alias("b"), F.bit_or("bit").alias("lengths")).where("a <> b").select("key", "lengths"))
-    some = keyed.join(bounded_broadcast(shared, 24), "key").groupBy("lid").agg(F.collect_set(F.struct("key", "lengths")).alias("keys"))
-    places = first.join(some, "lid").groupBy("doc_id", "h").agg(F.collect_list(F.struct("no", "lid", "keys")).alias("where"))
+def near_lines(docs: DataFrame, lines: DataFrame, kind: str, max_edits: int) -> DataFrame:
+    """(doc_id, h, no): the lines that are near an earlier one. docs: doc_id, h and text; lines: distinct ones at their first places."""
+    # A line that comes from repeated rows, or has a key twice, meets itself here; that costs a look and makes no link.
+    keyed = lines.select("lid", *_PLACE, F.expr("shiftleft(1, n % 8)").alias("bit"), F.explode("keys").alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("c"), F.bit_or("bit").alias("lengths")).where("c > 1").select("key", "lengths"))
+    some = keyed.join(bounded_broadcast(shared, 24), "key").groupBy("lid", *_PLACE).agg(F.collect_set(F.struct("key", "lengths")).alias("keys"))
+    places = some.groupBy("doc_id", "h").agg(F.collect_list(F.struct("no", "lid", "keys")).alias("where"))
     places = cut(places.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "where"))
     places = bounded_broadcast(places, F.lit(40) + F.aggregate("where", F.lit(0), lambda a, x: a + F.lit(64) + 16 * F.size(x["keys"])))
     texts = docs.join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("doc_id", "h", "text", "where")
@@ -422,14 +450,16 @@ def near_lines(docs: DataFrame, lines: DataFrame, first: DataFrame, kind: str, m
     # Repeated rows give a line's first place more than once.
     texts = cut(texts.dropDuplicates(["lid"]).select("lid", _place().alias("place"), "norm", "keys"))
     # Most keys have one line: those go first, and only the rest is looked at closely.
-    tagged = _shared(cut(texts.select("lid", "norm", "keys").mapInArrow(_windows(max_edits), "lid binary, key long, tag long")))
+    tagged = cut(texts.select("lid", "norm", "keys").mapInArrow(_windows(max_edits), "lid binary, keys array<long>, tags array<long>"))
+    tagged = _shared(tagged.select("lid", "tags", F.posexplode("keys").alias("at", "key")).select("lid", "key", F.get("tags", F.col("at")).alias("tag")))
     # Of lines that differ in length, a key needs a longer one and a shorter one. A low half counts the former, a high one the latter.
     over, d = F.floor(F.col("tag") / (9 * _Q * _Q)), F.floor(F.col("tag") / (3 * _Q * _Q)) % 3
     half, mine = 1 << 32, F.xxhash64("lid")
     common = tagged.groupBy("key").agg(F.sum(F.when(over > 0, F.lit(half)).otherwise(F.lit(1)).cast("long")).alias("n"), F.bit_xor(mine).alias("x"), F.min(mine).alias("a"), F.max(mine).alias("b"), F.first(d == 0).alias("same"))
     common = common.where("a <> b").where(F.when(F.col("same"), F.lit(True)).otherwise((F.col("n") > half) & (F.col("n") % half > 0)))
     found = tagged.join(common.select("key", F.xxhash64("n", "x").alias("who")), "key").groupBy("lid").agg(F.collect_set(F.struct("tag", "who")).alias("found"))
-    var = _shared(cut(texts.select("lid", "norm").join(found, "lid").mapInArrow(_deletions(max_edits), "lid binary, key long, role byte")))
+    var = cut(texts.select("lid", "norm").join(found, "lid").mapInArrow(_deletions(max_edits), "lid binary, keys array<long>"))
+    var = _shared(var.select("lid", F.explode("keys").alias("of")).select("lid", F.expr("of & ~3L").alias("key"), F.expr("of & 3L").alias("role")))
     var = var.join(texts.select("lid", "place"), "lid")
     who = F.struct("place", "lid")
     of = lambda r: F.when(F.col("role") == r, who)
@@ -438,15 +468,19 @@ def near_lines(docs: DataFrame, lines: DataFrame, first: DataFrame, kind: str, m
     pairs = var.join(best, "key").select("lid", to.alias("to"), "place").where(F.col("to.place") < F.col("place")).select("lid", F.col("to.lid").alias("__lid")).distinct()
     norms = texts.select("lid", "norm")
     ends = pairs.join(norms, "lid").join(norms.select(F.col("lid").alias("__lid"), F.col("norm").alias("__norm")), "__lid")
-    return ends.select("lid", "norm", "__norm").mapInArrow(_verified(max_edits), "lid binary").distinct()
+    near_ = cut(ends.select("lid", "norm", "__norm").mapInArrow(_verified(max_edits), "lid binary").distinct())
+    return texts.join(bounded_broadcast(near_, 40), "lid", "left_semi").select("place.doc_id", "place.h", "place.no")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """The rows of keyed whose key comes more than once."""
+    """The rows of keyed, made from what is cut, whose key comes more than once."""
     keys = cut(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
     return cut(keyed.join(bounded_broadcast(keys, 16), "key", "left_semi"))
 
 
+_PLACE = ("doc_id", "h", "no")
+
+
 def _place():
     """What "earliest" goes by: doc_id, null ones last, then rows of one doc_id by a hash of their text, then line number."""
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "no")
@@ -465,18 +499,22 @@ def line_decisions(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     lines = cut(own.mapInArrow(_lines(max_edits), f"doc_id {kind}, h long, no int, lid binary, n int, keys array<long>"))
-    first = lines.groupBy("lid").agg(F.min(_place()).alias("p")).select("lid", "p.doc_id", "p.h", "p.no")
-    first = cut(first) if max_edits else first
-    # The places that stay are first places, of which no line has more than one: no line's copies are joined to it.
-    place = ["doc_id", "h", "no"]
-    rows = lines.select(*place, F.lit(0).alias("why")).unionByName(first.select(*place, F.lit(1).alias("why")))
+    # Only lines that come more than once are looked for among all: no line's copies are joined to each other or sorted.
+    several = cut(lines.groupBy("lid").agg(F.count("*").alias("n")).where("n > 1"))
+    copies = _beside(lines.select("lid", *_PLACE), several.select("lid"), several, 40)
+    first = cut(copies.groupBy("lid").agg(F.min(_place()).alias("first")))
+    rows = _beside(lines.select("lid", *_PLACE), first, several, 96).where(~_place().eqNullSafe(F.col("first"))).select(*_PLACE, F.lit(False).alias("near"))
     if max_edits:
-        near_ = near_lines(own, lines, first, kind, max_edits)
-        rows = rows.unionByName(first.join(near_, "lid", "left_semi").select(*place, F.lit(2).alias("why")))
-    pick = lambda k: F.collect_set(F.when(F.col("why") == k, F.col("no")))
-    per = rows.groupBy("doc_id", "h").agg(pick(0).alias("all"), pick(1).alias("first"), pick(2).alias("near"))
-    gone = F.array_except("all", F.array_except("first", "near"))
-    return per.select("doc_id", "h", F.array_sort(gone).alias("gone"), F.size("near").cast("long").alias("n_near"))
+        own_first = lines.where(F.size("keys") > 0).join(bounded_broadcast(first, 96), "lid", "left").where(F.col("first").isNull() | _place().eqNullSafe(F.col("first")))
+        rows = rows.unionByName(near_lines(own, own_first, kind, max_edits).withColumn("near", F.lit(True)))
+    per = rows.groupBy("doc_id", "h").agg(F.collect_set("no").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("no"))).alias("near"))
+    return per.select("doc_id", "h", F.array_sort("gone").alias("gone"), F.size("near").cast("long").alias("n_near"))
+
+
+def _beside(lines: DataFrame, table: DataFrame, counts: DataFrame, row_bytes: int) -> DataFrame:
+    """lines joined to table on lid; without a shuffle while table is small, and else with hot lids, told by counts, apart."""
+    few = bounded_broadcast(table, row_bytes)
+    return join_split(lines, table, "lid", counts) if few is table else lines.join(few, "lid")
 
 
 def _bare(text: Column) -> Column:

@@ -3,8 +3,11 @@
 import glob
 import time
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corvane.llm import line_dedup
 from corvane.llm.common import connected_components, cut
 
 
@@ -36,3 +39,14 @@ def test_a_small_graph_takes_few_jobs(spark, monkeypatch):
     nodes = {i * 7919 % 1000 for i in range(301)}
     assert small == {x: min(nodes) for x in nodes} | {2000: 2000, 2001: 2000}
     assert len(jobs) <= 10
+
+
+def test_lines_of_a_kind_are_hashed_together(monkeypatch):
+    lines = [" ".join(f"w{i}x{j}" for j in range(24)).encode() for i in range(500)]
+    keys = [[{"key": k, "lengths": 255} for k in line_dedup.key_list(x, x.split())] for x in lines]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(lines, pa.binary()), pa.array(keys, line_dedup._SHARED)], names=["lid", "norm", "keys"])
+    calls, mix = [], line_dedup._mix
+    monkeypatch.setattr(line_dedup, "_mix", lambda x: calls.append(np.size(x)) or mix(x))
+    out = pa.Table.from_batches(line_dedup._windows(2)(iter([batch])))
+    assert len(set(out.column("lid").to_pylist())) == 500 and len(calls) < 500
+    assert out.num_rows == 500  # a row per line, not per key
