@@ -12,6 +12,9 @@ By the pigeonhole principle two near lines share their first, middle or last thi
 edit is the bound); those keys are counted for all lines, with the lengths of the lines under them. The lines left are cut into segments, more for longer lines,
 and again counted outside of each segment, of each two neighbours, and of each two others; deletions are emitted inside
 the segments outside of which a line equals another. Both filters lose no pair, whatever the line's length.
+
+Most thirds and halves have few lines, whose deletions would cost more than the pairs: up to FEW lines of a key are compared
+with each other at once. Segments and deletions are for the pairs under the other keys.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .common import BLANKS, bounded_broadcast, cut, fresh, held, join_split, row
 
 #: The bound: at most MAX_EDITS words, and at most one word in WORDS_PER_EDIT of the longer line.
 MAX_EDITS, WORDS_PER_EDIT = 2, 10
+#: Lines under a third or half that are compared with each other; where there are more, it goes by their deletions.
+FEW = 32
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
@@ -151,7 +156,7 @@ def met(norm: bytes, w: list[bytes], shared: dict[int, int], max_edits: int = MA
     """For (m, d), the (part, length) that the line shares with one that makes such a pair with it.
 
     m is the words of the pair's longer line and d how many more they are. shared: the line's first keys under which there
-    are others, each with the lengths modulo 8 of all lines under it, as a set of bits.
+    are others, each with the lengths modulo 8 of all lines under it, as a set of bits; keys without a bit are left out.
     """
     n, out = len(w), {}
     for h, (*_, meant) in zip(key_list(norm, w, max_edits), _plan(n, max_edits)):
@@ -436,11 +441,31 @@ def _verified(max_edits: int):
     return run
 
 
+def _compared(max_edits: int):
+    """The lines that are near an earlier one of their key; rows come sorted by key, then place, with at most FEW lines a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []
+        for b in batches:
+            gone = []
+            for k, lid, norm in zip(b.column("key").to_pylist(), b.column("lid").to_pylist(), b.column("norm").to_pylist()):
+                w = norm.split()
+                if k != key:
+                    key, own = k, []
+                elif any(near(x, w, bound(max(len(x), len(w)), max_edits)) for x in own):
+                    gone.append(lid)
+                own.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.binary())], names=["lid"])
+
+    return run
+
+
 def near_lines(docs: DataFrame, lines: DataFrame, kind: str, max_edits: int) -> DataFrame:
     """(doc_id, h, no): the lines that are near an earlier one. docs: doc_id, h and text; lines: distinct ones at their first places."""
     # A line that comes from repeated rows, or has a key twice, meets itself here; that costs a look and makes no link.
     keyed = lines.select("lid", *_PLACE, F.expr("shiftleft(1, n % 8)").alias("bit"), F.explode("keys").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("c"), F.bit_or("bit").alias("lengths")).where("c > 1").select("key", "lengths"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c"), F.bit_or("bit").alias("lengths")).where("c > 1")
+    shared = cut(shared.select("key", F.when(F.col("c") > FEW, F.col("lengths")).otherwise(0).alias("lengths")))  # 0: its lines are few
     some = keyed.join(bounded_broadcast(shared, 24), "key").groupBy("lid", *_PLACE).agg(F.collect_set(F.struct("key", "lengths")).alias("keys"))
     places = some.groupBy("doc_id", "h").agg(F.collect_list(F.struct("no", "lid", "keys")).alias("where"))
     places = cut(places.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "where"))
@@ -449,14 +474,25 @@ def near_lines(docs: DataFrame, lines: DataFrame, kind: str, max_edits: int) ->
     texts = texts.mapInArrow(_texts, f"doc_id {kind}, h long, no int, lid binary, norm binary, keys array<struct<key:long,lengths:int>>")
     # Repeated rows give a line's first place more than once.
     texts = cut(texts.dropDuplicates(["lid"]).select("lid", _place().alias("place"), "norm", "keys"))
+    few = texts.select("lid", "place", "norm", F.explode(F.filter("keys", lambda x: x["lengths"] == 0)["key"]).alias("key"))
+    near_ = few.repartition("key").sortWithinPartitions("key", "place").select("key", "lid", "norm").mapInArrow(_compared(max_edits), "lid binary")
+    if not shared.where("lengths <> 0").isEmpty():
+        near_ = near_.unionByName(_near_by_deletions(texts.where(F.exists("keys", lambda x: x["lengths"] != 0)), max_edits))
+    near_ = cut(near_.distinct())
+    return texts.join(bounded_broadcast(near_, 40), "lid", "left_semi").select("place.doc_id", "place.h", "place.no")
+
+
+def _near_by_deletions(texts: DataFrame, max_edits: int) -> DataFrame:
+    """(lid): the lines of texts, which is cut, that are near an earlier one with which they share a key of many lines."""
     # Most keys have one line: those go first, and only the rest is looked at closely.
     tagged = cut(texts.select("lid", "norm", "keys").mapInArrow(_windows(max_edits), "lid binary, keys array<long>, tags array<long>"))
-    tagged = _shared(tagged.select("lid", "tags", F.posexplode("keys").alias("at", "key")).select("lid", "key", F.get("tags", F.col("at")).alias("tag")))
-    # Of lines that differ in length, a key needs a longer one and a shorter one. A low half counts the former, a high one the latter.
+    # Of lines that differ in length, a key needs a longer one and a shorter one.
     over, d = F.floor(F.col("tag") / (9 * _Q * _Q)), F.floor(F.col("tag") / (3 * _Q * _Q)) % 3
+    tagged = tagged.select("lid", "tags", F.posexplode("keys").alias("at", "key")).select("lid", "key", F.get("tags", F.col("at")).alias("tag"))
+    tagged = _shared(tagged.withColumn("role", F.when(d == 0, 0).when(over > 0, 2).otherwise(1)))
+    # A low half counts the longer ones, a high one the shorter ones.
     half, mine = 1 << 32, F.xxhash64("lid")
-    common = tagged.groupBy("key").agg(F.sum(F.when(over > 0, F.lit(half)).otherwise(F.lit(1)).cast("long")).alias("n"), F.bit_xor(mine).alias("x"), F.min(mine).alias("a"), F.max(mine).alias("b"), F.first(d == 0).alias("same"))
-    common = common.where("a <> b").where(F.when(F.col("same"), F.lit(True)).otherwise((F.col("n") > half) & (F.col("n") % half > 0)))
+    common = tagged.groupBy("key").agg(F.sum(F.when(F.col("role") == 2, F.lit(half)).otherwise(F.lit(1)).cast("long")).alias("n"), F.bit_xor(mine).alias("x"))
     found = tagged.join(common.select("key", F.xxhash64("n", "x").alias("who")), "key").groupBy("lid").agg(F.collect_set(F.struct("tag", "who")).alias("found"))
     var = cut(texts.select("lid", "norm").join(found, "lid").mapInArrow(_deletions(max_edits), "lid binary, keys array<long>"))
     var = _shared(var.select("lid", F.explode("keys").alias("of")).select("lid", F.expr("of & ~3L").alias("key"), F.expr("of & 3L").alias("role")))
@@ -468,13 +504,14 @@ def near_lines(docs: DataFrame, lines: DataFrame, kind: str, max_edits: int) ->
     pairs = var.join(best, "key").select("lid", to.alias("to"), "place").where(F.col("to.place") < F.col("place")).select("lid", F.col("to.lid").alias("__lid")).distinct()
     norms = texts.select("lid", "norm")
     ends = pairs.join(norms, "lid").join(norms.select(F.col("lid").alias("__lid"), F.col("norm").alias("__norm")), "__lid")
-    near_ = cut(ends.select("lid", "norm", "__norm").mapInArrow(_verified(max_edits), "lid binary").distinct())
-    return texts.join(bounded_broadcast(near_, 40), "lid", "left_semi").select("place.doc_id", "place.h", "place.no")
+    return ends.select("lid", "norm", "__norm").mapInArrow(_verified(max_edits), "lid binary")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """The rows of keyed, made from what is cut, whose key comes more than once."""
-    keys = cut(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    """The rows of keyed, made from what is cut, under whose key two lines may be near: two of role 0, or one of role 1 and one of role 2."""
+    mine = F.xxhash64("lid")  # a line of repeated words may have a key more than once
+    keys = keyed.groupBy("key").agg(F.min(mine).alias("a"), F.max(mine).alias("b"), F.bit_or(F.expr("shiftleft(1, int(role))")).alias("roles"))
+    keys = cut(keys.where("a <> b and (roles & 1 = 1 or roles & 6 = 6)").select("key"))
     return cut(keyed.join(bounded_broadcast(keys, 16), "key", "left_semi"))
 
 

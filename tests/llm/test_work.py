@@ -50,3 +50,36 @@ def test_lines_of_a_kind_are_hashed_together(monkeypatch):
     out = pa.Table.from_batches(line_dedup._windows(2)(iter([batch])))
     assert len(set(out.column("lid").to_pylist())) == 500 and len(calls) < 500
     assert out.num_rows == 500  # a row per line, not per key
+
+
+def near_clusters():
+    """Lines in clusters of 2 to 40 near ones, a word or two apart, as rows of a document each."""
+    rows = []
+    for c, size in enumerate((2, 3, 5, 9, 40)):
+        words = [f"c{c}w{j}" for j in range(24)]
+        for i in range(size):
+            w = list(words)
+            w[(7 * i) % 24] = f"x{i}"
+            if i % 3 == 1:
+                del w[(5 * i) % 24]
+            rows.append((c * 100 + i, " ".join(w)))
+    return rows
+
+
+def test_few_lines_of_a_key_are_compared_without_deletions(spark, monkeypatch):
+    rows = near_clusters()
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string"))
+    split = [(i, t.encode().split()) for i, t in rows]
+    expected = {b for b, y in split if any(a < b and line_dedup.near(x, y, line_dedup.bound(max(len(x), len(y)))) for a, x in split)}
+    assert len(expected) > 20
+
+    def jobs_and_gone(name, few):
+        monkeypatch.setattr(line_dedup, "FEW", few, raising=False)
+        spark.sparkContext.setJobGroup(name, "")
+        gone = {r.doc_id for r in line_dedup.line_decisions(docs).collect() if r.n_near}
+        spark.sparkContext.setJobGroup("", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)), gone
+
+    (all_few, a), (some_few, b), (none_few, c) = (jobs_and_gone(f"few {n}", n) for n in (1000, 6, 1))
+    assert a == b == c == expected
+    assert all_few < some_few and all_few < none_few
