@@ -30,12 +30,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bounded_broadcast, cut, fresh, held, join_split, rows_of
+from .common import BLANKS, bounded_broadcast, cut, fresh, held, join_split, packed, rows_of
 
 #: The bound: at most MAX_EDITS words, and at most one word in WORDS_PER_EDIT of the longer line.
 MAX_EDITS, WORDS_PER_EDIT = 2, 10
 #: Lines under a third or half that are compared with each other; where there are more, it goes by their deletions.
-FEW = 32
+FEW = 16
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
@@ -485,7 +485,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, kind: str, max_edits: int) ->
 def _near_by_deletions(texts: DataFrame, max_edits: int) -> DataFrame:
     """(lid): the lines of texts, which is cut, that are near an earlier one with which they share a key of many lines."""
     # Most keys have one line: those go first, and only the rest is looked at closely.
-    tagged = cut(texts.select("lid", "norm", "keys").mapInArrow(_windows(max_edits), "lid binary, keys array<long>, tags array<long>"))
+    tagged = cut(_dealt(texts.select("lid", "norm", "keys")).mapInArrow(_windows(max_edits), "lid binary, keys array<long>, tags array<long>"))
     # Of lines that differ in length, a key needs a longer one and a shorter one.
     over, d = F.floor(F.col("tag") / (9 * _Q * _Q)), F.floor(F.col("tag") / (3 * _Q * _Q)) % 3
     tagged = tagged.select("lid", "tags", F.posexplode("keys").alias("at", "key")).select("lid", "key", F.get("tags", F.col("at")).alias("tag"))
@@ -494,7 +494,7 @@ def _near_by_deletions(texts: DataFrame, max_edits: int) -> DataFrame:
     half, mine = 1 << 32, F.xxhash64("lid")
     common = tagged.groupBy("key").agg(F.sum(F.when(F.col("role") == 2, F.lit(half)).otherwise(F.lit(1)).cast("long")).alias("n"), F.bit_xor(mine).alias("x"))
     found = tagged.join(common.select("key", F.xxhash64("n", "x").alias("who")), "key").groupBy("lid").agg(F.collect_set(F.struct("tag", "who")).alias("found"))
-    var = cut(texts.select("lid", "norm").join(found, "lid").mapInArrow(_deletions(max_edits), "lid binary, keys array<long>"))
+    var = cut(_dealt(cut(texts.select("lid", "norm").join(found, "lid"))).mapInArrow(_deletions(max_edits), "lid binary, keys array<long>"))
     var = _shared(var.select("lid", F.explode("keys").alias("of")).select("lid", F.expr("of & ~3L").alias("key"), F.expr("of & 3L").alias("role")))
     var = var.join(texts.select("lid", "place"), "lid")
     who = F.struct("place", "lid")
@@ -507,6 +507,11 @@ def _near_by_deletions(texts: DataFrame, max_edits: int) -> DataFrame:
     return ends.select("lid", "norm", "__norm").mapInArrow(_verified(max_edits), "lid binary")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df, which is made from what is cut, dealt evenly: each row makes hundreds."""
+    return packed(df).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _shared(keyed: DataFrame) -> DataFrame:
     """The rows of keyed, made from what is cut, under whose key two lines may be near: two of role 0, or one of role 1 and one of role 2."""
     mine = F.xxhash64("lid")  # a line of repeated words may have a key more than once
