@@ -176,15 +176,19 @@ class Gate:
         parts = _ATOM.split(text)  # what parts atoms, and atoms, in turn
         names, gaps = parts[1::2], parts[::2]
         known, starts, folded = self.known, self.starts, self.folded
-        each = [known.get(x) or self._folded(x) for x in names]
+        each = {x: known.get(x) or self._folded(x) for x in set(names)}
+        first = {x for x, y in each.items() if y in starts}
+        if not first:
+            return
         ends: list[int] = []
         free = 0  # the first atom that is in no span
-        for i in [k for k, x in enumerate(each) if x in starts]:
+        for i in [k for k, x in enumerate(names) if x in first]:
             if i < free:
                 continue
-            whole, end = each[i], i + 1 if each[i] in folded else 0
+            whole = each[names[i]]
+            end = i + 1 if whole in folded else 0
             for j in range(i + 1, min(i + PARTS, len(names))):
-                nxt = each[j]
+                nxt = each[names[j]]
                 whole = whole + (nxt[1:] if nxt[:1] == whole[-1:] else nxt)
                 if whole not in starts or len(gaps[j]) > 2 or gaps[j].strip(SEPARATORS):
                     break
@@ -238,7 +242,10 @@ class Scorer:
         if got is None:
             if len(self.known) > REMEMBER:
                 self.known.clear()
-            got = max((self.weights.get(t, 0.0) for t in terms(word)), default=0.0)
+            got, n, of = self.weights.get(word, 0.0), len(word), self.weights.get
+            for k in (4, 5, 6):  # as terms() has them, without a list
+                if n > k and (x := of(word[:k] + "~")) is not None and x > got:
+                    got = x
             if len(word) <= SHORT:
                 self.known[word] = got
         return got

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corvane.llm import line_dedup
+from corvane.llm import line_dedup, toxicity
 from corvane.llm.common import connected_components, cut
 
 
@@ -83,3 +83,16 @@ def test_few_lines_of_a_key_are_compared_without_deletions(spark, monkeypatch):
     (all_few, a), (some_few, b), (none_few, c) = (jobs_and_gone(f"few {n}", n) for n in (1000, 6, 1))
     assert a == b == c == expected
     assert all_few < some_few and all_few < none_few
+
+
+def test_an_atom_is_folded_once_a_text(monkeypatch):
+    calls, fold = [], toxicity.fold
+    monkeypatch.setattr(toxicity, "fold", lambda x: calls.append(x) or fold(x))
+    gate, long_atom = toxicity.Gate(["grumbol"]), "ab" * 40
+    calls.clear()
+    text = f"{long_atom} 77 gr-um bol " * 50
+    assert [text[s:e] for s, e in gate.spans(text)] == ["gr-um bol"] * 50
+    assert calls.count(long_atom) == 1
+    scorer = toxicity.Scorer({"grumbol": 2.0, "grum~": 1.5, "grumbl~": 1.7}, np.zeros(4))
+    for w in ("grumbol", "grumbols", "grumbling", "grum", "gru", ""):
+        assert scorer.weight(w) == max(scorer.weights.get(t, 0.0) for t in toxicity.terms(w))
